@@ -70,6 +70,8 @@ def hot_keys(counts: DataFrame, key: str, n: str, parts: int = 64) -> dict[objec
     ``counts`` holds one row for each key. Only those few keys reach the driver.
     """
     total = counts.agg(F.sum(n)).first()[0] or 0
+    if total < 1000:
+        return {}
     least = max(1000, -(-total // HOT_SHARE))
     return {r[0]: max(2, -(-r[1] * parts // total)) for r in counts.where(F.col(n) >= least).select(key, n).collect()}
 

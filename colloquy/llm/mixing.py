@@ -48,20 +48,13 @@ def targets(sizes: DataFrame, weight: Column | None = None, cap: float = 3.0) ->
     return t.withColumn("target", F.least(full.cast("double"), F.coalesce(F.col("weight") * F.col("level"), full.cast("double")))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, cap: int = 3) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, times, taken.
+def _hash() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
 
-    times: how often the mix takes the document (0 to ``cap``); taken = times * size. The words taken from a source
-    come within one document of its target: of the two thresholds around the budget the nearer is used.
 
-    Null text has size 0; null source is a source of its own, the last one. Empty tables give empty results. Rows that
-    repeat an id and a text share a hash and are taken or left together. Other columns of ``docs`` are ignored. Equal
-    input gives equal output, whatever the partitions.
-    """
-    size = n_words(F.col("text")) if size is None else size
-    base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"))
-    base = cut(base, "mix")
-    # One histogram row for each source and first-level bucket feeds the sizes as well.
+def _thresholds(docs: DataFrame, size: Column, weight: Column | None, cap: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Per document: doc_id, source, size, h. Per source: s, source_size, target, passes, prefix, open, with_last. Whether the latter is small."""
+    base = cut(docs.select("doc_id", "source", size.alias("size"), _hash().alias("h")), "mix")
     bucket = lambda level: F.expr(f"cast(shiftrightunsigned(h, {64 - BITS * (level + 1)}) & {2**BITS - 1} as int)")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weight, cap)
@@ -70,7 +63,6 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(F.lit(0)).cast("int")
     # The state of the search: rows below ``low`` (of the prefix seen so far) are in, ``left`` words are still to be taken.
     state = cut(plan.withColumn("passes", passes).withColumn("left", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.col("left") > 0), "mix-state")
-    key = lambda a, b: a["source"].eqNullSafe(b["source"])
     for level in range(LEVELS):
         top = F.expr(f"shiftrightunsigned(h, {64 - BITS * level})") if level else F.lit(0).cast("long")
         of = base.alias("b").join(small(state.where("open").select(F.col("source").alias("s"), "prefix")), F.col("b.source").eqNullSafe(F.col("s")) & (top == F.col("prefix")))
@@ -86,11 +78,39 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
         state = cut(state, "mix-state")
         state, words = state.drop("words"), state.select("source", "words")
     # What shares the last prefix goes in if that brings the sum nearer to the budget.
-    shift = 64 - BITS * LEVELS
     state = state.join(words.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("with_last", F.coalesce(F.col("words") - F.col("left") <= F.col("left"), F.lit(True)))
     state = state.select(F.col("source").alias("s"), "source_size", "target", "passes", "prefix", "open", "with_last")
-    out = base.join(small(state), F.col("source").eqNullSafe(F.col("s")))
-    top = F.expr(f"shiftrightunsigned(h, {shift})")
+    return base, cut(state, "mix-state"), n <= BROADCAST_SOURCES
+
+
+def _taken(rows: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    """``rows`` (source, h, ..) with their source's numbers and ``times``, by a filter on the hash."""
+    out = rows.join(F.broadcast(state) if small else state, F.col("source").eqNullSafe(F.col("s")))
+    top = F.expr(f"shiftrightunsigned(h, {64 - BITS * LEVELS})")
     more = F.col("open") & ((top < F.col("prefix")) | (F.col("with_last") & (top == F.col("prefix"))))
-    times = F.col("passes") + F.coalesce(more, F.lit(False)).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+    return out.withColumn("times", F.col("passes") + F.coalesce(more, F.lit(False)).cast("int"))
+
+
+def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, cap: int = 3) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, times, taken.
+
+    times: how often the mix takes the document (0 to ``cap``); taken = times * size. The words taken from a source
+    come within one document of its target: of the two thresholds around the budget the nearer is used.
+
+    Null text has size 0; null source is a source of its own, the last one. Empty tables give empty results. Rows that
+    repeat an id and a text share a hash and are taken or left together. Other columns of ``docs`` are ignored. Equal
+    input gives equal output, whatever the partitions.
+    """
+    out = _taken(*_thresholds(docs, n_words(F.col("text")) if size is None else size, weight, cap))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+
+
+def apply(docs: DataFrame, size: Column | None = None, weight: Column | None = None, cap: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (0 to ``cap`` times), with all their columns.
+
+    The same decisions as :func:`mix`; taking is a map over the documents, without a shuffle of texts.
+    """
+    _, state, small = _thresholds(docs, n_words(F.col("text")) if size is None else size, weight, cap)
+    rows = docs.select("source", _hash().alias("h"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = _taken(rows, state, small).where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

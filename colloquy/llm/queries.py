@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, html_text, language, mixing, neighbours, pieces, quality_model, quality_rules, tokens
+from . import archives, html_text, language, mixing, near_copies, neighbours, pieces, quality_model, quality_rules, tokens
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_counts": op6_token_counts,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_main_text": op8_main_text,
+    "op9_near_copies": op9_near_copies,
     "op10_quality_rules": op10_quality_rules,
 }
 
