@@ -45,7 +45,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.round_trip(table(spark, sf_dir, "pages"))
+    return archives.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,9 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
     # The response of equal payloads is the one with the largest page_id.
     "op7_warc_round_trip": """
-        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
-        d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS top FROM p)
-        SELECT page_id, url, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+        SELECT page_id, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
         FROM d""",
 }
