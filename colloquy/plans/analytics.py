@@ -594,11 +594,12 @@ def operating_point(d: Spark) -> str:
 
 def word_errors(d: Spark) -> str:
     """Edit distance of characters between a line and the one before."""
-    return f"SELECT id, levenshtein(t, s) AS edits, length(s) AS n FROM (SELECT id, {d.fold('text')} AS t, {d.fold('lag(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)')} AS s FROM text_lines WHERE length(text) < 120) l WHERE s IS NOT NULL"
+    fold = lambda x: d.sub(d.fold(x), "[^ -~]", "?")  # noqa: E731  engines count other letters as characters or as bytes
+    return f"SELECT id, levenshtein(t, s) AS edits, length(s) AS n FROM (SELECT id, {fold('text')} AS t, {fold('lag(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)')} AS s FROM text_lines WHERE length(text) < 120) l WHERE s IS NOT NULL"
 
 
 def error_rates(d: Spark) -> str:
-    return f"SELECT recording_id, cast(sum(e) AS BIGINT) AS edits, cast(sum(n) AS BIGINT) AS length_, round(sum(e) * 1.0 / greatest(sum(n), 1), 6) AS cer FROM (SELECT u.recording_id, levenshtein({d.cut('lower(u.text)', '1', '200')}, {d.cut('upper(u.text)', '1', '200')}) AS e, length({d.cut('u.text', '1', '200')}) AS n FROM utterances u WHERE NOT u.is_hidden) t GROUP BY recording_id"
+    return f"SELECT recording_id, cast(sum(e) AS BIGINT) AS edits, cast(sum(n) AS BIGINT) AS length_, round(sum(e) * 1.0 / greatest(sum(n), 1), 6) AS cer FROM (SELECT u.recording_id, levenshtein({d.sub(d.cut('lower(u.text)', '1', '200'), '[^ -~]', '?')}, {d.sub(d.cut('upper(u.text)', '1', '200'), '[^ -~]', '?')}) AS e, length({d.cut('u.text', '1', '200')}) AS n FROM utterances u WHERE NOT u.is_hidden) t GROUP BY recording_id"
 
 
 def diarisation_error(d: Spark) -> str:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENS = "struct<transcription:array<struct<offsets:struct<from:bigint,to:bigint>,text:string,tokens:array<struct<text:string,id:bigint,p:double>>>>>"
-OBJECT = "struct<start:string,Start:string,`Start time`:string,end:string,End:string,`End time`:string,speaker:string,Speaker:string,`Speaker ID`:string,text:string,Content:string,content:string>"
 
 
 def tokens(raw: DataFrame, column: str = "json") -> DataFrame:
@@ -34,8 +33,8 @@ def segments(raw: DataFrame, column: str = "json") -> DataFrame:
     several spellings. Blank text and spans without length are dropped.
     """
     objects = F.regexp_extract_all(F.regexp_replace(column, "```(?:json)?", ""), F.lit(r"\{[^{}]*\}"), F.lit(0))
-    o = raw.select("recording_id", F.explode(objects).alias("o")).select("recording_id", F.from_json("o", OBJECT, {"allowUnquotedFieldNames": "false"}).alias("o"))
-    first = lambda *names: F.coalesce(*[F.col(f"o.`{n}`") for n in names])
+    o = raw.select("recording_id", F.explode(objects).alias("o")).select("recording_id", F.from_json("o", "map<string,string>").alias("o"))
+    first = lambda *names: F.coalesce(*[F.element_at("o", F.lit(n)) for n in names])
     out = o.select(
         "recording_id", seconds(first("start", "Start", "Start time")).alias("start_time"), seconds(first("end", "End", "End time")).alias("end_time"),
         first("speaker", "Speaker", "Speaker ID").alias("speaker"), F.trim(first("text", "content", "Content")).alias("text"),
