@@ -42,7 +42,7 @@ def test_foreign_packages_and_broken_ones():
 def test_records():
     digest = hashlib.sha1(b"<p>\r\n\r\nx").hexdigest()
     r = archives.parse_record(archives.write_record("7", "http://h/ä b", digest, b"<p>\r\n\r\nx", None))
-    assert (r.kind, r.key, r.url, r.payload, r.payload_bytes, r.digest, r.refers_to) == ("response", "7", "http://h/ä%20b", b"<p>\r\n\r\nx", 8 + 1, digest, None)
+    assert (r.kind, r.key, r.url, r.payload, r.payload_bytes, r.digest, r.refers_to) == ("response", "7", "http://h/ä%20b", b"<p>\r\n\r\nx", 8, digest, None)
     r = archives.parse_record(archives.write_record("7", None, digest, b"12345", "9"))
     assert (r.kind, r.payload, r.payload_bytes, r.refers_to) == ("revisit", None, 5, "9")
     with pytest.raises(ValueError):
@@ -69,7 +69,7 @@ def test_round_trip(spark, sf_dir, tmp_path):
 
 
 def test_packages_are_split_and_payloads_come_back(spark, tmp_path):
-    pages = spark.range(200).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat('<p>', id, repeat(md5(id), 40)) AS html").coalesce(1)
+    pages = spark.range(200).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat('<p>', id, repeat(md5(cast(id AS string)), 40)) AS html").coalesce(1)
     packages = archives.write(archives.plan(pages), str(tmp_path / "p"), package_bytes=20_000, zip64=True).cache()
     assert packages.count() > 3 and packages.agg({"n_records": "sum"}).first()[0] == 200
     got = archives.read(archives.locate(packages), payloads=True)

@@ -45,7 +45,7 @@ def test_learned_parts_reach_the_recall(spark, rows, monkeypatch):
         hits += r.vec_id in {v for v, _ in want[r.query_id]}
     assert hits >= 0.9 * sum(map(len, want.values()))
     router = neighbours.fit(np.array([v for _, v in rows[:1500]]), 1500)
-    assert 1 < router.probes < router.weights.shape[1] == 16
+    assert 1 < router.probes < router.weights.shape[1] == 32
 
 
 def test_parts_are_balanced_and_cut_few_edges():
