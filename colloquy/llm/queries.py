@@ -57,7 +57,8 @@ def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.assess(table(spark, sf_dir, "documents"), ["doc_id"])
+    found = quality_rules.assess(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 QUERIES: dict[str, Query] = {
@@ -73,7 +74,35 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+def _rules_sql() -> str:
+    """Quality rules in SQL: windows and lines are unnested, and histograms compared place by place."""
+    word, limits = r"[^\x20\x09-\x0D]", quality_rules.Limits()
+    left = lambda keep: f"length(regexp_replace(t, '[^{keep}]', '', 'g'))"
+    chars = ["a-z", r"\x20\x09-\x0D", "A-Z", "0-9", r".,;:!?''\"()\-", "#*$%&|<>"]
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in quality_rules.COMMON_WORDS.items())
+    n = quality_rules.N_COMMON
+    judge = lambda h: f"""SELECT r, round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)), 6) AS d FROM (
+            SELECT x.r, x.v / x.whole AS p, y.v / y.whole AS q FROM (SELECT *, sum(v) OVER (PARTITION BY r) AS whole FROM {h}) x
+            JOIN (SELECT k, i, v, sum(v) OVER (PARTITION BY k) AS whole FROM (SELECT k, i, sum(v) AS v FROM {h} GROUP BY k, i)) y ON y.k = x.k AND y.i = x.i WHERE x.whole > 0) GROUP BY r"""
+    return f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(repr(k) for k in quality_rules.COMMON_WORDS)}) THEN lang ELSE '' END AS k, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+        x AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM d),
+        win AS (SELECT r, i, a, lead(a, 1) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM x),
+        rep AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM win WHERE c IS NOT NULL) WHERE n > 1),
+        cov AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, i FROM rep UNION ALL SELECT r, i + 1 FROM rep UNION ALL SELECT r, i + 2 FROM rep) GROUP BY r),
+        ln AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{word}') GROUP BY r),
+        cl AS (SELECT r, k, [{", ".join(left(c) for c in chars)}] AS h, length(t) AS n FROM d),
+        hc AS (SELECT r, k, generate_subscripts(h, 1) AS i, unnest(h) * 1.0::DOUBLE AS v FROM (SELECT r, k, list_append(h, n - list_sum(h)) AS h FROM cl)),
+        cw AS (SELECT r, k, len(w) AS n, list_transform(CASE k {lists} END, lambda c: len(list_filter(w, lambda y: y = c))) AS h FROM d WHERE k <> ''),
+        hw AS (SELECT r, k, generate_subscripts(h, 1) AS i, unnest(h) * 1.0::DOUBLE AS v FROM (SELECT r, k, list_append(h, n - list_sum(h)) AS h FROM cw)),
+        jc AS ({judge("hc")}), jw AS ({judge("hw")}),
+        f AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, {left("#*$%&|<>")} AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+                     CASE WHEN length(t) >= {limits.min_chars} THEN jc.d END AS char_distance, CASE WHEN len(w) >= {limits.min_words} AND k <> '' THEN jw.d END AS word_distance
+              FROM d LEFT JOIN ln ON ln.r = d.r LEFT JOIN cov ON cov.r = d.r LEFT JOIN jc ON jc.r = d.r LEFT JOIN jw ON jw.r = d.r)
+        SELECT *, n_words < {limits.base_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words AS base_failed,
+               NOT (n_words < {limits.base_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words) AND coalesce(char_distance, 0) <= {limits.char_distance} AND coalesce(word_distance, 0) <= {limits.word_distance} AS kept FROM f"""
+
 
 ORACLE_SQL: dict[str, str] = {
     # The response of equal payloads is the one with the largest page_id.
@@ -83,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
         FROM d""",
+    "op10_quality_rules": _rules_sql(),
 }
