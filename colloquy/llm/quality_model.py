@@ -262,7 +262,9 @@ def classify(docs: DataFrame, keep: list[str] | None = None, sample: int = SAMPL
                     freq = Counter(words)
                     if len(known) > KEEP_WORDS:
                         known.clear()
-                    for x in freq.keys() - known.keys():
+                    for x in freq:
+                        if x in known:
+                            continue
                         a, b = word_buckets(x)
                         known[x] = float(w[a] + w[b])
                     z = sum(map(float.__mul__, map(known.__getitem__, freq), map(float, freq.values()))) / max(len(words), 1) + bias + sum(float(w[k]) for k in text_buckets(words, freq))
