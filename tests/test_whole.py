@@ -1,0 +1,23 @@
+"""Relations and plans read the whole of their tables."""
+
+import duckdb
+
+from colloquy import domain, plans
+from colloquy.dialect import DUCK
+
+
+def rows(spark, sql):
+    return spark.sql(sql).first()[0]
+
+
+def test_vectors_are_all_embeddings(spark, sf_dir):
+    domain.register(spark, sf_dir)
+    assert rows(spark, "SELECT count(*) FROM vectors") == rows(spark, "SELECT count(*) FROM embeddings") > 400
+    assert plans.run(spark, sf_dir, "INF-07").count() == rows(spark, "SELECT count(*) FROM embeddings")
+
+
+def test_strategy_switches():
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings AS SELECT i AS vec_id, [1.0, 0.0] AS embedding, 0 AS label FROM range(38000) r(i)")
+    assert c.execute(plans.oracle("VEC-04")).fetchone()[:2] == ("ann", False)
+    assert "vec_id <" not in domain.relations(DUCK)["vectors"]
