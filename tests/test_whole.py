@@ -21,3 +21,9 @@ def test_strategy_switches():
     c.execute("CREATE TABLE embeddings AS SELECT i AS vec_id, [1.0, 0.0] AS embedding, 0 AS label FROM range(38000) r(i)")
     assert c.execute(plans.oracle("VEC-04")).fetchone()[:2] == ("ann", False)
     assert "vec_id <" not in domain.relations(DUCK)["vectors"]
+
+
+def test_text_lines_are_those_of_every_document(spark, sf_dir):
+    domain.register(spark, sf_dir)
+    assert rows(spark, "SELECT count(DISTINCT recording_id) FROM text_lines") == rows(spark, "SELECT count(*) FROM documents")
+    assert rows(spark, "SELECT count(*) FROM text_lines") == rows(spark, "SELECT sum(size(split(text, '\\n'))) FROM documents")
