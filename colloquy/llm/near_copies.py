@@ -6,10 +6,11 @@ probability that falls with their edit similarity: at the threshold of 0.8 it is
 three times in a million pairs.
 
 Candidates: in a bucket, all texts with a sketch in common, each text is compared with one leader, not with every
-other. Links join texts into classes. In buckets that still hold several, a few delegates of each class are compared with
-a few leaders, all chosen by another hash in each round, until a round finds nothing more; a bucket so small that all
-have met is done. The work is linear in the rows of the buckets, whatever their size. Pairs whose lengths alone keep
-them under the threshold aren't compared.
+other. Links join texts into classes. Texts of buckets that still hold several classes are then joined exactly: two
+texts that are similar enough share one of the first shingles of each, in an order from rare to common, and have enough
+shingles left behind it (prefix and positional filters, which lose no pair). All such pairs of different classes are
+compared, so no link between texts of an open bucket is missed. Pairs whose lengths alone keep them under the threshold
+aren't compared.
 
 Verification: a longest common subsequence of the two shingle sequences, within the band that the threshold allows.
 similarity = common / (all of one + all of the other - common). Exact copies are one text from the start.
@@ -28,10 +29,8 @@ from ._common import copies, cut, hot_keys, spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TUPLE = 24, 4
-#: The search ends with a round that finds no link, but not before so many rounds.
-LEAST_ROUNDS = 2
-#: Leaders of a bucket, and delegates of each class in it, in the rounds after the first.
-LEADERS, DELEGATES = 16, 8
+#: Texts that are looked at for the common shingles, and how many of those are put last. Both only set the order.
+ORDER_TEXTS, ORDER_SHINGLES = 16384, 1 << 17
 _RNG = np.random.default_rng(20240101)
 _XOR = _RNG.integers(0, 2**63, SKETCHES, dtype=np.uint64)
 _ODD = _RNG.integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,6 +158,63 @@ def verify(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     return p.select("t", "leader", "a", "b").mapInArrow(run, "t binary, leader binary")
 
 
+def common_shingles(texts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several of a share of ``texts`` (t, text) hold, and in how many: what prefixes put last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(labelled(shingles(text)).view(np.int64))], ["s"])
+
+    few = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else texts
+    n = few.select("text").mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    got = n.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas().sort_values("s")
+    return got["s"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def prefix_length(n: int, least: float) -> int:
+    """So many shingles of n, in any one order, hold one that every text with a similarity of ``least`` has there too."""
+    return n - max(1, int(np.ceil(least * n - 1e-9))) + 1
+
+
+def prefixes(texts: DataFrame, common_: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+    """t, c, text -> t, c, size, s, place: the first shingles of each text from rare to common, and their places from 0."""
+    known, times = common_
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, c, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x = labelled(shingles(text)).view(np.int64)
+                rank = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    rank = np.where(known[at] == x, times[at], 0)
+                k = prefix_length(len(x), least)
+                s = x[np.lexsort((x, rank))[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array([t] * k, pa.binary()), pa.array([c] * k, pa.binary()), pa.array(np.full(k, len(x), np.int64)), pa.array(s), pa.array(np.arange(k, dtype=np.int64))], ["t", "c", "size", "s", "place"])
+
+    return texts.select("t", "c", "text").mapInArrow(run, "t binary, c binary, size bigint, s bigint, place bigint")
+
+
+def cross_pairs(texts: DataFrame, n: int, least: float) -> DataFrame:
+    """t, c, text (``n`` rows) -> t, leader: each pair of texts of different classes that can have a similarity of ``least``.
+
+    One text of such a pair isn't of the greatest class among those that share the shingle, so members of that class
+    are joined with the others only.
+    """
+    p = cut(prefixes(texts, common_shingles(texts, min(1.0, ORDER_TEXTS / max(n, 1))), least), "prefixes")
+    each = p.groupBy("s", "c").agg(F.count("*").alias("n"))
+    top = cut(each.groupBy("s").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1").select("s", F.col("m.c").alias("top"), "all"), "shingles")
+    heavy = hot_keys(top, "s", "all")
+    p = cut(salted(p, top.select("s", "top"), "s", heavy, F.xxhash64("t")), "shared_shingles")
+    minor = p.where("c != top").select("s", F.col("t").alias("leader"), F.col("c").alias("cl"), F.col("size").alias("other"), F.col("place").alias("at"))
+    # The shared shingle and what is behind it in both must come to the overlap that the threshold asks for.
+    reach = F.least(F.col("size") - F.col("place"), F.col("other") - F.col("at")) >= F.lit(least / (1 + least)) * (F.col("size") + F.col("other")) - 1e-6
+    once = (F.col("c") == F.col("top")) | (F.col("t") < F.col("leader"))
+    pairs = salted(p, minor, "s", heavy, F.xxhash64("t")).where((F.col("c") != F.col("cl")) & once & reach)
+    return pairs.select(F.least("t", "leader").alias("t"), F.greatest("t", "leader").alias("leader")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """a, b -> v, c: for each end of a link the least member of its component.
 
@@ -195,19 +251,23 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     seqs = sk.select("t", F.col("doc_id").alias("id"), "seq").join(wanted, (F.col("t") == F.col("t2")) & F.col("id").eqNullSafe(F.col("doc"))).select("t", "id", "seq").dropDuplicates(["t", "id"]).select("t", "seq")
     seqs = cut(seqs, "sequences")
     label: DataFrame | None = None
-    round_ = 0
-    while not buckets.isEmpty():
-        order, n = F.xxhash64("t", "key", F.lit(round_)), LEADERS if round_ else 1
-        # Both limits are applied in each task before the shuffle, so a large bucket or class sends a few rows from each.
-        sent = buckets
-        if round_:
-            sent = cut(buckets.withColumn("_n", F.row_number().over(Window.partitionBy("key", "c").orderBy(order, "t"))).where(F.col("_n") <= DELEGATES).drop("_n"), "delegates")
-        first = Window.partitionBy("key").orderBy("_o", "t")
-        leaders = sent.withColumn("_o", F.xxhash64("key", "t", F.lit(round_))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).select("key", F.col("t").alias("leader"), F.col("c").alias("cl"), F.col("size").alias("other"))
-        near = F.least("size", "other") >= F.lit(least) * F.greatest("size", "other")
-        pairs = salted(sent, leaders, "key", heavy_keys, F.xxhash64("t")).where((F.col("c") != F.col("cl")) & near)
-        pairs = pairs.select(F.least("t", "leader").alias("t"), F.greatest("t", "leader").alias("leader")).distinct()
-        links = cut(verify(cut(pairs, "pairs"), seqs, least), "links")
+    first = Window.partitionBy("key").orderBy("_o", "t")
+    leaders = buckets.withColumn("_o", F.xxhash64("key", "t", F.lit(0))).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("key", F.col("t").alias("leader"), F.col("size").alias("other"))
+    near = F.least("size", "other") >= F.lit(least) * F.greatest("size", "other")
+    pairs = salted(buckets, leaders, "key", heavy_keys, F.xxhash64("t")).where((F.col("t") != F.col("leader")) & near)
+    pairs = pairs.select(F.least("t", "leader").alias("t"), F.greatest("t", "leader").alias("leader")).distinct()
+    links = cut(verify(cut(pairs, "pairs"), seqs, least), "links")
+    if not links.isEmpty():
+        label = components(links.select(F.col("t").alias("a"), F.col("leader").alias("b")))
+    # Buckets of one class have nothing left to say, nor have those of two texts, which have met.
+    now = buckets.drop("c", "size").join(label.withColumnRenamed("v", "t"), "t", "left").select("key", "t", F.coalesce("c", "t").alias("c")) if label is not None else buckets
+    open_ = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo != hi AND n > 2").select("key")
+    left = cut(salted(now, open_, "key", heavy_keys, F.xxhash64("t")).select("t", "c").distinct().join(texts.select("t", "doc"), "t"), "open")
+    if not left.isEmpty():
+        same = (F.col("t") == F.col("t2")) & F.col("id").eqNullSafe(F.col("doc"))
+        whole = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("t"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        whole = cut(whole.join(left.select(F.col("t").alias("t2"), "c", "doc"), same).select("t", "id", "c", "text").dropDuplicates(["t", "id"]).select("t", "c", "text"), "open_texts")
+        links = cut(verify(cut(cross_pairs(whole, left.count(), least), "pairs"), seqs, least), "links")
         if not links.isEmpty():
             if label is None:
                 label = components(links.select(F.col("t").alias("a"), F.col("leader").alias("b")))
@@ -220,14 +280,6 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 h = hot_keys(old.groupBy("c").agg(F.count("*").alias("n")), "c", "n")
                 kept = salted(old, moved, "c", h, F.xxhash64("v"), "left").select("v", F.coalesce("to", "c").alias("c"))
                 label = cut(kept.union(new.join(old.select("v"), "v", "left_anti")), "labels")
-        elif round_ + 1 >= LEAST_ROUNDS:
-            break
-        # Buckets of one class have nothing left to say, nor have those in which all have met.
-        now = buckets.drop("c").join(label.withColumnRenamed("v", "t"), "t", "left").select("key", "t", "size", F.coalesce("c", "t").alias("c")) if label is not None else buckets
-        count = sent.groupBy("key").agg(F.count("*").alias("met")) if round_ else now.groupBy("key").agg(F.count("*").alias("met")).select("key", F.when(F.col("met") > 2, DELEGATES + 1).otherwise(0).alias("met"))
-        open_ = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key").join(count.where(F.col("met") > DELEGATES).select("key"), "key")
-        buckets = cut(salted(now, open_, "key", heavy_keys, F.xxhash64("t")).select("key", "t", "size", "c"), "buckets")
-        round_ += 1
     final = texts.select("t", "doc", "n")
     if label is None:
         final = final.select("t", "n", F.col("doc").alias("class_id"))

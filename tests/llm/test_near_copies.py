@@ -85,3 +85,45 @@ def test_classes_are_the_components_of_all_pairs(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near.classes(df).count() == 0 and near.first_of_each(df).count() == 0
+
+
+def test_links_of_few_members_are_found(spark):
+    """Two families in one bucket whose leaders are too far apart: only two members, one of each, are similar enough."""
+    r = random.Random(3)
+    word = iter(f"w{i}" for i in range(10**6))
+    base = [next(word) for _ in range(400)]
+
+    def put(w, places):
+        w = list(w)
+        for i in places:
+            w[i] = next(word)
+        return w
+
+    one, two = put(base, range(0, 40)), put(base, range(360, 400))
+    docs = [base, one, two] + [put(one, r.sample(range(60, 340), 1)) for _ in range(500)] + [put(two, r.sample(range(60, 340), 1)) for _ in range(500)]
+    seq = [(near.shingles(" ".join(w)) >> np.uint64(48)).astype(np.uint16) for w in docs]
+    assert near.similarity(seq[0], seq[1]) >= 0.8 and near.similarity(seq[0], seq[2]) >= 0.8 and near.similarity(seq[1], seq[2]) < 0.8
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert near.classes(df).select("class_id").distinct().count() == 1
+
+
+def test_cross_pairs_lose_nothing(spark):
+    """Every similar pair of different classes is a candidate; texts that share a passage only are not."""
+    r = random.Random(9)
+    word = iter(f"w{i}" for i in range(10**6))
+    passage = [next(word) for _ in range(150)]
+    docs = [passage + [next(word) for _ in range(60)] for _ in range(80)]
+    for _ in range(40):
+        b = [next(word) for _ in range(r.randint(20, 200))]
+        docs.append(b)
+        for _ in range(3):
+            w = list(b)
+            for _ in range(r.randint(1, max(1, len(b) // 40))):
+                w[r.randrange(len(w))] = next(word)
+            docs.append(w + [next(word) for _ in range(r.randint(0, 3))])
+    rows = [(i.to_bytes(4, "big"), bytes([i % 3]), " ".join(w)) for i, w in enumerate(docs)]
+    got = {(x.t, x.leader) for x in near.cross_pairs(spark.createDataFrame(rows, "t binary, c binary, text string"), len(rows), 0.8).collect()}
+    seq = [(near.shingles(x[2]) >> np.uint64(48)).astype(np.uint16) for x in rows]
+    want = {(rows[j][0], rows[i][0]) for i in range(len(rows)) for j in range(i) if rows[i][1] != rows[j][1] and near.similarity(seq[i], seq[j]) >= 0.8}
+    assert want and want <= {(bytes(a), bytes(b)) for a, b in got}
+    assert not any(max(a, b) < (80).to_bytes(4, "big") for a, b in got)
