@@ -439,26 +439,26 @@ def trigrams(d: Spark, text: str) -> str:
 
 
 def trigram_counts(d: Spark) -> str:
-    return f"SELECT id, {d.size(trigrams(d, 'text'))} AS n FROM text_lines WHERE length(text) < 400"
+    return f"SELECT id, {d.size(trigrams(d, 'text'))} AS n FROM text_lines"
 
 
-_PAIRS = "SELECT l.id, e.item_id, {a} AS a, {b} AS b FROM (SELECT id, text FROM text_lines WHERE length(text) < 300 AND id % 3 = 0) l CROSS JOIN (SELECT item_id, text FROM benchmark WHERE item_id < 5) e"
+_PAIRS = "SELECT l.id, e.item_id, l.a, e.b FROM (SELECT id, {a} AS a FROM text_lines) l CROSS JOIN (SELECT item_id, {b} AS b FROM benchmark) e"
 
 
 def overlap_coefficient(d: Spark) -> str:
     both, n, m = d.size(d.common("a", "b")), d.size("a"), d.size("b")
-    pairs = _PAIRS.format(a=trigrams(d, "l.text"), b=trigrams(d, "e.text"))
+    pairs = _PAIRS.format(a=trigrams(d, "text"), b=trigrams(d, "text"))
     return f"SELECT id, item_id, CASE WHEN least({n}, {m}) < 8 THEN 0.0 ELSE round({both} * 1.0 / least({n}, {m}), 6) END AS overlap FROM ({pairs}) t"
 
 
 def coverage(d: Spark) -> str:
-    return f"SELECT id, item_id, round({d.size(d.common('a', 'b'))} * 1.0 / greatest({d.size('a')}, 1), 6) AS coverage FROM ({_PAIRS.format(a=trigrams(d, 'l.text'), b=trigrams(d, 'e.text'))}) t"
+    return f"SELECT id, item_id, round({d.size(d.common('a', 'b'))} * 1.0 / greatest({d.size('a')}, 1), 6) AS coverage FROM ({_PAIRS.format(a=trigrams(d, 'text'), b=trigrams(d, 'text'))}) t"
 
 
 def ngram_evidence(d: Spark) -> str:
     """Folded character pairs of a line that its neighbours' text has too."""
     grams = lambda t: d.distinct(d.mapped(d.series("1", f"length({t}) - 1"), "i", d.cut(t, "cast(i AS INT)", "2")))
-    return f"SELECT id, round({d.size(d.common('a', 'b'))} * 1.0 / greatest({d.size('a')}, 1), 6) AS covered FROM (SELECT id, {grams('t')} AS a, {grams('s')} AS b FROM (SELECT id, {d.fold('text')} AS t, {d.fold('lag(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)')} AS s FROM text_lines WHERE length(text) < 400) l WHERE s IS NOT NULL) g"
+    return f"SELECT id, round({d.size(d.common('a', 'b'))} * 1.0 / greatest({d.size('a')}, 1), 6) AS covered FROM (SELECT id, {grams('t')} AS a, {grams('s')} AS b FROM (SELECT id, {d.fold('text')} AS t, {d.fold('lag(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)')} AS s FROM text_lines) l WHERE s IS NOT NULL) g"
 
 
 MARKERS = ("released under", "licensed under", "all rights reserved", "www.", "subscribe", "copyright")
@@ -504,7 +504,7 @@ def tiers(d: Spark) -> str:
 def exemplar_sweep(d: Spark, mark: int = 1, floor: float = 0.2) -> str:
     """The first new exemplar that a line's trigrams overlap and that covers the line enough."""
     both, n, m = d.size(d.common("a", "b")), d.size("a"), d.size("b")
-    pairs = _PAIRS.format(a=trigrams(d, "l.text"), b=trigrams(d, "e.text"))
+    pairs = _PAIRS.format(a=trigrams(d, "text"), b=trigrams(d, "text"))
     return f"SELECT id, item_id FROM (SELECT id, item_id, row_number() OVER (PARTITION BY id ORDER BY item_id) AS n FROM ({pairs}) t WHERE item_id > {mark} AND least({n}, {m}) >= 8 AND {both} >= {floor} * least({n}, {m}) AND {both} >= {floor} * {n}) x WHERE n = 1"
 
 
@@ -595,12 +595,12 @@ def operating_point(d: Spark) -> str:
 def word_errors(d: Spark) -> str:
     """Edit distance of characters between a line and the one before."""
     fold = lambda x: d.sub(d.fold(x), "[^ -~]", "?")  # noqa: E731  engines count other letters as characters or as bytes
-    return f"SELECT id, levenshtein(t, s) AS edits, length(s) AS n FROM (SELECT id, {fold('text')} AS t, {fold('lag(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)')} AS s FROM text_lines WHERE length(text) < 120) l WHERE s IS NOT NULL"
+    return f"SELECT id, levenshtein(t, s) AS edits, length(s) AS n FROM (SELECT id, {fold('text')} AS t, {fold('lag(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)')} AS s FROM text_lines) l WHERE s IS NOT NULL"
 
 
 def error_rates(d: Spark) -> str:
     """Character errors of each recording's lines against a transcript that hears every e as an a."""
-    plain = d.cut(d.sub(d.fold("text"), "[^ -~]", "?"), "1", "200")
+    plain = d.sub(d.fold("text"), "[^ -~]", "?")
     return f"SELECT recording_id, cast(sum(levenshtein(t, replace(t, 'e', 'a'))) AS BIGINT) AS edits, cast(sum(length(t)) AS BIGINT) AS length_, round(sum(levenshtein(t, replace(t, 'e', 'a'))) * 1.0 / greatest(sum(length(t)), 1), 6) AS cer FROM (SELECT recording_id, {plain} AS t FROM utterances WHERE NOT is_hidden) u GROUP BY recording_id"
 
 

@@ -92,7 +92,7 @@ def moving_average(spark, sf):
 
 
 def exemplars(spark, sf):
-    u = utterances(spark, sf).select(F.lit(0).alias("recording_id"), "id", F.substring("text", 1, 12).alias("text"), (F.col("id") % 5 != 4).alias("learn"), F.when(F.col("id") % 3 == 0, "detector").when(F.col("id") % 3 == 1, "verifier").otherwise("user").alias("source"))
+    u = utterances(spark, sf).select(F.lit(0).alias("recording_id"), "id", "text", (F.col("id") % 5 != 4).alias("learn"), F.when(F.col("id") % 3 == 0, "detector").when(F.col("id") % 3 == 1, "verifier").otherwise("user").alias("source"))
     # Each short text is a fold of its own, so texts are the groups.
     return folds.per_recording(u.withColumn("t", F.lower("text")), folds.exemplars, "text string, occurrences long, source string", ["id"], "t")
 

@@ -4,6 +4,7 @@ import duckdb
 
 from colloquy import domain, plans
 from colloquy.dialect import DUCK
+from colloquy.plans import procedures
 
 
 def rows(spark, sql):
@@ -27,3 +28,13 @@ def test_text_lines_are_those_of_every_document(spark, sf_dir):
     domain.register(spark, sf_dir)
     assert rows(spark, "SELECT count(DISTINCT recording_id) FROM text_lines") == rows(spark, "SELECT count(*) FROM documents")
     assert rows(spark, "SELECT count(*) FROM text_lines") == rows(spark, "SELECT sum(size(split(text, '\\n'))) FROM documents")
+
+
+def test_texts_are_whole(spark, sf_dir):
+    domain.register(spark, sf_dir)
+    lines, items = (rows(spark, f"SELECT count(*) FROM {t}") for t in ("text_lines", "benchmark"))
+    assert plans.run(spark, sf_dir, "TXT-07").count() == plans.run(spark, sf_dir, "TXT-08").count() == lines * items
+    assert plans.run(spark, sf_dir, "TXT-06").count() == lines
+    length = rows(spark, "SELECT sum(length(text)) FROM utterances WHERE NOT is_hidden")
+    assert plans.run(spark, sf_dir, "EVL-02").selectExpr("sum(length_)").first()[0] == length
+    assert procedures.exemplars(spark, sf_dir).selectExpr("max(length(text))").first()[0] > 12
