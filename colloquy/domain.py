@@ -55,7 +55,7 @@ def relations(d: Spark) -> dict[str, str]:
             FROM events""",
         "words": """
             SELECT event_id AS id, user_id % 50 AS recording_id, event_type AS word, floor(value * 3) + event_id % 37 + 0.25 AS start_time, floor(value * 3) + event_id % 37 + 0.75 AS end_time
-            FROM events WHERE event_id % 5 = 0""",
+            FROM events""",
         "vectors": "SELECT vec_id, vec_id % 17 AS recording_id, 'spk' || cast(label AS VARCHAR(9)) AS speaker_uuid, label, embedding FROM embeddings",
         "text_lines": f"""SELECT doc_id * 100000 + place AS id, doc_id AS recording_id, place AS utterance_index, lang, line AS text FROM {d.unnest("(SELECT doc_id, lang, " + ("split(text, '\\n')" if d.name == "spark" else "string_split(text, chr(10))") + " AS xs FROM documents) t", "xs", "line", "place")}""",
     }

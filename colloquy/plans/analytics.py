@@ -178,7 +178,7 @@ def adjacent_merge(d: Spark) -> str:
 
 def margins(d: Spark) -> str:
     c = cosine(d, "a.embedding", "b.embedding")
-    return f"""WITH s AS (SELECT a.vec_id, b.label, avg({c}) AS c FROM vectors a JOIN vectors b ON b.vec_id <> a.vec_id AND b.vec_id < 60 WHERE a.vec_id < 40 GROUP BY a.vec_id, b.label), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 9) DESC, label) AS n FROM s)
+    return f"""WITH s AS (SELECT a.vec_id, b.label, avg({c}) AS c FROM vectors a JOIN vectors b ON b.vec_id <> a.vec_id GROUP BY a.vec_id, b.label), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 9) DESC, label) AS n FROM s)
         SELECT a.vec_id, a.label AS best, round(a.c, 6) AS score, round(a.c - b.c, 6) AS margin FROM r a JOIN r b ON b.vec_id = a.vec_id AND b.n = 2 WHERE a.n = 1"""
 
 
@@ -199,7 +199,7 @@ def estimated_timing(d: Spark) -> str:
 
 def word_timing(d: Spark) -> str:
     """Words at equal steps of their line's time; the last ends with the line."""
-    source = f"(SELECT id, start_time, end_time, {d.find('text', WORD)} AS ws FROM utterances WHERE id % 3 = 0) s"
+    source = f"(SELECT id, start_time, end_time, {d.find('text', WORD)} AS ws FROM utterances) s"
     return f"""SELECT id, cast(place AS BIGINT) AS place, word, round(start_time + (end_time - start_time) * place / {d.size("ws")}, 6) AS a, round(CASE WHEN place = {d.size("ws")} - 1 THEN end_time ELSE start_time + (end_time - start_time) * (place + 1) / {d.size("ws")} END, 6) AS b FROM {d.unnest(source, "ws", "word", "place")}"""
 
 
@@ -306,7 +306,7 @@ QUERY_VECTOR = "(SELECT embedding AS q FROM vectors WHERE vec_id = 7)"
 
 
 def all_cosines(d: Spark) -> str:
-    return f"SELECT a.vec_id AS a, b.vec_id AS b, round({cosine(d, 'a.embedding', 'b.embedding')}, 6) AS cosine FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id AND b.vec_id < 80 WHERE a.vec_id < 40"
+    return f"SELECT a.vec_id AS a, b.vec_id AS b, round({cosine(d, 'a.embedding', 'b.embedding')}, 6) AS cosine FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id"
 
 
 def knn(d: Spark, k: int = 20, most: float = 1.2) -> str:
@@ -344,7 +344,7 @@ def neighbour_cosine(d: Spark) -> str:
 
 def coerced(d: Spark, dim: int = 48) -> str:
     """Vectors cut to ``dim`` components."""
-    return f"SELECT vec_id, cast(k AS BIGINT) AS k, round(cast(v AS DOUBLE), 6) AS v FROM {d.unnest('(SELECT vec_id, embedding FROM vectors WHERE vec_id < 50) s', 'embedding', 'v', 'k')} WHERE k < {dim}"
+    return f"SELECT vec_id, cast(k AS BIGINT) AS k, round(cast(v AS DOUBLE), 6) AS v FROM {d.unnest('(SELECT vec_id, embedding FROM vectors) s', 'embedding', 'v', 'k')} WHERE k < {dim}"
 
 
 def voice_check(d: Spark) -> str:
@@ -397,7 +397,7 @@ def quota(d: Spark, cap: int = 12, least: int = 4) -> str:
 
 
 def excerpt(d: Spark, around: int = 5, budget: int = 400) -> str:
-    return f"""WITH t AS (SELECT recording_id, utterance_index AS i FROM utterances WHERE id % 7 = 0), near AS (SELECT DISTINCT u.id, u.recording_id, u.utterance_index, length(u.text) AS n FROM utterances u JOIN t ON t.recording_id = u.recording_id AND u.utterance_index BETWEEN t.i - {around} AND t.i + {around}),
+    return f"""WITH t AS (SELECT recording_id, utterance_index AS i FROM utterances WHERE suspicion >= 0.4), near AS (SELECT DISTINCT u.id, u.recording_id, u.utterance_index, length(u.text) AS n FROM utterances u JOIN t ON t.recording_id = u.recording_id AND u.utterance_index BETWEEN t.i - {around} AND t.i + {around}),
         s AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY utterance_index) AS upto FROM near) SELECT id FROM s WHERE upto <= {budget}"""
 
 
@@ -510,7 +510,7 @@ def exemplar_sweep(d: Spark, mark: int = 1, floor: float = 0.2) -> str:
 
 def embedding_sweep(d: Spark, k: int = 30, floor: float = 0.1) -> str:
     c = cosine(d, "e.embedding", "v.embedding")
-    return f"SELECT exemplar, vec_id, round(c, 6) AS cosine FROM (SELECT e.vec_id AS exemplar, v.vec_id, {c} AS c, row_number() OVER (PARTITION BY e.vec_id ORDER BY round({c}, 9) DESC, v.vec_id) AS n FROM vectors e JOIN vectors v ON v.vec_id >= 10 WHERE e.vec_id < 5) t WHERE n <= {k} AND c >= {floor}"
+    return f"SELECT exemplar, vec_id, round(c, 6) AS cosine FROM (SELECT e.vec_id AS exemplar, v.vec_id, {c} AS c, row_number() OVER (PARTITION BY e.vec_id ORDER BY round({c}, 9) DESC, v.vec_id) AS n FROM vectors e JOIN vectors v ON v.vec_id <> e.vec_id) t WHERE n <= {k} AND c >= {floor}"
 
 
 def mentions(d: Spark) -> str:
@@ -571,13 +571,13 @@ def owner_likeness(d: Spark, least: float = 0.2) -> str:
 
 def aliases(d: Spark) -> str:
     """Follow canonical ids to their end, at most ten steps, so that a circle ends too."""
-    return """WITH RECURSIVE links AS (SELECT cast(id AS BIGINT) AS id, cast(CASE WHEN id % 3 = 0 THEN id ELSE id - 1 END AS BIGINT) AS up FROM recordings WHERE id < 60), walk AS (SELECT id, up AS at_, 0 AS steps FROM links UNION ALL SELECT w.id, l.up, w.steps + 1 FROM walk w JOIN links l ON l.id = w.at_ WHERE w.steps < 10 AND l.up <> w.at_)
+    return """WITH RECURSIVE links AS (SELECT cast(id AS BIGINT) AS id, cast(CASE WHEN id % 3 = 0 THEN id ELSE id - 1 END AS BIGINT) AS up FROM recordings), walk AS (SELECT id, up AS at_, 0 AS steps FROM links UNION ALL SELECT w.id, l.up, w.steps + 1 FROM walk w JOIN links l ON l.id = w.at_ WHERE w.steps < 10 AND l.up <> w.at_)
         SELECT id, min(at_) AS canonical FROM walk GROUP BY id"""
 
 
 def consolidation(d: Spark) -> str:
     c = cosine(d, "a.embedding", "b.embedding")
-    return f"""WITH s AS (SELECT a.vec_id, b.label, count(*) AS support, avg({c}) AS score FROM vectors a JOIN vectors b ON b.label <> a.label AND b.vec_id < 100 WHERE a.vec_id < 30 GROUP BY a.vec_id, b.label), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, label) AS n FROM s)
+    return f"""WITH s AS (SELECT a.vec_id, b.label, count(*) AS support, avg({c}) AS score FROM vectors a JOIN vectors b ON b.label <> a.label GROUP BY a.vec_id, b.label), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, label) AS n FROM s)
         SELECT x.vec_id, x.label, round(x.score, 6) AS score FROM r x JOIN r y ON y.vec_id = x.vec_id AND y.n = 2 WHERE x.n = 1 AND x.support >= 2 AND x.score - y.score >= 0.01"""
 
 
@@ -585,11 +585,11 @@ def cohort_features(d: Spark) -> str:
     """Cosines as z-scores against each side's cohort, their mean held within 6."""
     c = cosine(d, "a.embedding", "b.embedding")
     z = lambda k: f"(c - avg(c) OVER (PARTITION BY {k})) / greatest(stddev_pop(c) OVER (PARTITION BY {k}), 0.000001)"
-    return f"SELECT a, b, round(c, 6) AS cosine, round(greatest(-6.0, least(6.0, (za + zb) / 2)), 4) AS z FROM (SELECT a, b, c, {z('a')} AS za, {z('b')} AS zb FROM (SELECT a.vec_id AS a, b.vec_id AS b, {c} AS c FROM vectors a JOIN vectors b ON a.recording_id <> b.recording_id AND b.vec_id < 60 WHERE a.vec_id < 30) p) t"
+    return f"SELECT a, b, round(c, 6) AS cosine, round(greatest(-6.0, least(6.0, (za + zb) / 2)), 4) AS z FROM (SELECT a, b, c, {z('a')} AS za, {z('b')} AS zb FROM (SELECT a.vec_id AS a, b.vec_id AS b, {c} AS c FROM vectors a JOIN vectors b ON a.recording_id <> b.recording_id) p) t"
 
 
 def operating_point(d: Spark) -> str:
-    return f"SELECT round(greatest(0.60, least(0.985, max(c) + 0.03)), 6) AS threshold FROM (SELECT {cosine(d, 'a.embedding', 'b.embedding')} AS c FROM vectors a JOIN vectors b ON a.label <> b.label AND a.vec_id < b.vec_id WHERE b.vec_id < 150) t"
+    return f"SELECT round(greatest(0.60, least(0.985, max(c) + 0.03)), 6) AS threshold FROM (SELECT {cosine(d, 'a.embedding', 'b.embedding')} AS c FROM vectors a JOIN vectors b ON a.label <> b.label AND a.vec_id < b.vec_id) t"
 
 
 def word_errors(d: Spark) -> str:
@@ -635,7 +635,7 @@ def regression_gate(d: Spark) -> str:
 
 def labelled_pairs(d: Spark) -> str:
     c = cosine(d, "a.embedding", "b.embedding")
-    return f"SELECT count(*) AS n, count(*) FILTER (WHERE same = (c >= 0.15)) AS right_, count(*) FILTER (WHERE NOT same AND c >= 0.15) AS false_merge, count(*) FILTER (WHERE same AND c < 0.15) AS false_split FROM (SELECT a.label = b.label AS same, round({c}, 9) AS c FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id AND b.vec_id < 80 AND (a.vec_id + b.vec_id) % 7 <> 0) t"
+    return f"SELECT count(*) AS n, count(*) FILTER (WHERE same = (c >= 0.15)) AS right_, count(*) FILTER (WHERE NOT same AND c >= 0.15) AS false_merge, count(*) FILTER (WHERE same AND c < 0.15) AS false_split FROM (SELECT a.label = b.label AS same, round({c}, 9) AS c FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id) t"
 
 
 def held_out(d: Spark) -> str:

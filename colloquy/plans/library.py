@@ -234,7 +234,7 @@ def in_common(d: Spark, speakers: tuple = ("spk-user-1", "spk-assistant-1")) ->
 
 
 def neighbours(d: Spark, around: int = 2) -> str:
-    return f"""WITH hits AS (SELECT id, recording_id, utterance_index FROM utterances WHERE NOT is_hidden AND id % 6 = 0)
+    return f"""WITH hits AS (SELECT id, recording_id, utterance_index FROM utterances WHERE NOT is_hidden AND suspicion >= 0.4)
         SELECT h.id AS hit, u.id, u.utterance_index < h.utterance_index AS before FROM hits h JOIN utterances u ON u.recording_id = h.recording_id AND u.utterance_index BETWEEN h.utterance_index - {around} AND h.utterance_index + {around} AND u.id <> h.id AND NOT u.is_hidden"""
 
 
@@ -283,7 +283,7 @@ def words_in_turns(d: Spark) -> str:
 
 
 def simultaneous(d: Spark, least: float = 0.35) -> str:
-    return f"SELECT t.id, EXISTS (SELECT 1 FROM turns o WHERE o.recording_id = t.recording_id AND o.id <> t.id AND o.start_time < t.end_time - {least} AND o.end_time > t.start_time + {least}) AS simultaneous FROM turns t WHERE t.id % 20 = 0"
+    return f"SELECT t.id, EXISTS (SELECT 1 FROM turns o WHERE o.recording_id = t.recording_id AND o.id <> t.id AND o.start_time < t.end_time - {least} AND o.end_time > t.start_time + {least}) AS simultaneous FROM turns t"
 
 
 def echoes(d: Spark, near: float = 2.5, least: float = 0.5) -> str:

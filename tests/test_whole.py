@@ -38,3 +38,13 @@ def test_texts_are_whole(spark, sf_dir):
     length = rows(spark, "SELECT sum(length(text)) FROM utterances WHERE NOT is_hidden")
     assert plans.run(spark, sf_dir, "EVL-02").selectExpr("sum(length_)").first()[0] == length
     assert procedures.exemplars(spark, sf_dir).selectExpr("max(length(text))").first()[0] > 12
+
+
+def test_no_caps_on_ids(spark, sf_dir):
+    domain.register(spark, sf_dir)
+    v, events, turns = (rows(spark, f"SELECT count(*) FROM {t}") for t in ("vectors", "events", "turns"))
+    assert rows(spark, "SELECT count(*) FROM words") == events and plans.run(spark, sf_dir, "JN-16").count() == turns
+    assert plans.run(spark, sf_dir, "VEC-01").count() == v * (v - 1) // 2
+    assert plans.run(spark, sf_dir, "EVL-09").first()["n"] == v * (v - 1) // 2
+    assert plans.run(spark, sf_dir, "WIN-10").count() == v
+    assert plans.run(spark, sf_dir, "ASG-05").count() == rows(spark, "SELECT count(*) FROM recordings")
