@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -17,12 +17,14 @@ HOT_SHARE = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of our own;
+    on a cluster that is an error, as a folder of one machine is none of the others'."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: steps are written to a folder that driver and executors share")
+        where = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -64,6 +66,15 @@ def copies(key: Column, heavy: dict[object, int]) -> Column:
     return F.sequence(F.lit(0), n - 1)
 
 
+def salted(left: DataFrame, right: DataFrame, key: str, heavy: dict, by: Column, how: str = "inner") -> DataFrame:
+    """left join right on ``key`` (a column of both, once in the result), the heavy keys dealt out by ``by``."""
+    if not heavy:
+        return left.join(right, key, how)
+    left = left.withColumn("_salt", spread(F.col(key), heavy, by))
+    right = right.withColumn("_salt", F.explode(copies(F.col(key), heavy)))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, parts: int = 64) -> dict[object, int]:
     """Keys with at least 1/HOT_SHARE of all rows (so at most HOT_SHARE), each with a number of parts in proportion.
 
