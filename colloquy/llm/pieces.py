@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 A text is read character by character. Every boundary keeps one backpointer: the piece that ends there on the best
-path. Only boundaries within the longest piece of the current one can be reached again, so a window of that length is
-kept; when the backpointer paths of all of them meet in one boundary, everything before it is final and its ids are
-committed. Memory depends on the longest piece, not on the text.
+path. Only boundaries from which a piece is still under way can be reached again, none further back than the longest
+piece; when the backpointer paths of all of them meet in one boundary, everything before it is final and its ids are
+committed. Memory depends on the longest piece, not on the text. All texts, of any length, go through this search.
 
 What "best" means depends on the model:
 
@@ -16,8 +16,10 @@ What "best" means depends on the model:
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ from ._common import fresh
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-#: Segments and pairs of pieces that a worker remembers (about 100 MB and 40 MB); then the tables start anew.
-KEEP_SEGMENTS, KEEP_PAIRS = 400_000, 400_000
+#: Stretches and pairs of pieces that a worker remembers (about 80 MB and 40 MB); then the tables start anew. Stretches of
+#: more characters aren't remembered.
+KEEP_SEGMENTS, KEEP_PAIRS, REMEMBERED = 400_000, 400_000, 32
 FAR = float("inf")
 
 
@@ -55,7 +58,7 @@ class Model:
         self.ranks = {p: -self.scores[i] for p, i in self.ids.items()}
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.unordered: set[int] = set()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.shown = [b"" if t == CONTROL else (" ⁇ ".encode() if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode()) for p, _, t in pieces]
         self.text_of = [x.decode() if t != BYTE else "" for x, (_, _, t) in zip(self.shown, pieces, strict=True)]
         self.byte_ids = frozenset(self.bytes.values())
@@ -154,61 +157,87 @@ class Model:
             else:
                 j += 1
 
-    def stream(self, chars: Iterable[str]) -> Iterator[list[tuple[int, ...]]]:
-        """Committed ids of a normalised text, part by part; each element is a piece's ids (several for bytes)."""
-        ids, scores, longest, bpe = self.ids, self.scores, self.longest, self.kind == BPE
-        window = ""  # the characters since the last commit
-        # For each boundary since the last commit: score, length of the piece that ends there, its id or -1.
-        best: list[tuple[float, int, int] | None] = [(0.0, 0, -2)]
-        for char in chars:
-            window += char
-            end = len(window)
-            found: tuple[float, int, int] | None = None
-            for start in range(max(0, end - longest), end):
-                before = best[start]
-                if before is None:
-                    continue
-                piece = ids.get(window[start:end])
-                if piece is None:
-                    continue
-                if bpe:
-                    if self.whole(piece) and (before[2] < 0 or self.stable(before[2], piece)):
-                        found = (0.0, end - start, piece)
-                        break
-                elif found is None or before[0] + scores[piece] > found[0]:
-                    found = (before[0] + scores[piece], end - start, piece)
-            if char not in ids and (before := best[end - 1]) is not None:
-                # No piece is this character: it stands alone, at a cost in a unigram model.
-                score = before[0] + self.unknown_score
-                if found is None or (not bpe and score > found[0]):
-                    found = (score, 1, -1)
-            best.append(found)
-            if end >= 2 * longest:
-                # Where do the paths of all boundaries within reach meet?
-                live = {i for i in range(end - longest + 1, end + 1) if best[i] is not None}
+    def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
+        """Committed ids of a normalised text, commit by commit. ``blocks``: the text in pieces of any length.
+
+        Boundaries are taken in order. From each that a path reaches, the tree of pieces is walked over the characters
+        ahead (as many as the longest piece has), and the pieces found are put where they end. ``reach`` is the last
+        boundary that any path has come to: if it is the current one, all paths meet here.
+        """
+        top, ids, scores, pairs, size, longest, stable = self.trie or self._grown(), self.ids, self.scores, self.stable_pairs, len(self.pieces), self.longest, self.stable
+        bpe, it, more = self.kind == BPE, iter(blocks), True
+        window, n, start, done, reach, check = "", 0, 0, 0, 0, 4 * longest
+        # For each boundary: the piece that ends there (-1: no path, -2: an unknown character or the start of the text),
+        # where that piece starts, and the path's score.
+        last, back, best = [-2], [0], [0.0]
+        while True:
+            while more and n - start < longest:
+                block = next(it, None)
+                if block is None:
+                    more = False
+                else:
+                    window, k = window + block, len(block)
+                    n += k
+                    last += [-1] * k
+                    back += [0] * k
+                    best += [0.0] * k
+            if start == reach:
+                if start > done:
+                    yield self._trace(window, last, back, done, start)
+                    done = start
+                if start == n:
+                    return
+            elif start >= check:
+                # Paths run side by side: where do those that can still be reached meet?
+                live = {e for e in range(start, reach + 1) if last[e] != -1}
                 while len(live) > 1:
-                    last = max(live)
-                    live.remove(last)
-                    live.add(last - best[last][1])
-                meet = live.pop() if live else 0
-                if meet > 0:
-                    yield self._trace(window, best, meet)
-                    kept = best[meet]
-                    window, best = window[meet:], best[meet:]
-                    best[0] = (kept[0], 0, kept[2])
-        if window:
-            yield self._trace(window, best, len(window))
-
-    def _trace(self, window: str, best: list, end: int) -> list[tuple[int, ...]]:
-        out = []
-        while end > 0:
-            _, n, piece = best[end]
-            out.append((piece,) if piece >= 0 else self.missing(window[end - 1]))
-            end -= n
+                    latest = max(live)
+                    live.remove(latest)
+                    live.add(back[latest])
+                if (meet := live.pop()) > done:
+                    yield self._trace(window, last, back, done, meet)
+                    done = meet
+                check = start + longest
+            if done >= 4 * longest:
+                window, last, best, back = window[done:], last[done:], best[done:], [x - done for x in back[done:]]
+                n, start, reach, check, done = n - done, start - done, reach - done, check - done, 0
+            left = last[start]
+            if left != -1:
+                at, end, row, score = top, start, left * size, best[start]
+                while end < n and (node := at.get(window[end])):
+                    at, piece = node
+                    end += 1
+                    if piece >= 0:
+                        if bpe:
+                            if left >= 0:
+                                ok = pairs.get(row + piece)
+                                if not (stable(left, piece) if ok is None else ok):
+                                    continue
+                        elif last[end] != -1 and best[end] >= score + scores[piece]:
+                            continue
+                        else:
+                            best[end] = score + scores[piece]
+                        last[end], back[end] = piece, start
+                        if end > reach:
+                            reach = end
+                if window[start] not in ids and (last[start + 1] == -1 or (not bpe and best[start + 1] < score + self.unknown_score)):
+                    # No piece is this character: it stands alone, at a cost in a unigram model.
+                    last[start + 1], back[start + 1], best[start + 1] = -2, start, score + self.unknown_score
+                    reach = max(reach, start + 1)
+            start += 1
+
+    def _trace(self, window: str, last: list[int], back: list[int], start: int, end: int) -> list[int]:
+        out: list[int] = []
+        while end > start:
+            if last[end] >= 0:
+                out.append(last[end])
+            else:
+                out += self.missing(window[end - 1])[::-1]
+            end = back[end]
         return out[::-1]
 
     def _grown(self) -> dict:
-        """A tree of the pieces by character: char -> [what follows, the piece that ends here or -1]."""
+        """A tree of the pieces by character: char -> (what follows, the piece that ends here or -1)."""
         top: dict = {}
         for text, i in self.ids.items():
             at, node = top, None
@@ -220,68 +249,55 @@ class Model:
         self.trie = top
         return top
 
-    def short(self, text: str) -> tuple[int, ...]:
-        """The same search for a text within one window, where nothing is committed before its end; bpe models."""
-        top, pairs, size, n = self.trie or self._grown(), self.stable_pairs, len(self.pieces), len(text)
-        last, back = [-1] * n + [-1], [0] * (n + 1)
-        for start in range(n):
-            left = last[start]
-            if start and left == -1:
-                continue
-            at, end = top, start
-            if start == 0 or left < -1:
-                while end < n and (node := at.get(text[end])):
-                    at, piece = node
-                    end += 1
-                    if piece >= 0:
-                        last[end], back[end] = piece, start
-            else:
-                row = left * size
-                while end < n and (node := at.get(text[end])):
-                    at, piece = node
-                    end += 1
-                    if piece >= 0:
-                        ok = pairs.get(row + piece)
-                        if ok if ok is not None else self.stable(left, piece):
-                            last[end], back[end] = piece, start
-            if end == start and text[start] not in self.ids:
-                last[start + 1], back[start + 1] = -2, start
-        out: list[int] = []
-        while n:
-            if last[n] >= 0:
-                out.append(last[n])
-            else:
-                out += self.missing(text[n - 1])[::-1]
-            n = back[n]
-        return tuple(out[::-1])
+    def stretches(self, text: str) -> list[str]:
+        """A text cut where all paths meet, whatever they are: before a word, if no piece goes over its start."""
+        normal = self.normalized(text)
+        return self.segment.findall(normal) if self.by_word else [normal] if normal else []
+
+    def packed(self, text: str) -> tuple[bytes, bool]:
+        """The ids of a text, 32 bits each, and whether decoding them gives it again.
+
+        What the search commits for a stretch depends on the stretch alone, so it is remembered, if it is short. Decoding
+        goes by stretches too: each is whole characters.
+        """
+        parts = self.stretches(text)
+        found = list(map(self.known.get, parts))
+        good = MARK not in text and not (self.strip and self.normalized(text) != MARK * self.dummy_prefix + text.replace(" ", MARK))
+        if None in found:
+            for i, s in enumerate(parts):
+                if found[i] is None:
+                    found[i] = self.known.get(s)
+                    if found[i] is None:
+                        ids = [x for part in self.stream([s] if len(s) <= REMEMBERED else _blocks(s, self.longest)) for x in part]
+                        found[i] = array("i", ids).tobytes()
+                        if self._shown(ids) != s.replace(MARK, " "):
+                            good = False
+                        elif len(s) <= REMEMBERED:
+                            if len(self.known) >= KEEP_SEGMENTS:
+                                self.known.clear()
+                            self.known[s] = found[i]
+        return b"".join(found), good
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        if not self.by_word or self.kind != BPE:
-            return [i for part in self.stream(self.normalized(text)) for ids in part for i in ids]
-        known, out = self.known, []
-        for s in self.segment.findall(self.normalized(text)):
-            ids = known.get(s)
-            if ids is None:
-                if len(s) <= 2 * self.longest:
-                    if len(known) >= KEEP_SEGMENTS:
-                        known.clear()
-                    ids = known[s] = self.short(s)
-                else:
-                    ids = [i for part in self.stream(s) for x in part for i in x]
-            out += ids
-        return out
+        return array("i", self.packed(text)[0]).tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; bytes that aren't UTF-8 become U+FFFD. The space that encoding put first is dropped."""
+    def _shown(self, ids: Iterable[int]) -> str:
         ids = list(ids)
         if self.byte_ids.isdisjoint(ids):
-            text = "".join(map(self.text_of.__getitem__, ids))
-        else:
-            text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
+            return "".join(map(self.text_of.__getitem__, ids))
+        return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids; bytes that aren't UTF-8 become U+FFFD. The space that encoding put first is dropped."""
+        text = self._shown(ids)
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def _blocks(text: str, size: int) -> Iterator[str]:
+    return (text[i : i + size] for i in range(0, len(text), size))
+
+
 _LOADED: dict[str, Model] = {}
 
 
@@ -309,16 +325,14 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
         for whole in batches:
             for i in range(0, whole.num_rows, 250):
                 batch = whole.slice(i, 250)
-                offsets, flat, counts, same = [0], [], [], []
                 texts = batch.column(n).to_pylist()
-                for t in texts:
-                    got = m.encode(t) if t else []
-                    flat.append(pa.array(got, pa.int32()))
-                    offsets.append(offsets[-1] + len(got))
-                    counts.append(len(got))
-                    same.append(None if t is None else m.decode(got) == t)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(flat) if flat else pa.array([], pa.int32()), mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], lists, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], [*(f"c{j}" for j in range(n)), "ids", "n_ids", "round_trip"])
+                got = [m.packed(t) if t else (b"", True) for t in texts]
+                flat = np.frombuffer(b"".join(x for x, _ in got), np.int32)
+                counts = np.array([len(x) // 4 for x, _ in got], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([t is None for t in texts]))
+                same = [None if t is None else ok for t, (_, ok) in zip(texts, got, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], lists, pa.array(counts), pa.array(same, pa.bool_())], [*(f"c{j}" for j in range(n)), "ids", "n_ids", "round_trip"])
 
     few = docs.select(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(keep)], F.col("text").alias("t"))
     kinds = ", ".join(f"c{j} {few.schema[j].dataType.simpleString()}" for j in range(n))
@@ -327,12 +341,13 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """The rows of ``encoded`` with a column ``text``: the text of ``ids``. Null ids give null; ids out of range fail."""
+    """The rows of ``encoded`` with a column ``text``: the text of ``ids``. Null ids, and ids that the model doesn't have, give
+    null; no ids give an empty text."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
     def run(column):
         m = model(path)
-        return column.map(lambda x: None if x is None else m.decode(x))
+        return column.map(lambda x: None if x is None or any(i is None or not 0 <= i < len(m.pieces) for i in x) else m.decode(x))
 
     return encoded.withColumn(fresh(encoded.columns, text), run(F.col(ids)))

@@ -34,10 +34,37 @@ def test_streaming_commits_before_the_end_and_gives_the_same_ids(both, texts):
     own, library = both
     for t in texts[-60:]:
         parts = list(own.stream(own.normalized(t)))
-        assert [i for p in parts for ids in p for i in ids] == library.encode(t)
-    assert len(list(own.stream(own.normalized("the report " * 300)))) > 20
+        assert [i for p in parts for i in p] == library.encode(t)
+    assert len(list(own.stream(own.normalized("the report " * 300)))) > 300
 
 
+def test_the_window_is_bounded_by_the_longest_piece(both):
+    """Between two commits the search reads no more characters than a few pieces have, within words as across them."""
+    own, library = both
+    r = random.Random(6)
+    for text in ("antidisestablishmentarianism" * 400, "".join(r.choice("abcdeinrst") for _ in range(20_000)), "the report of " * 2000, "é中😀" * 3000):
+        read, pending, widest, ids = 0, 0, 0, []
+
+        def chars(t):
+            nonlocal read
+            for c in t:
+                read += 1
+                yield c
+
+        for part in own.stream(chars(own.normalized(text))):
+            widest = max(widest, read - pending)
+            pending = read
+            ids += part
+        assert ids == library.encode(text) and widest <= 8 * own.longest
+
+
+def test_what_is_remembered_changes_nothing(both, texts):
+    own, library = both
+    for t in texts:
+        fresh = pieces.Model.load(PATH) if len(t) < 3 else own
+        assert fresh.packed(t) == own.packed(t)
+        assert own.packed(t)[1] == (own.decode(own.encode(t)) == t)
+
 def test_pairs_are_stable_as_merging_says(both):
     own, _ = both
     r = random.Random(3)
@@ -74,4 +101,6 @@ def test_operator(spark, both):
     assert got == sorted([(a, c, None if t is None else library.encode(t), 0 if not t else len(library.encode(t)), None if t is None else True) for a, t, c in rows], key=str)
     back = pieces.decode(pieces.encode(df, PATH).where("doc_id = 1"), PATH)
     assert {r["text"] for r in back.collect()} == {"Hello  world\n"}
+    odd = spark.createDataFrame([([1, 40_000],), ([],), (None,), ([-1],)], "ids array<int>")
+    assert [r["text"] for r in pieces.decode(odd, PATH).collect()] == [None, "", None, None]
     assert pieces.encode(df.limit(0), PATH).count() == 0
