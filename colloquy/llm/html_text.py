@@ -1,15 +1,19 @@
 """Main text of web pages by page differencing: what a page shares with its nearest page by URL is template.
 
-1. A page is cut into blocks, the lines of its text. Markup that says what a block is for (nav, footer, aside, form,
-   script, a class such as "ad" or "comments") settles it. So does an article or main element, whose blocks are text.
-2. Blocks that markup leaves open are compared with those of the page's nearest neighbour: within a host, pages are
-   put in order by URL path, and each is paired with the one next to it that shares the longer beginning of the path.
-   The two pages' lines are aligned by longest common subsequence, and lines that both have are deleted.
-3. Pages that are copies of each other share their article too. If most of a page's open text is shared, the pair says
-   nothing about templates, and only lines that markup has named go.
-
-Pairs are exact whatever the partitions: pages are sorted by range, so that a large host lies in many partitions, and
-each partition's first and last rows (two for each partition) are handed to its neighbours.
+1. A page is cut into blocks, the lines of its text. Elements whose meaning is something else than the article (nav,
+   footer, aside, form, script, a navigation role, what isn't shown) have no lines. If there is an article or main
+   element, the article's lines are in it. A class or id such as "ad" or "comments" is a hint only: lines below it go if a
+   second sign agrees, which is that they stand before or after all other lines, or are less than the others, or that
+   the neighbours share them.
+2. Within a host, the different pages (by their lines; copies are one page) are put in order by URL path, and each is
+   paired with those next to it. The lines of a pair are aligned by longest common subsequence. A line that both have is
+   template and is deleted: on a page without an article element if the neighbour with the longer common beginning of
+   the path has it, in an article element if the neighbours on both sides have it.
+3. A pair of near copies says nothing about templates: if the clauses of the lines that a pair doesn't share are the same
+   for a good part, or if one page holds all of the other, it is left aside, whatever it shares.
+
+Pairs are the same whatever the partitions: pages are sorted by range, so that a large host lies in many partitions, and
+the first and last row of each are joined to the partitions next to it.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, hot_keys, salted
 
 # Elements, by what they do to text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "svg", "math", "canvas", "audio", "video", "object"}
@@ -34,43 +38,88 @@ JUNK = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button",
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"}
-#: Words of class, id and role that name what isn't the article.
-NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer", "sidebar", "aside", "widget",
-    "widgets", "related", "recommended", "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "comment", "comments", "reply", "replies",
-    "respond", "disqus", "complementary", "contentinfo", "pagination", "pager", "toolbar", "skip", "copyright", "form",
+#: Roles that say what JUNK elements say.
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "toolbar"}
+#: Class and id names that hint at something else than the article, and what may stand beside them in a name ("ad-slot").
+HINTS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "sidebar", "aside",
+    "related", "recommended", "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "replies",
+    "respond", "disqus", "complementary", "contentinfo", "pagination", "pager", "toolbar", "copyright",
 }
+BESIDE = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form", "header", "inner", "item", "items", "left", "links", "list", "main", "page", "policy", "post", "posts", "primary", "reader", "right", "section", "site", "slot", "thread", "top", "unit", "user", "widget", "widgets", "wrap", "wrapper"}
+#: Elements on which a class or id can be a hint. A paragraph, a heading or a list item is text, whatever it is called.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "span", "center", "details"}
 MARKUP = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
-WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-OPEN, TEXT = 0, 1
-#: A pair of pages that shares more than this part of the open text is a pair of copies.
-COPY_SHARE = 0.6
+WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|[0-9]+")
+CLAUSE = re.compile(r"[^.!?,;:]+")
+OPEN, TEXT, HINTED = 0, 1, 2  # HINTED is added to either
+#: Two pages are near copies if they have this part of the clauses of the lines that they don't share in common.
+NEAR = 1 / 3
 #: Cells of one LCS table; above, the alignment is split in halves.
 CELLS = 4_000_000
 
 
-def named(attributes: str) -> bool:
-    """Whether class, id or role say that an element isn't part of the article, or the element isn't shown."""
+def named(attributes: str) -> tuple[bool, bool]:
+    """Whether markup says that an element isn't part of the article or isn't shown, and whether class or id hint at it."""
+    junk = hint = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in NAMES for w in WORDS.findall(value)):
-            return True
-    return False
+            junk = True
+        elif name == "role":
+            junk = junk or not ROLES.isdisjoint(value.lower().split())
+        elif name in ("class", "id"):
+            for token in value.split():
+                parts = {w.lower() for w in WORDS.findall(token)}
+                hint = hint or (not HINTS.isdisjoint(parts) and all(w in HINTS or w in BESIDE or w.isdigit() for w in parts))
+    return junk, hint
+
+
+class _Open:
+    """The elements that are open: what they say of the text below them, and for each name the places where it is open."""
+
+    def __init__(self):
+        self.all: list[tuple[str, bool, bool, bool]] = []  # name, junk, main text, hint
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []  # places of those that an inline end tag or that of a paragraph doesn't close
+        self.junk = self.main = self.hint = 0
+
+    def push(self, name: str, junk: bool, main: bool, hint: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.all))
+        if name not in INLINE and name != "p":
+            self.walls.append(len(self.all))
+        self.all.append((name, junk, main, hint))
+        self.junk, self.main, self.hint = self.junk + junk, self.main + main, self.hint + hint
+
+    def pop(self) -> None:
+        name, junk, main, hint = self.all.pop()
+        self.places[name].pop()
+        if self.walls and self.walls[-1] == len(self.all):
+            self.walls.pop()
+        self.junk, self.main, self.hint = self.junk - junk, self.main - main, self.hint - hint
+
+    def closes(self, name: str) -> int | None:
+        """The place of the element that an end tag closes, if it closes any."""
+        places = self.places.get(name)
+        if not places:
+            return None
+        at = places[-1]
+        if (name in INLINE or name == "p") and self.walls and self.walls[-1] > at:
+            return None
+        return None if name in INLINE and at < len(self.all) - 4 else at
 
 
 def blocks(source: str) -> list[tuple[int, str]]:
-    """(OPEN or TEXT, line) of each block with text, in page order. What markup names as something else isn't there.
+    """(OPEN or TEXT, with HINTED or without; line) of each block with text, in page order.
 
-    TEXT: inside article or main. An article within a named element, such as a comment, isn't text. Unclosed elements
-    end with the page or with the end of what holds them; a document without tags is one open block.
+    What markup names as something else isn't there. TEXT: inside article or main. An article within such an element or
+    below a hint, such as a comment, isn't text of its own. Unclosed elements end with the page or with the end of what
+    holds them; a document without tags is one open block. Time is linear in the source.
     """
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, starts something named, starts main text
+    stack = _Open()
     parts: list[str] = []
-    junk = main = 0
     at = 0
 
     def close() -> None:
@@ -78,12 +127,12 @@ def blocks(source: str) -> list[tuple[int, str]]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((TEXT if main else OPEN, text))
+                out.append(((TEXT if stack.main else OPEN) + HINTED * bool(stack.hint), text))
             parts.clear()
 
     n, find = len(source), MARKUP.search
     while m := find(source, at):
-        if m.start() > at and not junk:
+        if m.start() > at and not stack.junk:
             parts.append(source[at : m.start()])
         at = m.end()
         name = m.group(2)
@@ -93,18 +142,12 @@ def blocks(source: str) -> list[tuple[int, str]]:
         if m.group(1):
             if name not in INLINE:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in INLINE or i >= len(stack) - 4:
-                        if any(x[1] or x[2] for x in stack[i:]):
-                            close()
-                        junk -= sum(x[1] for x in stack[i:])
-                        main -= sum(x[2] for x in stack[i:])
-                        del stack[i:]
-                    break
-                # An inline end tag doesn't close blocks, nor does any end tag close what holds a whole region.
-                if (name in INLINE or name == "p") and stack[i][0] not in INLINE and stack[i][0] != "p":
-                    break
+            until = stack.closes(name)
+            if until is not None:
+                while len(stack.all) > until:
+                    if any(stack.all[-1][1:]):
+                        close()
+                    stack.pop()
             continue
         if name in RAW:
             if name not in INLINE:
@@ -117,22 +160,43 @@ def blocks(source: str) -> list[tuple[int, str]]:
             close()
         if name in VOID:
             continue
+        junk, hint = named(m.group(3)) if m.group(3) and name not in ("html", "body", "article", "main") else (False, False)
         # A header inside the article holds its title; as a child of the page it is the page's own.
-        bad = (name in JUNK and not (name == "header" and main)) or (bool(m.group(3)) and name not in ("html", "body", "article", "main") and named(m.group(3)))
-        good = name in MAIN and not junk
-        if bad or good:
+        junk = junk or (name in JUNK and not (name == "header" and stack.main))
+        hint = hint and name in CONTAINERS
+        main = name in MAIN and not stack.junk and not stack.hint
+        if junk or main or hint:
             close()
-        if name in ("p", "li", "td", "tr", "option") and stack and stack[-1][0] == name and not (stack[-1][1] or stack[-1][2]):
+        if name in ("p", "li", "td", "tr", "option") and stack.all and stack.all[-1] == (name, False, False, False):
             stack.pop()  # these end where the next one starts
-        stack.append((name, bad, good))
-        junk += bad
-        main += good
-    if at < n and not junk:
+        stack.push(name, junk, main, hint)
+    if at < n and not stack.junk:
         parts.append(source[at:])
     close()
     return out
 
 
+def candidates(found: list[tuple[int, str]]) -> tuple[bool, list[tuple[bool, str]]]:
+    """Whether a page has an article element, and the (hinted, line) that can be its article: those in it, or else all."""
+    main = any(k & TEXT for k, _ in found)
+    return main, [(bool(k & HINTED), x) for k, x in found if not main or k & TEXT]
+
+
+def chosen(lines: list[tuple[bool, str]], gone: list[int] = ()) -> list[str]:
+    """The lines of the article: without those deleted (positions), and without hinted ones if a second sign agrees."""
+    gone = set(gone)
+    plain = [i for i, (hint, _) in enumerate(lines) if not hint and i not in gone]
+    if not plain:
+        return [x for i, (_, x) in enumerate(lines) if i not in gone]
+    less = sum(len(x) for hint, x in lines if hint) < sum(len(lines[i][1]) for i in plain)
+    return [x for i, (hint, x) in enumerate(lines) if i not in gone and not (hint and (less or i < plain[0] or i > plain[-1]))]
+
+
+def article(source: str) -> str:
+    """The text of one page by its markup alone."""
+    return " ".join(chosen(candidates(blocks(source))[1]))
+
+
 def line_hash(text: str) -> int:
     raw = text.encode("utf-8", "surrogatepass")
     return (crc32(raw) << 31 ^ crc32(raw, 0x9E3779B9)) & 0x7FFFFFFFFFFFFFFF
@@ -212,63 +276,86 @@ def common_start(a: str, b: str) -> int:
     return bisect_left(range(n), True, key=lambda i: a[: i + 1] != b[: i + 1])
 
 
-def to_delete(lines: list[int], sizes: list[int], other: list[int] | None) -> list[int]:
-    """Positions of the open lines that a neighbour shares, or none if the two pages are copies."""
-    if not other or not lines:
+def clauses(text: str) -> list[int]:
+    return [crc32(x.encode("utf-8", "surrogatepass")) for part in CLAUSE.findall(text) if (x := part.strip())]
+
+
+def template(lines: list[int], marks: list[list[int]], other: list[int], other_marks: list[list[int]]) -> list[int] | None:
+    """Positions of the lines that both pages have, or None if the two pages are near copies.
+
+    ``marks``: the clauses of each line. What the pair doesn't share tells the one case from the other: other articles have
+    other clauses there, edited copies have mostly the same, and a page that holds the other has nothing.
+    """
+    if set(lines).isdisjoint(other):
         return []
-    got = shared(lines, other)
-    whole = sum(sizes)
-    return [] if sum(sizes[i] for i in got) > COPY_SHARE * whole else got
+    got, back = set(shared(lines, other)), set(shared(other, lines))
+    mine = {c for i, x in enumerate(marks) if i not in got for c in x}
+    theirs = {c for i, x in enumerate(other_marks) if i not in back for c in x}
+    if not mine or not theirs or len(mine & theirs) >= NEAR * min(len(mine), len(theirs)):
+        return None
+    return sorted(got)
+
+
+def to_delete(page: dict, before: dict | None, after: dict | None) -> list[int]:
+    """Positions of a page's template lines; ``before`` and ``after``: the pages next to it on its host, if any."""
+    found = [(common_start(x["path"], page["path"]), got) for x in (before, after) if x is not None and (got := template(page["lines"], page["marks"], x["lines"], x["marks"])) is not None]
+    if page["main"]:
+        return sorted(set(found[0][1]) & set(found[1][1])) if len(found) == 2 else []
+    return max(found, key=lambda x: x[0])[1] if found else []
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row key, url, html -> row key, host, path, hashes and sizes of the open lines."""
+    """row key, url, html -> row key, host, path, whether it has an article element, lines (hashes), clauses of each."""
     for whole in batches:
         for i in range(0, whole.num_rows, 250):
             batch = whole.slice(i, 250)
             urls = [path_of(u) for u in batch.column(1).to_pylist()]
-            lines = []
-            for t in batch.column(2).to_pylist():
-                found = blocks(t or "")
-                # Where there is an article, what stands outside it is no text, so nothing is open.
-                lines.append([] if any(k == TEXT for k, _ in found) else [x for _, x in found])
+            pages = [candidates(blocks(t or "")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h for h, _ in urls]), pa.array([p for _, p in urls]), pa.array([[line_hash(x) for x in t] for t in lines], pa.list_(pa.int64())), pa.array([[len(x) for x in t] for t in lines], pa.list_(pa.int32()))], ["k", "host", "path", "lines", "sizes"]
+                [batch.column(0), pa.array([h for h, _ in urls], pa.string()), pa.array([p for _, p in urls], pa.string()), pa.array([m for m, _ in pages], pa.bool_()), pa.array([[line_hash(x) for _, x in t] for _, t in pages], pa.list_(pa.int64())), pa.array([[clauses(x) for _, x in t] for _, t in pages], pa.list_(pa.list_(pa.int64())))],
+                ["k", "host", "path", "main", "lines", "marks"],
             )
 
 
-def _nearest(row: dict, before: dict | None, after: dict | None) -> dict | None:
-    """Of the rows next to ``row``, the one of its host that shares more of its path; the earlier one in a tie."""
-    near = [x for x in (before, after) if x is not None and x["host"] == row["host"]]
-    return max(near, key=lambda x: common_start(x["path"], row["path"])) if near else None
-
-
 def deletions(pages: DataFrame) -> DataFrame:
-    """k, gone: for row keys with lines to delete, the positions of these among the page's open lines."""
+    """k, gone: for row keys with lines to delete, the positions of these among the page's candidate lines."""
     spark = pages.sparkSession
-    outline = cut(pages.select("_k", "url", "html").mapInArrow(_outline, "k bigint, host string, path string, lines array<bigint>, sizes array<int>").dropDuplicates(["k"]), "outline")
-    # Pages of which markup leaves nothing open can't lose a line, nor tell what a template is.
-    ordered = outline.where(F.size("lines") > 0).repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k")
-    ordered = cut(ordered.withColumn("part", F.spark_partition_id()).select("part", "host", "path", "k", "lines", "sizes"), "ordered")
-    # One row for each partition: its first and last page. Two outlines for each partition is what the driver gets.
-    order = F.struct("host", "path", "k", "lines")
-    ends = sorted((r for r in ordered.groupBy("part").agg(F.min(order).alias("first"), F.max(order).alias("last")).collect()), key=lambda r: r["part"])
-    last = {r["part"]: q["last"].asDict() for q, r in zip(ends, ends[1:], strict=False)}
-    first = {q["part"]: r["first"].asDict() for q, r in zip(ends, ends[1:], strict=False)}
+    outline = pages.select("_k", "url", "html").mapInArrow(_outline, "k bigint, host string, path string, main boolean, lines array<bigint>, marks array<array<bigint>>")
+    outline = cut(outline.where(F.size("lines") > 0).withColumn("page", F.md5(F.concat_ws(",", F.col("main").cast("string"), F.col("lines").cast("array<string>")))), "outline")
+    # Copies on a host are one page, at the least of their paths.
+    each = outline.groupBy("host", "page").agg(F.min("path").alias("path"), F.first("main").alias("main"), F.first("lines").alias("lines"), F.first("marks").alias("marks"))
+    row = ["host", "path", "page", "main", "lines", "marks"]
+    ordered = each.repartitionByRange("host", "path", "page").withColumn("part", F.spark_partition_id()).select("part", *row)
+    ordered = cut(ordered, "ordered")
+    # The first and the last row of each partition go to the partition before and after as well. Only numbers of
+    # partitions reach the driver.
+    parts = sorted(r["part"] for r in ordered.select("part").distinct().collect())
+    beside = spark.createDataFrame([(p, q, 1) for p, q in zip(parts, parts[1:], strict=False)] + [(q, p, -1) for p, q in zip(parts, parts[1:], strict=False)], "part int, to int, edge int")
+    whole = F.struct(*row)
+    ends = ordered.groupBy("part").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))
+    ends = ends.join(F.broadcast(beside), "part").select(F.col("to").alias("part"), "edge", F.when(F.col("edge") == 1, F.col("last")).otherwise(F.col("first")).alias("r")).select("part", "edge", "r.*")
+    both = ordered.select("part", F.lit(0).alias("edge"), *row).unionByName(ends)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(["host", "path", "k"]).to_dict("records")
-        around = [last.get(int(rows[0]["part"])), *rows, first.get(int(rows[0]["part"]))]
+        rows = part.sort_values(["host", "path", "page"], kind="stable").to_dict("records")
+        for r in rows:
+            r["lines"], r["marks"] = [int(x) for x in r["lines"]], [[int(c) for c in x] for x in r["marks"]]
         got = []
-        for before, row, after in zip(around, rows, around[2:], strict=False):
-            other = _nearest(row, before, after)
-            gone = to_delete(list(map(int, row["lines"])), list(map(int, row["sizes"])), None if other is None else list(map(int, other["lines"])))
-            if gone:
-                got.append((row["k"], gone))
-        return pd.DataFrame(got, columns=["k", "gone"])
+        for i, r in enumerate(rows):
+            if r["edge"] == 0:
+                near = [rows[j] if 0 <= j < len(rows) and rows[j]["host"] == r["host"] else None for j in (i - 1, i + 1)]
+                if gone := to_delete(r, *near):
+                    got.append((r["host"], r["page"], gone))
+        return pd.DataFrame(got, columns=["host", "page", "gone"])
 
     # A part is one range of the sort, of the size of a shuffle partition, and holds hashes, not text.
-    return ordered.groupBy("part").applyInPandas(run, "k bigint, gone array<int>")
+    gone = cut(both.groupBy("part").applyInPandas(run, "host string, page string, gone array<int>"), "gone")
+    if gone.isEmpty():
+        return spark.createDataFrame([], "k bigint, gone array<int>")
+    own = F.concat_ws(" ", "page", "host").alias("p")
+    keyed, gone = outline.select("k", own), gone.select(own, "gone")
+    heavy = hot_keys(keyed.groupBy("p").agg(F.count("*").alias("n")), "p", "n")
+    return salted(keyed, gone, "p", heavy, F.xxhash64("k")).select("k", "gone").dropDuplicates(["k"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -285,14 +372,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 250):
                 batch = whole.slice(i, 250)
-                texts = []
-                for t, lost in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    found = blocks(t or "")
-                    if any(k == TEXT for k, _ in found):
-                        texts.append(" ".join(x for k, x in found if k == TEXT))
-                    else:
-                        drop = set(lost or ())
-                        texts.append(" ".join(x for j, (_, x) in enumerate(found) if j not in drop))
+                texts = [" ".join(chosen(candidates(blocks(t or ""))[1], lost or ())) for t, lost in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = p.schema["page_id"].dataType.simpleString()

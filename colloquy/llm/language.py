@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import copies, cut, hot_keys, let, spread
-from .html_text import blocks
+from .html_text import article
 
 #: n-grams are hashed to so many buckets; the model is one number for each bucket and language.
 BUCKETS = 2**15
@@ -137,11 +137,7 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
                 batch = whole.slice(i, 250)
                 where = [address(u) for u in batch.column(1).to_pylist()]
                 pages_ = [t or "" for t in batch.column(2).to_pylist()]
-                text = []
-                for t in pages_:
-                    found = blocks(t)
-                    main = [x for kind, x in found if kind]
-                    text.append(model.score(" ".join(main or [x for _, x in found]), known))
+                text = [model.score(article(t), known) for t in pages_]
                 cols = [pa.array(x, pa.string()) for x in zip(*where, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols[:3], pa.array([declared(t[:4096]) or declared(t) for t in pages_], pa.string()), cols[3], pa.array([x.tolist() for x in text], pa.list_(pa.float64()))], ["page_id", "host", "domain", "suffix", "declared", "code", "text"])
 
