@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by learned partitions.
 
 Fit, on a bounded sample: build the neighbour graph of the sample, cut it into balanced parts by recursive bisection,
-and train a softmax classifier that predicts in which parts a vector's neighbours lie. Index: route every vector to its
-most probable part. Search: route a query to its most probable parts and rank what they hold by exact inner product.
+and train a softmax classifier that predicts in which parts a vector's neighbours lie. Parts that are still large are
+fitted and cut again, each on a sample of its own, so that the number of parts grows with the data: a tree of routers.
+Index: every vector goes down the tree to its most probable part. Search: a query goes down to the several most probable
+parts of each router that it meets, and what those hold is ranked by exact inner product.
 
 Equal vectors are one class, with its 21 smallest ids: a vector that a third of the rows share costs as much as any.
-Parts are dealt to a few shards, and a shard is cut into blocks of bounded size. A block meets the queries that are
-routed to one of its parts in chunks of bounded size, so no task sees more than a block and a chunk, and a query brings
-one short list from each block, however many of its parts lie there.
+A part meets only the queries that are routed to it. A part that can't be cut is dealt to blocks of bounded size, and the
+queries of a part to chunks of bounded size, so no task sees more than a block and a chunk. Work grows with the number of
+queries, the parts that a query opens and the size of a part, not with the product of both tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,18 +23,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, hot_keys
+from ._common import cut, hot_keys, salted
 
-#: Vectors that graph and classifier are fitted on, at most: those with the least hash.
+#: Vectors that one router is fitted on, about: those with the least hash.
 SAMPLE = 8192
-#: Distinct vectors of a part that are aimed at, and the most parts. Beyond 2 ** 7 parts the sample is too thin.
-PART_SIZE, MOST_PARTS = 1024, 128
+#: Distinct vectors of a part that are aimed at. A part of more than twice as many is cut again.
+LEAF = 256
+#: Parts of one router, at most (the sample is too thin for more), and levels of routers.
+FAN, LEVELS = 128, 6
 NEIGHBOURS = 16
-#: Of the true neighbours of held-out sample vectors, the share that the routed parts must hold. Above the 0.9 asked for.
-RECALL = 0.95
-#: Parts are dealt to so many shards; a query meets all of its parts in a shard at once, and takes one list from there.
-SHARDS = 8
-BLOCK, CHUNK = 32_768, 1024
+#: Of the true neighbours of held-out sample vectors, the share that the parts opened at one level must hold.
+RECALL = 0.97
+BLOCK, CHUNK = 16_384, 4096
 
 
 @dataclass(frozen=True)
@@ -130,21 +133,22 @@ def train(x: np.ndarray, target: np.ndarray, rounds: int = 40, rate: float = 0.0
     return w, b
 
 
-def fit(sample: np.ndarray, distinct: int, k: int = 20, recall: float = RECALL) -> Router:
+def fit(sample: np.ndarray, distinct: int, k: int = 20, recall: float = RECALL, leaf: int = LEAF, fan: int = FAN) -> Router:
     """A router for ``distinct`` vectors from a sample of them (rows, double).
 
-    ``probes`` is the least number of parts that hold ``recall`` of the k nearest sample vectors of sample vectors which
-    the classifier hasn't seen. A sample of under 64 gives one part.
+    ``probes`` is the least number of parts that hold ``recall`` of the k nearest other sample vectors of sample vectors
+    which the classifier hasn't seen; a ``recall`` of 1 opens all. A sample of under 64 gives one part.
     """
     n, dim = sample.shape if sample.ndim == 2 else (0, 0)
     parts = 1
-    while parts < MOST_PARTS and parts * PART_SIZE < distinct and n // (2 * parts) >= 32:
+    while parts < fan and parts * leaf < distinct and n // (2 * parts) >= 32:
         parts *= 2
     if parts == 1 or n < 64:
         return Router(np.zeros((dim, 1)), np.zeros(1), 1)
     scale = np.sqrt((sample**2).sum(axis=1).mean()) or 1.0
     x = sample / scale
-    graph = nearest(x, x, min(NEIGHBOURS, n - 1), own=True)
+    near = nearest(x, x, min(max(NEIGHBOURS, k), n - 1), own=True)
+    graph = near[:, :NEIGHBOURS]
     part = partition(graph, parts)
     # A vector belongs to its own part and to its neighbours': what a query needs is where its neighbours are.
     target = np.zeros((n, parts))
@@ -153,12 +157,11 @@ def fit(sample: np.ndarray, distinct: int, k: int = 20, recall: float = RECALL)
     held = np.arange(n) % 8 == 0
     w, b = train(x[~held], target[~held])
     found = Router(w / scale, b, parts)
-    true = nearest(x[held], x, min(k + 1, n), own=False)
     placed = found.ranked(sample, 1)[:, 0]
     ranks = np.argsort(found.ranked(sample[held], parts), axis=1)  # of each part, for each held-out vector
-    at = np.sort(np.take_along_axis(ranks, placed[true], axis=1).ravel())
+    at = np.sort(np.take_along_axis(ranks, placed[near[held][:, :k]], axis=1).ravel())
     probes = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
-    return Router(w / scale, b, probes)
+    return Router(w / scale, b, parts if recall >= 1 else probes)
 
 
 def valid(vector: Column, dim: int) -> Column:
@@ -167,111 +170,137 @@ def valid(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def pack(vectors) -> list[bytes]:
-    return [np.asarray(v, dtype=np.float64).tobytes() for v in vectors]
-
-
 def unpack(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPLE, recall: float = RECALL, dim: int | None = None) -> DataFrame:
+def share(key: str) -> Column:
+    """A number from 0 to 1 by hash."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def sized(rows: DataFrame, of: DataFrame, counts: str) -> DataFrame:
+    """``rows`` joined with ``of`` on node; nodes with many rows (``counts``, a column of ``of``) are dealt out."""
+    heavy = hot_keys(of, "node", counts)
+    return salted(rows, of, "node", heavy, F.xxhash64("key"))
+
+
+def routers(index: DataFrame, sizes: DataFrame, dim: int, sample: int, *settings) -> DataFrame:
+    """node, weights, bias, probes: a router for each node of ``sizes`` (node, n) that can be cut; ``settings`` are those of fit."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        x = unpack(pdf["x"], dim)
+        found = fit(x, int(pdf["n"].iloc[0]), *settings)
+        # A node is left whole if its router sends nearly all of it one way.
+        if found.bias.size == 1 or np.bincount(found.ranked(x, 1)[:, 0]).max() > 0.9 * len(x):
+            return pd.DataFrame({"node": [], "weights": [], "bias": [], "probes": []}).astype({"node": "int64", "probes": "int32"})
+        return pd.DataFrame({"node": [int(pdf["node"].iloc[0])], "weights": [found.weights.tobytes()], "bias": [found.bias.tobytes()], "probes": [found.probes]})
+
+    few = sized(index.select("node", "key", "x"), sizes, "n").where(share("key") * F.col("n") < sample)
+    return few.groupBy("node").applyInPandas(one, "node long, weights binary, bias binary, probes int")
+
+
+def descend(rows: DataFrame, by: DataFrame, dim: int, several: bool) -> DataFrame:
+    """``rows`` (node, key, x, ..) a level further down by the routers ``by``, each to its most probable part, or to
+    ``several``; rows of nodes without a router stay. Rows of a node meet its router in blocks of bounded size."""
+    names, kinds = rows.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    counts = cut(rows.groupBy("node").agg(F.count("*").alias("n")).join(by.select("node"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "counts")
+    moving = sized(rows, counts, "n").withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
+    ways = by.join(counts.select("node", "blocks"), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def move(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left[names].iloc[:0]
+        bias = np.frombuffer(right["bias"].iloc[0])
+        router = Router(np.frombuffer(right["weights"].iloc[0]).reshape(dim, len(bias)), bias, int(right["probes"].iloc[0]))
+        parts = router.ranked(unpack(left["x"], dim), router.probes if several else 1)
+        out = left[names].iloc[np.repeat(np.arange(len(left)), parts.shape[1])].copy()
+        out["node"] = out["node"].to_numpy() * 256 + 1 + parts.ravel()  # FAN is 128 at most
+        return out
+
+    key = ["node", "block"]
+    moved = moving.select(*names, "block").groupBy(*key).cogroup(ways.select(*key, "weights", "bias", "probes").groupBy(*key)).applyInPandas(move, kinds)
+    return moved.unionByName(rows.join(counts.select("node"), "node", "left_anti").select(*names))
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPLE, recall: float = RECALL, dim: int | None = None, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row of ``vectors`` (vec_id, embedding) whose
     vec_id is divisible by ``every``, by inner product in double precision, ties to the smaller vec_id, without itself.
 
     Vectors that are null, zero, of another length than most (ties: the longer) or with components that are null or not
     finite take no part, nor do rows without a vec_id. Fewer than k candidates are all returned. Rows that repeat a
-    vec_id and vector count once; a query finds other rows of its own id only if their vectors differ. Empty tables give
-    empty results. Every vector is indexed; see SAMPLE for what is fitted on.
+    vec_id, a vector or both are rows of their own: each is a candidate of the others and has its own answer. Other
+    columns are ignored. Empty tables give empty results. Every vector is indexed; see SAMPLE for what is fitted on.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     if dim is None:
         top = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
         dim = top["d"] if top else 0
-    v = v.where(valid(F.col("v"), dim))
-    # Classes of equal vectors. Only the k + 1 smallest ids of a class can be among anyone's k nearest; the limit is
-    # applied before the shuffle too.
-    few = v.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    members = few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    asked = v.where(F.col("vec_id") % every == 0).groupBy(F.col("v").alias("w")).agg(F.count("*").alias("asked"))
-    classes = members.join(asked, F.col("v") == F.col("w"), "left").select("v", "ids", F.col("ids")[0].alias("cid"), F.coalesce("asked", F.lit(0)).alias("asked"))
-    classes = cut(classes, "classes")
-    distinct = classes.count()
-    rows = classes.orderBy(F.xxhash64("cid", "v"), "cid").limit(sample).select("v").collect()
-    router = fit(np.array([r[0] for r in rows], dtype=float).reshape(len(rows), dim), distinct, k, recall)
-
-    shards = min(SHARDS, router.weights.shape[1])
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                part = router.ranked(x, 1)[:, 0]
-                yield pd.DataFrame({"cid": pdf["cid"], "ids": pdf["ids"], "part": part, "shard": part % shards, "x": pack(x)})
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                packed, cid = pack(x), pdf["cid"].tolist()
-                rows = [(cid[i], s, mine.astype(np.int32).tobytes(), packed[i]) for i, parts in enumerate(router.ranked(x, router.probes)) for s in range(shards) if len(mine := parts[parts % shards == s])]
-                yield pd.DataFrame(rows, columns=["cid", "shard", "parts", "x"])
+            x = [(np.asarray(a, dtype=np.float64) + 0.0).tobytes() for a in pdf["v"]]  # -0.0 is 0.0
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "key": [hashlib.md5(b).digest() for b in x], "x": x})
 
-    index = cut(classes.select("v", "ids", "cid").mapInPandas(place, "cid long, ids array<long>, part int, shard int, x binary"), "index")
-    queries = cut(classes.where("asked > 0").select("v", "cid").mapInPandas(route, "cid long, shard int, parts binary, x binary"), "routed")
-    # Blocks and chunks of each shard: two numbers for each.
-    sizes = {r["shard"]: -(-r["count"] // BLOCK) for r in index.groupBy("shard").count().collect()}
-    loads = {r["shard"]: -(-r["count"] // CHUNK) for r in queries.groupBy("shard").count().collect()}
-
-    def number(of: dict[int, int]) -> Column:
-        return F.element_at(F.array(*[F.lit(max(1, of.get(s, 1))) for s in range(shards)]), F.col("shard") + 1)
-
-    h = F.xxhash64("cid", "x")
-    left = index.select("shard", F.pmod(h, number(sizes)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), number(loads) - 1)).alias("chunk"), "ids", "part", "x")
-    right = queries.select("shard", F.explode(F.sequence(F.lit(0), number(sizes) - 1)).alias("block"), F.pmod(h, number(loads)).cast("int").alias("chunk"), "cid", "parts", "x")
+    v = cut(v.where(valid(F.col("v"), dim)).mapInPandas(packed, "vec_id long, key binary, x binary"), "vectors")
+    # Classes of equal vectors. Only the k + 1 smallest ids of a class can be among anyone's k nearest; the limit is
+    # applied before the shuffle too.
+    few = v.select("key", "vec_id").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    members = few.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    index = v.groupBy("key").agg(F.first("x").alias("x"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")).join(members, "key")
+    index = cut(index.select(F.lit(0).cast("long").alias("node"), "key", "ids", "asked", "x"), "index")
+    queries = cut(index.where("asked > 0").select("node", "key", "x"), "routed")
+    for _ in range(LEVELS):
+        sizes = cut(index.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf), "sizes")
+        by = None if sizes.isEmpty() else cut(routers(index, sizes, dim, sample, k, recall, leaf, fan), "routers")
+        if by is None or by.isEmpty():
+            break
+        index = cut(descend(index, by, dim, False), "index")
+        queries = cut(descend(queries, by, dim, True), "routed")
+    # What a part holds meets what is routed to it.
+    loads = index.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+    loads = cut(loads.join(queries.groupBy("node").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("q")), "node"), "loads")
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = sized(index, loads, "n").withColumn("block", deal("blocks")).withColumn("chunk", each("chunks")).select("node", "block", "chunk", "key", "ids", "x")
+    right = sized(queries, loads, "q").withColumn("chunk", deal("chunks")).withColumn("block", each("blocks")).select("node", "block", "chunk", "key", "x")
 
     def rank(base: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(base) and len(ask):
-            y, part = unpack(base["x"], dim), base["part"].to_numpy(dtype=int)
-            first = base["ids"].map(lambda i: i[0]).to_numpy(dtype=np.int64)
-            by_id = np.argsort(first, kind="stable")
-            y, part, ids = y[by_id], part[by_id], base["ids"].to_numpy()[by_id]
-            x, cid = unpack(ask["x"], dim), ask["cid"].to_numpy(dtype=np.int64)
-            open_ = np.zeros((len(x), router.weights.shape[1]), dtype=bool)
-            for i, p in enumerate(ask["parts"]):
-                open_[i, np.frombuffer(p, np.int32)] = True
-            for i in range(0, len(x), 256):
-                rough = np.where(open_[i : i + 256][:, part], x[i : i + 256] @ y.T, -np.inf)
-                n = min(k + 1, len(y))
-                least = np.partition(rough, len(y) - n, axis=1)[:, len(y) - n]
-                # All that could tie with the last place, as the matrix product may round another way than the sum.
-                edge = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.inf)
-                q, c = np.nonzero((rough >= edge[:, None]) & np.isfinite(rough))
-                exact = (x[i + q] * y[c]).sum(axis=1)
-                for j in range(min(256, len(x) - i)):
-                    mine = np.flatnonzero(q == j)
-                    mine = mine[np.lexsort((c[mine], -exact[mine]))][: k + 1]
-                    flat = sorted((-exact[m], z) for m in mine for z in ids[c[m]])[: k + 1]
-                    got.append((np.full(len(flat), cid[i + j]), np.array([-s for s, _ in flat]), np.array([z for _, z in flat], dtype=np.int64)))
-        if not got:
-            return pd.DataFrame({"cid": np.array([], np.int64), "score": np.array([], float), "vec_id": np.array([], np.int64)})
-        return pd.DataFrame({"cid": np.concatenate([g[0] for g in got]), "score": np.concatenate([g[1] for g in got]), "vec_id": np.concatenate([g[2] for g in got])})
-
-    key = ["shard", "block", "chunk"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rank, "cid long, score double, vec_id long")
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    best = best.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
-    # Each query of a class gets the class's list without itself. Classes with many queries are salted.
-    ask = v.where(F.col("vec_id") % every == 0).select("v", "vec_id").distinct()
-    counted = classes.where("asked > 0").select("v", "cid", "asked")
-    answers = counted.join(best, "cid").select("v", "best", "cid", "asked")
-    heavy = hot_keys(counted, "cid", "asked")
-    hot = [r["v"] for r in counted.where(F.col("cid").isin(list(heavy))).select("v").collect()] if heavy else []
-    parts = max(heavy.values(), default=1)
-    salt = lambda c: F.coalesce(*[F.when(c == F.array(*map(F.lit, x)), F.lit(parts)) for x in hot], F.lit(1)) if hot else F.lit(1)
-    ask = ask.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salt(F.col("v"))).cast("int"))
-    answers = answers.withColumn("salt2", F.explode(F.sequence(F.lit(0), salt(F.col("v")) - 1))).withColumnRenamed("v", "v2")
-    out = ask.join(answers, (F.col("v") == F.col("v2")) & (F.col("salt") == F.col("salt2")))
-    out = out.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("vec_id")), 1, k)))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
+        if not len(base) or not len(ask):
+            return pd.DataFrame({"key": [], "best": []})
+        base = base.sort_values("key")
+        y, x, ids, keys, mine = unpack(base["x"], dim), unpack(ask["x"], dim), base["ids"].tolist(), base["key"].tolist(), ask["key"].tolist()
+        first = np.array([i[0] for i in ids], dtype=np.int64)
+        n, out = min(k + 1, len(y)), []
+        for i in range(0, len(x), 256):
+            rough = x[i : i + 256] @ y.T
+            least = np.partition(rough, len(y) - n, axis=1)[:, len(y) - n]
+            # All that could tie with the last place, as the matrix product may round another way than the sum.
+            edge = least - 1e-9 * np.maximum(1.0, np.abs(least))
+            for j, row in enumerate(rough):
+                c = np.flatnonzero(row >= edge[j])
+                exact = (x[i + j] * y[c]).sum(axis=1)
+                order = np.lexsort((first[c], -exact))
+                flat, at = [], 0
+                # Classes by falling score; those of one score are merged by id.
+                while at < len(order) and len(flat) < k + 1:
+                    s, same = exact[order[at]], []
+                    while at < len(order) and exact[order[at]] == s:
+                        q = c[order[at]]
+                        same += [(-s, int(z), keys[q] == mine[i + j]) for z in ids[q]]
+                        at += 1
+                    flat += sorted(same)
+                out.append([{"away": a, "vec_id": z, "own": o} for a, z, o in flat[: k + 1]])
+        return pd.DataFrame({"key": mine, "best": out})
+
+    parts = ["node", "block", "chunk"]
+    near = left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(rank, "key binary, best array<struct<away:double,vec_id:long,own:boolean>>")
+    best = cut(near.groupBy("key").agg(F.flatten(F.collect_list("best")).alias("all")).select("key", F.slice(F.array_sort("all"), 1, k + 1).alias("best")), "best")
+    # Each query row of a class gets the class's list without one entry of its own. Rows that are equal are one until the end.
+    ask = v.where(F.col("vec_id") % every == 0).groupBy("key", "vec_id").agg(F.count("*").alias("times"))
+    heavy = hot_keys(ask.groupBy("key").agg(F.count("*").alias("n")), "key", "n")
+    out = salted(ask, best, "key", heavy, F.xxhash64("vec_id")).withColumn("at", F.array_position(F.transform("best", lambda x: x["own"] & (x["vec_id"] == F.col("vec_id"))), True))
+    out = out.withColumn("list", F.slice(F.filter("best", lambda x, i: i + 1 != F.col("at")), 1, k)).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    out = out.select(F.col("vec_id").alias("query_id"), F.posexplode("list").alias("place", "x"))
+    return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("x.away")).alias("score"))
