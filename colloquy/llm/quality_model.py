@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ._common import fresh
 
-#: Documents that the scorer is fitted on, at most.
-SAMPLE = 6000
+#: Documents that the scorer is fitted on, at most, and bytes of their texts, at most: those with the least hash.
+SAMPLE, SAMPLE_BYTES = 6000, 64_000_000
 BUCKETS = 2**18
 #: Words whose features a worker remembers (about 60 MB).
 KEEP_WORDS = 300_000
@@ -215,26 +215,29 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
     return {r["pattern"]: r["n"] for r in found.collect()}
 
 
-def sample_rows(docs: DataFrame, labels: LabelModel, size: int) -> list[tuple[list[int], list[float], float]]:
-    """Features and posterior of the ``size`` documents with the least hash."""
+def sample_rows(docs: DataFrame, labels: LabelModel, size: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[list[int], list[float], float]]:
+    """Features and posterior of the ``size`` documents with the least hash of id and text, in its order, as many as
+    have ``most_bytes`` together (one at least). Rows that repeat an id and a text count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, c = [], [], []
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(1).to_pylist():
                 words = (t or "").split()
                 freq = Counter(words)
                 k, v = row(words, freq)
                 a.append(np.asarray(k, np.int32)), b.append(np.asarray(v, np.float32)), c.append(labels.posterior(votes(t or "", words, freq)))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary()), pa.array(c, pa.float64())], ["k", "v", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary()), pa.array(c, pa.float64())], ["h", "k", "v", "y"])
 
-    order = F.xxhash64(F.col("doc_id"), F.col("text"))
-    # The bound is found on hashes alone, so texts are neither sorted nor sent.
-    last = docs.select(order.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    if last is None:
+    hashed = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("h"), "text")
+    # The bound is found on hashes and sizes alone, so texts are neither sorted nor sent.
+    first = hashed.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).distinct().orderBy("h").limit(size).collect()
+    if not first:
         return []
-    got = docs.where(order <= last).select("text").limit(2 * size).mapInArrow(run, "k binary, v binary, y double").collect()
-    return [(np.frombuffer(r["k"], np.int32), np.frombuffer(r["v"], np.float32), r["y"]) for r in got]
+    upto = np.cumsum([r["n"] for r in first])
+    last = first[max(0, int(np.searchsorted(upto, most_bytes, side="right")) - 1)]["h"]
+    got = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).mapInArrow(run, "h bigint, k binary, v binary, y double").collect()
+    return [(np.frombuffer(r["k"], np.int32), np.frombuffer(r["v"], np.float32), r["y"]) for r in sorted(got, key=lambda r: r["h"])]
 
 
 def classify(docs: DataFrame, keep: list[str] | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
