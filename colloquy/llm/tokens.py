@@ -1,8 +1,10 @@
 """Token counts: pieces are counted once for each distinct pre-token, and documents sum over their frequencies.
 
-No ids are made for a document. A batch of documents is turned into pre-token frequencies; those pre-tokens that the
-worker hasn't met are counted by the library in one call; each document's count is the sum of frequency times pieces.
-The table of pieces is the build side of a hash join that lives in the worker and is emptied at a fixed size.
+No ids are made for a document. :func:`count_by_join` is that plan over the corpus: distinct pre-tokens are counted by
+the library, joined to the pre-token frequencies of documents, and summed. Its rows of documents and pre-tokens are
+several times the corpus where words are many, so :func:`count_tokens` joins within a worker: a batch of documents is
+turned into pre-token frequencies, those pre-tokens that the worker hasn't met are counted by the library in one call,
+and the table of pieces is the build side of a hash join that is emptied at a fixed size. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import cut, fresh, hot_keys, salted
 
 #: Pre-tokens that a worker keeps: about 60 MB. Beyond, the table starts anew; results don't depend on it.
 KEEP = 400_000
@@ -80,3 +82,35 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     kind = few.schema["doc_id"].dataType.simpleString()
     out = few.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def count_by_join(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
+    """The rows of :func:`count_tokens`, with each distinct pre-token of the corpus counted once.
+
+    Shuffles a row for each document and distinct pre-token in it, twice (by pre-token, by document).
+    """
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 250):
+                batch = whole.slice(i, 250)
+                f = [pre_tokens(x or "") for x in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(x) for x in f], pa.list_(pa.string())), pa.array([list(x.values()) for x in f], pa.list_(pa.int64()))], ["doc_id", "n_bytes", "words", "times"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = PieceCounts(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                w = batch.column(0).slice(i, 5000)
+                yield pa.RecordBatch.from_arrays([w, pa.array(list(map(len, counts.tok.encode_batch_fast(w.to_pylist(), add_special_tokens=False))), pa.int64())], ["w", "pieces"])
+
+    few = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").alias(fresh(["doc_id"], "text")))
+    # Rows have numbers once they are written: ids may be null or repeated.
+    made = few.mapInArrow(frequencies, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, words array<string>, times array<bigint>")
+    rows = cut(made.withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    pairs = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("w"), F.col("p.times").alias("times"))
+    kinds = cut(pairs.groupBy("w").agg(F.count("*").alias("n")), "pre_tokens")
+    known = cut(kinds.select("w").mapInArrow(pieces, "w string, pieces bigint"), "pieces")
+    sums = salted(pairs, known, "w", hot_keys(kinds, "w", "n"), F.xxhash64("row")).groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("n_tokens"))
+    out = rows.select("row", "doc_id", "n_bytes").join(sums, "row", "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -17,4 +17,7 @@ def test_counts_are_the_librarys_for_whole_texts(spark, sf_dir):
     want = sorted((str(x.doc_id), len((x.text or "").encode()), n := len(tok.encode(x.text or "", add_special_tokens=False).ids), n > 2048) for x in df.collect())
     got = sorted((str(x.doc_id), x.n_bytes, x.n_tokens, x.over_limit) for x in tokens.count_tokens(df, PATH).collect())
     assert got == want
+    wide = df.selectExpr("*", "1 AS n_tokens", "2 AS row", "3 AS w")
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_tokens, x.over_limit) for x in tokens.count_by_join(wide, PATH).collect()) == want
+    assert tokens.count_tokens(wide, PATH).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert tokens.count_tokens(df.limit(0), PATH).count() == 0
