@@ -86,6 +86,42 @@ class Spark:
     def ln(self, x: str) -> str:
         return f"ln({x})"
 
+    def text(self, value: str) -> str:
+        """A string literal."""
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def texts(self, values) -> str:
+        return ", ".join(map(self.text, values))
+
+    def starts(self, text: str, start: str) -> str:
+        return f"startswith({text}, {start})"
+
+    def some(self, array: str, var: str, body: str) -> str:
+        """Whether an element satisfies ``body``."""
+        return f"exists({array}, {var} -> {body})"
+
+    def blend(self, a: str, b: str, wa: str, wb: str) -> str:
+        """wa * a + wb * b of two arrays of numbers."""
+        return f"zip_with({a}, {b}, (x, y) -> {wa} * cast(x AS DOUBLE) + {wb} * cast(y AS DOUBLE))"
+
+    def canonical(self, text: str) -> str:
+        """Lower case, letters and digits only, single spaces; other characters vanish without splitting a word."""
+        bare = self.sub(f"lower({text})", "[^\\p{L}\\p{N} \t\n\r]", "")
+        return f"trim({self.sub(bare, '[ \t\n\r]+', ' ')})"
+
+    def trimmed(self, text: str) -> str:
+        """Words between white space without punctuation at their ends."""
+        return self.kept(self.mapped(self.find(text, "[^ \t\n\r]+"), "w", self.sub("w", "^\\p{P}+|\\p{P}+$", "")), "w", "w <> ''")
+
+    def grams(self, text: str, n: int) -> str:
+        """The different runs of n characters of a text. Its characters are taken apart once, so time is linear."""
+        run = ", ".join(f"element_at(cs, cast(i AS INT) + {k})" for k in range(n))
+        return f"array_distinct(transform(array(split({text}, '')), cs -> transform({self.series('1', f'size(cs) - {n - 1}')}, i -> concat({run})))[0])"
+
+    def fit(self, array: str, n: int) -> str:
+        """The first n elements, zeros where there are fewer; empty stays empty."""
+        return f"CASE WHEN size({array}) = 0 THEN {array} ELSE slice(concat({array}, array_repeat(cast(0 AS DOUBLE), {n})), 1, {n}) END"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -147,5 +183,23 @@ class Duck(Spark):
     def gather(self, value: str, order: str) -> str:
         return f"list({value} ORDER BY {order})"
 
+    def text(self, value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    def starts(self, text: str, start: str) -> str:
+        return f"starts_with({text}, {start})"
+
+    def some(self, array: str, var: str, body: str) -> str:
+        return f"len(list_filter({array}, lambda {var}: {body})) > 0"
+
+    def blend(self, a: str, b: str, wa: str, wb: str) -> str:
+        return f"list_transform(list_zip({a}, {b}), lambda z: {wa} * cast(z[1] AS DOUBLE) + {wb} * cast(z[2] AS DOUBLE))"
+
+    def grams(self, text: str, n: int) -> str:
+        return f"list_distinct(list_transform({self.series('1', f'length({text}) - {n - 1}')}, lambda i: {text}[i:i + {n - 1}]))"
+
+    def fit(self, array: str, n: int) -> str:
+        return f"CASE WHEN len({array}) = 0 THEN {array} ELSE list_concat({array}, list_transform(generate_series(1, {n}), lambda i: cast(0 AS DOUBLE)))[1:{n}] END"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -1,16 +1,20 @@
 """The library's relations, and how the driver's tables are read as such.
 
-A deployment registers its own tables under these names; :func:`register` derives them from the synthetic tables.
+A deployment hands in its own tables under these names (``register(spark, tables)``); :func:`relations` derives them
+from the synthetic tables, with values that exercise every rule.
 
 utterances: id, recording_id, utterance_index, start_time, end_time, speaker, speaker_uuid, text, n_words, is_hidden,
-review_status, suspicion. recordings: id, title, file_name, external_id, duration, language, created_at (epoch seconds),
-source, full_transcript, access. tags, recording_tags, meetings, recording_meetings, speakers, comments, turns
-(diarised intervals), vectors (vec_id, recording_id, speaker_uuid, embedding), days (event times).
+review_status, suspicion, mean_p. recordings: id, title, file_name, file_path, external_id, duration, language,
+created_at (epoch seconds), source, full_transcript, access. tags, recording_tags, meetings, recording_meetings, speakers,
+attendee_mappings, comments, turns (diarised intervals), words (timed words), vectors (voice vectors of utterances),
+gold_pairs (labelled pairs of vectors), text_lines (lines of documents as a transcript), exemplars (short lines that recur).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import SPARK, Spark
 
@@ -19,75 +23,116 @@ EPOCH = 1704067200
 
 def relations(d: Spark) -> dict[str, str]:
     """name -> SELECT over the driver's tables and the relations before it."""
+    lines = "split(text, '\\n')" if d.name == "spark" else "string_split(text, chr(10))"
     return {
         "utterances": f"""
-            SELECT id, recording_id, utterance_index, speaker, speaker_uuid, text, n_words, is_hidden, review_status, suspicion,
-                   (sum(n_words) OVER (PARTITION BY recording_id ORDER BY utterance_index) - n_words) / 150.0 * 60 AS start_time,
-                   sum(n_words) OVER (PARTITION BY recording_id ORDER BY utterance_index) / 150.0 * 60 AS end_time
+            SELECT id, recording_id, utterance_index, speaker, speaker_uuid, text, n_words, is_hidden, review_status, suspicion, mean_p,
+                   (sum(n_words) OVER (PARTITION BY recording_id ORDER BY utterance_index) - n_words) / 150e0 * 60 AS start_time,
+                   sum(n_words) OVER (PARTITION BY recording_id ORDER BY utterance_index) / 150e0 * 60 AS end_time
             FROM (SELECT conv_id * 1000 + turn AS id, conv_id AS recording_id, turn AS utterance_index, role AS speaker, text,
                          CASE WHEN role <> 'system' THEN 'spk-' || role || '-' || cast(conv_id % 7 AS VARCHAR(9)) END AS speaker_uuid,
                          cast({d.size(d.find("text", r"[^ \t\n\r]+"))} AS DOUBLE) AS n_words, (conv_id + turn) % 9 = 0 AS is_hidden,
                          CASE (conv_id + turn) % 5 WHEN 0 THEN 'user_kept' WHEN 1 THEN 'pending_review' END AS review_status,
-                         cast((conv_id * 7 + turn * 3) % 11 AS DOUBLE) / 10 AS suspicion
+                         cast((conv_id * 7 + turn * 3) % 11 AS DOUBLE) / 10 AS suspicion,
+                         CASE WHEN (conv_id + 2 * turn) % 6 <> 0 THEN cast((conv_id * 3 + turn * 7) % 20 AS DOUBLE) / 20 END AS mean_p
                   FROM conversations) c""",
+        # Recordings with lines, and imported files that nobody has transcribed.
         "recordings": f"""
             SELECT recording_id AS id, {d.cut("min_by(text, utterance_index)", "1", "40")} AS title, 'rec_' || cast(recording_id AS VARCHAR(20)) || '.m4a' AS file_name,
-                   'ext' || cast(recording_id AS VARCHAR(20)) AS external_id, max(end_time) AS duration, CASE recording_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS language,
+                   '/audio/rec_' || cast(recording_id AS VARCHAR(20)) || '.m4a' AS file_path, 'ext' || cast(recording_id AS VARCHAR(20)) AS external_id, max(end_time) AS duration,
+                   CASE recording_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS language,
                    {EPOCH} + recording_id * 18000 AS created_at, CASE recording_id % 3 WHEN 0 THEN 'recording' WHEN 1 THEN 'voiceMemos' ELSE 'imported' END AS source,
                    CASE WHEN recording_id % 10 <> 0 THEN min_by(text, utterance_index) END AS full_transcript, recording_id % 13 <> 0 AS access
-            FROM utterances GROUP BY recording_id""",
+            FROM utterances GROUP BY recording_id UNION ALL
+            SELECT 1000000000 + item_id, {d.cut("text", "1", "40")}, 'import_' || cast(item_id % 25 AS VARCHAR(20)) || '.m4a', NULL, 'ext-i' || cast(item_id AS VARCHAR(20)), NULL, NULL,
+                   {EPOCH} - item_id * 86400, 'imported', NULL, true FROM benchmark""",
         "tags": "SELECT id, 'tag' || cast(id AS VARCHAR(9)) AS name, id = 8 AS mcp_hidden FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS v(id)",
         "recording_tags": "SELECT DISTINCT id AS recording_id, id % 5 + 1 AS tag_id FROM recordings UNION SELECT id, 6 + id % 3 FROM recordings",
-        "meetings": f"""
-            SELECT id, 'cal-' || cast(id AS VARCHAR(20)) AS calendar_event_id, created_at + (id % 5 - 2) * 400 AS start_at, created_at + (id % 5 - 2) * 400 + 1800 AS end_at, id % 4 = 0 AS is_recurring,
-                   CASE WHEN id % 3 = 0 THEN 'https://meet.example.com/' || cast(id AS VARCHAR(20)) END AS url FROM recordings""",
+        "meetings": """
+            SELECT id, 'cal-' || cast(id AS VARCHAR(20)) AS calendar_event_id, created_at + (id % 5 - 2) * 1000 AS start_at, created_at + (id % 5 - 2) * 1000 + CASE WHEN id % 10 = 3 THEN 86400 ELSE 600 END AS end_at, id % 4 = 0 AS is_recurring,
+                   CASE WHEN id % 6 = 0 THEN 'Ada <ada@example.com>' END AS attendees,
+                   CASE id % 5 WHEN 0 THEN 'Room 4' WHEN 1 THEN 'https://acme.zoom.us/j/' || cast(id AS VARCHAR(20)) WHEN 2 THEN 'join at teams.microsoft.com/l/' || cast(id AS VARCHAR(20)) END AS location,
+                   CASE WHEN id % 8 = 0 THEN 'see https://Meet.Google.com/abc' END AS notes FROM recordings""",
         "recording_meetings": """
             SELECT r.id AS recording_id, m.id AS meeting_id, CASE WHEN r.id = m.id THEN 'matched' WHEN (r.id + m.id) % 2 = 0 THEN 'suggested' ELSE 'possible' END AS link_type,
-                   1.0 / (1 + abs(r.id - m.id)) AS match_confidence, (r.id + m.id) % 7 = 0 AS is_dismissed
+                   1e0 / (1 + abs(r.id - m.id)) AS match_confidence, (r.id + m.id) % 7 = 0 AS is_dismissed
             FROM recordings r JOIN meetings m ON m.id = r.id UNION ALL
-            SELECT r.id, m.id, CASE WHEN (r.id + m.id) % 2 = 0 THEN 'suggested' ELSE 'possible' END, 1.0 / 2, (r.id + m.id) % 7 = 0 FROM recordings r JOIN meetings m ON m.id = r.id + 1""",
+            SELECT r.id, m.id, CASE WHEN (r.id + m.id) % 2 = 0 THEN 'suggested' ELSE 'possible' END, 1e0 / 2, (r.id + m.id) % 7 = 0 FROM recordings r JOIN meetings m ON m.id = r.id + 1""",
         "speakers": """
-            SELECT speaker_uuid AS uuid, CASE WHEN length(speaker_uuid) % 2 = 0 OR min(recording_id) % 2 = 0 THEN upper(min(speaker)) || ' ' || cast(min(recording_id) AS VARCHAR(20)) END AS name, min(recording_id) % 3 = 0 AS user_identified
-            FROM utterances WHERE speaker_uuid IS NOT NULL GROUP BY speaker_uuid UNION ALL SELECT 'spk-nobody', 'Nobody', false""",
-        "comments": "SELECT id, recording_id, text AS body, CASE WHEN id % 3 = 0 THEN 'open' ELSE 'resolved' END AS status, speaker AS created_by, 'k' || cast(utterance_index AS VARCHAR(9)) AS idempotency_key FROM utterances WHERE id % 4 = 0",
+            SELECT speaker_uuid AS uuid, CASE WHEN length(speaker_uuid) % 2 = 0 OR min(recording_id) % 2 = 0 THEN upper(min(speaker)) || ' ' || cast(min(recording_id) AS VARCHAR(20)) END AS name,
+                   CASE min(recording_id) % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'llm' END AS name_source, 'active' AS identity_state
+            FROM utterances WHERE speaker_uuid IS NOT NULL GROUP BY speaker_uuid UNION ALL
+            SELECT * FROM (VALUES ('spk-nobody', 'Nobody', 'llm', 'active'), ('spk-blank', cast(NULL AS VARCHAR(9)), cast(NULL AS VARCHAR(9)), cast(NULL AS VARCHAR(9))), ('spk-old', 'Old Name', NULL, 'active'),
+                ('spk-typed', 'Typed In', 'manual', 'active'), ('spk-alias', 'Alias', 'llm', 'alias'), ('spk-invited', 'Invited', 'llm', 'active'), ('spk-empty', '', 'manual', 'active')) AS v(uuid, name, name_source, identity_state)""",
+        "attendee_mappings": "SELECT * FROM (VALUES ('spk-invited', 'invited@example.com', 'manual'), ('spk-nobody', 'nobody@example.com', 'auto'), ('spk-user-1', 'user.one@example.com', 'manual')) AS v(speaker_uuid, email, source)",
+        "comments": "SELECT id, recording_id, text AS body, CASE WHEN id % 3 = 0 THEN 'open' ELSE 'resolved' END AS status, speaker AS created_by, 'k' || cast(utterance_index AS VARCHAR(9)) AS idempotency_key FROM utterances",
         "turns": """
-            SELECT event_id AS id, user_id % 50 AS recording_id, 'v' || cast(user_id % 6 AS VARCHAR(9)) AS speaker, floor(value * 3) + event_id % 40 AS start_time, floor(value * 3) + event_id % 40 + 1 + event_id % 7 AS end_time, event_id % 10 / 10.0 AS quality
+            SELECT event_id AS id, user_id AS recording_id, 'v' || cast(event_id % 6 AS VARCHAR(9)) AS speaker, floor(value * 3) + event_id % 40 AS start_time, floor(value * 3) + event_id % 40 + 1 + event_id % 7 AS end_time, event_id % 10 / 1e1 AS quality
             FROM events""",
         "words": """
-            SELECT event_id AS id, user_id % 50 AS recording_id, event_type AS word, floor(value * 3) + event_id % 37 + 0.25 AS start_time, floor(value * 3) + event_id % 37 + 0.75 AS end_time
+            SELECT event_id AS id, user_id AS recording_id, event_type AS word, floor(value * 3) + event_id % 37 + 25e-2 AS start_time, floor(value * 3) + event_id % 37 + 75e-2 AS end_time
             FROM events""",
-        "vectors": "SELECT vec_id, vec_id % 17 AS recording_id, 'spk' || cast(label AS VARCHAR(9)) AS speaker_uuid, label, embedding FROM embeddings",
-        "text_lines": f"""SELECT doc_id * 100000 + place AS id, doc_id AS recording_id, place AS utterance_index, lang, line AS text FROM {d.unnest("(SELECT doc_id, lang, " + ("split(text, '\\n')" if d.name == "spark" else "string_split(text, chr(10))") + " AS xs FROM documents) t", "xs", "line", "place")}""",
-    }
+        # A voice is the first vector of its group; its other vectors lean on that one more or less. Two people of ten are each
+        # taken for two speakers.
+        "vectors": f"""
+            SELECT e.vec_id, e.part AS library_id, e.vec_id % 10 + 10 * e.part AS recording_id, 'spk' || cast(e.label AS VARCHAR(9)) || '-' || cast(e.part AS VARCHAR(20)) AS speaker_uuid, e.label, cast(floor(e.vec_id / 5e0) AS BIGINT) * 1000 + e.vec_id % 5 AS utterance_id,
+                   {d.blend("a.anchor", "e.embedding", "CASE e.vec_id % 4 WHEN 0 THEN 95e-2 WHEN 1 THEN 9e-1 WHEN 2 THEN 8e-1 ELSE 6e-1 END", "CASE e.vec_id % 4 WHEN 0 THEN 3e-1 WHEN 1 THEN 45e-2 WHEN 2 THEN 6e-1 ELSE 8e-1 END")} AS embedding,
+                   cast(floor(e.vec_id / 1e1) % 25 AS DOUBLE) * 14e-1 AS start_time, cast(floor(e.vec_id / 1e1) % 25 AS DOUBLE) * 14e-1 + CASE WHEN e.vec_id % 7 = 0 THEN 35e-1 ELSE 15e-1 END AS end_time,
+                   e.vec_id % 9 / 1e1 + 15e-2 AS quality, e.vec_id % 13 <> 0 AS reliable, CASE WHEN e.vec_id % 17 = 0 THEN 2e-1 ELSE 1e-2 END AS overlap_ratio, CASE WHEN e.vec_id % 19 = 0 THEN 2 ELSE 1 END AS active_speakers
+            FROM (SELECT vec_id, label, embedding, cast(floor(vec_id / 25e1) AS BIGINT) AS part FROM embeddings) e
+            JOIN (SELECT label, cast(floor(vec_id / 25e1) AS BIGINT) AS part, min_by(embedding, vec_id) AS anchor FROM embeddings GROUP BY 1, 2) a ON a.label = CASE e.label WHEN 9 THEN 1 WHEN 8 THEN 2 ELSE e.label END AND a.part = e.part""",
+        "gold_pairs": """
+            SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN (a.vec_id + b.vec_id) % 9 = 0 THEN 'unsure' WHEN a.speaker_uuid = b.speaker_uuid THEN 'same' ELSE 'different' END AS verdict,
+                   CASE WHEN abs(a.recording_id) % 5 = 0 OR abs(b.recording_id) % 5 = 0 THEN 'heldOut' ELSE 'development' END AS role
+            FROM (SELECT vec_id, recording_id, speaker_uuid, label, row_number() OVER (PARTITION BY speaker_uuid ORDER BY vec_id) AS n FROM vectors) a
+            JOIN (SELECT vec_id, recording_id, speaker_uuid, label, row_number() OVER (PARTITION BY speaker_uuid ORDER BY vec_id) AS n FROM vectors) b
+              ON a.n = b.n - 1 AND (a.speaker_uuid = b.speaker_uuid OR (a.label + 1 = b.label AND substring(a.speaker_uuid, 5) = substring(b.speaker_uuid, 5)))""",
+        "text_lines": f"""SELECT doc_id * 100000 + place AS id, doc_id AS recording_id, place AS utterance_index, lang, line AS text, 'v' || cast(place % 3 AS VARCHAR(9)) AS speaker, place * 15e0 AS start_time, place * 15e0 + 1 + (doc_id + place) % 14 AS end_time,
+                   CASE WHEN (doc_id + place) % 6 <> 0 THEN cast((doc_id * 3 + place * 7) % 20 AS DOUBLE) / 20 END AS mean_p FROM {d.unnest(f"(SELECT doc_id, lang, {lines} AS xs FROM documents) t", "xs", "line", "place")}""",
+        "exemplars": f"SELECT min(id) AS id, t AS text, count(*) AS occurrences FROM (SELECT id, {d.canonical('text')} AS t FROM text_lines) x WHERE t <> '' AND {d.size(d.find('t', '[^ ]+'))} <= 8 GROUP BY t HAVING count(*) >= 3",
+    }
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
-    """Temporary views of the driver's tables and of the relations over them (lazy: only what a plan uses is read)."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for name, sql in relations(SPARK).items():
-        spark.sql(sql).createOrReplaceTempView(name)
-
-
-def with_relations(d: Spark, sql: str) -> str:
-    """``sql`` as one statement, with the relations that it uses as common table expressions."""
-    import re
-
-    all_ = relations(d)
-    used: list[str] = []
+def used(d: Spark, sql: str, given: frozenset[str] = frozenset()) -> dict[str, str]:
+    """The relations that ``sql`` reads, each after those that it reads itself; not those that are ``given`` as tables."""
+    all_ = {k: v for k, v in relations(d).items() if k not in given}
+    out: dict[str, str] = {}
 
     def need(text: str) -> None:
         for name in all_:
-            if name not in used and re.search(rf"\b{name}\b", text):
+            if name not in out and re.search(rf"\b{name}\b", text):
                 need(all_[name])
-                if name not in used:
-                    used.append(name)
+                out.setdefault(name, all_[name])
 
     need(sql)
-    ctes = ", ".join(f"{n} AS ({all_[n]})" for n in used)
+    return out
+
+
+def register(spark: SparkSession, source: str | dict[str, DataFrame], sql: str | None = None) -> None:
+    """Temporary views that plans read.
+
+    ``source``: a folder of the driver's tables, over which the relations are derived, or a deployment's own relations by
+    name. ``sql``: only what this statement reads; without it all.
+    """
+    if isinstance(source, dict):
+        for name, df in source.items():
+            df.createOrReplaceTempView(name)
+        return
+    named = relations(SPARK) if sql is None else used(SPARK, sql)
+    text = sql or ""
+    for t in TABLES:
+        if sql is None or re.search(rf"\b{t}\b", " ".join([text, *named.values()])):
+            spark.read.parquet(f"{source}/{t}.parquet").createOrReplaceTempView(t)
+    for name, body in named.items():
+        spark.sql(body).createOrReplaceTempView(name)
+
+
+def with_relations(d: Spark, sql: str) -> str:
+    """``sql`` as one statement, with the relations that it uses as common table expressions."""
+    ctes = ", ".join(f"{n} AS ({body})" for n, body in used(d, sql).items())
     if not ctes:
         return sql
     rest = sql.strip()

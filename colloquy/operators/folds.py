@@ -23,32 +23,53 @@ def per_recording(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], sch
     return rows.groupBy(key).applyInPandas(run, schema)
 
 
+def hit_order(r: dict) -> tuple:
+    """Best hit first: score, then time, then place."""
+    return (-r["score"], r["start_time"], r["utterance_index"])
+
+
 def moments(rows: list[dict], lines: int = 2, seconds: float = 20.0) -> list[dict]:
     """Hits in order of time join a moment if they are near its first hit, not its last. The best hit stands for it."""
-    out: list[dict] = []
-    first = None
-    for r in rows:
-        near = first is not None and (abs(r["utterance_index"] - first["utterance_index"]) <= lines or 0 < r["start_time"] - first["start_time"] <= seconds)
-        if near:
-            m = out[-1]
-            m["members"].append(r["id"])
-            if r["score"] > m["score"]:
-                m.update(id=r["id"], score=r["score"])
+    groups: list[list[dict]] = []
+    for r in sorted(rows, key=lambda r: (r["start_time"], r["utterance_index"])):
+        first = groups[-1][0] if groups else None
+        if first is not None and (abs(r["utterance_index"] - first["utterance_index"]) <= lines or 0 < r["start_time"] - first["start_time"] <= seconds):
+            groups[-1].append(r)
         else:
-            first = r
-            out.append({"recording_id": r["recording_id"], "id": r["id"], "score": r["score"], "members": [r["id"]]})
-    return out
+            groups.append([r])
+    best = [sorted(g, key=hit_order) for g in groups]
+    return [{"recording_id": g[0]["recording_id"], "id": g[0]["id"], "score": g[0]["score"], "start_time": g[0]["start_time"], "utterance_index": g[0]["utterance_index"], "members": [r["id"] for r in g]} for g in best]
+
 
+def conversation(rows: list[dict]) -> list[dict]:
+    """A recording's hits as one result: the three best moments and the title, which adds a tenth of the best at most. A
+    recording that only its title speaks for has the title's score and comes after all others."""
+    title = max((r["score"] for r in rows if r["field"] == "title"), default=None)
+    found = sorted(moments([r for r in rows if r["field"] != "title"]), key=hit_order)
+    score = title or 0.0
+    if found:
+        score = sum(w * m["score"] for w, m in zip((1.0, 0.2, 0.1), found, strict=False)) + min(title or 0.0, 0.1 * found[0]["score"])
+    return [{"recording_id": rows[0]["recording_id"], "score": score, "title_only": not found, "moments": len(found)}]
 
-def merge_segments(rows: list[dict], gap: float = 1.5, longest: float = 30.0, most_words: int = 60) -> list[dict]:
-    """A line joins the segment so far if speaker, gap, length and words allow it."""
+
+# Policies of the merge of lines. gap, seconds, words, seconds after which a sentence's end divides, whether
+# who else speaks divides.
+POLICIES = {"legacy": (1.0, None, None, None, False), "readable": (2.0, 60.0, 160, 25.0, True), "safe": (0.45, 10.0, 28, 4.0, True)}
+
+
+def merge_segments(rows: list[dict], policy: str = "readable") -> list[dict]:
+    """Lines in order join the segment so far, of one speaker, within the limits of a policy."""
+    gap, longest, most_words, sentence, context = POLICIES[policy]
     out: list[dict] = []
     for r in rows:
         last = out[-1] if out else None
-        if last and last["speaker"] == r["speaker"] and r["start_time"] - last["end_time"] <= gap and r["end_time"] - last["start_time"] <= longest and last["words"] + r["n_words"] <= most_words:
-            last.update(end_time=max(last["end_time"], r["end_time"]), words=last["words"] + r["n_words"], lines=last["lines"] + 1)
+        fits = last is not None and last["speaker"] == r["speaker"] and r["start_time"] - last["end_time"] <= gap and not (context and last["context"] != r["context"])
+        fits = fits and not (longest is not None and max(last["end_time"], r["end_time"]) - last["start_time"] > longest) and not (most_words is not None and last["words"] + r["n_words"] > most_words)
+        fits = fits and not (sentence is not None and last["end_time"] - last["start_time"] >= sentence and last["text"].rstrip("\"')]»” ").endswith((".", "!", "?", "…")))
+        if fits:
+            last.update(end_time=max(last["end_time"], r["end_time"]), words=last["words"] + r["n_words"], lines=last["lines"] + 1, text=f"{last['text']} {r['text']}".strip())
         else:
-            out.append({"recording_id": r["recording_id"], "speaker": r["speaker"], "start_time": r["start_time"], "end_time": r["end_time"], "words": r["n_words"], "lines": 1})
+            out.append({"recording_id": r["recording_id"], "policy": policy, "speaker": r["speaker"], "start_time": r["start_time"], "end_time": r["end_time"], "words": r["n_words"], "lines": 1, "text": r["text"], "context": r["context"]})
     return out
 
 
@@ -83,12 +104,12 @@ def target_windows(rows: list[dict], longest: float = 12.0, pad: float = 4.0, le
     return [{"recording_id": rows[0]["recording_id"], "a": max(0.0, a - wide(a, b)), "b": b + wide(a, b)} for a, b in groups]
 
 
-def capped_pairs(rows: list[dict], most: int = 3, top: int = 20) -> list[dict]:
-    """The best pairs in order, none of whose ends has been used ``most`` times."""
+def capped_pairs(rows: list[dict], most: int = 3, top: int | None = None) -> list[dict]:
+    """The best pairs in order, none of whose ends has been used ``most`` times; the first ``top``."""
     used: dict = {}
     out = []
     for r in rows:
-        if len(out) < top and used.get(r["a"], 0) < most and used.get(r["b"], 0) < most:
+        if (top is None or len(out) < top) and used.get(r["a"], 0) < most and used.get(r["b"], 0) < most:
             used[r["a"]] = used.get(r["a"], 0) + 1
             used[r["b"]] = used.get(r["b"], 0) + 1
             out.append(r)
@@ -198,73 +219,57 @@ def ema(rows: list[dict], keep: float = 0.9) -> list[dict]:
     return [{"speaker_uuid": rows[0]["speaker_uuid"], "n": len(rows), "embedding": v.tolist()}]
 
 
-def exemplars(rows: list[dict]) -> list[dict]:
-    """Learn and unlearn short texts in order: a count that falls to nothing forgets its source."""
-    rank = {"detector": 0, "verifier": 1, "user": 2}
-    held: dict[str, list] = {}
+def exemplars(rows: list[dict], most_words: int = 8) -> list[dict]:
+    """One text's history, in order: learning adds to its count and may raise its source, unlearning takes from it; at
+    nothing it is forgotten, source and all. Texts of more words aren't learned."""
+    rank = ("detector", "verifier", "user")
+    count, source = 0, None
     for r in rows:
-        t = " ".join(r["text"].lower().split())
-        if not t or len(t.split()) > 8:
-            continue
         if r["learn"]:
-            e = held.setdefault(t, [0, r["source"]])
-            e[0] += 1
-            if rank[r["source"]] > rank[e[1]]:
-                e[1] = r["source"]
-        elif t in held:
-            held[t][0] -= 1
-            if held[t][0] <= 0:
-                del held[t]
-    return [{"text": t, "occurrences": n, "source": s} for t, (n, s) in held.items()]
-
-
-def longest_run(text: str, most: int = 4) -> int:
-    """The most times in a row that any sequence of 1 to ``most`` words occurs."""
-    w, best = text.lower().split(), min(1, len(text.split()))
-    for n in range(1, most + 1):
-        for phase in range(n):
-            run, before = 0, None
-            for i in range(phase, len(w) - n + 1, n):
-                now = w[i : i + n]
-                run = run + 1 if now == before else 1
-                before, best = now, max(best, run)
-    return best
-
-
-def runaway(text: str, least_words: int = 10, least_run: int = 5, share: float = 0.6) -> bool:
-    """Whether runs of repeated words make up most of a text."""
-    w = text.lower().split()
-    if len(w) < least_words or longest_run(text) < least_run:
-        return False
-    covered: set[int] = set()
-    for n in range(1, 5):
-        i = 0
-        while i + n <= len(w):
-            j = i + n
-            while w[j : j + n] == w[i : i + n]:
-                j += n
-            if (j - i) // n >= 3:
-                covered |= set(range(i, j))
-                i = j
-            else:
-                i += 1
-    return len(covered) >= share * len(w)
-
-
-def detect_voice(levels: list[float], start: int = 4, end: int = 18, ratio: float = 2.5, floor: float = 0.01) -> list[tuple[int, bool]]:
-    """Changes of state of a voice detector with hysteresis over block levels: (block, speaking)."""
-    noise, speaking, loud, quiet, out = floor, False, 0, 0, []
-    for i, level in enumerate(levels):
-        if level > max(floor, noise * ratio):
-            loud, quiet = loud + 1, 0
-        else:
-            loud, quiet = 0, quiet + 1
-            if not speaking:
-                noise = 0.97 * noise + 0.03 * level
-        if not speaking and loud >= start:
-            speaking = True
-            out.append((i, True))
-        elif speaking and quiet >= end:
-            speaking = False
-            out.append((i, False))
+            if len(r["text"].split()) <= most_words and r["text"]:
+                count, source = count + 1, max(source or "detector", r["source"], key=rank.index)
+        elif count:
+            count -= 1
+            source = source if count else None
+    return [{"text": rows[0]["text"], "occurrences": count, "source": source}] if count else []
+
+
+def match_ends(reference: list[float], candidate: list[float], most: float = 0.75) -> int:
+    """How many ends of the reference, in order, find an end of the candidate near enough; each is taken once, the nearest
+    first, the earlier in a tie."""
+    left, matched = sorted(candidate), 0
+    for end in sorted(reference):
+        best = min(range(len(left)), key=lambda i: (abs(left[i] - end), i), default=None)
+        if best is not None and abs(left[best] - end) <= most:
+            left.pop(best)
+            matched += 1
+    return matched
+
+
+# Fixed values of the voice detector: first noise floor, bounds of the threshold and its factor over the floor, least peak,
+# weight of the floor so far, blocks to start and to end.
+FLOOR, LOW, HIGH, FACTOR, PEAK, KEEP, START, END = 0.0015, 0.0025, 0.03, 3.2, 0.008, 0.97, 4, 18
+
+
+def hear(state: tuple[float, bool, int, int], rms: float, peak: float) -> tuple[tuple[float, bool, int, int], bool]:
+    """One block: (noise floor, speaking, loud blocks, quiet blocks) -> the state after it, and whether speaking changed."""
+    floor, speaking, loud, quiet = state
+    if rms >= max(LOW, min(HIGH, floor * FACTOR)) and peak >= PEAK:
+        loud, quiet = loud + 1, 0
+        begins = not speaking and loud >= START
+        return (floor, speaking or begins, loud, quiet), begins
+    if not speaking:
+        return (floor * KEEP + rms * (1 - KEEP), False, 0, quiet), False
+    quiet += 1
+    ends = quiet >= END
+    return (floor, not ends, 0, 0 if ends else quiet), ends
+
+
+def detect_voice(blocks: list[tuple[float, float]]) -> list[tuple[int, bool]]:
+    """Changes of state over blocks of (rms, peak): (block, speaking)."""
+    state, out = (FLOOR, False, 0, 0), []
+    for i, (rms, peak) in enumerate(blocks):
+        state, changed = hear(state, rms, peak)
+        if changed:
+            out.append((i, state[1]))
     return out

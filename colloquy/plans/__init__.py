@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..dialect import DUCK, SPARK
 from ..domain import register, with_relations
-from . import analytics, library
+from . import analytics, library, search
 
 
 def catalog() -> dict[str, Callable]:
-    return {**library.PLANS, **analytics.PLANS}
+    return {**library.PLANS, **search.PLANS, **analytics.PLANS}
 
 
-def run(spark: SparkSession, sf_dir: str, name: str, **parameters) -> DataFrame:
-    """A plan over the driver's tables."""
-    register(spark, sf_dir)
-    return spark.sql(catalog()[name](SPARK, **parameters))
+def run(spark: SparkSession, source: str | dict[str, DataFrame], name: str, **parameters) -> DataFrame:
+    """A plan over the driver's tables (a folder), or over relations that are handed in by name."""
+    sql = catalog()[name](SPARK, **parameters)
+    register(spark, source, sql)
+    return spark.sql(sql)
 
 
 def oracle(name: str, **parameters) -> str:

@@ -1,85 +1,113 @@
-"""Queries whose steps aren't one SQL statement: ordered folds, clustering, assignment, readers, streams."""
+"""Queries whose steps aren't one SQL statement: ordered folds, clustering, assignment, readers, sinks, streams.
+
+Each takes (spark, source), the source as in :func:`colloquy.plans.run`. Decisions that depend on those before them are
+functions over one recording or one library (:mod:`colloquy.operators`), applied to groups: recordings and libraries are
+many, and each is small.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import functions, sinks, vectors
+from ..api import Library
+from ..dialect import SPARK
 from ..domain import register
 from ..operators import folds, groups
 from ..sources import transcripts
+from ..storage import cut, fresh_path
 from ..streaming import live
+from . import analytics, search
+
+
+def statement(spark: SparkSession, source, sql: str) -> DataFrame:
+    register(spark, source, sql)
+    return spark.sql(sql)
+
+
+def relation(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, source: statement(spark, source, f"SELECT * FROM {name}")
 
 
-def _view(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
-        return spark.table(name)
+utterances, turns, voices = relation("utterances"), relation("turns"), relation("vectors")
 
-    return read
+# --- ordered folds over a recording ----------------------------------------------------------------------------------
 
 
-utterances, turns, vectors = _view("utterances"), _view("turns"), _view("vectors")
-SEGMENT = "recording_id long, speaker string, start_time double, end_time double, words double, lines long"
+def hits(spark, source, query: str = search.QUERY, limit: int = 50) -> DataFrame:
+    """Hits of a hybrid search, titles among them, with their times."""
+    return statement(spark, source, f"SELECT f.recording_id, coalesce(u.id, -1) AS id, f.field, f.score, coalesce(u.utterance_index, -1) AS utterance_index, coalesce(u.start_time, 0e0) AS start_time FROM ({search.fused(SPARK, query, limit=limit)}) f LEFT JOIN utterances u ON u.id = f.utterance_id")
 
 
-def moments(spark, sf):
-    hits = utterances(spark, sf).where("NOT is_hidden").select("recording_id", "id", "utterance_index", "start_time", F.col("suspicion").alias("score"))
-    return folds.per_recording(hits, folds.moments, "recording_id long, id long, score double, members array<long>", ["start_time", "utterance_index"])
+def moments(spark, source):
+    return folds.per_recording(hits(spark, source).where("field <> 'title'"), folds.moments, "recording_id long, id long, score double, members array<long>", ["start_time", "utterance_index"])
 
 
-def segments(spark, sf):
-    return folds.per_recording(utterances(spark, sf).select("recording_id", "utterance_index", "speaker", "start_time", "end_time", "n_words"), folds.merge_segments, SEGMENT, ["utterance_index"])
+def conversations(spark, source):
+    found = folds.per_recording(hits(spark, source), folds.conversation, "recording_id long, score double, title_only boolean, moments long", ["start_time", "utterance_index"])
+    dated = found.join(statement(spark, source, "SELECT id AS recording_id, created_at FROM recordings"), "recording_id")
+    return dated.orderBy("title_only", F.desc(F.round("score", 12)), F.desc("created_at"), "recording_id").withColumn("score", F.round("score", 9)).limit(50)
 
 
-def spans(spark, sf):
-    return folds.per_recording(utterances(spark, sf).where("suspicion >= 0.4").select("recording_id", "start_time", "end_time"), folds.spans, "recording_id long, a double, b double, lines long, clamped boolean", ["start_time"])
+def segments(spark, source):
+    """Lines merged under each of the policies."""
+    u = utterances(spark, source).select("recording_id", "utterance_index", "speaker", "start_time", "end_time", "n_words", "text", F.when(F.col("id") % 17 == 0, "2:x").otherwise("1:").alias("context"))
+    each = [folds.per_recording(u, lambda rows, p=p: folds.merge_segments(rows, p), "recording_id long, policy string, speaker string, start_time double, end_time double, words double, lines long, text string", ["utterance_index"]) for p in folds.POLICIES]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-def target_windows(spark, sf):
-    t = turns(spark, sf).where("quality < 0.3").select(F.col("recording_id").cast("long").alias("recording_id"), F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"))
+def spans(spark, source):
+    return folds.per_recording(utterances(spark, source).where("suspicion >= 0.4").select("recording_id", "start_time", "end_time"), folds.spans, "recording_id long, a double, b double, lines long, clamped boolean", ["start_time"])
+
+
+def target_windows(spark, source):
+    t = turns(spark, source).where("quality < 0.3").select(F.col("recording_id").cast("long").alias("recording_id"), F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"))
     return folds.per_recording(t, folds.target_windows, "recording_id long, a double, b double", ["start_time", "end_time"])
 
 
-def capped_pairs(spark, sf):
-    v = vectors(spark, sf)
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).withColumn("score", F.pmod(F.col("a") * 31 + F.col("b") * 17, F.lit(97)).cast("double")).where("la <> lb").select(F.lit(0).cast("long").alias("recording_id"), "a", "b", (-F.col("score")).alias("score"))
-    return folds.per_recording(pairs, folds.capped_pairs, "recording_id long, a long, b long, score double", ["score", "a", "b"])
+def capped_pairs(spark, source):
+    """Of each library's similar pairs the best, no voice in more than three."""
+    pairs = statement(spark, source, f"SELECT v.library_id, p.a, p.b, -p.cosine AS score FROM ({_similar()}) p JOIN vectors v ON v.vec_id = p.a")
+    return folds.per_recording(pairs, folds.capped_pairs, "library_id long, a long, b long, score double", ["score", "a", "b"], "library_id")
+
+
+def _similar(least: float = 0.7) -> str:
+    from .library import similar_pairs
 
+    return similar_pairs(SPARK, least)
 
-def sentences(spark, sf):
-    return folds.per_recording(utterances(spark, sf).select("recording_id", "id", "text"), folds.pack_sentences, "recording_id long, id long, part long, text string", ["id"])
 
+def sentences(spark, source):
+    return folds.per_recording(utterances(spark, source).select("recording_id", "id", "text"), folds.pack_sentences, "recording_id long, id long, part long, text string", ["id"])
 
-def stitched(spark, sf):
-    return folds.per_recording(utterances(spark, sf).select("recording_id", "id", "text"), folds.stitch, "recording_id long, id long, overlap long, added string", ["id"])
 
+def stitched(spark, source):
+    return folds.per_recording(utterances(spark, source).select("recording_id", "id", "text"), folds.stitch, "recording_id long, id long, overlap long, added string", ["id"])
 
-def split_points(spark, sf):
-    u = utterances(spark, sf).withColumn("at", F.col("end_time")).select("recording_id", "at", "end_time")
+
+def split_points(spark, source):
+    u = utterances(spark, source).withColumn("at", F.col("end_time")).select("recording_id", "at", "end_time")
     return folds.per_recording(u, folds.split_points, "recording_id long, at double", ["at"])
 
 
-def packed_spans(spark, sf):
-    return folds.per_recording(utterances(spark, sf).where("suspicion >= 0.4").select("recording_id", "start_time", "end_time"), folds.pack_spans, "recording_id long, a double, b double", ["start_time"])
+def packed_spans(spark, source):
+    return folds.per_recording(utterances(spark, source).where("suspicion >= 0.4").select("recording_id", "start_time", "end_time"), folds.pack_spans, "recording_id long, a double, b double", ["start_time"])
 
 
-def collapsed(spark, sf):
-    u = utterances(spark, sf).select("recording_id", "id", "start_time", "end_time", "text")
-    twice = u.unionByName(u.where("id % 2 = 0").withColumn("id", F.col("id") + 1_000_000_000).withColumn("text", F.upper("text")))
+def collapsed(spark, source):
+    u = utterances(spark, source).select("recording_id", "id", "start_time", "end_time", "text")
+    twice = u.unionByName(u.where("id % 2 = 0").withColumn("id", F.col("id") + 1_000_000_000).withColumn("text", F.upper("text")).withColumn("start_time", F.col("start_time") + 0.1))
     return folds.per_recording(twice, folds.collapse, "recording_id long, id long", ["start_time", "id"])
 
 
-def claims(spark, sf):
-    u = utterances(spark, sf).select("recording_id", "id", "start_time", "end_time", "text")
-    old = u.where("id % 3 = 0").select("recording_id", "id", F.col("start_time").alias("s"), F.col("end_time").alias("e"), "text")
-    left = old.select("recording_id", "id", (F.col("s") + 1).alias("start_time"), (F.col("e") + 1).alias("end_time"), "text")
+def claims(spark, source):
+    u = utterances(spark, source).select("recording_id", "id", "start_time", "end_time", "text")
+    left = u.where("id % 3 = 0").select("recording_id", "id", (F.col("start_time") + 1).alias("start_time"), (F.col("end_time") + 1).alias("end_time"), "text")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(folds.claim(a.sort_values("id").to_dict("records"), b.to_dict("records")), columns=["recording_id", "decision", "line"])
@@ -87,202 +115,520 @@ def claims(spark, sf):
     return left.groupBy("recording_id").cogroup(u.groupBy("recording_id")).applyInPandas(run, "recording_id long, decision long, line long")
 
 
-def moving_average(spark, sf):
-    return folds.per_recording(vectors(spark, sf).select("speaker_uuid", "vec_id", "embedding"), folds.ema, "speaker_uuid string, n long, embedding array<double>", ["vec_id"], "speaker_uuid").select("speaker_uuid", "n", F.round(F.col("embedding")[0], 6).alias("first"))
+def moving_average(spark, source):
+    return folds.per_recording(voices(spark, source).select("speaker_uuid", "vec_id", "embedding"), folds.ema, "speaker_uuid string, n long, embedding array<double>", ["vec_id"], "speaker_uuid").withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
 
 
-def exemplars(spark, sf):
-    u = utterances(spark, sf).select(F.lit(0).alias("recording_id"), "id", "text", (F.col("id") % 5 != 4).alias("learn"), F.when(F.col("id") % 3 == 0, "detector").when(F.col("id") % 3 == 1, "verifier").otherwise("user").alias("source"))
-    # Each short text is a fold of its own, so texts are the groups.
-    return folds.per_recording(u.withColumn("t", F.lower("text")), folds.exemplars, "text string, occurrences long, source string", ["id"], "t")
+def exemplars(spark, source):
+    """What is learned from lines, and unlearned again: each text is a history of its own."""
+    u = statement(spark, source, f"SELECT id, {SPARK.canonical('text')} AS text, id % 5 <> 4 AS learn, CASE id % 3 WHEN 0 THEN 'detector' WHEN 1 THEN 'verifier' ELSE 'user' END AS source FROM text_lines").where("text <> ''")
+    short = u.where(F.size(F.split("text", " ")) <= 8)
+    return folds.per_recording(short.withColumn("t", F.col("text")), folds.exemplars, "text string, occurrences long, source string", ["id"], "t")
 
 
-def _texts(body):
-    def run(spark, sf):
-        register(spark, sf)
-        d = spark.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-        kind = "long" if body is folds.longest_run else "boolean"
+def voice_changes(spark, source):
+    """The voice detector over each track: blocks of twenty loud and twenty quiet ones in turn."""
+    e = statement(spark, source, "SELECT user_id AS track, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS block FROM events")
+    loud = F.floor(F.col("block") / 20) % 2 == 1
+    b = e.select("track", F.col("block").cast("long").alias("block"), F.when(loud, 0.02 + F.col("value") / 1e5).otherwise(0.0004 + F.col("value") / 1e6).alias("rms"))
+    b = b.withColumn("peak", F.col("rms") * 3)
 
-        @F.pandas_udf(kind)
-        def apply(s: pd.Series) -> pd.Series:
-            return s.fillna("").map(body)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        n = pdf["block"].tolist()
+        return pd.DataFrame([(int(pdf["track"].iloc[0]), n[i], s) for i, s in folds.detect_voice(list(zip(pdf["rms"], pdf["peak"], strict=True)))], columns=["track", "block", "speaking"])
+
+    return b.groupBy("track").applyInPandas(one, "track long, block long, speaking boolean")
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+
+def longest_runs(spark, source):
+    return statement(spark, source, "SELECT id, text FROM text_lines").select("id", functions.longest_run(F.col("text")).alias("value"))
+
+
+def runaways(spark, source):
+    """A line in eleven says its first words again and again."""
+    t = statement(spark, source, "SELECT id, CASE WHEN id % 11 = 0 THEN repeat(substring(text, 1, 12) || ' ', 20) ELSE text END AS text FROM text_lines")
+    return t.select("id", functions.runaway(F.col("text")).alias("value"))
+
+
+HARD = ("boilerplate", "emptyOrSymbols", "repetitionLoop", "silenceFiller")
+
+
+def suspicion(lines: DataFrame) -> DataFrame:
+    """Lines of transcripts -> id, score, reasons (in order), tier.
+
+    ``lines``: id, recording_id, utterance_index, text, start_time, end_time, speaker, mean_p, low_frac, exemplar_exact,
+    exemplar_overlap, exemplar_cosine, voice_match, neighbour_cosine. Soft reasons add up to at most 1; a hard one makes
+    it 1. junk: a hard reason and 0.9 or more; verify: 0.4 or more; else ok.
+    """
+    order = Window.partitionBy("recording_id").orderBy("utterance_index")
+    spark = lines.sparkSession
+    lines.createOrReplaceTempView("judged_lines")
+    about = spark.sql(f"""
+        SELECT *, size(ws) AS n FROM (SELECT *, {SPARK.trimmed("lower(text)")} AS ws, {SPARK.canonical("text")} AS norm, length(trim(text)) AS chars, greatest(end_time - start_time, 0) AS s, NOT {SPARK.matches(analytics.bare(SPARK), "[\\p{L}\\p{N}]")} AS empty FROM judged_lines) t""")
+    about.createOrReplaceTempView("judged_words")
+    held = " OR ".join([*(f"contains(lower(text), {SPARK.text(m)})" for m in (*analytics.MARKERS, *analytics.PHRASES)), "(contains(lower(text), 'copyright') AND contains(lower(text), 'sdi media'))"])
+    credit = analytics.is_credit(SPARK, "lower(text)", "n")
+    dots = SPARK.sub("replace(lower(text), '…', '...')", "[ \t\n\r]+", "")
+    t = spark.sql(f"SELECT *, {credit} AS credit, n > {analytics.CREDIT_WORDS} AND ({held}) AS embedded, size(array_distinct(ws)) BETWEEN 1 AND 3 AND {SPARK.matches(dots, '[.]{4}')} AS filler FROM judged_words")
+    # Text that repeats itself: runs of one to four words, in one pass over the words.
+    t = t.withColumn("r", functions.runs(F.col("ws")))
+    loop = (F.col("n") >= functions.LOOP_WORDS) & (F.col("r.run") >= functions.LOOP_RUN) & (F.col("r.covered") >= functions.LOOP_SHARE * F.col("n"))
+    soft = (F.col("r.run") >= 3) | ((F.col("n") >= 10) & (F.size(F.array_distinct("ws")) <= 0.5 * F.col("n")))
+    # Runs of equal lines, through junk too.
+    t = t.withColumn("again", F.coalesce((F.col("norm") != "") & (F.col("norm") == F.lag("norm").over(order)), F.lit(False)))
+    t = t.withColumn("island", F.sum((~F.col("again")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("same", F.row_number().over(Window.partitionBy("recording_id", "island").orderBy("utterance_index")))
+    t = t.withColumns({"n_before": F.coalesce(F.lag("n").over(order), F.lit(0)), "by_before": F.lag("speaker").over(order)})
+    outlier = spark.sql(analytics.script_outlier(SPARK).replace("FROM text_lines", "FROM judged_lines").replace("WHEN id % 83 = 5 THEN", "WHEN false THEN").replace("WHEN id % 83 = 6 THEN", "WHEN false THEN"))
+    t = t.join(outlier.withColumnRenamed("id", "_o"), F.col("id") == F.col("_o"), "left")
+    rate = F.when((F.col("chars") > 0) & (F.col("s") >= 1), F.col("chars") / F.col("s"))
+    known = F.col("exemplar_exact") | (F.coalesce("exemplar_cosine", F.lit(0.0)) >= 0.92) | (F.coalesce("exemplar_overlap", F.lit(0.0)) >= 0.7)
+    text = ~F.col("empty")
+    rules = [  # reason, weight, condition; in the order in which reasons are listed
+        ("emptyOrSymbols", 0.0, F.col("empty")),
+        ("boilerplate", 0.0, text & F.col("credit")),
+        ("embeddedBoilerplate", 0.55, text & ~F.col("credit") & F.col("embedded")),
+        ("silenceFiller", 0.0, text & F.col("filler")),
+        ("repetitionLoop", 0.0, text & loop),
+        ("repetitionSoft", 0.45, text & ~loop & soft),
+        ("crossRepetition", 0.85, F.col("same") >= 3),
+        ("crossRepetition", 0.5, (F.col("same") == 2) & (F.col("n") >= 3) & (F.col("n_before") >= 3)),
+        ("scriptOutlier", 0.55, F.col("outlier")),
+        ("veryLowTokenProb", 0.55, F.col("mean_p") < 0.40),
+        ("lowTokenProb", 0.35, ~F.coalesce(F.col("mean_p") < 0.40, F.lit(False)) & (F.coalesce(F.col("mean_p") < 0.55, F.lit(False)) | F.coalesce(F.col("low_frac") > 0.35, F.lit(False)))),
+        ("highCharRate", 0.6, rate > 50),
+        ("highCharRate", 0.4, (rate > 35) & (rate <= 50)),
+        ("longSparse", 0.25, (F.col("s") > 12) & (rate < 0.8)),
+        ("embeddingDuplicate", 0.4, (F.col("neighbour_cosine") >= 0.97) & F.col("speaker").eqNullSafe(F.col("by_before")) & (F.col("n") >= 8) & (F.col("n_before") >= 8)),
+    ]
+    hit = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(name).alias("reason"), F.lit(w).alias("w"))) for name, w, c in rules])
+    t = t.withColumn("found", F.filter(hit, lambda x: x.isNotNull()))
+    add = lambda name, w, c: F.when(F.coalesce(c, F.lit(False)), F.concat("found", F.array(F.struct(F.lit(name).alias("reason"), F.lit(w).alias("w"))))).otherwise(F.col("found"))
+    t = t.withColumn("found", add("knownHallucination", 0.5, known & ((F.size("found") > 0) | (rate < 1.5))))
+    t = t.withColumn("found", add("voiceMismatch", 0.3, (F.col("voice_match") < 0.5) & (F.size("found") > 0)))
+    hard = F.exists("found", lambda x: x["reason"].isin(*HARD))
+    score = F.when(hard, 1.0).otherwise(F.least(F.lit(1.0), F.round(F.aggregate("found", F.lit(0.0), lambda a, x: a + x["w"]), 9)))
+    out = t.select("id", score.alias("score"), F.transform("found", lambda x: x["reason"]).alias("reasons"), hard.alias("hard"))
+    return out.select("id", "score", "reasons", tier(F.col("score"), F.col("hard")).alias("tier"))
+
+
+def tier(score, hard):
+    return F.when((score >= 0.9) & hard, "junk").when(score >= 0.4, "verify").otherwise("ok")
+
+
+def judged(spark, source):
+    """The lines of documents, with what a recogniser and the exemplars say of them."""
+    lines = statement(spark, source, f"""SELECT l.id, l.recording_id, l.utterance_index, l.text, l.start_time, l.end_time, l.speaker, l.mean_p, CASE WHEN l.id % 6 = 2 THEN 5e-1 END AS low_frac, x.kind = 'exact' AS exact, x.kind = 'trigram' AS near,
+        CASE WHEN l.id % 5 = 1 THEN 4e-1 END AS voice_match, CASE WHEN l.id % 7 = 3 THEN 98e-2 END AS neighbour_cosine FROM text_lines l LEFT JOIN ({analytics.exemplar_sweep(SPARK)}) x ON x.id = l.id""")
+    lines = lines.withColumns({"exemplar_exact": F.coalesce("exact", F.lit(False)), "exemplar_overlap": F.when(F.col("near"), 0.75), "exemplar_cosine": F.lit(None).cast("double")})
+    return suspicion(lines.drop("exact", "near"))
+
+
+def suspicions(spark, source):
+    return judged(spark, source).select("id", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
+def tiers(spark, source):
+    return judged(spark, source).groupBy("tier").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+
+
+def word_errors(spark, source):
+    """Edit distance between a line and the one before it, over words and over characters, both folded."""
+    t = statement(spark, source, f"SELECT id, ws, lag(ws) OVER (PARTITION BY recording_id ORDER BY utterance_index) AS vs FROM (SELECT id, recording_id, utterance_index, {SPARK.find(SPARK.fold('text'), search.TOKEN)} AS ws FROM text_lines) l").where("vs IS NOT NULL")
+    join = lambda c: F.array_join(c, " ")
+    return t.select("id", functions.word_distance("vs", "ws").alias("word_edits"), F.size("vs").alias("words"), F.levenshtein(join("vs"), join("ws")).alias("char_edits"), F.length(join("vs")).alias("chars"))
+
+
+def candidate_errors(spark, source):
+    """Word errors of a second transcript against settled lines: see EVL-02 for the characters."""
+    from .library import overlaps
+
+    gold = "(SELECT id, recording_id, start_time, end_time, text FROM utterances WHERE startswith(coalesce(review_status, ''), 'user_'))"
+    heard = "(SELECT id, recording_id, start_time + 1 AS start_time, end_time + 1 AS end_time, replace(text, 'e', 'a') AS text FROM utterances)"
+    ws = lambda x: SPARK.find(SPARK.fold(x), search.TOKEN)
+    t = statement(spark, source, f"""WITH h AS (SELECT l.id, {SPARK.join("r.text", " ", "r.start_time")} AS said FROM {overlaps(SPARK, gold, heard, 60)} WHERE r.end_time > l.start_time AND r.start_time < l.end_time GROUP BY l.id)
+        SELECT g.id, g.recording_id, {ws("g.text")} AS ws, {ws("coalesce(h.said, '')")} AS vs FROM {gold} g LEFT JOIN h ON h.id = g.id""")
+    t = t.select("recording_id", functions.word_distance("ws", "vs").alias("e"), F.size("ws").alias("n"))
+    return t.groupBy("recording_id").agg(F.sum("e").alias("word_errors"), F.sum("n").alias("words"), F.round(F.sum("e") / F.greatest(F.sum("n"), F.lit(1)), 6).alias("wer"))
+
+
+# --- clusters, assignments, identities -------------------------------------------------------------------------------
+
+
+def local_clusters(spark, source) -> DataFrame:
+    """Voices of recordings: library_id, recording_id, speaker_uuid, label, n, m (the centroid), spans, reliable."""
+    sql = f"""WITH {search.centroids(SPARK, "library_id, recording_id, speaker_uuid, label")} SELECT c.*, s.spans, s.reliable FROM cent c JOIN (SELECT recording_id, speaker_uuid, collect_list(struct(start_time AS a, end_time AS b)) AS spans, bool_or(reliable) AS reliable FROM vectors GROUP BY recording_id, speaker_uuid) s
+        ON s.recording_id = c.recording_id AND s.speaker_uuid = c.speaker_uuid"""
+    return statement(spark, source, sql)
+
+
+def nodes(pdf: pd.DataFrame) -> list[dict]:
+    """A library's voices of recordings, in order, as the decisions take them."""
+    pdf = pdf.sort_values(["recording_id", "speaker_uuid"])
+    return [{"recording_id": int(r.recording_id), "uuid": r.speaker_uuid, "label": int(r.label), "n": int(r.n), "embedding": np.asarray(r.m, dtype=float), "spans": [(x["a"], x["b"]) for x in r.spans], "reliable": bool(r.reliable), "key": f"{r.recording_id}:{r.speaker_uuid}"} for r in pdf.itertuples()]
+
+
+def per_library(decide: Callable[[list[dict]], list[tuple]], schema: str):
+    """``decide`` over the voices of each library's recordings; its tuples, after the library, become rows of ``schema``."""
+    names = ["library_id", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(spark, source):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            lib = int(pdf["library_id"].iloc[0])
+            return pd.DataFrame([(lib, *row) for row in decide(nodes(pdf))], columns=names)
 
-        return d.select("id", apply("text").alias("value"))
+        return local_clusters(spark, source).groupBy("library_id").applyInPandas(one, f"library_id long, {schema}")
 
     return run
 
 
-def _clusters(decide):
-    """Clusters within each of 17 scopes (recordings): vec_id, cluster."""
+def speakers_of(voices: list[dict]) -> list[tuple[str, np.ndarray]]:
+    """Each speaker's mean over recordings, by name."""
+    by: dict[str, list] = {}
+    for v in voices:
+        by.setdefault(v["uuid"], []).append(v["embedding"])
+    return [(u, (m := np.mean(x, axis=0)) / (np.linalg.norm(m) or 1)) for u, x in sorted(by.items())]
+
+
+def _personas(kind: str, least: float = 0.8):
+    def decide(voices):
+        known = speakers_of(voices)
+        x = np.array([m for _, m in known])
+        label = groups.single_linkage(x, least) if kind == "single" else groups.linkage(x, least, kind)
+        return [(u, known[i][0]) for (u, _), i in zip(known, label, strict=True)]
+
+    return per_library(decide, "speaker_uuid string, persona string")
+
 
-    def run(spark, sf):
+def _grouped(decide):
+    """Groups of the voices of recordings, each named by its first."""
+    return per_library(lambda v: [(x["recording_id"], x["uuid"], v[i]["key"]) for x, i in zip(v, decide(v), strict=True)], "recording_id long, speaker_uuid string, cluster string")
+
+
+def _of_segments(decide):
+    """Clusters of the vectors of each recording: vec_id -> the least vec_id of its cluster."""
+
+    def run(spark, source):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("vec_id")
-            label = decide(np.stack(pdf["embedding"].to_numpy()).astype(float), pdf)
             ids = pdf["vec_id"].to_numpy()
-            return pd.DataFrame({"recording_id": pdf["recording_id"].to_numpy(), "vec_id": ids, "cluster": ids[np.asarray(label, dtype=int)]})
+            return pd.DataFrame({"recording_id": pdf["recording_id"].to_numpy(), "vec_id": ids, "cluster": ids[np.asarray(decide(np.stack(pdf["embedding"].to_numpy()).astype(float)), dtype=int)]})
 
-        return vectors(spark, sf).select("recording_id", "vec_id", "label", "embedding").groupBy("recording_id").applyInPandas(one, "recording_id long, vec_id long, cluster long")
+        return voices(spark, source).select("recording_id", "vec_id", "embedding").groupBy("recording_id").applyInPandas(one, "recording_id long, vec_id long, cluster long")
 
     return run
 
 
-def _constrained(x, pdf):
-    labels = pdf["label"].tolist()
-    apart = {frozenset((i, j)) for i in range(len(x)) for j in range(i) if labels[i] != labels[j] and (i + j) % 5 == 0}
-    return groups.constrained_merge(groups.cosines(x), list(range(len(x))), apart, {0: "person-a", 1: "person-b"}, 0.15, 0.05)
+def _split_profiles(v):
+    """Profiles that may be several people (here: pairs of labels): each divided anew, labels of one recording kept apart."""
+    out = list(range(len(v)))
+    for half in {x["label"] // 2 for x in v}:
+        at = [i for i, x in enumerate(v) if x["label"] // 2 == half]
+        apart = {frozenset((a, b)) for a in range(len(at)) for b in range(a) if v[at[a]]["recording_id"] == v[at[b]]["recording_id"] and v[at[a]]["label"] != v[at[b]]["label"]}
+        for kind, least in (("single", 0.8), ("complete", 0.7)):
+            label = groups.linkage(np.array([v[i]["embedding"] for i in at]), least, kind, None, apart)
+            if kind == "complete":
+                for i, g in zip(at, label, strict=True):
+                    out[i] = at[g]
+    return out
 
 
-def _split(x, pdf):
-    labels = pdf["label"].tolist()
-    return groups.linkage(x, 0.1, "single", None, {frozenset((i, j)) for i in range(len(x)) for j in range(i) if labels[i] != labels[j]})
+def _constraints(v):
+    """What people have settled: anchors, pairs that are one, and pairs that aren't."""
+    anchors = {i: f"person-{x['label']}" for i, x in enumerate(v) if x["label"] in (1, 3) and x["recording_id"] % 4 == 0}
+    must = [(i, j) for i, x in enumerate(v) for j, y in enumerate(v) if i < j and x["uuid"] == y["uuid"] and x["recording_id"] + 1 == y["recording_id"] and x["label"] == 5]
+    cannot = [(i, j) for i, x in enumerate(v) for j, y in enumerate(v) if i < j and {x["label"], y["label"]} == {2, 8}]
+    return groups.reconcile(v, must, cannot, anchors)
 
 
-def _per_scope(body, schema):
-    def run(spark, sf):
-        names = [c.split()[0] for c in schema.split(", ")]
+def mixtures(spark, source):
+    """Voices that hold two people: those of a library's pairs of labels, and of single labels."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
+        return pd.DataFrame([(int(pdf["library_id"].iloc[0]), int(pdf["part"].iloc[0]), len(x), groups.mixture(x))], columns=["library_id", "part", "n", "mixed"])
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("vec_id")
-            return pd.DataFrame(body(pdf, np.stack(pdf["embedding"].to_numpy()).astype(float)), columns=names)
+    v = voices(spark, source).select("library_id", "label", "vec_id", "embedding")
+    both = v.withColumn("part", F.floor(F.col("label") / 2).cast("long")).unionByName(v.withColumn("part", (F.col("label") + 100).cast("long")))
+    return both.groupBy("library_id", "part").applyInPandas(one, "library_id long, part long, n long, mixed boolean")
 
-        return vectors(spark, sf).select("recording_id", "vec_id", "label", "embedding").groupBy("recording_id").applyInPandas(one, schema)
 
-    return run
+def _assigned(decide):
+    """The voices of each recording against the speakers that its library knows from its other recordings."""
 
+    def one(voices):
+        out = []
+        for r in sorted({v["recording_id"] for v in voices}):
+            new = [v for v in voices if v["recording_id"] == r]
+            old = [v for v in voices if v["recording_id"] != r]
+            known = [{"uuid": u, "mean": m, "prototypes": [x["embedding"] for x in old if x["uuid"] == u]} for u, m in speakers_of(old)]
+            out += [(r, v["uuid"], uuid) for v, uuid in zip(new, decide(new, known), strict=True)]
+        return out
 
-def _mixture(pdf, x):
-    return [(int(pdf["recording_id"].iloc[0]), bool(groups.mixture(x)))]
+    return per_library(one, "recording_id long, voice string, speaker_uuid string")
 
 
-def _components(pdf, x):
-    return [(int(pdf["recording_id"].iloc[0]), len(set(groups.single_linkage(x, 0.2))))]
+def _table(new, known):
+    one = lambda a, b: float(np.dot(a, b) / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1))
+    return np.array([[one(v["embedding"], k["mean"]) for k in known] for v in new]).reshape(len(new), len(known))
 
 
-def _centroid(pdf, x):
-    c = x.mean(axis=0)
-    s = np.sort(x @ (c / (np.linalg.norm(c) or 1)))
-    k = max(1, -(-len(s) // 4))
-    return [(int(pdf["recording_id"].iloc[0]), len(s), round(float(s[:k].mean()), 6), round(float(np.linalg.norm(c)), 6))]
+def _by_pairs(choose):
+    def decide(new, known):
+        out = [None] * len(new)
+        for i, j in choose(_table(new, known)):
+            out[i] = known[j]["uuid"]
+        return out
 
+    return decide
 
-def _prototypes(pdf, x):
-    out = []
-    for label in sorted(set(pdf["label"])):
-        m = x[(pdf["label"] == label).to_numpy()]
-        out.append((int(pdf["recording_id"].iloc[0]), int(label), len(m), round(float(np.linalg.norm(m.mean(axis=0))), 6)))
-    return out
 
+def _fragments(voices):
+    """Speakers of a library of whom little is known, and whose voice they are. Here a speaker's voices in all but the last two
+    recordings are one profile, and the rest a fragment."""
+    last = sorted({v["recording_id"] for v in voices})[-2:]
+    made: dict[str, dict] = {}
+    for v in voices:
+        uuid = f"{v['uuid']}-late" if v["recording_id"] in last else v["uuid"]
+        p = made.setdefault(uuid, {"uuid": uuid, "name": None, "manual": False, "prototypes": [], "occurrences": {}})
+        p["prototypes"].append(v["embedding"])
+        p["occurrences"].setdefault(v["recording_id"], []).extend(v["spans"])
+    for p in made.values():
+        p["mean"] = np.mean(p["prototypes"], axis=0)
+    found = (groups.consolidation(p, list(made.values()), 0.75) for _, p in sorted(made.items()))
+    return [(x["uuid"], x["target"], round(x["score"], 6), round(x["margin"], 6), x["support"]) for x in found if x]
 
-def _assign(kind):
-    def body(pdf, x):
-        half = len(x) // 2
-        s = groups.cosines(x)[:half, half:]
-        pairs = groups.greedy(s, 0.0) if kind == "greedy" else groups.hungarian(s)
-        ids, rec = pdf["vec_id"].tolist(), int(pdf["recording_id"].iloc[0])
-        return [(rec, ids[i], ids[half + j]) for i, j in pairs]
 
-    return body
+def _review(voices):
+    samples = [{"id": i, "recording_id": v["recording_id"], "uuid": v["uuid"], "embedding": v["embedding"], "mixed": not v["reliable"]} for i, v in enumerate(voices)]
+    return [(voices[x["a"]]["key"], voices[x["b"]]["key"], round(x["points"], 6), x["reason"]) for x in groups.review_pairs(samples)]
 
 
-def _consensus(pdf, x):
-    half = len(x) // 2
-    c, ids, labels, out = groups.cosines(x), pdf["vec_id"].tolist(), pdf["label"].tolist(), []
-    for i in range(half):
-        best = None
-        for label in sorted(set(labels[half:])):
-            e = sorted((c[i, j] for j in range(half, len(x)) if labels[j] == label), reverse=True)
-            s = max(float(np.mean(e)), 0.7 * e[0] + 0.3 * float(np.mean(e[:3])))
-            best = max(best or (-9.0, 0), (round(s, 9), -label))
-        out.append((int(pdf["recording_id"].iloc[0]), ids[i], -best[1], round(best[0], 6)))
-    return out
+def calibration(spark, source):
+    """Logistic weights of cosine and z-score for each library's labelled development pairs."""
+    z = analytics.cohort_features(SPARK)
+    t = statement(spark, source, f"SELECT v.library_id, p.a, p.b, z.cosine, z.z, p.verdict = 'same' AS same FROM gold_pairs p JOIN vectors v ON v.vec_id = p.a JOIN ({z}) z ON z.a = least(p.a, p.b) AND z.b = greatest(p.a, p.b) WHERE p.verdict <> 'unsure' AND p.role = 'development'")
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"])
+        w = groups.calibrate(pdf[["cosine", "z"]].to_numpy(dtype=float), pdf["same"].to_numpy(dtype=float))
+        return pd.DataFrame([(int(pdf["library_id"].iloc[0]), len(pdf), *([None] * 3 if w is None else [round(float(v), 6) for v in w]))], columns=["library_id", "n", "bias", "cosine", "z"])
 
-def _calibration(pdf, x):
-    c, labels = groups.cosines(x), pdf["label"].to_numpy()
-    i, j = np.triu_indices(len(x), 1)
-    f = np.stack([c[i, j], np.abs(i - j) / len(x)], axis=1)
-    w = groups.calibrate(f, (labels[i] == labels[j]).astype(float))
-    return [(int(pdf["recording_id"].iloc[0]), None if w is None else round(float(w[0]), 6), None if w is None else round(float(w[1]), 6))]
+    return t.groupBy("library_id").applyInPandas(one, "library_id long, n long, bias double, cosine double, z double")
 
 
-def _boundaries(pdf, x):
-    a, b = sorted(x[: len(x) // 2, 0] * 10), sorted(x[len(x) // 2 :, 0] * 10)
-    return [(int(pdf["recording_id"].iloc[0]), len(groups.match_boundaries(a, b)))]
+def apply_and_undo(spark, source):
+    """Who is who, with a library's reconciliation applied and taken back: in both versions the rows that it changed."""
+    table = sinks.Assignments(spark, fresh_path(spark, "assignments"))
+    table.start(voices(spark, source).select(F.col("vec_id").alias("id"), "speaker_uuid"))
+    moved = cut(_personas("single")(spark, source).where("persona <> speaker_uuid"), "personas")
+    table.apply(0, table.now(0).join(moved, "speaker_uuid").select("id", F.col("persona").alias("speaker_uuid")))
+    back = table.undo(1, 1)
+    was, now = table.now(0).withColumnRenamed("speaker_uuid", "first"), table.now(1).withColumnRenamed("speaker_uuid", "applied")
+    return was.join(now, "id").join(back.withColumnRenamed("speaker_uuid", "undone"), "id").where("first <> applied")
 
 
 def _identity(decide, schema):
-    def run(spark, sf):
-        names = [c.split()[0] for c in schema.split(", ")]
-        t = turns(spark, sf).select((F.col("recording_id") % 5).alias("scope"), "recording_id", "speaker").distinct()
-        return t.groupBy("scope").applyInPandas(lambda pdf: pd.DataFrame(decide(pdf), columns=names), schema)
+    """Libraries' voices in meetings, and who was invited: each voice is there in some meetings, with the person whose it is."""
+
+    def run(spark, source):
+        names = ["library_id", *(c.split()[0] for c in schema.split(", "))]
+        t = voices(spark, source).where((F.col("label") - F.col("recording_id") % 10).isin(0, 1, 4)).select("library_id", "recording_id", "label").distinct()
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            meetings = [(int(r), {f"v{x}" for x in g["label"]}, {f"p{x}" for x in g["label"] if x - r % 10 != 4}) for r, g in sorted(pdf.groupby("recording_id"), key=lambda x: x[0])]
+            return pd.DataFrame([(int(pdf["library_id"].iloc[0]), *row) for row in decide(meetings)], columns=names)
+
+        return t.groupBy("library_id").applyInPandas(one, f"library_id long, {schema}")
 
     return run
 
 
-def _deduced(pdf):
-    meetings = [(set(g["speaker"]), {f"p{s[1:]}" for s in g["speaker"]}) for _, g in sorted(pdf.groupby("recording_id"), key=lambda x: x[0])]
-    return [(int(pdf["scope"].iloc[0]), v, p) for v, p in sorted(groups.deduce(meetings).items())]
+def _deduced(meetings):
+    return sorted(groups.deduce([(v, p) for _, v, p in meetings], "v0").items())
+
 
+def _tiered(meetings):
+    rows = []
+    for voice in sorted({v for _, vs, _ in meetings for v in vs}):
+        mine = [i for i, (_, vs, _) in enumerate(meetings) if voice in vs]
+        for person in sorted({p for _, _, ps in meetings for p in ps}):
+            theirs = [i for i, (_, _, ps) in enumerate(meetings) if person in ps]
+            both = len(set(mine) & set(theirs))
+            if both:
+                rows.append({"voice": voice, "person": person, "coverage": both / len(mine), "shared": both, "specificity": both / len(theirs), "rank": both / len(mine) * both})
+    return [(r["voice"], r["person"], r["tier"]) for r in groups.tiered(rows)]
 
-def _tiered(pdf):
-    counts = pdf.groupby("speaker").size().to_dict()
-    whole = sum(counts.values())
-    rows = [{"voice": v, "person": f"p{k}", "coverage": n / whole * (2 if k == int(v[1:]) else 1), "shared": n, "specificity": 0.6, "rank": n / whole * (2 if k == int(v[1:]) else 1)} for v, n in counts.items() for k in range(3)]
-    return [(int(pdf["scope"].iloc[0]), r["voice"], r["person"], r["tier"]) for r in groups.tiered(rows)]
 
+# --- evaluation ------------------------------------------------------------------------------------------------------
 
-def token_sidecars(spark, sf):
-    u = utterances(spark, sf).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("utterance_index", "start_time", "end_time", "text", "suspicion"))).alias("l"))
+
+def _references(spark, source) -> DataFrame:
+    """Lines as the reference, and a prediction: later by half a second, joined in pairs here and there, and some relabelled."""
+    u = utterances(spark, source).select("recording_id", "utterance_index", "speaker", "start_time", "end_time", "n_words")
+    wrong = F.when(F.col("utterance_index") == 3, "user").otherwise(F.concat(F.lit("p-"), "speaker"))
+    h = u.withColumns({"speaker": wrong, "start_time": F.col("start_time") + 0.5, "end_time": F.col("end_time") + F.when(F.col("utterance_index") % 4 == 1, 3.0).otherwise(0.5)})
+    return u.withColumn("side", F.lit("ref")).unionByName(h.where("utterance_index % 6 <> 5").withColumn("side", F.lit("hyp")))
+
+
+def _components(spark, source) -> DataFrame:
+    names = ["missed", "false_alarm", "confused", "seconds", "words", "word_errors", "mixed", "scored", "reference_speakers", "predicted_speakers", "segments", "reference_segments"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["side", "utterance_index"]).to_dict("records")
+        got = groups.diarisation([r for r in rows if r["side"] == "ref"], [r for r in rows if r["side"] == "hyp"])
+        return pd.DataFrame([[int(pdf["recording_id"].iloc[0]), *[float(got[n]) for n in names]]], columns=["recording_id", *names])
+
+    return _references(spark, source).groupBy("recording_id").applyInPandas(one, "recording_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def diarisation_error(spark, source):
+    """Missed, falsely heard and confused seconds of each recording under the best mapping of speakers, and their share."""
+    c = _components(spark, source)
+    share = (F.col("missed") + F.col("false_alarm") + F.col("confused")) / F.greatest("seconds", F.lit(1e-6))
+    return c.select("recording_id", *[F.round(x, 6).alias(x) for x in ("missed", "false_alarm", "confused", "seconds")], F.round(share, 6).alias("der"))
+
+
+def pipeline_metrics(spark, source):
+    """Over all recordings: word errors by speaker, error of the number of speakers, fragmentation, share of segments that mix
+    speakers, mean and 95th percentile of their length (the value at place ceil(0.95 n))."""
+    c = _components(spark, source).agg(F.round(F.sum("word_errors") / F.sum("words"), 6).alias("wder"), F.round(F.avg(F.abs(F.col("reference_speakers") - F.col("predicted_speakers"))), 6).alias("count_error"), F.round(F.sum("segments") / F.sum("reference_segments"), 6).alias("fragmentation"), F.round(F.sum("mixed") / F.sum("scored"), 6).alias("mixed_rate"))
+    d = _references(spark, source).where("side = 'hyp' AND end_time > start_time").withColumn("d", F.col("end_time") - F.col("start_time"))
+    return c.crossJoin(d.agg(F.round(F.avg("d"), 6).alias("mean_seconds"), F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY d)"), 6).alias("p95_seconds")))
+
+
+def boundaries(spark, source):
+    """How many ends of settled lines a second transcript of the recording has within 0.75 s, each once."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ref, hyp = pdf[(pdf["side"] == "ref") & (pdf["utterance_index"] % 5 == 0)], pdf[pdf["side"] == "hyp"]
+        near = hyp[[bool(((a < ref["end_time"]) & (b > ref["start_time"])).any()) for a, b in zip(hyp["start_time"], hyp["end_time"], strict=True)]] if len(hyp) else hyp
+        matched = folds.match_ends(ref["end_time"].tolist(), near["end_time"].tolist()) if len(ref) else 0
+        return pd.DataFrame([(int(pdf["recording_id"].iloc[0]), matched, len(ref), len(near))], columns=["recording_id", "matched", "reference", "candidate"])
+
+    return _references(spark, source).groupBy("recording_id").applyInPandas(one, "recording_id long, matched long, reference long, candidate long")
+
+
+# --- readers, sinks, search ------------------------------------------------------------------------------------------
+
+
+def token_sidecars(spark, source):
+    u = utterances(spark, source).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("utterance_index", "start_time", "end_time", "text", "suspicion"))).alias("l"))
     seg = F.transform("l", lambda x: F.struct(F.struct((x["start_time"] * 1000).cast("long").alias("from"), (x["end_time"] * 1000).cast("long").alias("to")).alias("offsets"), x["text"].alias("text"), F.array(F.struct(x["text"].alias("text"), F.lit(1).cast("long").alias("id"), x["suspicion"].alias("p"))).alias("tokens")))
     return transcripts.tokens(u.select("recording_id", F.to_json(F.struct(seg.alias("transcription"))).alias("json")))
 
 
-def diarised(spark, sf):
-    """Valid, fenced and truncated arrays under two spellings of the keys."""
-    u = utterances(spark, sf).where("NOT contains(text, '{') AND NOT contains(text, '}')")
+def whole_output(spark, source):
+    """Whole recogniser output: envelopes and lists, in fences and without, some of a newer schema or broken off."""
+    u = utterances(spark, source)
+    one = F.struct(F.round("start_time", 2).alias("Start"), F.round("end_time", 2).alias("End"), F.col("speaker").alias("Speaker"), F.col("text").alias("Content"))
+    two = F.struct(F.round("start_time", 2).alias("start"), F.round("end_time", 2).alias("end"), "speaker", "text")
+    g = u.groupBy("recording_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("a"), F.to_json(F.array_sort(F.collect_list(two))).alias("b"), F.max("end_time").alias("duration"))
+    k = F.col("recording_id") % 5
+    json = F.when(k == 0, F.col("a")).when(k == 1, F.concat(F.lit('{"schema_version": 1, "segments": '), "b", F.lit("}"))).when(k == 2, F.concat(F.lit("```json\n"), "b", F.lit("\n```"))).when(k == 3, F.concat(F.lit('{"schema_version": 9, "segments": '), "b", F.lit("}"))).otherwise(F.expr("substring(b, 1, length(b) - 9)"))
+    return transcripts.diarised(g.select("recording_id", json.alias("json"), (F.col("duration") - 1).alias("duration")), duration="duration")
+
+
+def broken_output(spark, source):
+    """Output that breaks off, under several spellings of its keys, with clocks and braces in texts."""
+    u = utterances(spark, source)
+    clock = lambda c: F.format_string("%d:%05.2f", F.floor(F.col(c) / 60).cast("int"), F.col(c) % 60)
     one = F.to_json(F.struct(F.format_string("%.2fs", "start_time").alias("Start"), F.round("end_time", 2).alias("End"), F.col("speaker").alias("Speaker ID"), F.col("text").alias("Content")))
-    two = F.to_json(F.struct(F.round("start_time", 2).alias("start"), F.round("end_time", 2).alias("end"), "speaker", "text"))
-    raw = u.withColumn("o", F.when(F.col("recording_id") % 2 == 0, one).otherwise(two)).groupBy("recording_id").agg(F.concat(F.lit("```json\n["), F.array_join(F.sort_array(F.collect_list("o")), ","), F.lit(', {"start": 1, "end')).alias("json"))
+    two = F.to_json(F.struct(clock("start_time").alias("Start time"), clock("end_time").alias("End time"), "speaker", F.concat("text", F.lit(" {in braces}")).alias("text"), F.struct(F.lit(1).alias("x")).alias("more")))
+    raw = u.withColumn("o", F.when(F.col("recording_id") % 2 == 0, one).otherwise(two)).groupBy("recording_id").agg(F.concat(F.lit("```json\n["), F.array_join(F.sort_array(F.collect_list("o")), ","), F.lit(', {"start": true, "end": 5, "text": "no time"}, {"start": 1, "end')).alias("json"))
     return transcripts.segments(raw)
 
 
-def watched_folder(spark, sf):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    name = uuid.uuid4().hex
-    folder, table = f"{root}/inbox-{name}", f"inbox_{name}"
-    utterances(spark, sf).select("recording_id", "id", "text").repartition(3, "recording_id").write.json(folder)
-    q = transcripts.watched(spark, folder, "recording_id long, id long, text string").writeStream.format("memory").queryName(table).trigger(availableNow=True).option("checkpointLocation", f"{root}/ledger-{name}").start()
-    q.awaitTermination()
-    return spark.table(table).groupBy("recording_id").agg(F.count("*").alias("lines"))
+def watched_folder(spark, source):
+    """Files that come into a folder, taken once: what is seen twice is read once."""
+    folder, table, ledger = (fresh_path(spark, n) for n in ("inbox", "received", "ledger"))
+    u = utterances(spark, source).select("recording_id", "id", "text")
+    schema = "recording_id long, id long, text string"
+    for part in (0, 1):
+        u.where(F.col("id") % 2 == part).write.mode("append").json(folder)
+        transcripts.collect(transcripts.watched(spark, folder, schema), table, ledger)
+    transcripts.collect(transcripts.watched(spark, folder, schema), table, ledger)  # nothing new
+    return spark.read.schema(f"{schema}, batch int").parquet(table).groupBy("recording_id").agg(F.count("*").alias("lines"), F.countDistinct("id").alias("kinds"))
 
 
-def voices(spark, sf):
-    register(spark, sf)
-    e = spark.table("events").select((F.col("user_id") % 10).alias("track"), F.col("event_id").alias("block"), (F.col("value") / 100).alias("level"))
+def near_lines(spark, source):
+    """The nearest lines to some of the lines, by the approximate index."""
+    v = statement(spark, source, search.eligible(SPARK))
+    index = vectors.Approximate(cut(v, "indexed"))
+    asked = v.orderBy("vec_id").limit(3).select("vec_id", "embedding").collect()
+    found = [index.search(list(map(float, r["embedding"])), 10, v)[0].withColumn("asked", F.lit(r["vec_id"])) for r in asked]
+    return found[0].unionByName(found[1]).unionByName(found[2]) if len(found) == 3 else found[0]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        b = pdf["block"].tolist()
-        return pd.DataFrame([(int(pdf["track"].iloc[0]), b[i], s) for i, s in folds.detect_voice(pdf["level"].tolist(), 2, 3, 1.2, 0.3)], columns=["track", "block", "speaking"])
 
-    return e.groupBy("track").applyInPandas(one, "track long, block long, speaking boolean")
+def widened(spark, source):
+    """A search within a scope so small that candidates must be widened: what was examined, and whether it is complete."""
+    v = statement(spark, source, search.eligible(SPARK))
+    index = vectors.Approximate(cut(v, "indexed"))
+    vector = list(map(float, v.orderBy("vec_id").first()["embedding"]))
+    rows = []
+    for name, scope in (("all", v), ("few", v.where("vec_id % 40 = 1")), ("none", v.limit(0))):
+        found, complete, examined = index.search(vector, 10, scope)
+        rows.append((name, found.count(), complete, examined))
+    return spark.createDataFrame(rows, "scope string, found int, complete boolean, examined int")
+
+
+def routed(spark, source):
+    """What each mode runs, with vectors and without."""
+    rows = []
+    for ready in (True, False):
+        lib = Library(spark, source, ready=ready)
+        for mode in ("keyword", "semantic", "hybrid", "ann"):
+            try:
+                got = lib.search(search.QUERY, mode, limit=5, like=7)
+                rows.append((ready, mode, got.mode, got.note, got.complete, got.hits.count()))
+            except RuntimeError as e:
+                rows.append((ready, mode, None, str(e), True, 0))
+    return spark.createDataFrame(rows, "ready boolean, asked string, ran string, note string, complete boolean, hits int")
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+def maintained(spark, source):
+    """Changes of lines that come in files, out of order: hidden, shown again, corrected. The index is what the latest say."""
+    folder, table, ledger = (fresh_path(spark, n) for n in ("changes", "lines", "ledger"))
+    u = utterances(spark, source).select("id", "text", "is_hidden", F.lit(1).alias("version"))
+    late = u.where("id % 3 = 0").withColumns({"text": F.upper("text"), "version": F.lit(3), "is_hidden": F.col("id") % 2 == 0})
+    early = u.where("id % 3 = 0").withColumns({"text": F.lower("text"), "version": F.lit(2), "is_hidden": F.lit(False)})
+    for part in (u, late, early):
+        part.write.mode("append").parquet(folder)
+        live.maintain(spark.readStream.schema(u.schema).parquet(folder), table, ledger).awaitTermination()
+    return live.indexed(spark, table)
+
+
+def high_water_mark(spark, source):
+    """Three sweeps with new exemplars in between: each looks at the new ones alone."""
+    state = fresh_path(spark, "mark")
+    ex = statement(spark, source, "SELECT id, text FROM exemplars")
+    middle = ex.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY id)")).first()[0] or 0
+    lines = statement(spark, source, f"SELECT id, {SPARK.canonical('text')} AS t FROM text_lines")
+
+    def sweep(new: DataFrame) -> DataFrame:
+        return lines.join(new.select(F.col("id").alias("ex"), F.col("text").alias("t")), "t").select("id", "ex")
+
+    done = [live.sweep_new(spark, seen, sweep, state).withColumn("sweep", F.lit(n)) for n, seen in enumerate((ex.where(F.col("id") <= middle), ex, ex))]
+    return done[0].unionByName(done[1]).unionByName(done[2]).groupBy("sweep").agg(F.count("*").alias("hits"), F.countDistinct("ex").alias("exemplars"), F.min("ex").alias("first"))
 
 
-def session_windows(spark, sf):
-    register(spark, sf)
-    return live.sessions(spark.table("events")).select("user_id", F.col("start").cast("string").alias("start"), "n")
+def session_windows(spark, source):
+    return live.sessions(statement(spark, source, "SELECT * FROM events")).select("user_id", F.col("start").cast("string").alias("start"), "n")
 
 
-ID2, CLUSTER = "recording_id long, ", "recording_id long, vec_id long, cluster long"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "SRC-06": token_sidecars, "SRC-07": diarised, "SRC-09": watched_folder, "SRC-11": diarised, "JN-18": claims, "RNK-05": moments, "VEC-09": moving_average,
+    "SRC-06": token_sidecars, "SRC-07": whole_output, "SRC-09": watched_folder, "SRC-11": broken_output, "JN-18": claims, "RNK-03": routed, "RNK-05": moments, "RNK-06": conversations, "VEC-03": near_lines, "VEC-05": widened, "VEC-09": moving_average,
     "WIN-05": segments, "WIN-06": spans, "WIN-07": target_windows, "WIN-09": capped_pairs, "WIN-13": sentences, "WIN-16": stitched, "WIN-18": split_points, "WIN-19": packed_spans, "WIN-20": collapsed,
-    "TXT-10": _texts(folds.longest_run), "TXT-11": _texts(folds.runaway), "TXT-19": exemplars,
-    "CLU-01": _clusters(lambda x, pdf: groups.single_linkage(x, 0.2)), "CLU-02": _clusters(lambda x, pdf: groups.linkage(x, 0.05)), "CLU-03": _clusters(lambda x, pdf: groups.dbscan_sweep(x, (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0))),
-    "CLU-04": _clusters(lambda x, pdf: groups.linkage(x, 0.05, "average")), "CLU-05": _clusters(_constrained), "CLU-06": _clusters(_split), "CLU-07": _per_scope(_mixture, ID2 + "mixed boolean"), "CLU-08": _per_scope(_components, ID2 + "components long"),
-    "AGG-24": _per_scope(_prototypes, ID2 + "label long, n long, norm double"), "AGG-25": _per_scope(_centroid, ID2 + "n long, low_cohesion double, norm double"), "AGG-26": _per_scope(_centroid, ID2 + "n long, low_cohesion double, norm double"),
-    "ASG-01": _per_scope(_assign("greedy"), ID2 + "a long, b long"), "ASG-02": _per_scope(_assign("hungarian"), ID2 + "a long, b long"), "ASG-03": _per_scope(_consensus, ID2 + "vec_id long, label long, score double"), "REC-02": _per_scope(_calibration, ID2 + "bias double, weight double"),
-    "REC-04": _clusters(_constrained), "EVL-03": _per_scope(_boundaries, ID2 + "matched long"), "INF-01": _identity(_deduced, "scope long, voice string, person string"), "INF-03": _identity(_tiered, "scope long, voice string, person string, tier string"),
-    "STR-10": voices, "STR-11-sessions": session_windows,
+    "TXT-10": longest_runs, "TXT-11": runaways, "TXT-17": suspicions, "TXT-18": tiers, "TXT-19": exemplars,
+    "CLU-01": _personas("single"), "CLU-02": _personas("complete"), "CLU-03": _of_segments(groups.dbscan_sweep), "CLU-04": _of_segments(lambda x: groups.linkage(x, 0.5, "average")), "CLU-04-target": _of_segments(lambda x: groups.linkage(x, 0.0, "average", 10)),
+    "CLU-05": _grouped(groups.evidence_graph), "CLU-06": _grouped(_split_profiles), "CLU-07": mixtures, "CLU-08": per_library(lambda v: [(len(v), len(set(groups.single_linkage(np.array([x["embedding"] for x in v]), 0.8))))], "voices long, components long"),
+    "ASG-01": _assigned(_by_pairs(lambda s: groups.greedy(s, 0.85))), "ASG-02": _assigned(_by_pairs(lambda s: groups.optimal(s, 0.8, 0.05))), "ASG-03": _assigned(lambda new, known: groups.consensus(new, known, 0.8, 0.05)), "ASG-04": per_library(_fragments, "speaker_uuid string, target string, score double, margin double, support long"),
+    "REC-02": calibration, "REC-04": _grouped(_constraints), "REC-05": apply_and_undo, "INF-01": _identity(_deduced, "voice string, person string"), "INF-03": _identity(_tiered, "voice string, person string, tier string"),
+    "EVL-01": word_errors, "EVL-02-words": candidate_errors, "EVL-03": boundaries, "EVL-04": diarisation_error, "EVL-05": pipeline_metrics, "EVL-11": per_library(_review, "a string, b string, points double, reason string"),
+    "STR-01": maintained, "STR-08": high_water_mark, "STR-10": voice_changes, "STR-11-sessions": session_windows,
 }

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import FLOOR, hear
+from ..storage import cut, exists
+
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """ts, event_type, value -> counts and sums by tumbling window. The same plan runs on a stream and on a table."""
@@ -25,38 +28,63 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def voices(blocks: DataFrame, start: int = 4, end: int = 18, ratio: float = 2.5, floor: float = 0.01) -> DataFrame:
-    """track, block, level -> track, block, speaking at each change of state; works on streams in order of block."""
+def voices(blocks: DataFrame) -> DataFrame:
+    """track, block, rms, peak -> track, block, speaking at each change of state.
+
+    The state of a track is four numbers, so tracks may go on for ever. A batch's blocks are taken in order; blocks come in
+    order from one batch to the next.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        noise, speaking, loud, quiet = state.get if state.exists else (floor, False, 0, 0)
+        now = state.get if state.exists else (FLOOR, False, 0, 0)
         out = []
-        for block, level in sorted((int(b), float(v)) for pdf in batches for b, v in zip(pdf["block"], pdf["level"], strict=True)):
-            if level > max(floor, noise * ratio):
-                loud, quiet = loud + 1, 0
-            else:
-                loud, quiet = 0, quiet + 1
-                if not speaking:
-                    noise = 0.97 * noise + 0.03 * level
-            if (not speaking and loud >= start) or (speaking and quiet >= end):
-                speaking = not speaking
-                out.append((key[0], block, speaking))
-        state.update((float(noise), bool(speaking), int(loud), int(quiet)))
+        for block, rms, peak in sorted((int(b), float(r), float(p)) for pdf in batches for b, r, p in zip(pdf["block"], pdf["rms"], pdf["peak"], strict=True)):
+            now, changed = hear(now, rms, peak)
+            if changed:
+                out.append((key[0], block, now[1]))
+        state.update((float(now[0]), bool(now[1]), int(now[2]), int(now[3])))
         yield pd.DataFrame(out, columns=["track", "block", "speaking"])
 
-    return blocks.groupBy("track").applyInPandasWithState(step, "track long, block long, speaking boolean", "noise double, speaking boolean, loud int, quiet int", "append", GroupStateTimeout.NoTimeout)
+    return blocks.groupBy("track").applyInPandasWithState(step, "track long, block long, speaking boolean", "floor double, speaking boolean, loud int, quiet int", "append", GroupStateTimeout.NoTimeout)
+
+
+BUCKETS = 64
+
+
+def merge(batch: DataFrame, path: str, key: str = "id", order: str = "version") -> None:
+    """Take changes into the table at ``path``: of each row the one with the greatest ``order`` stays, whether it is in the
+    table or in the batch, so late and repeated changes do no harm. Hidden rows stay as marks of their version.
+
+    The table is parted by a hash of the key, and only parts with a change are read and written again: first beside the
+    table, then over it.
+    """
+    spark = batch.sparkSession
+    new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+    old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)) if exists(spark, path) else new.limit(0)
+    rest = F.struct(*[c for c in new.columns if c not in (key, "bucket")])
+    both = old.select(*new.columns).unionByName(new).groupBy("bucket", key).agg(F.max_by(rest, order).alias("r")).select(key, "r.*", "bucket")
+    staged = cut(both.select(*new.columns), "staged")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def maintain(changes: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "version"):
-    """Keep the table at ``path`` equal to the latest visible version of each row of a stream of changes."""
-
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("r")).select(key, "r.*")
-        try:
-            old = spark.read.parquet(f"{path}/v{n - 1}")
-        except Exception:
-            old = latest.limit(0)
-        old.join(latest, key, "left_anti").unionByName(latest.where("NOT is_hidden")).write.mode("overwrite").parquet(f"{path}/v{n}")
-
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep the table at ``path`` equal to the latest version of each row of a stream of changes; see :func:`merge`."""
+    return changes.writeStream.foreachBatch(lambda batch, n: merge(batch, path, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def indexed(spark: SparkSession, path: str) -> DataFrame:
+    """The visible rows of a table that :func:`maintain` keeps."""
+    return spark.read.parquet(path).where("NOT is_hidden").drop("bucket")
+
+
+def sweep_new(spark: SparkSession, exemplars: DataFrame, sweep: Callable[[DataFrame], DataFrame], state: str) -> DataFrame:
+    """``sweep`` of the exemplars (id, ..) that no sweep before has seen; their greatest id is then the mark in the table at
+    ``state``. Without new exemplars the result is empty and the mark stays. The mark is written after the hits are."""
+    mark = (spark.read.parquet(state).agg(F.max("mark")).first()[0] if exists(spark, state) else None) or 0
+    new = exemplars.where(F.col("id") > mark)
+    hits = cut(sweep(new), "hits")
+    last = new.agg(F.max("id")).first()[0]
+    if last is not None:
+        spark.createDataFrame([(int(last),)], "mark long").write.mode("append").parquet(state)
+    return hits

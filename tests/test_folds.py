@@ -16,7 +16,7 @@ def test_moments_are_anchored_on_their_first_hit():
     assert [m["members"] for m in got] == [[1, 2], [3]]
     assert len(folds.moments([hit(10, 1, 0), hit(11, 50, 0)])) == 2
     best = folds.moments([hit(10, 1, 10, 0.02), hit(11, 2, 15, 0.03), hit(12, 10, 100)])
-    assert [(m["id"], m["members"]) for m in best] == [(11, [10, 11]), (12, [12])]
+    assert [(m["id"], m["members"]) for m in best] == [(11, [11, 10]), (12, [12])]
 
 
 def test_stitching_and_collapsing():
@@ -32,19 +32,48 @@ def test_claims_are_one_to_one_in_order():
     assert [(r["decision"], r["line"]) for r in got] == [(1, 7), (2, 8)]
 
 
-def test_runs():
-    assert folds.longest_run("a b a b a b c") == 3 and folds.longest_run("") == 0
-    assert folds.runaway("no " * 12) and not folds.runaway("all words of this line are different from each other here")
-
-
 def test_exemplars_forget():
     row = lambda t, learn, s="user": {"text": t, "learn": learn, "source": s}
     assert folds.exemplars([row("x", True, "detector"), row("x", False), row("x", True, "verifier"), row("x", True)]) == [{"text": "x", "occurrences": 2, "source": "user"}]
+    assert folds.exemplars([row("x", True), row("x", False)]) == [] and folds.exemplars([row("a b c d e f g h i", True)]) == []
+
+
+def test_conversations_are_scored_by_three_moments_and_the_title():
+    def at(rec, i, index, start, score, field="transcript"):
+        return {"recording_id": rec, "id": i, "utterance_index": index, "start_time": float(start), "score": score, "field": field}
+
+    one = folds.conversation([at(2, 20, 1, 0, 0.028), at(2, 21, 20, 120, 0.009)])[0]
+    assert abs(one["score"] - 0.0298) < 1e-9 and one["moments"] == 2 and not one["title_only"]
+    two = folds.conversation([at(1, 10, 1, 0, 0.02), at(1, -1, -1, 0, 0.5, "title")])[0]
+    assert abs(two["score"] - 0.022) < 1e-9
+    alone = folds.conversation([at(2, -1, -1, 0, 0.8, "title")])[0]
+    assert alone["title_only"] and alone["score"] == 0.8
+
+
+def test_policies_of_the_merge():
+    def line(i, a, b, text="words and more", speaker="A", context=""):
+        return {"recording_id": 1, "utterance_index": i, "speaker": speaker, "start_time": a, "end_time": b, "n_words": len(text.split()), "text": text, "context": context}
+
+    rows = [line(0, 0.0, 2.0), line(1, 2.9, 5.0), line(2, 5.1, 8.0, speaker="B"), line(3, 8.2, 9.0, speaker="B", context="x")]
+    count = lambda p: [r["lines"] for r in folds.merge_segments(rows, p)]
+    assert count("legacy") == [2, 2] and count("readable") == [2, 1, 1] and count("safe") == [1, 1, 1, 1]
+    long = [line(i, i * 20.0, i * 20.0 + 19.5, "it ends here." if i == 1 else "it goes on") for i in range(4)]
+    assert [r["lines"] for r in folds.merge_segments(long, "readable")] == [2, 2]  # after 25 s a sentence's end divides
+    assert [r["lines"] for r in folds.merge_segments(long, "legacy")] == [4]
+
+
+def test_ends_are_matched_once():
+    assert folds.match_ends([1.0, 2.0, 9.0], [1.2, 2.9, 9.5]) == 2 and folds.match_ends([1.0, 1.1], [1.05]) == 1
 
 
 def test_voice_has_hysteresis():
-    levels = [0.0] * 5 + [1.0] * 6 + [0.0] * 4 + [1.0] * 2 + [0.0] * 25
-    assert folds.detect_voice(levels) == [(8, True), (34, False)]
+    quiet, loud = (0.0005, 0.002), (0.02, 0.05)
+    blocks = [quiet] * 5 + [loud] * 6 + [quiet] * 4 + [loud] * 2 + [quiet] * 25
+    assert folds.detect_voice(blocks) == [(8, True), (34, False)]
+    assert folds.detect_voice([(0.02, 0.005)] * 10) == []  # no peak
+    assert folds.detect_voice([loud] * 3 + [quiet] + [loud] * 3) == []
+    # The floor is learned while nobody speaks, and holds the threshold within its bounds.
+    assert folds.detect_voice([(0.0024, 0.01)] * 200) == [] and folds.detect_voice([(0.0049, 0.01)] * 4) == [(3, True)]
 
 
 def test_assignment_is_optimal():
@@ -60,12 +89,71 @@ def angles(*degrees):
     return np.array([[np.cos(np.radians(a)), np.sin(np.radians(a))] for a in degrees])
 
 
+def nodes(*of, **more):
+    return [{"recording_id": r, "embedding": angles(a)[0], "spans": [], "reliable": True} | more for r, a in of]
+
+
 def test_constraints_win_over_similarity():
-    c = groups.cosines(angles(0, 5, 65, 70))
-    assert groups.constrained_merge(c, [1, 2, 1, 2], set(), {}) == [0, 0, 2, 2]
-    c = groups.cosines(angles(0, 0))
-    assert groups.constrained_merge(c, [1, 2], {frozenset((0, 1))}, {}) == [0, 1]
-    assert groups.constrained_merge(c, [1, 2], set(), {0: "a", 1: "b"}) == [0, 1]
+    assert groups.evidence_graph(nodes((1, 0), (2, 5), (1, 65), (2, 70)), 0.50, 0.20) == [0, 0, 2, 2]
+    two = nodes((1, 0), (2, 0))
+    assert groups.evidence_graph(two) == [0, 0] and groups.reconcile(two) == [0, 0]
+    assert groups.reconcile(two, cannot=[(0, 1)]) == [0, 1]
+    assert groups.reconcile(two, anchors={0: "person-a", 1: "person-b"}) == [0, 1]
+    assert groups.evidence_graph([x | {"reliable": False} for x in two]) == [0, 1]
+    # A single pair must be exceptional, and each the other's nearest by a margin.
+    assert groups.evidence_graph(nodes((1, 0), (2, 45)), 0.65) == [0, 1]
+    assert groups.reconcile(nodes((1, 0), (2, 80)), must=[(0, 1)]) == [0, 0]
+    # Who speaks at the same time isn't one person.
+    a, b, c = nodes((1, 0), (2, 1), (1, 2))
+    a["spans"], c["spans"] = [(0.0, 2.0)], [(1.0, 3.0)]
+    got = groups.evidence_graph([a, b, c])
+    assert got[0] != got[2]
+
+
+def test_margins_floors_and_second_passes_of_assignment():
+    s = np.array([[0.9, 0.88], [0.2, 0.95]])
+    assert groups.optimal(s, 0.85) == [(0, 0), (1, 1)] and groups.optimal(s, 0.85, 0.05) == [(1, 1)]
+    known = [{"uuid": "a", "mean": angles(0)[0], "prototypes": list(angles(0, 3, 5))}, {"uuid": "b", "mean": angles(90)[0], "prototypes": [angles(90)[0]]}]
+    new = [{"embedding": angles(d)[0], "spans": [(t, t + 1)], "reliable": True} for d, t in ((1, 0), (4, 5), (91, 9), (45, 20))]
+    assert groups.consensus(new, known) == ["a", "a", "b", None]
+    new[1]["spans"] = [(0.2, 0.9)]  # at once with the first
+    assert groups.consensus(new, known)[:2].count("a") == 1
+    assert groups.consensus([new[0] | {"reliable": False}], known) == [None] and groups.consensus(new, []) == [None] * 4
+
+
+def test_fragments_go_to_those_who_are_known_well():
+    def who(uuid, prototypes, name=None, manual=False):
+        p = list(angles(*prototypes))
+        return {"uuid": uuid, "name": name, "manual": manual, "prototypes": p, "mean": np.mean(p, axis=0), "occurrences": {}}
+
+    big, far = who("big", (0, 2, 4)), who("far", (80, 82, 84))
+    assert groups.consolidation(who("bit", (1,)), [big, far])["target"] == "big"
+    assert groups.consolidation(who("bit", (1,)), [who("two", (0, 2))]) is None  # a target has three prototypes
+    assert groups.consolidation(who("many", (0, 1, 2)), [big]) is None  # not a fragment
+    assert groups.consolidation(who("many", (0, 1, 2), "Ann", True), [who("x", (0, 2, 4), "ann ", True)])["target"] == "x"
+    assert groups.consolidation(who("bit", (1,), "Bo", True), [who("x", (0, 2, 4), "Ann", True)]) is None
+    assert groups.consolidation(who("bit", (1,)), [big, who("twin", (1, 2, 3))]) is None  # no margin
+
+
+def test_pairs_to_review():
+    s = lambda i, r, u, a, mixed=False: {"id": i, "recording_id": r, "uuid": u, "embedding": angles(a)[0], "mixed": mixed}
+    got = groups.review_pairs([s(1, 1, "a", 0), s(2, 2, "a", 2), s(3, 3, "a", 60), s(4, 4, "b", 61), s(5, 5, "c", 5, True)])
+    assert any(x["reason"] == "varies" and 3 in (x["a"], x["b"]) and abs(x["points"] - (92 + 130 * (0.72 - np.cos(np.radians(58))))) < 1e-6 for x in got) and all(5 not in (x["a"], x["b"]) for x in got)
+    assert any(x["reason"] == "confusable" and (x["a"], x["b"]) == (3, 4) for x in got)
+    assert [x["points"] for x in got] == sorted((x["points"] for x in got), reverse=True)
+    assert max(sum(i in (x["a"], x["b"]) for x in got) for i in range(1, 5)) <= 3
+    assert groups.review_pairs([s(1, 1, "a", 0)], limit=0) == []
+
+
+def test_diarisation_is_scored_under_the_best_mapping():
+    seg = lambda s, a, b, n=10: {"speaker": s, "start_time": float(a), "end_time": float(b), "n_words": n}
+    ref = [seg("A", 0, 10), seg("B", 10, 20)]
+    same = groups.diarisation(ref, [seg("1", 0, 10), seg("2", 10, 20)])
+    assert same["missed"] == same["false_alarm"] == same["confused"] == same["word_errors"] == same["mixed"] == 0 and same["seconds"] == 20
+    late = groups.diarisation(ref, [seg("1", 0, 12), seg("2", 12, 22)])
+    assert (late["missed"], late["false_alarm"], late["confused"], late["mixed"]) == (0, 2, 2, 1)
+    one = groups.diarisation(ref, [seg("1", 0, 20)])
+    assert one["confused"] == 10 and one["word_errors"] == 10 and one["predicted_speakers"] == 1
 
 
 def test_clusters_and_identities():
