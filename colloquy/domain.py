@@ -125,11 +125,17 @@ def register(spark: SparkSession, source: str | dict[str, DataFrame], sql: str |
     text = sql or ""
     for t in TABLES:
         if sql is None or re.search(rf"\b{t}\b", " ".join([text, *named.values()])):
-            spark.read.parquet(f"{source}/{t}.parquet").createOrReplaceTempView(t)
+            dealt(spark.read.parquet(f"{source}/{t}.parquet")).createOrReplaceTempView(t)
     for name, body in named.items():
         spark.sql(body).createOrReplaceTempView(name)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer parts than there are cores (one small file), dealt to all of them; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_relations(d: Spark, sql: str) -> str:
     """``sql`` as one statement, with the relations that it uses as common table expressions."""
     ctes = ", ".join(f"{n} AS ({body})" for n, body in used(d, sql).items())

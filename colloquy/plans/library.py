@@ -447,7 +447,8 @@ def cosine(d: Spark, a: str, b: str) -> str:
 
 def similar_pairs(d: Spark, least: float = 0.8) -> str:
     """Pairs of voices of different recordings of one library that are similar enough, whoever they are said to be."""
-    return f"SELECT a, b, round(c, 6) AS cosine FROM (SELECT a.vec_id AS a, b.vec_id AS b, {cosine(d, 'a.embedding', 'b.embedding')} AS c FROM vectors a JOIN vectors b ON a.library_id = b.library_id AND a.recording_id <> b.recording_id AND a.vec_id < b.vec_id) p WHERE c >= {least}"
+    v = f"(SELECT vec_id, library_id, recording_id, embedding, sqrt({d.dot('embedding', 'embedding')}) AS norm FROM vectors)"
+    return f"""SELECT a, b, round(c, 6) AS cosine FROM (SELECT a.vec_id AS a, b.vec_id AS b, {d.dot("a.embedding", "b.embedding")} / (a.norm * b.norm) AS c FROM {v} a JOIN {v} b ON a.library_id = b.library_id AND a.recording_id <> b.recording_id AND a.vec_id < b.vec_id WHERE a.norm > 0 AND b.norm > 0) p WHERE c >= {least}"""
 
 
 PLANS = {
