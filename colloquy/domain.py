@@ -7,7 +7,8 @@ utterances: id, recording_id, utterance_index, start_time, end_time, speaker, sp
 review_status, suspicion, mean_p. recordings: id, title, file_name, file_path, external_id, duration, language,
 created_at (epoch seconds), source, full_transcript, access. tags, recording_tags, meetings, recording_meetings, speakers,
 attendee_mappings, comments, turns (diarised intervals), words (timed words), vectors (voice vectors of utterances),
-gold_pairs (labelled pairs of vectors), text_lines (lines of documents as a transcript), exemplars (short lines that recur).
+gold_pairs (labelled pairs of vectors), text_lines (lines of documents as a transcript), line_texts (their canonical texts, the seconds they take, their trigrams),
+exemplars (short lines that recur).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import SPARK, Spark
+from .storage import cut
 
 EPOCH = 1704067200
 
@@ -89,12 +91,16 @@ def relations(d: Spark) -> dict[str, str]:
               ON a.n = b.n - 1 AND (a.speaker_uuid = b.speaker_uuid OR (a.label + 1 = b.label AND substring(a.speaker_uuid, 5) = substring(b.speaker_uuid, 5)))""",
         "text_lines": f"""SELECT doc_id * 100000 + place AS id, doc_id AS recording_id, place AS utterance_index, lang, line AS text, 'v' || cast(place % 3 AS VARCHAR(9)) AS speaker, place * 15e0 AS start_time, place * 15e0 + 1 + (doc_id + place) % 14 AS end_time,
                    CASE WHEN (doc_id + place) % 6 <> 0 THEN cast((doc_id * 3 + place * 7) % 20 AS DOUBLE) / 20 END AS mean_p FROM {d.unnest(f"(SELECT doc_id, lang, {lines} AS xs FROM documents) t", "xs", "line", "place")}""",
-        "exemplars": f"SELECT min(id) AS id, t AS text, count(*) AS occurrences FROM (SELECT id, {d.canonical('text')} AS t FROM text_lines) x WHERE t <> '' AND {d.size(d.find('t', '[^ ]+'))} <= 8 GROUP BY t HAVING count(*) >= 3",
+        "line_texts": f"SELECT id, recording_id, s, t, {d.grams('t', 3)} AS gs FROM (SELECT id, recording_id, end_time - start_time AS s, {d.canonical('text')} AS t FROM text_lines) q WHERE t <> ''",
+        "exemplars": f"SELECT min(id) AS id, t AS text, count(*) AS occurrences FROM line_texts WHERE {d.size(d.find('t', '[^ ]+'))} <= 8 GROUP BY t HAVING count(*) >= 3",
     }
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Relations that statements read several times and that are costly to derive: written once for each statement.
+STORED = ("line_texts", "exemplars")
+
 
 def used(d: Spark, sql: str, given: frozenset[str] = frozenset()) -> dict[str, str]:
     """The relations that ``sql`` reads, each after those that it reads itself; not those that are ``given`` as tables."""
@@ -120,6 +126,8 @@ def register(spark: SparkSession, source: str | dict[str, DataFrame], sql: str |
     if isinstance(source, dict):
         for name, df in source.items():
             df.createOrReplaceTempView(name)
+        if "text_lines" in source and "line_texts" not in source and (sql is None or re.search(r"\bline_texts\b", sql)):
+            spark.sql(relations(SPARK)["line_texts"]).createOrReplaceTempView("line_texts")
         return
     named = relations(SPARK) if sql is None else used(SPARK, sql)
     text = sql or ""
@@ -127,7 +135,8 @@ def register(spark: SparkSession, source: str | dict[str, DataFrame], sql: str |
         if sql is None or re.search(rf"\b{t}\b", " ".join([text, *named.values()])):
             dealt(spark.read.parquet(f"{source}/{t}.parquet")).createOrReplaceTempView(t)
     for name, body in named.items():
-        spark.sql(body).createOrReplaceTempView(name)
+        derived = spark.sql(body)
+        (cut(derived, name) if sql and name in STORED else derived).createOrReplaceTempView(name)
 
 
 def dealt(df: DataFrame) -> DataFrame:

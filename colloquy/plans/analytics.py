@@ -355,15 +355,19 @@ def trigram_pairs(d: Spark, least: float, cover: float = 0.0) -> str:
     whose overlap, shared / min(n, m), is ``least`` or more.
 
     Of the side with fewer trigrams at least a share of ``least`` is in the other; so one of its rarest (by the exemplars),
-    more than the rest that may be missing, is. Only these are joined with all of the other side. ``cover``: the share of the line that the
-    exemplar must cover besides; lines that are too long for any exemplar are left out.
+    more than the rest that may be missing, is. Only these are joined with all of the other side; trigrams that no exemplar has
+    come first in that order and are only counted. ``cover``: the share of the line that the exemplar must cover besides, so it
+    has at least as large a share of the line's number of trigrams.
     """
-    short = f" AND {d.size('gs')} * {cover} <= (SELECT max({d.size('gs')}) FROM ex)" if cover else ""
-    rare = lambda x, n: f"SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY id ORDER BY coalesce(f.c, 0), q.g) AS k FROM {x} q LEFT JOIN freq f ON f.g = q.g) r WHERE k <= {n} - ceil({least} * {n}) + 1"
-    return f"""ln AS (SELECT id, recording_id, t, end_time - start_time AS s, {trigrams(d, "t")} AS gs FROM (SELECT id, recording_id, start_time, end_time, {d.canonical("text")} AS t FROM text_lines) q WHERE t <> ''), ex AS (SELECT id, text AS t, {trigrams(d, "text")} AS gs FROM exemplars),
-        lg AS (SELECT id, n, g FROM {d.unnest(f"(SELECT id, {d.size('gs')} AS n, gs FROM ln WHERE {d.size('gs')} >= {FEWEST}{short}) a", "gs", "g")}), eg AS (SELECT id, n, g FROM {d.unnest(f"(SELECT id, {d.size('gs')} AS n, gs FROM ex WHERE {d.size('gs')} >= {FEWEST}) a", "gs", "g")}),
-        freq AS (SELECT g, count(*) AS c FROM eg GROUP BY g), cand AS (SELECT DISTINCT l.id, e.id AS ex FROM ({rare("lg", "n")}) l JOIN eg e ON e.g = l.g AND l.n <= e.n UNION SELECT DISTINCT l.id, e.id FROM ({rare("eg", "n")}) e JOIN lg l ON l.g = e.g AND e.n < l.n),
-        pairs AS (SELECT * FROM (SELECT c.id, c.ex, {d.size("l.gs")} AS n, {d.size("e.gs")} AS m, {d.size(d.common("l.gs", "e.gs"))} AS shared FROM cand c JOIN ln l ON l.id = c.id JOIN ex e ON e.id = c.ex) p WHERE shared >= {least} * least(n, m))"""
+    most = f"(SELECT max({d.size('gs')}) FROM ex)"
+    short = f" AND {d.size('gs')} * {cover} <= {most}" if cover else ""
+    wide = f" AND e.n >= {cover} * l.n" if cover else ""
+    rare = lambda x, n: f"SELECT id, n, g FROM (SELECT q.id, q.n, q.g, row_number() OVER (PARTITION BY q.id ORDER BY f.c, q.g) AS k, count(*) OVER (PARTITION BY q.id) AS known FROM {x} q JOIN freq f ON f.g = q.g) r WHERE k <= known - ceil({least} * {n}) + 1"
+    return f"""ln AS (SELECT id, recording_id, t, s, gs FROM line_texts), ex AS (SELECT id, text AS t, {trigrams(d, "text")} AS gs FROM exemplars),
+        lk AS (SELECT id, gs FROM ln WHERE {d.size('gs')} >= {FEWEST}{short}), ek AS (SELECT id, gs FROM ex WHERE {d.size('gs')} >= {FEWEST}),
+        lg AS (SELECT id, n, g FROM {d.unnest(f"(SELECT id, {d.size('gs')} AS n, gs FROM lk) a", "gs", "g")}), eg AS (SELECT id, n, g FROM {d.unnest(f"(SELECT id, {d.size('gs')} AS n, gs FROM ek) a", "gs", "g")}),
+        freq AS (SELECT g, count(*) AS c FROM eg GROUP BY g), cand AS (SELECT DISTINCT l.id, e.id AS ex FROM ({rare(f"(SELECT * FROM lg WHERE n <= {most})", "n")}) l JOIN eg e ON e.g = l.g AND l.n <= e.n UNION SELECT DISTINCT l.id, e.id FROM ({rare("eg", "n")}) e JOIN lg l ON l.g = e.g AND e.n < l.n{wide}),
+        pairs AS (SELECT * FROM (SELECT c.id, c.ex, {d.size("l.gs")} AS n, {d.size("e.gs")} AS m, {d.size(d.common("l.gs", "e.gs"))} AS shared FROM cand c JOIN lk l ON l.id = c.id JOIN ek e ON e.id = c.ex) p WHERE shared >= {least} * least(n, m))"""
 
 
 def overlap_coefficient(d: Spark, least: float = 0.65) -> str:
