@@ -35,7 +35,7 @@ SLACK = 1e-9
 #: Sums below this are exact in double precision.
 EXACT = 2.0**53
 #: Beyond any score.
-FAR = 2**62
+FAR = 2**63 - 1
 
 
 def products(a: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
@@ -339,8 +339,9 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     own = F.array_min(F.transform(F.filter("near", lambda e: e["vec_id"] == F.col("vec_id")), lambda e: F.struct(F.abs(e["score"] - F.col("norm")).alias("off"), e["rank"].alias("rank"))))["rank"]
     near = near.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("near", F.slice(F.filter("near", lambda e: e["rank"] != F.col("own")), 1, positives))
     near = cut(near.select("aid", "label", "x", "times", F.col("vec_id").alias("anchor_id"), F.transform("near", lambda e: e["score"]).alias("high"), F.transform("near", lambda e: e["vec_id"]).alias("ids")), "positives")
-    # ceil(percent / 100 of the score); div cuts towards zero.
-    share = F.transform("high", lambda s: F.when(s < 0, F.call_function("div", s * percent, F.lit(100))).otherwise(F.call_function("div", s * percent + 99, F.lit(100))))
+    # ceil(percent / 100 of the score), in two parts, as the product may not fit; div and % cut towards zero.
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    share = F.transform("high", lambda s: div(s, 100) * percent + div(s % 100 * percent + F.when(s < 0, 0).otherwise(99), 100))
     full = lambda c, by: F.slice(F.concat(c, F.array_repeat(F.lit(by), positives)), 1, positives)
     asked = near.where(F.exists("high", lambda s: s >= 0)).select("aid", "label", "x", full(share, FAR).alias("low"), full(F.col("high"), -FAR).alias("high"))
     found = table.best(asked, False, negatives).join(near.select("aid", "anchor_id", "times", "ids", F.col("high").alias("scores")), "aid")
