@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dialect import SPARK
-from .domain import register
+from .domain import Relations
+from .index import KeywordIndex
 from .plans import analytics, library, search
-from .vectors import Approximate
+from .vectors import VectorIndex
 
 KEYWORD, SEMANTIC, ANN, HYBRID = "keyword", "semantic", "ann", "hybrid"
 MOST_LISTED, MOST_FOUND, MOST_QUERY = 100, 50, 2000
@@ -85,15 +86,31 @@ class Library:
 
     ``ready``: whether vectors can be searched (by default: whether any visible line has one). ``lanes``: functions of
     (query, limit, recordings, speakers) for "keyword" and of (vector, limit, recordings, speakers) for "semantic", which
-    give place, identity, recording_id, utterance_id, in the place of the library's own.
+    give place, identity, recording_id, utterance_id, in the place of the library's own. ``words``, ``voices``: stored indexes
+    over the library's lines, which searches then read in the place of all lines; without them every search scans.
     """
 
-    def __init__(self, spark: SparkSession, source: str | dict[str, DataFrame], ready: bool | None = None, lanes: dict[str, Callable[..., DataFrame]] | None = None):
-        self.spark, self.source, self._ready, self.lanes = spark, source, ready, lanes or {}
-        register(spark, source)
+    def __init__(self, spark: SparkSession, source: str | dict[str, DataFrame], ready: bool | None = None, lanes: dict[str, Callable[..., DataFrame]] | None = None, words: KeywordIndex | None = None, voices: VectorIndex | None = None):
+        self.spark, self.source, self._ready, self.lanes, self.words, self.voices = spark, source, ready, lanes or {}, words, voices
+        self.relations = Relations(spark, source)
+
+    def put(self, name: str, df: DataFrame) -> None:
+        """``df`` as the library's relation of that name, from now on."""
+        self.relations.put(name, df)
+
+    def sql(self, sql: str) -> DataFrame:
+        return self.relations.sql(sql)
+
+    def table(self, name: str) -> DataFrame:
+        return self.relations.table(name)
 
     def _run(self, plan: Callable[..., str], **parameters) -> DataFrame:
-        return self.spark.sql(plan(SPARK, **parameters))
+        return self.sql(plan(SPARK, **parameters))
+
+    def index(self, path: str) -> None:
+        """Build both indexes under ``path`` and search by them from now on."""
+        self.words = KeywordIndex.build(self.spark, f"{path}/words", self.sql(search.index_docs(SPARK)))
+        self.voices = VectorIndex.build(self.spark, f"{path}/voices", self.sql(f"SELECT utterance_id AS id, embedding, of AS recording_id FROM ({search.eligible(SPARK)}) e"))
 
     # --- reads
 
@@ -101,14 +118,14 @@ class Library:
         return self._run(analytics.status)
 
     def ready(self) -> bool:
-        return self._ready if self._ready is not None else not self.spark.sql(f"SELECT 1 FROM {search.INDEXED} v LIMIT 1").isEmpty()
+        return self._ready if self._ready is not None else not self.sql(f"SELECT 1 FROM {search.INDEXED} v LIMIT 1").isEmpty()
 
     def recordings(self, limit: int = 20, before: tuple[int, int] | None = None, scope: Scope = Scope()) -> DataFrame:
         """Visible recordings of a scope, newest first; ``before``: (created_at, id) of the last one seen."""
-        return self.spark.sql(f"SELECT r.* FROM recordings r WHERE {library.VISIBLE} AND {scope.condition(before=before)} ORDER BY r.created_at DESC, r.id DESC LIMIT {max(1, min(int(limit), MOST_LISTED))}")
+        return self.sql(f"SELECT r.* FROM recordings r WHERE {library.VISIBLE} AND {scope.condition(before=before)} ORDER BY r.created_at DESC, r.id DESC LIMIT {max(1, min(int(limit), MOST_LISTED))}")
 
     def recording(self, id: int) -> DataFrame:
-        return self.spark.sql(f"SELECT u.id, u.utterance_index, u.start_time, u.end_time, {library.shown_name(SPARK)} AS speaker, u.text FROM utterances u LEFT JOIN speakers s ON s.uuid = u.speaker_uuid JOIN recordings r ON r.id = u.recording_id WHERE u.recording_id = {int(id)} AND NOT u.is_hidden AND {library.VISIBLE} ORDER BY u.utterance_index")
+        return self.sql(f"SELECT u.id, u.utterance_index, u.start_time, u.end_time, {library.shown_name(SPARK)} AS speaker, u.text FROM utterances u LEFT JOIN speakers s ON s.uuid = u.speaker_uuid JOIN recordings r ON r.id = u.recording_id WHERE u.recording_id = {int(id)} AND NOT u.is_hidden AND {library.VISIBLE} ORDER BY u.utterance_index")
 
     def search(self, query: str, mode: str | None = None, limit: int = 20, scope: Scope | None = None, vector: list[float] | None = None, like: int | None = None, fallback: bool = True, context: int = 0) -> Found:
         """Hits for a query: by words, by a vector (or the vector ``like``), or both; with ``context`` lines around each.
@@ -123,67 +140,73 @@ class Library:
         speakers = () if scope is None else scope.speakers
         # Ids of the scope's recordings are a sub-query, not a list.
         inside = f"SELECT r.id FROM recordings r WHERE {library.VISIBLE} AND {(scope or Scope()).condition(speakers=())}"
-        seen = self.spark.sql(inside).withColumnRenamed("id", "recording_id")
+        seen = self.sql(inside).withColumnRenamed("id", "recording_id")
         n, asked = candidate_limit(limit), vector is not None or like is not None
         ready = self.ready() and asked
 
         def keyword(k: int) -> DataFrame:
             if "keyword" in self.lanes:
                 return self.lanes["keyword"](query, k, seen, speakers)
-            return self.spark.sql(search.keyword(SPARK, query, k, inside, speakers))
+            stored = None if self.words is None else search.stored_views(self.words, query)
+            return self.sql(search.keyword(SPARK, query, k, inside, speakers, stored))
 
         def semantic(k: int) -> DataFrame:
             if "semantic" in self.lanes:
                 return self.lanes["semantic"](vector, k, seen, speakers)
-            return self.spark.sql(search.semantic(SPARK, vector, like if like is not None else 7, k, None, inside, speakers))
+            return self.sql(search.semantic(SPARK, vector, like if like is not None else 7, k, None, inside, speakers))
 
         def hybrid() -> DataFrame:
-            return self.spark.sql(search.fused(SPARK, query, vector, like if like is not None else 7, limit, inside, speakers, {"kw": keyword(n), "sem": semantic(n)}))
+            return self.sql(search.fused(SPARK, query, vector, like if like is not None else 7, limit, inside, speakers, {"kw": keyword(n), "sem": semantic(n)}))
 
         alone = lambda lane: lane.where(F.col("place") <= limit).withColumn("score", F.lit(1.0) / (search.FUSION + F.col("place")))
         complete = True
 
         def ann() -> DataFrame:
             nonlocal complete
-            complete = False  # callers are told that there may be more
-            return alone(Approximate(self.spark.sql(search.eligible(SPARK))).search(self._vector(vector, like), limit, self.spark.sql(search.eligible(SPARK, inside, speakers)))[0])
+            if self.voices is None:  # nothing to approximate with: all are looked at
+                return alone(semantic(limit))
+            within = self.sql(f"SELECT e.utterance_id AS id, e.of AS of_recording FROM ({search.eligible(SPARK, inside, speakers)}) e")
+            found = self.voices.search(self._vector(vector, like), limit, within)
+            complete = found.complete
+            lane = found.hits.withColumn("identity", F.concat(F.lit("utterance:"), F.col("id").cast("string")))
+            return alone(lane.select("place", "identity", "recording_id", F.col("id").alias("utterance_id"), F.round("cosine", 6).alias("cosine")))
 
         mode = mode or (HYBRID if ready else KEYWORD)
         ran, hits, note = route(mode, ready, lambda: alone(keyword(limit)), lambda: alone(semantic(limit)), hybrid, fallback, ann)
         return Found(ran, self.around(hits, context) if context else hits, note, complete)
 
     def _vector(self, vector: list[float] | None, like: int | None) -> list[float]:
-        return list(vector) if vector is not None else list(self.spark.sql(f"SELECT q FROM {search.asked_vector(SPARK, None, like)} z").first()["q"])
+        return list(vector) if vector is not None else list(self.sql(f"SELECT q FROM {search.asked_vector(SPARK, None, like)} z").first()["q"])
 
     def around(self, hits: DataFrame, lines: int) -> DataFrame:
         """Hits with the visible lines up to ``lines`` places before and after each, in order."""
-        hits.createOrReplaceTempView("hits_")
-        near = "SELECT h.identity, n.id, n.utterance_index, n.text, n.utterance_index < u.utterance_index AS earlier FROM hits_ h JOIN utterances u ON u.id = h.utterance_id JOIN utterances n ON n.recording_id = u.recording_id AND n.utterance_index BETWEEN u.utterance_index - {0} AND u.utterance_index + {0} AND n.utterance_index <> u.utterance_index AND NOT n.is_hidden"
+        shown = search.view(hits, "hits")
+        near = f"SELECT h.identity, n.id, n.utterance_index, n.text, n.utterance_index < u.utterance_index AS earlier FROM {shown} h JOIN utterances u ON u.id = h.utterance_id JOIN utterances n ON n.recording_id = u.recording_id AND n.utterance_index BETWEEN u.utterance_index - {int(lines)} AND u.utterance_index + {int(lines)} AND n.utterance_index <> u.utterance_index AND NOT n.is_hidden"
         side = "transform(array_sort(collect_list(CASE WHEN {} THEN struct(utterance_index, id) END)), x -> x.id)"
-        found = self.spark.sql(f"SELECT identity, {side.format('earlier')} AS before, {side.format('NOT earlier')} AS after FROM ({near.format(int(lines))}) c GROUP BY identity")
+        found = self.sql(f"SELECT identity, {side.format('earlier')} AS before, {side.format('NOT earlier')} AS after FROM ({near}) c GROUP BY identity")
         return hits.join(found, "identity", "left").withColumns({c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ("before", "after")})
 
     def tags(self) -> DataFrame:
         return self._run(analytics.tag_counts)
 
     def meeting_notes(self, recording: int) -> DataFrame:
-        return self.spark.sql(f"SELECT m.* FROM meetings m JOIN ({library.private_meetings(SPARK)}) p ON p.id = m.id JOIN recording_meetings l ON l.meeting_id = m.id AND NOT l.is_dismissed WHERE l.recording_id = {int(recording)}")
+        return self.sql(f"SELECT m.* FROM meetings m JOIN ({library.private_meetings(SPARK)}) p ON p.id = m.id JOIN recording_meetings l ON l.meeting_id = m.id AND NOT l.is_dismissed WHERE l.recording_id = {int(recording)}")
 
     def comments(self, recording: int, status: str | None = None) -> DataFrame:
-        found = self.spark.table("comments").where(F.col("recording_id") == int(recording))
+        found = self.table("comments").where(F.col("recording_id") == int(recording))
         return found if status is None else found.where(F.col("status") == status)
 
     # --- writes: the next version of a relation, as a DataFrame; a sink puts it in the place of the last
 
     def set_title(self, recording: int, title: str) -> DataFrame:
-        return self.spark.table("recordings").withColumn("title", F.when(F.col("id") == int(recording), F.lit(title.strip())).otherwise(F.col("title")))
+        return self.table("recordings").withColumn("title", F.when(F.col("id") == int(recording), F.lit(title.strip())).otherwise(F.col("title")))
 
     def set_tags(self, recording: int, tags: tuple[str, ...]) -> DataFrame:
         """recording_tags with these tags, by name, for the recording. A name that no tag has is an error."""
-        known = {r["name"].lower(): r["id"] for r in self.spark.table("tags").where(F.lower("name").isin([t.lower() for t in tags])).collect()}
+        known = {r["name"].lower(): r["id"] for r in self.table("tags").where(F.lower("name").isin([t.lower() for t in tags])).collect()}
         if missing := [t for t in tags if t.lower() not in known]:
             raise ValueError(f"no such tag: {', '.join(missing)}")
-        links = self.spark.table("recording_tags")
+        links = self.table("recording_tags")
         new = self.spark.createDataFrame([(int(recording), i) for i in sorted(set(known.values()))], "recording_id long, tag_id int")
         return links.where(F.col("recording_id") != int(recording)).unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in links.schema]))
 
@@ -198,7 +221,7 @@ class Library:
 
     def add_comment(self, recording: int, body: str, author: str, key: str | None = None, id: int | None = None) -> tuple[int, DataFrame]:
         """(id, comments): a new comment, or the one that is there for the author's key if it says the same; else a conflict."""
-        table = self.spark.table("comments")
+        table = self.table("comments")
         if key is not None and (old := table.where((F.col("created_by") == author) & (F.col("idempotency_key") == key)).first()):
             if old["recording_id"] != int(recording) or old["body"] != body.strip():
                 raise Conflict(f"{author} has used {key} for something else")
@@ -211,11 +234,11 @@ class Library:
     def set_comment(self, comment: int, status: str | None = None, body: str | None = None) -> DataFrame:
         if status not in (None, "open", "resolved"):
             raise ValueError("a comment is open or resolved")
-        mine, out = F.col("id") == int(comment), self.spark.table("comments")
+        mine, out = F.col("id") == int(comment), self.table("comments")
         for name, value in (("status", status), ("body", None if body is None else body.strip())):
             if value is not None:
                 out = out.withColumn(name, F.when(mine, F.lit(value)).otherwise(F.col(name)))
         return out
 
     def delete_comment(self, comment: int) -> DataFrame:
-        return self.spark.table("comments").where(F.col("id") != int(comment))
+        return self.table("comments").where(F.col("id") != int(comment))

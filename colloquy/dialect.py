@@ -6,8 +6,27 @@ independent oracle in tests.
 
 from __future__ import annotations
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+import sys
+import unicodedata
+
+
+def _bare() -> dict[str, str]:
+    """Each lower-case letter that Unicode takes for another one with marks -> that one."""
+    out = {}
+    for c in map(chr, range(0xC0, min(0x20000, sys.maxunicode))):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and c == c.lower() and unicodedata.category(d[0]) != "Mn" and all(unicodedata.category(x) == "Mn" for x in d[1:]):
+            out[c] = d[0]
+    return out
+
+
+BARE = _bare()
+ACCENTED, PLAIN = "".join(BARE), "".join(BARE.values())
+
+
+def folded(text: str) -> str:
+    """``text`` in lower case without marks, as the plans' ``fold`` has it."""
+    return "".join(c for c in text.lower().translate(str.maketrans(BARE)) if unicodedata.category(c) != "Mn")
 
 
 class Spark:
@@ -31,8 +50,8 @@ class Spark:
         return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
     def fold(self, text: str) -> str:
-        """Lower case without the accents of the languages at hand."""
-        return f"translate(lower({text}), '{ACCENTED}', '{PLAIN}')"
+        """Lower case without marks, of any script: letters that come with marks in one character, and marks of their own."""
+        return self.sub(f"translate(lower({text}), '{ACCENTED}', '{PLAIN}')", "\\p{Mn}+", "")
 
     def size(self, array: str) -> str:
         return f"cast(size({array}) AS BIGINT)"
@@ -138,6 +157,9 @@ class Duck(Spark):
     def _p(pattern: str) -> str:
         return pattern.replace("'", "''")
 
+    def fold(self, text: str) -> str:
+        return f"strip_accents(lower({text}))"
+
     def size(self, array: str) -> str:
         return f"len({array})"
 

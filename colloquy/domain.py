@@ -1,6 +1,6 @@
 """The library's relations, and how the driver's tables are read as such.
 
-A deployment hands in its own tables under these names (``register(spark, tables)``); :func:`relations` derives them
+A deployment hands in its own tables under these names (:class:`Relations`); :func:`relations` derives them
 from the synthetic tables, with values that exercise every rule.
 
 utterances: id, recording_id, utterance_index, start_time, end_time, speaker, speaker_uuid, text, n_words, is_hidden,
@@ -14,6 +14,7 @@ exemplars (short lines that recur).
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -117,26 +118,70 @@ def used(d: Spark, sql: str, given: frozenset[str] = frozenset()) -> dict[str, s
     return out
 
 
-def register(spark: SparkSession, source: str | dict[str, DataFrame], sql: str | None = None) -> None:
-    """Temporary views that plans read.
+class Relations:
+    """The relations of one library, under view names of its own: two libraries in a session don't see each other's.
 
     ``source``: a folder of the driver's tables, over which the relations are derived, or a deployment's own relations by
-    name. ``sql``: only what this statement reads; without it all.
+    name. A relation is registered when a statement first reads it.
     """
-    if isinstance(source, dict):
-        for name, df in source.items():
-            df.createOrReplaceTempView(name)
-        if "text_lines" in source and "line_texts" not in source and (sql is None or re.search(r"\bline_texts\b", sql)):
-            spark.sql(relations(SPARK)["line_texts"]).createOrReplaceTempView("line_texts")
-        return
-    named = relations(SPARK) if sql is None else used(SPARK, sql)
-    text = sql or ""
-    for t in TABLES:
-        if sql is None or re.search(rf"\b{t}\b", " ".join([text, *named.values()])):
-            dealt(spark.read.parquet(f"{source}/{t}.parquet")).createOrReplaceTempView(t)
-    for name, body in named.items():
-        derived = spark.sql(body)
-        (cut(derived, name) if sql and name in STORED else derived).createOrReplaceTempView(name)
+
+    def __init__(self, spark: SparkSession, source: str | dict[str, DataFrame]):
+        self.spark, self.source, self._prefix = spark, source, f"r{uuid.uuid4().hex[:12]}"
+        self._views: dict[str, str] = {}
+        if isinstance(source, dict):
+            for name, df in source.items():
+                self.put(name, df)
+
+    def put(self, name: str, df: DataFrame) -> None:
+        """``df`` as the relation of that name, from now on."""
+        own = f"{self._prefix}_{name}"
+        df.createOrReplaceTempView(own)
+        self._views[name] = own
+
+    def _need(self, sql: str) -> None:
+        if isinstance(self.source, dict):
+            if "line_texts" not in self._views and "text_lines" in self._views and re.search(r"\b(line_texts|exemplars)\b", sql):
+                self.put("line_texts", cut(self.spark.sql(self._own(relations(SPARK)["line_texts"])), "line_texts"))
+            if "exemplars" not in self._views and "line_texts" in self._views and re.search(r"\bexemplars\b", sql):
+                self.put("exemplars", cut(self.spark.sql(self._own(relations(SPARK)["exemplars"])), "exemplars"))
+            return
+        named = used(SPARK, sql)
+        text = " ".join([sql, *named.values()])
+        for t in TABLES:
+            if t not in self._views and re.search(rf"\b{t}\b", text):
+                self.put(t, dealt(self.spark.read.parquet(f"{self.source}/{t}.parquet")))
+        for name, body in named.items():
+            if name not in self._views:
+                derived = self.spark.sql(self._own(body))
+                self.put(name, cut(derived, name) if name in STORED else derived)
+
+    def _own(self, sql: str) -> str:
+        """``sql`` with this library's views after FROM and JOIN."""
+        if not self._views:
+            return sql
+        return re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(map(re.escape, self._views))})\b", lambda m: f"{m[1]}{m[2]}{self._views[m[3]]}", sql)
+
+    def sql(self, sql: str) -> DataFrame:
+        self._need(sql)
+        return self.spark.sql(self._own(sql))
+
+    def table(self, name: str) -> DataFrame:
+        return self.sql(f"SELECT * FROM {name}")
+
+    def drop(self) -> None:
+        """Take the views away. What was made of them stays."""
+        for own in self._views.values():
+            self.spark.catalog.dropTempView(own)
+        self._views = {}
+
+
+def statement(spark: SparkSession, source: str | dict[str, DataFrame], sql: str) -> DataFrame:
+    """``sql`` over the relations of a source."""
+    of = Relations(spark, source)
+    try:
+        return of.sql(sql)
+    finally:
+        of.drop()
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -1,26 +1,41 @@
 """Operators whose next step depends on what was decided before: ordered folds within one recording.
 
-Each is a plain function over one recording's rows in order, applied by :func:`per_recording` as a grouped pandas
-function. A recording is a conversation of minutes to hours, so a group is small, and recordings are many.
+Each is a generator over one recording's rows in order. It holds what the next decision needs and nothing else, and gives a row
+as soon as it is settled. :func:`per_recording` runs them: Spark deals recordings to tasks and sorts, and a task lets the rows
+pass, batch by batch, so a recording may have any number of lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+import itertools
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Rows that a fold gives before they are handed on.
+GIVEN = 2048
+Rows = Iterable[dict]
 
-def per_recording(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema: str, order: list[str], key: str = "recording_id") -> DataFrame:
-    """Apply ``fold`` to each recording's rows, sorted by ``order``; its dicts become rows of ``schema``."""
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fold(pdf.sort_values(order, kind="stable").to_dict("records"))
-        return pd.DataFrame([[r[n] for n in names] for r in got], columns=names)
+def per_recording(rows: DataFrame, fold: Callable[[Rows], Rows], schema: str, order: list[str], key: str | list[str] = "recording_id") -> DataFrame:
+    """Apply ``fold`` to each recording's rows (or those of another ``key``) in ``order``; its dicts become rows of ``schema``."""
+    keys = [key] if isinstance(key, str) else key
+    shape = to_arrow_schema(StructType.fromDDL(schema))
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passing = (row for b in batches for row in b.to_pylist())
+        made = (row for _, group in itertools.groupby(passing, lambda r: [r[k] for k in keys]) for row in fold(group))
+        while some := list(itertools.islice(made, GIVEN)):
+            yield pa.RecordBatch.from_pylist(some, shape)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def hit_order(r: dict) -> tuple:
@@ -28,28 +43,46 @@ def hit_order(r: dict) -> tuple:
     return (-r["score"], r["start_time"], r["utterance_index"])
 
 
-def moments(rows: list[dict], lines: int = 2, seconds: float = 20.0) -> list[dict]:
+def moments(rows: Rows, lines: int = 2, seconds: float = 20.0) -> Iterator[dict]:
     """Hits in order of time join a moment if they are near its first hit, not its last. The best hit stands for it."""
-    groups: list[list[dict]] = []
-    for r in sorted(rows, key=lambda r: (r["start_time"], r["utterance_index"])):
-        first = groups[-1][0] if groups else None
-        if first is not None and (abs(r["utterance_index"] - first["utterance_index"]) <= lines or 0 < r["start_time"] - first["start_time"] <= seconds):
-            groups[-1].append(r)
-        else:
-            groups.append([r])
-    best = [sorted(g, key=hit_order) for g in groups]
-    return [{"recording_id": g[0]["recording_id"], "id": g[0]["id"], "score": g[0]["score"], "start_time": g[0]["start_time"], "utterance_index": g[0]["utterance_index"], "members": [r["id"] for r in g]} for g in best]
+
+    def settled(group: list[dict]) -> dict:
+        group = sorted(group, key=hit_order)
+        return {c: group[0][c] for c in ("recording_id", "id", "score", "start_time", "utterance_index")} | {"members": [r["id"] for r in group]}
+
+    group: list[dict] = []
+    for r in rows:
+        if group and not (abs(r["utterance_index"] - group[0]["utterance_index"]) <= lines or 0 < r["start_time"] - group[0]["start_time"] <= seconds):
+            yield settled(group)
+            group = []
+        group.append(r)
+    if group:
+        yield settled(group)
 
 
-def conversation(rows: list[dict]) -> list[dict]:
+def conversation(rows: Rows) -> Iterator[dict]:
     """A recording's hits as one result: the three best moments and the title, which adds a tenth of the best at most. A
     recording that only its title speaks for has the title's score and comes after all others."""
-    title = max((r["score"] for r in rows if r["field"] == "title"), default=None)
-    found = sorted(moments([r for r in rows if r["field"] != "title"]), key=hit_order)
+    title, recording = None, None
+
+    def lines() -> Iterator[dict]:
+        nonlocal title, recording
+        for r in rows:
+            recording = r["recording_id"]
+            if r["field"] == "title":
+                title = r["score"] if title is None else max(title, r["score"])
+            else:
+                yield r
+
+    best: list[dict] = []
+    n = 0
+    for m in moments(lines()):
+        n += 1
+        best = sorted([*best, m], key=hit_order)[:3]
     score = title or 0.0
-    if found:
-        score = sum(w * m["score"] for w, m in zip((1.0, 0.2, 0.1), found, strict=False)) + min(title or 0.0, 0.1 * found[0]["score"])
-    return [{"recording_id": rows[0]["recording_id"], "score": score, "title_only": not found, "moments": len(found)}]
+    if best:
+        score = sum(w * m["score"] for w, m in zip((1.0, 0.2, 0.1), best, strict=False)) + min(title or 0.0, 0.1 * best[0]["score"])
+    yield {"recording_id": recording, "score": score, "title_only": not n, "moments": n}
 
 
 # Policies of the merge of lines. gap, seconds, words, seconds after which a sentence's end divides, whether
@@ -57,181 +90,227 @@ def conversation(rows: list[dict]) -> list[dict]:
 POLICIES = {"legacy": (1.0, None, None, None, False), "readable": (2.0, 60.0, 160, 25.0, True), "safe": (0.45, 10.0, 28, 4.0, True)}
 
 
-def merge_segments(rows: list[dict], policy: str = "readable") -> list[dict]:
+def merge_segments(rows: Rows, policy: str = "readable") -> Iterator[dict]:
     """Lines in order join the segment so far, of one speaker, within the limits of a policy."""
     gap, longest, most_words, sentence, context = POLICIES[policy]
-    out: list[dict] = []
+    last: dict | None = None
+    texts: list[str] = []
+    settled = lambda: last | {"text": " ".join(t for t in texts if t) if len(texts) > 1 else texts[0]}
     for r in rows:
-        last = out[-1] if out else None
         fits = last is not None and last["speaker"] == r["speaker"] and r["start_time"] - last["end_time"] <= gap and not (context and last["context"] != r["context"])
         fits = fits and not (longest is not None and max(last["end_time"], r["end_time"]) - last["start_time"] > longest) and not (most_words is not None and last["words"] + r["n_words"] > most_words)
-        fits = fits and not (sentence is not None and last["end_time"] - last["start_time"] >= sentence and last["text"].rstrip("\"')]»” ").endswith((".", "!", "?", "…")))
+        fits = fits and not (sentence is not None and last["end_time"] - last["start_time"] >= sentence and texts[-1].rstrip("\"')]»” ").endswith((".", "!", "?", "…")))
         if fits:
-            last.update(end_time=max(last["end_time"], r["end_time"]), words=last["words"] + r["n_words"], lines=last["lines"] + 1, text=f"{last['text']} {r['text']}".strip())
+            last.update(end_time=max(last["end_time"], r["end_time"]), words=last["words"] + r["n_words"], lines=last["lines"] + 1)
+            texts.append(r["text"])
         else:
-            out.append({"recording_id": r["recording_id"], "policy": policy, "speaker": r["speaker"], "start_time": r["start_time"], "end_time": r["end_time"], "words": r["n_words"], "lines": 1, "text": r["text"], "context": r["context"]})
-    return out
+            if last is not None:
+                yield settled()
+            last = {"recording_id": r["recording_id"], "policy": policy, "speaker": r["speaker"], "start_time": r["start_time"], "end_time": r["end_time"], "words": r["n_words"], "lines": 1, "context": r["context"]}
+            texts = [r["text"]]
+    if last is not None:
+        yield settled()
 
 
-def spans(rows: list[dict], gap: float = 2.0, longest: float = 26.0, pad: float = 1.0, most: int = 6) -> list[dict]:
+def spans(rows: Rows, gap: float = 2.0, longest: float = 26.0, pad: float = 1.0, most: int = 6) -> Iterator[dict]:
     """Adjacent flagged lines as spans to listen to again, padded, with a flag where the length was clamped."""
-    out: list[dict] = []
+    settled = lambda s: s | {"a": max(0.0, s["a"] - pad), "b": min(s["b"] + pad, s["a"] - pad + longest), "clamped": s["b"] - s["a"] + 2 * pad > longest}
+    last: dict | None = None
     for r in rows:
-        last = out[-1] if out else None
         if last and r["start_time"] - last["b"] <= gap and r["end_time"] - last["a"] + 2 * pad <= longest and last["lines"] < most:
             last.update(b=r["end_time"], lines=last["lines"] + 1)
         else:
-            out.append({"recording_id": r["recording_id"], "a": r["start_time"], "b": r["end_time"], "lines": 1})
-    return [s | {"a": max(0.0, s["a"] - pad), "b": min(s["b"] + pad, s["a"] - pad + longest), "clamped": s["b"] - s["a"] + 2 * pad > longest} for s in out]
+            if last:
+                yield settled(last)
+            last = {"recording_id": r["recording_id"], "a": r["start_time"], "b": r["end_time"], "lines": 1}
+    if last:
+        yield settled(last)
 
 
-def target_windows(rows: list[dict], longest: float = 12.0, pad: float = 4.0, least: float = 8.0) -> list[dict]:
-    """Split long targets, merge those that overlap, group while a group stays within ``longest``, then pad."""
-    parts = [(r["start_time"] + i * longest, min(r["end_time"], r["start_time"] + (i + 1) * longest)) for r in rows for i in range(max(1, int(-(-(r["end_time"] - r["start_time"]) // longest))))]
-    merged: list[list[float]] = []
-    for a, b in sorted(parts):
-        if merged and a <= merged[-1][1] and b - merged[-1][0] <= longest:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    groups: list[list[float]] = []
-    for a, b in merged:
-        if groups and b - groups[-1][0] <= longest:
-            groups[-1][1] = b
-        else:
-            groups.append([a, b])
-    wide = lambda a, b: max(pad, (least - (b - a)) / 2)
-    return [{"recording_id": rows[0]["recording_id"], "a": max(0.0, a - wide(a, b)), "b": b + wide(a, b)} for a, b in groups]
+def in_parts(rows: Rows, longest: float) -> Iterator[tuple[float, float]]:
+    """Intervals in order of their start, in parts of at most ``longest``, the parts in order. Parts that wait for later rows to begin
+    are held: those of the intervals that reach over the row at hand."""
+    waiting: list[tuple[float, float]] = []
+    for r in rows:
+        a, b = r["start_time"], r["end_time"]
+        while waiting and waiting[0] < (a, a):
+            yield heapq.heappop(waiting)
+        for i in range(max(1, int(-(-(b - a) // longest)))):
+            heapq.heappush(waiting, (a + i * longest, min(b, a + (i + 1) * longest)))
+    while waiting:
+        yield heapq.heappop(waiting)
 
 
-def capped_pairs(rows: list[dict], most: int = 3, top: int | None = None) -> list[dict]:
-    """The best pairs in order, none of whose ends has been used ``most`` times; the first ``top``."""
+def target_windows(rows: Rows, longest: float = 12.0, pad: float = 4.0, least: float = 8.0) -> Iterator[dict]:
+    """Split long targets, merge those that overlap, group while a group stays within ``longest``, then pad."""
+    recording = None
+
+    def noted() -> Iterator[dict]:
+        nonlocal recording
+        for r in rows:
+            recording = r["recording_id"]
+            yield r
+
+    def joined(parts: Iterable[tuple[float, float]], overlap: bool) -> Iterator[tuple[float, float]]:
+        last: tuple[float, float] | None = None
+        for a, b in parts:
+            if last and (not overlap or a <= last[1]) and b - last[0] <= longest:
+                last = (last[0], max(b, last[1]) if overlap else b)
+            else:
+                if last:
+                    yield last
+                last = (a, b)
+        if last:
+            yield last
+
+    for a, b in joined(joined(in_parts(noted(), longest), True), False):
+        wide = max(pad, (least - (b - a)) / 2)
+        yield {"recording_id": recording, "a": max(0.0, a - wide), "b": b + wide}
+
+
+def capped_pairs(rows: Rows, most: int = 3, top: int | None = None) -> Iterator[dict]:
+    """The best pairs in order, none of whose ends has been used ``most`` times; the first ``top``. Holds a number for each
+    end that was used."""
     used: dict = {}
-    out = []
+    n = 0
     for r in rows:
-        if (top is None or len(out) < top) and used.get(r["a"], 0) < most and used.get(r["b"], 0) < most:
+        if (top is None or n < top) and used.get(r["a"], 0) < most and used.get(r["b"], 0) < most:
             used[r["a"]] = used.get(r["a"], 0) + 1
             used[r["b"]] = used.get(r["b"], 0) + 1
-            out.append(r)
-    return out
+            n += 1
+            yield r
 
 
-def pack_sentences(rows: list[dict], most: int = 50, chunk: int = 100) -> list[dict]:
+def pack_sentences(rows: Rows, most: int = 50, chunk: int = 100) -> Iterator[dict]:
     """Sentences are added while together they have fewer than ``most`` words; text without sentences goes by words."""
-    import re
-
-    out = []
     for r in rows:
         sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", r["text"]) if s.strip()]
         if len(sentences) <= 1:
             words = r["text"].split()
             packed = [" ".join(words[i : i + chunk]) for i in range(0, len(words), chunk)]
         else:
-            packed = []
+            packed, n = [], 0
             for s in sentences:
-                if packed and len(packed[-1].split()) + len(s.split()) < most:
-                    packed[-1] += " " + s
+                more = len(s.split())
+                if packed and n + more < most:
+                    packed[-1].append(s)
+                    n += more
                 else:
-                    packed.append(s)
-        out += [{"recording_id": r["recording_id"], "id": r["id"], "part": i, "text": p} for i, p in enumerate(packed)]
-    return out
+                    packed.append([s])
+                    n = more
+            packed = [" ".join(p) for p in packed]
+        yield from ({"recording_id": r["recording_id"], "id": r["id"], "part": i, "text": p} for i, p in enumerate(packed))
 
 
-def stitch(rows: list[dict], most: int = 12) -> list[dict]:
-    """Each text without the words that the text so far ends with; a single shared word counts from five letters."""
+def stitch(rows: Rows, most: int = 12) -> Iterator[dict]:
+    """Each text without the words that the text so far ends with; a single shared word counts from five letters. Of the text so
+    far, its last ``most`` words are held."""
+    fold = lambda ws: [w.lower().strip(".,;:!?") for w in ws]
     said: list[str] = []
-    out = []
     for r in rows:
         new = r["text"].split()
-        fold = lambda ws: [w.lower().strip(".,;:!?") for w in ws]
         k = next((k for k in range(min(most, len(said), len(new)), 0, -1) if fold(said[-k:]) == fold(new[:k]) and (k > 1 or len(new[0]) >= 5)), 0)
-        said += new[k:]
-        out.append({"recording_id": r["recording_id"], "id": r["id"], "overlap": k, "added": " ".join(new[k:])})
-    return out
+        said = (said + new[k:])[-most:]
+        yield {"recording_id": r["recording_id"], "id": r["id"], "overlap": k, "added": " ".join(new[k:])}
 
 
-def split_points(rows: list[dict], target: float = 60.0, longest: float = 120.0) -> list[dict]:
+def split_points(rows: Rows, target: float = 60.0, longest: float = 120.0) -> Iterator[dict]:
     """The first silence at least ``target`` after the last split; one more if the rest is too long."""
-    out, last = [], 0.0
+    last, end, recording = 0.0, 0.0, None
     for r in rows:
+        end, recording = max(end, r["end_time"]), r["recording_id"]
         if r["at"] - last >= target:
-            out.append({"recording_id": r["recording_id"], "at": float(r["at"])})
+            yield {"recording_id": recording, "at": float(r["at"])}
             last = r["at"]
-    end = max(r["end_time"] for r in rows)
     if end - last > longest:
-        out.append({"recording_id": rows[0]["recording_id"], "at": float(last + (end - last) / 2)})
-    return out
+        yield {"recording_id": recording, "at": float(last + (end - last) / 2)}
 
 
-def pack_spans(rows: list[dict], gap: float = 2.0, longest: float = 29.5, pad: float = 1.0) -> list[dict]:
+def pack_spans(rows: Rows, gap: float = 2.0, longest: float = 29.5, pad: float = 1.0) -> Iterator[dict]:
     """Spans of bounded length with padding; a segment that is too long alone is split hard."""
     inner = longest - 2 * pad
-    parts = []
+    settled = lambda r, a, b: {"recording_id": r["recording_id"], "a": max(0.0, a - pad), "b": min(b + pad, max(0.0, a - pad) + longest)}
+    last: tuple[float, float] | None = None
+    r: dict = {}
     for r in rows:
         a = r["start_time"]
-        while r["end_time"] - a > inner:
-            parts.append((a, a + inner))
+        while True:
+            b = a + inner if r["end_time"] - a > inner else r["end_time"]
+            if last and a - last[1] <= gap and b - last[0] <= inner:
+                last = (last[0], max(last[1], b))
+            else:
+                if last:
+                    yield settled(r, *last)
+                last = (a, b)
+            if b == r["end_time"]:
+                break
             a += inner
-        parts.append((a, r["end_time"]))
-    out: list[list[float]] = []
-    for a, b in parts:
-        if out and a - out[-1][1] <= gap and b - out[-1][0] <= inner:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [{"recording_id": rows[0]["recording_id"], "a": max(0.0, a - pad), "b": min(b + pad, max(0.0, a - pad) + longest)} for a, b in out]
+    if last:
+        yield settled(r, *last)
 
 
-def collapse(rows: list[dict], near: float = 0.15) -> list[dict]:
+def collapse(rows: Rows, near: float = 0.15) -> Iterator[dict]:
     """Without rows that repeat the last row kept: both ends near and the text equal but for case."""
-    out: list[dict] = []
+    k: dict | None = None
     for r in rows:
-        k = out[-1] if out else None
         if k and abs(k["start_time"] - r["start_time"]) <= near and abs(k["end_time"] - r["end_time"]) <= near and k["text"].lower() == r["text"].lower():
             continue
-        out.append(r)
-    return out
+        k = r
+        yield r
 
 
-def claim(decisions: list[dict], lines: list[dict], most: float = 60.0) -> list[dict]:
-    """Each decision, in order, claims the nearest line of equal text that none before it has."""
-    taken: set = set()
-    out = []
-    for x in decisions:
-        gap = lambda u: max(0.0, u["start_time"] - x["end_time"], x["start_time"] - u["end_time"])  # noqa: B023, E731
-        free = [u for u in lines if u["text"].strip().lower() == x["text"].strip().lower() and u["id"] not in taken and gap(u) <= most]
-        if free:
-            best = min(free, key=lambda u: (gap(u), u["id"]))
-            taken.add(best["id"])
-            out.append({"recording_id": x["recording_id"], "decision": x["id"], "line": best["id"]})
-    return out
-
+def claim(rows: Rows, most: float = 60.0) -> Iterator[dict]:
+    """Each decision, in order, claims the nearest line that none before it has, at most ``most`` seconds away.
 
-def ema(rows: list[dict], keep: float = 0.9) -> list[dict]:
+    ``rows`` are those of one text in one recording: first the lines (decides is false) in order of start, then the decisions.
+    Three numbers are held of each line, and a decision looks at those that are near it.
+    """
+    starts, ends, ids, taken = [], [], [], None
+    length = 0.0
+    for r in rows:
+        if not r["decides"]:
+            starts.append(r["start_time"])
+            ends.append(r["end_time"])
+            ids.append(r["id"])
+            length = max(length, r["end_time"] - r["start_time"])
+            continue
+        if taken is None:
+            starts, ends, ids, taken = np.array(starts), np.array(ends), np.array(ids, dtype=np.int64), np.zeros(len(ids), dtype=bool)
+        here = slice(bisect_left(starts, r["start_time"] - most - length), bisect_right(starts, r["end_time"] + most))
+        gap = np.maximum(0.0, np.maximum(starts[here] - r["end_time"], r["start_time"] - ends[here]))
+        free = np.flatnonzero(~taken[here] & (gap <= most))
+        if len(free):
+            best = here.start + int(free[np.lexsort((ids[here][free], gap[free]))[0]])
+            taken[best] = True
+            yield {"recording_id": r["recording_id"], "decision": r["id"], "line": int(ids[best])}
+
+
+def ema(rows: Rows, keep: float = 0.9) -> Iterator[dict]:
     """A vector moved towards each new one and brought back to length 1."""
-    import numpy as np
-
-    v = None
+    v, n, uuid = None, 0, None
     for r in rows:
         x = np.asarray(r["embedding"], dtype=float)
         v = x if v is None else keep * v + (1 - keep) * x
         v = v / (np.linalg.norm(v) or 1.0)
-    return [{"speaker_uuid": rows[0]["speaker_uuid"], "n": len(rows), "embedding": v.tolist()}]
+        n, uuid = n + 1, r["speaker_uuid"]
+    yield {"speaker_uuid": uuid, "n": n, "embedding": v.tolist()}
 
 
-def exemplars(rows: list[dict], most_words: int = 8) -> list[dict]:
+def exemplars(rows: Rows, most_words: int = 8) -> Iterator[dict]:
     """One text's history, in order: learning adds to its count and may raise its source, unlearning takes from it; at
     nothing it is forgotten, source and all. Texts of more words aren't learned."""
     rank = ("detector", "verifier", "user")
-    count, source = 0, None
+    count, source, text = 0, None, None
     for r in rows:
+        text = r["text"]
         if r["learn"]:
-            if len(r["text"].split()) <= most_words and r["text"]:
+            if text and len(text.split()) <= most_words:
                 count, source = count + 1, max(source or "detector", r["source"], key=rank.index)
         elif count:
             count -= 1
             source = source if count else None
-    return [{"text": rows[0]["text"], "occurrences": count, "source": source}] if count else []
+    if count:
+        yield {"text": text, "occurrences": count, "source": source}
 
 
 def match_ends(reference: list[float], candidate: list[float], most: float = 0.75) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..dialect import DUCK, SPARK
-from ..domain import register, with_relations
+from ..domain import statement, with_relations
 from . import analytics, library, search
 
 
@@ -17,9 +17,7 @@ def catalog() -> dict[str, Callable]:
 
 def run(spark: SparkSession, source: str | dict[str, DataFrame], name: str, **parameters) -> DataFrame:
     """A plan over the driver's tables (a folder), or over relations that are handed in by name."""
-    sql = catalog()[name](SPARK, **parameters)
-    register(spark, source, sql)
-    return spark.sql(sql)
+    return statement(spark, source, catalog()[name](SPARK, **parameters))
 
 
 def oracle(name: str, **parameters) -> str:

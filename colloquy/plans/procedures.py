@@ -14,34 +14,76 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import functions, sinks, vectors
+from .. import functions, sinks
 from ..api import Library
 from ..dialect import SPARK
-from ..domain import register
+from ..domain import Relations, statement
+from ..index import KeywordIndex
 from ..operators import folds, groups
 from ..sources import transcripts
 from ..storage import cut, fresh_path
 from ..streaming import live
+from ..vectors import VectorIndex
 from . import analytics, search
 
 
-def statement(spark: SparkSession, source, sql: str) -> DataFrame:
-    register(spark, source, sql)
-    return spark.sql(sql)
-
-
 def relation(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, source: statement(spark, source, f"SELECT * FROM {name}")
 
 
 utterances, turns, voices = relation("utterances"), relation("turns"), relation("vectors")
 
+# --- stored indexes ---------------------------------------------------------------------------------------------------
+
+_BUILT: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, source, kind: str, build: Callable[[str], object]) -> str:
+    """The path of the index of that kind over a source: built when an application first asks for it, then kept."""
+    key = (spark.sparkContext.applicationId, source if isinstance(source, str) else id(source), kind)
+    if key not in _BUILT or not isinstance(source, str):
+        path = fresh_path(spark, kind)
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def keyword_index(spark: SparkSession, source) -> KeywordIndex:
+    return KeywordIndex(spark, _stored(spark, source, "keywords", lambda path: KeywordIndex.build(spark, path, statement(spark, source, search.index_docs(SPARK)))))
+
+
+def voice_index(spark: SparkSession, source) -> VectorIndex:
+    of = f"SELECT utterance_id AS id, embedding, vec_id, of AS recording_id, said_by FROM ({search.eligible(SPARK)}) e"
+    return VectorIndex(spark, _stored(spark, source, "voices", lambda path: VectorIndex.build(spark, path, statement(spark, source, of))))
+
+
+def by_words(name: str) -> Callable[..., DataFrame]:
+    """A plan over words, which reads the postings of its words alone from the stored index."""
+
+    def run(spark: SparkSession, source, query: str = search.QUERY, **parameters) -> DataFrame:
+        views = search.stored_views(keyword_index(spark, source), query)
+        try:
+            return statement(spark, source, search.PLANS[name](SPARK, query=query, stored=views, **parameters))
+        finally:
+            for v in views:
+                spark.catalog.dropTempView(v)
+
+    return run
+
+
+def vocabulary(spark: SparkSession, source) -> DataFrame:
+    """Terms of the lines with their documents, occurrences and first place, from the stored index."""
+    return keyword_index(spark, source).vocabulary().where("field = 'transcript'").drop("field")
+
+
 # --- ordered folds over a recording ----------------------------------------------------------------------------------
 
 
 def hits(spark, source, query: str = search.QUERY, limit: int = 50) -> DataFrame:
     """Hits of a hybrid search, titles among them, with their times."""
-    return statement(spark, source, f"SELECT f.recording_id, coalesce(u.id, -1) AS id, f.field, f.score, coalesce(u.utterance_index, -1) AS utterance_index, coalesce(u.start_time, 0e0) AS start_time FROM ({search.fused(SPARK, query, limit=limit)}) f LEFT JOIN utterances u ON u.id = f.utterance_id")
+    found = cut(by_words("RNK-01")(spark, source, query, limit=limit), "hits")
+    times = utterances(spark, source).select(F.col("id").alias("utterance_id"), "utterance_index", "start_time")
+    return found.join(times, "utterance_id", "left").select("recording_id", F.coalesce("utterance_id", F.lit(-1)).alias("id"), "field", "score", F.coalesce("utterance_index", F.lit(-1)).alias("utterance_index"), F.coalesce("start_time", F.lit(0.0)).alias("start_time"))
 
 
 def moments(spark, source):
@@ -106,13 +148,12 @@ def collapsed(spark, source):
 
 
 def claims(spark, source):
-    u = utterances(spark, source).select("recording_id", "id", "start_time", "end_time", "text")
-    left = u.where("id % 3 = 0").select("recording_id", "id", (F.col("start_time") + 1).alias("start_time"), (F.col("end_time") + 1).alias("end_time"), "text")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(folds.claim(a.sort_values("id").to_dict("records"), b.to_dict("records")), columns=["recording_id", "decision", "line"])
-
-    return left.groupBy("recording_id").cogroup(u.groupBy("recording_id")).applyInPandas(run, "recording_id long, decision long, line long")
+    """Decisions claim lines of their recording and text. A text of a recording is a group of its own: claims of others don't matter to it."""
+    u = utterances(spark, source).select("recording_id", "id", "start_time", "end_time", F.lower(F.trim("text")).alias("said"))
+    left = u.where("id % 3 = 0").withColumns({"start_time": F.col("start_time") + 1, "end_time": F.col("end_time") + 1})
+    both = u.withColumn("decides", F.lit(False)).unionByName(left.withColumn("decides", F.lit(True)))
+    both = both.withColumn("at", F.when(F.col("decides"), F.col("id").cast("double")).otherwise(F.col("start_time")))
+    return folds.per_recording(both, folds.claim, "recording_id long, decision long, line long", ["decides", "at", "id"], ["recording_id", "said"])
 
 
 def moving_average(spark, source):
@@ -126,19 +167,54 @@ def exemplars(spark, source):
     return folds.per_recording(short.withColumn("t", F.col("text")), folds.exemplars, "text string, occurrences long, source string", ["id"], "t")
 
 
-def voice_changes(spark, source):
-    """The voice detector over each track: blocks of twenty loud and twenty quiet ones in turn."""
-    e = statement(spark, source, "SELECT user_id AS track, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS block FROM events")
+def _arriving(df: DataFrame, order: str, parts: int) -> list[DataFrame]:
+    """``df`` in parts by ``order``, as it would come in."""
+    edges = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0] or []
+    edges = [None, *sorted(set(edges)), None]
+    inside = lambda a, b: (F.lit(True) if a is None else F.col(order) > a) & (F.lit(True) if b is None else F.col(order) <= b)
+    return [df.where(inside(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _streamed(spark, df: DataFrame, order: str, plan: Callable[[DataFrame], DataFrame], last: DataFrame | None = None, parts: int = 3) -> DataFrame:
+    """``plan`` over a stream of ``df`` that comes in parts, stopped and started again after each; ``last`` comes at the end."""
+    folder, out, ledger = (fresh_path(spark, n) for n in ("arriving", "final", "ledger"))
+    for part in [*_arriving(df, order, parts), *([] if last is None else [last])]:
+        part.write.mode("append").parquet(folder)
+        live.run(plan(spark.readStream.schema(df.schema).parquet(folder)), out, ledger)
+    return spark.read.schema(plan(df.limit(0)).schema).parquet(out)
+
+
+def _blocks(spark, source) -> DataFrame:
+    """Blocks of sound of each track, of 20 ms: twenty loud and twenty quiet ones in turn; after 45, a pause of a minute."""
+    e = statement(spark, source, "SELECT user_id AS track, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS block FROM events")
     loud = F.floor(F.col("block") / 20) % 2 == 1
-    b = e.select("track", F.col("block").cast("long").alias("block"), F.when(loud, 0.02 + F.col("value") / 1e5).otherwise(0.0004 + F.col("value") / 1e6).alias("rms"))
-    b = b.withColumn("peak", F.col("rms") * 3)
+    rms = F.when(loud, 0.02 + F.col("value") / 1e5).otherwise(0.0004 + F.col("value") / 1e6)
+    seconds = 1_700_000_000 + F.col("block") * 0.02 + F.floor(F.col("block") / 45) * 60
+    return e.select(F.col("track").cast("long").alias("track"), F.col("block").cast("long").alias("block"), F.timestamp_seconds(seconds).alias("ts"), rms.alias("rms"), (rms * 3).alias("peak"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        n = pdf["block"].tolist()
-        return pd.DataFrame([(int(pdf["track"].iloc[0]), n[i], s) for i, s in folds.detect_voice(list(zip(pdf["rms"], pdf["peak"], strict=True)))], columns=["track", "block", "speaking"])
 
-    return b.groupBy("track").applyInPandas(one, "track long, block long, speaking boolean")
+def voice_changes(spark, source):
+    """The voice detector over a stream of blocks, stopped and started again on the way; a last block of a track of its own lets
+    all others time out."""
+    blocks = cut(_blocks(spark, source), "blocks")
+    last = blocks.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("track"), F.lit(0).cast("long").alias("block"), F.timestamp_seconds(F.unix_timestamp("ts") + 3600).alias("ts"), F.lit(0.0).alias("rms"), F.lit(0.0).alias("peak"))
+    return _streamed(spark, blocks, "ts", lambda b: live.voices(b) if b.isStreaming else live.voices_of(b), last)
+
+
+def _flush(events: DataFrame) -> DataFrame:
+    """One event long after the others: after it no window of theirs is open."""
+    return events.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 365 DAYS"))
+
+
+def activity_stream(spark, source):
+    """Events by hour as they come in. In order, so that none is late: the same as over the table."""
+    e = cut(statement(spark, source, "SELECT cast(ts AS TIMESTAMP) AS ts, event_type, value FROM events"), "events")
+    return _streamed(spark, e, "ts", live.activity, _flush(e)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+
+
+def session_stream(spark, source):
+    e = cut(statement(spark, source, "SELECT cast(ts AS TIMESTAMP) AS ts, user_id FROM events"), "events")
+    return _streamed(spark, e, "ts", live.sessions, _flush(e)).select("user_id", F.col("start").cast("string").alias("start"), "n")
 
 
 # --- text ------------------------------------------------------------------------------------------------------------
@@ -553,25 +629,25 @@ def watched_folder(spark, source):
     return spark.read.schema(f"{schema}, batch int").parquet(table).groupBy("recording_id").agg(F.count("*").alias("lines"), F.countDistinct("id").alias("kinds"))
 
 
-def near_lines(spark, source):
-    """The nearest lines to some of the lines, by the approximate index."""
-    v = statement(spark, source, search.eligible(SPARK))
-    index = vectors.Approximate(cut(v, "indexed"))
-    asked = v.orderBy("vec_id").limit(3).select("vec_id", "embedding").collect()
-    found = [index.search(list(map(float, r["embedding"])), 10, v)[0].withColumn("asked", F.lit(r["vec_id"])) for r in asked]
-    return found[0].unionByName(found[1]).unionByName(found[2]) if len(found) == 3 else found[0]
+def near_lines(spark, source, every: int = 20, limit: int = 10):
+    """The nearest other lines to one line in so many, by the stored index."""
+    v = statement(spark, source, f"SELECT utterance_id, vec_id, embedding FROM ({search.eligible(SPARK)}) e")
+    asked = v.where(F.col("vec_id") % every == 0).select(F.col("utterance_id").alias("query_id"), "embedding")
+    found = voice_index(spark, source).search_all(asked, limit + 1).where("id <> query_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", F.col("id").alias("utterance_id"), F.round("cosine", 6).alias("cosine"))
 
 
 def widened(spark, source):
-    """A search within a scope so small that candidates must be widened: what was examined, and whether it is complete."""
-    v = statement(spark, source, search.eligible(SPARK))
-    index = vectors.Approximate(cut(v, "indexed"))
-    vector = list(map(float, v.orderBy("vec_id").first()["embedding"]))
+    """A search within scopes so small that more cells must be opened: what was examined, and whether it is complete."""
+    v = statement(spark, source, f"SELECT utterance_id AS id, vec_id, embedding FROM ({search.eligible(SPARK)}) e")
+    index, first = voice_index(spark, source), v.orderBy("vec_id").first()
+    vector = list(map(float, first["embedding"])) if first else [1.0]
     rows = []
-    for name, scope in (("all", v), ("few", v.where("vec_id % 40 = 1")), ("none", v.limit(0))):
-        found, complete, examined = index.search(vector, 10, scope)
-        rows.append((name, found.count(), complete, examined))
-    return spark.createDataFrame(rows, "scope string, found int, complete boolean, examined int")
+    for name, scope in (("all", None), ("few", v.where("vec_id % 40 = 1")), ("none", v.limit(0))):
+        found = index.search(vector, 10, scope)
+        rows.append((name, found.hits.count(), found.complete, found.examined, found.opened))
+    return spark.createDataFrame(rows, "scope string, found int, complete boolean, examined int, cells int")
 
 
 def routed(spark, source):
@@ -592,15 +668,17 @@ def routed(spark, source):
 
 
 def maintained(spark, source):
-    """Changes of lines that come in files, out of order: hidden, shown again, corrected. The index is what the latest say."""
-    folder, table, ledger = (fresh_path(spark, n) for n in ("changes", "lines", "ledger"))
-    u = utterances(spark, source).select("id", "text", "is_hidden", F.lit(1).alias("version"))
-    late = u.where("id % 3 = 0").withColumns({"text": F.upper("text"), "version": F.lit(3), "is_hidden": F.col("id") % 2 == 0})
-    early = u.where("id % 3 = 0").withColumns({"text": F.lower("text"), "version": F.lit(2), "is_hidden": F.lit(False)})
-    for part in (u, late, early):
+    """An index kept up with changes of lines that come in files, out of order: hidden, shown again, corrected. Its terms are
+    those of the latest version of each line."""
+    folder, path, ledger = (fresh_path(spark, n) for n in ("changes", "followed", "ledger"))
+    docs = statement(spark, source, search.index_docs(SPARK)).where("field = 'transcript'")
+    late = docs.where("doc % 3 = 0").withColumns({"text": F.concat(F.lit("corrected "), "text"), "version": F.lit(3), "visible": F.col("doc") % 2 == 1})
+    early = docs.where("doc % 3 = 0").withColumns({"text": F.lower("text"), "version": F.lit(2), "visible": F.lit(True)})
+    index = KeywordIndex.build(spark, path, docs)
+    for part in (late, early):
         part.write.mode("append").parquet(folder)
-        live.maintain(spark.readStream.schema(u.schema).parquet(folder), table, ledger).awaitTermination()
-    return live.indexed(spark, table)
+        index.follow(spark.readStream.schema(part.schema).parquet(folder), ledger).awaitTermination()
+    return index.vocabulary().where("field = 'transcript'").drop("field")
 
 
 def high_water_mark(spark, source):
@@ -617,11 +695,8 @@ def high_water_mark(spark, source):
     return done[0].unionByName(done[1]).unionByName(done[2]).groupBy("sweep").agg(F.count("*").alias("hits"), F.countDistinct("ex").alias("exemplars"), F.min("ex").alias("first"))
 
 
-def session_windows(spark, source):
-    return live.sessions(statement(spark, source, "SELECT * FROM events")).select("user_id", F.col("start").cast("string").alias("start"), "n")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{name: by_words(name) for name in search.STORED}, "LEX-01": vocabulary,
     "SRC-06": token_sidecars, "SRC-07": whole_output, "SRC-09": watched_folder, "SRC-11": broken_output, "JN-18": claims, "RNK-03": routed, "RNK-05": moments, "RNK-06": conversations, "VEC-03": near_lines, "VEC-05": widened, "VEC-09": moving_average,
     "WIN-05": segments, "WIN-06": spans, "WIN-07": target_windows, "WIN-09": capped_pairs, "WIN-13": sentences, "WIN-16": stitched, "WIN-18": split_points, "WIN-19": packed_spans, "WIN-20": collapsed,
     "TXT-10": longest_runs, "TXT-11": runaways, "TXT-17": suspicions, "TXT-18": tiers, "TXT-19": exemplars,
@@ -630,5 +705,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ASG-01": _assigned(_by_pairs(lambda s: groups.greedy(s, 0.85))), "ASG-02": _assigned(_by_pairs(lambda s: groups.optimal(s, 0.8, 0.05))), "ASG-03": _assigned(lambda new, known: groups.consensus(new, known, 0.8, 0.05)), "ASG-04": per_library(_fragments, "speaker_uuid string, target string, score double, margin double, support long"),
     "REC-02": calibration, "REC-04": _grouped(_constraints), "REC-05": apply_and_undo, "INF-01": _identity(_deduced, "voice string, person string"), "INF-03": _identity(_tiered, "voice string, person string, tier string"),
     "EVL-01": word_errors, "EVL-02-words": candidate_errors, "EVL-03": boundaries, "EVL-04": diarisation_error, "EVL-05": pipeline_metrics, "EVL-11": per_library(_review, "a string, b string, points double, reason string"),
-    "STR-01": maintained, "STR-08": high_water_mark, "STR-10": voice_changes, "STR-11-sessions": session_windows,
+    "STR-01": maintained, "STR-08": high_water_mark, "STR-10": voice_changes, "STR-11": activity_stream, "STR-11-sessions": session_stream,
 }

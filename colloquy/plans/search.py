@@ -5,23 +5,38 @@ Every plan takes its query: words, a vector (or a line to be like), and the reco
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..dialect import ACCENTED, PLAIN, Spark
+from ..dialect import Spark, folded
+from ..index import TOKEN
 from .library import cosine, shown_name
 
-TOKEN = r"[\p{L}\p{N}]+"
 FUSION = 60
 #: Weights of the fields in BM25, its k1 and b.
 TITLE_WEIGHT, K1, B = 5.0, 1.2, 0.75
 QUERY = "de la"
 
 
+def view(df, name: str) -> str:
+    """A temporary view of ``df`` under a name that nothing else has."""
+    own = f"{name}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(own)
+    return own
+
+
+def stored_views(index, query: str) -> tuple[str, str]:
+    """Views of the postings of a query's words and of the statistics of a stored index (:class:`colloquy.index.KeywordIndex`)."""
+    manifest = index.log.version()  # both of one version
+    return view(index.postings(query_terms(query), manifest), "postings"), view(index.corpus(manifest), "corpus")
+
+
 def query_terms(query: str) -> list[str]:
-    """The words of a query as the index has them: lower case, without accents, letters and digits."""
+    """The words of a query as the index has them: lower case, without marks, letters and digits."""
     import regex
 
-    return regex.findall(TOKEN, query.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return regex.findall(TOKEN, folded(query))
 
 
 def candidate_limit(limit: int) -> int:
@@ -57,12 +72,20 @@ def tokens(d: Spark) -> str:
     return f"SELECT id, {d.size(d.find(d.fold('text'), TOKEN))} AS n, {d.at(d.find(d.fold('text'), TOKEN), '1')} AS first_token FROM utterances WHERE {d.size(d.find(d.fold('text'), TOKEN))} > 0"
 
 
-def lexical(d: Spark, query: str = QUERY, limit: int = 60, recordings: tuple | str | None = None, speakers: tuple = ()) -> str:
+def index_docs(d: Spark) -> str:
+    """What a stored index is built from: the lines and the titles, as colloquy.index has them."""
+    return """SELECT 'transcript' AS field, id AS doc, 1 AS version, NOT is_hidden AS visible, recording_id, utterance_index AS place_in, speaker_uuid, text FROM utterances UNION ALL
+        SELECT 'title', id, 1, true, id, -1, NULL, title FROM recordings"""
+
+
+def lexical(d: Spark, query: str = QUERY, limit: int = 60, recordings: tuple | str | None = None, speakers: tuple = (), stored: tuple[str, str] | None = None) -> str:
     """Common table expressions of a keyword search, down to ``found``: the hits in their order.
 
     Three lanes over two fields: the phrase (tier 3), all words (2), any word (1, only if the others give fewer than
     ``limit`` hits). A lane is the best ``limit`` by BM25, then date and place; statistics are those of the whole index,
     before any filter. A hit keeps its highest tier, and in it its lowest score. Titles aren't searched for speakers.
+
+    ``stored``: views of the words' postings and of the fields' statistics from a stored index, read in the place of all texts.
     """
     terms = query_terms(query)
     if not terms:
@@ -78,9 +101,14 @@ def lexical(d: Spark, query: str = QUERY, limit: int = 60, recordings: tuple | s
         scope += f" AND d.field = 'transcript' AND d.speaker_uuid IN ({d.texts(speakers)})"
     weight = f"CASE WHEN field = 'title' THEN {TITLE_WEIGHT}e0 ELSE 1e0 END"
     score = lambda tf, df: f"greatest({d.ln(f'(n - {df} + 5e-1) / ({df} + 5e-1)')}, 1e-6) * ({tf} * w * {K1 + 1}e0) / ({tf} * w + {K1}e0 * ({1 - B}e0 + {B}e0 * len / mean))"
-    return f"""asked AS (SELECT * FROM (VALUES {asked}) AS v(term, j)), docs AS ({documents(d)}),
+    if stored:
+        base = f"""docs AS (SELECT DISTINCT field, doc, recording_id, place_in, speaker_uuid FROM {stored[0]}), corpus AS (SELECT field, n, mean FROM {stored[1]}),
+        hit AS (SELECT field, doc, len, term, place FROM {d.unnest(f"(SELECT field, doc, len, term, places FROM {stored[0]}) h", "places", "place")})"""
+    else:
+        base = f"""docs AS ({documents(d)}),
         corpus AS (SELECT field, count(*) AS n, avg(cast({d.size("ws")} AS DOUBLE)) AS mean FROM docs GROUP BY field),
-        hit AS (SELECT field, doc, len, term, place FROM {d.unnest(f"(SELECT field, doc, {d.size('ws')} AS len, ws FROM docs WHERE {d.some('ws', 'w', f'w IN ({among})')}) h", "ws", "term", "place")} WHERE term IN ({among})),
+        hit AS (SELECT field, doc, len, term, place FROM {d.unnest(f"(SELECT field, doc, {d.size('ws')} AS len, ws FROM docs WHERE {d.some('ws', 'w', f'w IN ({among})')}) h", "ws", "term", "place")} WHERE term IN ({among}))"""
+    return f"""asked AS (SELECT * FROM (VALUES {asked}) AS v(term, j)), {base},
         tf AS (SELECT field, doc, max(len) AS len, term, count(*) AS tf FROM hit GROUP BY field, doc, term), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY field, term),
         scored AS (SELECT field, doc, count(DISTINCT term) AS kinds, -sum({score("tf", "df")}) AS bm25 FROM (
             SELECT t.field, t.doc, t.len, t.term, t.tf, f.df, c.n, c.mean, {weight.replace("field", "t.field")} AS w FROM tf t JOIN df f ON f.field = t.field AND f.term = t.term JOIN asked a ON a.term = t.term JOIN corpus c ON c.field = t.field) x GROUP BY field, doc),
@@ -95,32 +123,32 @@ def lexical(d: Spark, query: str = QUERY, limit: int = 60, recordings: tuple | s
         found AS (SELECT *, row_number() OVER (ORDER BY tier DESC, CASE WHEN field = 'title' THEN 0 ELSE 1 END, round(bm25, 9), created_at DESC, identity) AS place FROM merged)"""
 
 
-def bm25_scores(d: Spark, query: str = QUERY) -> str:
+def bm25_scores(d: Spark, query: str = QUERY, stored: tuple[str, str] | None = None) -> str:
     """Scores of every line and title with a word of the query; smaller is better."""
-    return f"WITH {lexical(d, query)} SELECT field, doc, round(bm25, 6) AS bm25 FROM scored"
+    return f"WITH {lexical(d, query, stored=stored)} SELECT field, doc, round(bm25, 6) AS bm25 FROM scored"
 
 
-def match_tiers(d: Spark, query: str = QUERY) -> str:
+def match_tiers(d: Spark, query: str = QUERY, stored: tuple[str, str] | None = None) -> str:
     """What each line and title matches: the phrase, all words, or any."""
-    return f"WITH {lexical(d, query)} SELECT field, doc, max(tier) AS tier FROM lanes GROUP BY field, doc"
+    return f"WITH {lexical(d, query, stored=stored)} SELECT field, doc, max(tier) AS tier FROM lanes GROUP BY field, doc"
 
 
-def merged_tiers(d: Spark, query: str = QUERY, limit: int = 20) -> str:
-    return f"WITH {lexical(d, query, limit)} SELECT identity, tier, round(bm25, 6) AS bm25 FROM merged"
+def merged_tiers(d: Spark, query: str = QUERY, limit: int = 20, stored: tuple[str, str] | None = None) -> str:
+    return f"WITH {lexical(d, query, limit, stored=stored)} SELECT identity, tier, round(bm25, 6) AS bm25 FROM merged"
 
 
-def lane(d: Spark, query: str = QUERY, limit: int = 60) -> str:
-    return f"WITH {lexical(d, query, limit)} SELECT field, tier, n, identity FROM laned"
+def lane(d: Spark, query: str = QUERY, limit: int = 60, stored: tuple[str, str] | None = None) -> str:
+    return f"WITH {lexical(d, query, limit, stored=stored)} SELECT field, tier, n, identity FROM laned"
 
 
-def keyword(d: Spark, query: str = QUERY, limit: int = 60, recordings: tuple | str | None = None, speakers: tuple = ()) -> str:
+def keyword(d: Spark, query: str = QUERY, limit: int = 60, recordings: tuple | str | None = None, speakers: tuple = (), stored: tuple[str, str] | None = None) -> str:
     """Hits by words, best first: tier, then titles before lines, then score, date and the identity as a string."""
-    return f"WITH {lexical(d, query, limit, recordings, speakers)} SELECT place, identity, field, tier, round(bm25, 6) AS bm25, recording_id, CASE WHEN field = 'transcript' THEN doc END AS utterance_id FROM found WHERE place <= {int(limit)}"
+    return f"WITH {lexical(d, query, limit, recordings, speakers, stored)} SELECT place, identity, field, tier, round(bm25, 6) AS bm25, recording_id, CASE WHEN field = 'transcript' THEN doc END AS utterance_id FROM found WHERE place <= {int(limit)}"
 
 
-def title_gate(d: Spark, query: str = QUERY, speakers: tuple = ("spk-user-1",)) -> str:
+def title_gate(d: Spark, query: str = QUERY, speakers: tuple = ("spk-user-1",), stored: tuple[str, str] | None = None) -> str:
     """The same search with and without a speaker: titles are found only without."""
-    both = [f"SELECT {d.text(name)} AS asked, field, identity FROM ({keyword(d, query, 60, None, of)}) k{i}" for i, (name, of) in enumerate((("all", ()), ("speaker", speakers)))]
+    both = [f"SELECT {d.text(name)} AS asked, field, identity FROM ({keyword(d, query, 60, None, of, stored)}) k{i}" for i, (name, of) in enumerate((("all", ()), ("speaker", speakers)))]
     return " UNION ALL ".join(both)
 
 
@@ -231,7 +259,7 @@ def voice_check(d: Spark, margin: float = 0.05, floor: float = 0.5) -> str:
 # --- fusion ----------------------------------------------------------------------------------------------------------
 
 
-def fused(d: Spark, query: str = QUERY, vector: list[float] | None = None, like: int = 7, limit: int = 20, recordings: tuple | str | None = None, speakers: tuple = (), lanes: dict | None = None) -> str:
+def fused(d: Spark, query: str = QUERY, vector: list[float] | None = None, like: int = 7, limit: int = 20, recordings: tuple | str | None = None, speakers: tuple = (), lanes: dict | None = None, stored: tuple[str, str] | None = None) -> str:
     """Keyword and vector lanes joined by reciprocal ranks: score, then the better rank, the date, the identity.
 
     ``lanes``: DataFrames of a lane's hits, kw or sem, in the place of the plans' own.
@@ -239,18 +267,18 @@ def fused(d: Spark, query: str = QUERY, vector: list[float] | None = None, like:
     n = candidate_limit(limit)
     given = {}
     for name, df in (lanes or {}).items():
-        df.withColumns({c: F.lit(None).cast(t) for c, t in (("field", "string"), ("tier", "int")) if c not in df.columns}).createOrReplaceTempView(f"lane_{name}")
-        given[name] = f"SELECT * FROM lane_{name}"
+        full = df.withColumns({c: F.lit(None).cast(t) for c, t in (("field", "string"), ("tier", "int")) if c not in df.columns})
+        given[name] = f"SELECT * FROM {view(full, name)}"
     part = lambda x: f"coalesce(1e0 / ({FUSION} + {x}), 0e0)"
-    return f"""WITH kw AS (SELECT * FROM ({given.get("kw") or keyword(d, query, n, recordings, speakers)}) a), sem AS (SELECT * FROM ({given.get("sem") or semantic(d, vector, like, n, None, recordings, speakers)}) b),
+    return f"""WITH kw AS (SELECT * FROM ({given.get("kw") or keyword(d, query, n, recordings, speakers, stored)}) a), sem AS (SELECT * FROM ({given.get("sem") or semantic(d, vector, like, n, None, recordings, speakers)}) b),
         joined AS (SELECT coalesce(k.identity, s.identity) AS identity, coalesce(k.field, 'transcript') AS field, coalesce(k.recording_id, s.recording_id) AS recording_id, coalesce(k.utterance_id, s.utterance_id) AS utterance_id, k.tier, k.place AS keyword_rank, s.place AS semantic_rank,
             {part("k.place")} + {part("s.place")} AS score FROM kw k FULL OUTER JOIN sem s ON s.identity = k.identity)
         SELECT row_number() OVER (ORDER BY round(score, 12) DESC, best, created_at DESC, identity) AS place, identity, field, recording_id, utterance_id, tier, keyword_rank, semantic_rank, CASE WHEN keyword_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 'hybrid' WHEN semantic_rank IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS match, round(score, 9) AS score
         FROM (SELECT b.*, r.created_at, least(coalesce(keyword_rank, 9999), coalesce(semantic_rank, 9999)) AS best FROM joined b JOIN recordings r ON r.id = b.recording_id ORDER BY round(score, 12) DESC, least(coalesce(keyword_rank, 9999), coalesce(semantic_rank, 9999)), r.created_at DESC, identity LIMIT {int(limit)}) t"""
 
 
-def single_lane(d: Spark, query: str = QUERY, limit: int = 20, recordings: tuple | str | None = None, speakers: tuple = ()) -> str:
-    return f"SELECT place, identity, field, recording_id, utterance_id, tier, round(1e0 / ({FUSION} + place), 9) AS score FROM ({keyword(d, query, candidate_limit(limit), recordings, speakers)}) k WHERE place <= {int(limit)}"
+def single_lane(d: Spark, query: str = QUERY, limit: int = 20, recordings: tuple | str | None = None, speakers: tuple = (), stored: tuple[str, str] | None = None) -> str:
+    return f"SELECT place, identity, field, recording_id, utterance_id, tier, round(1e0 / ({FUSION} + place), 9) AS score FROM ({keyword(d, query, candidate_limit(limit), recordings, speakers, stored)}) k WHERE place <= {int(limit)}"
 
 
 def auto_mode(d: Spark) -> str:
@@ -285,6 +313,9 @@ def excerpt(d: Spark, around: int = 5, budget: int = 1500) -> str:
         SELECT id FROM (SELECT id, sum(n) OVER (PARTITION BY recording_id ORDER BY utterance_index) AS upto FROM near) s WHERE upto <= {budget}"""
 
 
+#: Plans over words, which a stored index can serve.
+STORED = ("LEX-03", "LEX-04", "LEX-05", "LEX-06", "LEX-07", "LEX-08", "RNK-01", "RNK-02")
+
 PLANS = {
     "LEX-01": index, "LEX-02": tokens, "LEX-03": bm25_scores, "LEX-04": match_tiers, "LEX-05": merged_tiers, "LEX-06": lane, "LEX-07": keyword, "LEX-08": title_gate,
     "VEC-01": label_cosines, "VEC-02": semantic, "VEC-04": strategy, "VEC-06": index_coverage, "VEC-07": weighted_mean, "VEC-08": running_mean, "VEC-10": similar_speakers, "VEC-11": neighbour_cosine, "VEC-12": coerced, "VEC-13": voice_check,

@@ -1,4 +1,4 @@
-"""Streams: activity windows with late data, a voice detector with state, and an index kept up to date."""
+"""Streams: windows in event time with late data, a voice detector with keyed state, and marks of what was looked at."""
 
 from __future__ import annotations
 
@@ -7,75 +7,114 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import FLOOR, hear
 from ..storage import cut, exists
 
+#: State of streams is kept in RocksDB, which the keyed operator below needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """ts, event_type, value -> counts and sums by tumbling window. The same plan runs on a stream and on a table."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if e.isStreaming:
-        e = e.withWatermark("ts", late)
-    return e.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
-
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """``events`` with ts as a time stamp; of a stream, those that come later than ``late`` behind the latest may be left out."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if e.isStreaming:
-        e = e.withWatermark("ts", late)
-    return e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return e.withWatermark("ts", late) if e.isStreaming else e
 
 
-def voices(blocks: DataFrame) -> DataFrame:
-    """track, block, rms, peak -> track, block, speaking at each change of state.
+def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """ts, event_type, value -> counts and sums by tumbling window. The same plan runs on a stream, in append mode, and on a table."""
+    found = timed(events, late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return found.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
-    The state of a track is four numbers, so tracks may go on for ever. A batch's blocks are taken in order; blocks come in
-    order from one batch to the next.
-    """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (FLOOR, False, 0, 0)
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """ts, user_id -> a row for each stretch of a user without a pause of ``gap``."""
+    found = timed(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+SAID = "track long, block long, speaking boolean, reason string"
+
+
+def listen(key: int, state: tuple | None, blocks: list[tuple[int, int, float, float]], idle: int) -> tuple[tuple, list[tuple]]:
+    """Blocks (ms, block, rms, peak) of one track in order -> the state after them (floor, speaking, loud, quiet, last ms, last block) and
+    the changes. A pause of more than ``idle`` ms ends speech, and the detector starts anew."""
+    out = []
+    for ms, block, rms, peak in blocks:
+        if state is not None and ms - state[4] > idle:
+            if state[1]:
+                out.append((key, state[5], False, "pause"))
+            state = None
+        now, changed = hear((FLOOR, False, 0, 0) if state is None else state[:4], rms, peak)
+        if changed:
+            out.append((key, block, now[1], "level"))
+        state = (*now, ms, block)
+    return state, out
+
+
+class Detector(StatefulProcessor):
+    """The detector of each track as keyed state of six numbers. A timer in event time ends the speech of a track that has
+    stopped, and takes its state away, so state is as large as the number of tracks that go on."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.heard = handle.getValueState("heard", "floor double, speaking boolean, loud long, quiet long, ms long, block long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = sorted((int(m), int(b), float(r), float(p)) for pdf in rows for m, b, r, p in zip(pdf["ms"], pdf["block"], pdf["rms"], pdf["peak"], strict=True))
+        state = tuple(self.heard.get()) if self.heard.exists() else None
+        state, out = listen(key[0], state, batch, self.idle)
+        self.heard.update((float(state[0]), bool(state[1]), *map(int, state[2:])))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(state[4] + self.idle)
+        yield pd.DataFrame(out, columns=["track", "block", "speaking", "reason"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        for block, rms, peak in sorted((int(b), float(r), float(p)) for pdf in batches for b, r, p in zip(pdf["block"], pdf["rms"], pdf["peak"], strict=True)):
-            now, changed = hear(now, rms, peak)
-            if changed:
-                out.append((key[0], block, now[1]))
-        state.update((float(now[0]), bool(now[1]), int(now[2]), int(now[3])))
-        yield pd.DataFrame(out, columns=["track", "block", "speaking"])
+        if self.heard.exists():
+            state = tuple(self.heard.get())
+            if state[1]:
+                out.append((key[0], state[5], False, "pause"))
+            self.heard.clear()
+        yield pd.DataFrame(out, columns=["track", "block", "speaking", "reason"])
+
+    def close(self) -> None:
+        pass
 
-    return blocks.groupBy("track").applyInPandasWithState(step, "track long, block long, speaking boolean", "floor double, speaking boolean, loud int, quiet int", "append", GroupStateTimeout.NoTimeout)
 
+def milliseconds(blocks: DataFrame) -> DataFrame:
+    return blocks.select("track", "block", "rms", "peak", "ts", F.unix_millis("ts").alias("ms"))
 
-BUCKETS = 64
 
+def voices(blocks: DataFrame, idle: float = 10.0, late: str = "2 seconds") -> DataFrame:
+    """A stream of track, block, ts, rms, peak -> a row for each change: track, block, speaking, reason (level, or pause: nothing for
+    ``idle`` seconds). Blocks of a track come in order from batch to batch; within one they are put in order."""
+    blocks.sparkSession.conf.set(*STATE_STORE)
+    return milliseconds(timed(blocks, late)).groupBy("track").transformWithStateInPandas(Detector(int(idle * 1000)), SAID, "Append", "eventTime")
 
-def merge(batch: DataFrame, path: str, key: str = "id", order: str = "version") -> None:
-    """Take changes into the table at ``path``: of each row the one with the greatest ``order`` stays, whether it is in the
-    table or in the batch, so late and repeated changes do no harm. Hidden rows stay as marks of their version.
 
-    The table is parted by a hash of the key, and only parts with a change are read and written again: first beside the
-    table, then over it.
-    """
-    spark = batch.sparkSession
-    new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-    old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)) if exists(spark, path) else new.limit(0)
-    rest = F.struct(*[c for c in new.columns if c not in (key, "bucket")])
-    both = old.select(*new.columns).unionByName(new).groupBy("bucket", key).agg(F.max_by(rest, order).alias("r")).select(key, "r.*", "bucket")
-    staged = cut(both.select(*new.columns), "staged")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def voices_of(blocks: DataFrame, idle: float = 10.0, until: float | None = None) -> DataFrame:
+    """The same over a table; a track that has been silent for ``idle`` seconds at ``until`` (epoch seconds) has stopped."""
+    pause = int(idle * 1000)
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        track = int(pdf["track"].iloc[0])
+        state, out = listen(track, None, sorted(zip(pdf["ms"], pdf["block"], pdf["rms"], pdf["peak"], strict=True)), pause)
+        if until is not None and state[1] and state[4] + pause <= until * 1000:
+            out.append((track, state[5], False, "pause"))
+        return pd.DataFrame(out, columns=["track", "block", "speaking", "reason"])
 
-def maintain(changes: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "version"):
-    """Keep the table at ``path`` equal to the latest version of each row of a stream of changes; see :func:`merge`."""
-    return changes.writeStream.foreachBatch(lambda batch, n: merge(batch, path, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return milliseconds(timed(blocks, "0 seconds")).groupBy("track").applyInPandas(one, SAID)
 
 
-def indexed(spark: SparkSession, path: str) -> DataFrame:
-    """The visible rows of a table that :func:`maintain` keeps."""
-    return spark.read.parquet(path).where("NOT is_hidden").drop("bucket")
+def run(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Take in what a stream has now, write what is final to the table at ``path``, and stop. Run again, it goes on from there."""
+    rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def sweep_new(spark: SparkSession, exemplars: DataFrame, sweep: Callable[[DataFrame], DataFrame], state: str) -> DataFrame:

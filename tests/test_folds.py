@@ -1,8 +1,10 @@
 """Ordered folds and group decisions on small cases."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
+import pytest
 
 from colloquy.operators import folds, groups
 
@@ -12,9 +14,9 @@ def hit(i, index, start, score=0.01):
 
 
 def test_moments_are_anchored_on_their_first_hit():
-    got = folds.moments([hit(1, 0, 0), hit(2, 2, 15), hit(3, 4, 30)])
+    got = list(folds.moments([hit(1, 0, 0), hit(2, 2, 15), hit(3, 4, 30)]))
     assert [m["members"] for m in got] == [[1, 2], [3]]
-    assert len(folds.moments([hit(10, 1, 0), hit(11, 50, 0)])) == 2
+    assert len(list(folds.moments([hit(10, 1, 0), hit(11, 50, 0)]))) == 2
     best = folds.moments([hit(10, 1, 10, 0.02), hit(11, 2, 15, 0.03), hit(12, 10, 100)])
     assert [(m["id"], m["members"]) for m in best] == [(11, [11, 10]), (12, [12])]
 
@@ -28,25 +30,26 @@ def test_stitching_and_collapsing():
 
 def test_claims_are_one_to_one_in_order():
     line = lambda i, a: {"recording_id": 1, "id": i, "start_time": a, "end_time": a + 1, "text": "same"}
-    got = folds.claim([line(1, 10.0), line(2, 10.0), line(3, 500.0)], [line(7, 11.5), line(8, 40.0)])
+    decide = lambda i, a: line(i, a) | {"decides": True}
+    got = list(folds.claim([line(7, 11.5) | {"decides": False}, line(8, 40.0) | {"decides": False}, decide(1, 10.0), decide(2, 10.0), decide(3, 500.0)]))
     assert [(r["decision"], r["line"]) for r in got] == [(1, 7), (2, 8)]
 
 
 def test_exemplars_forget():
     row = lambda t, learn, s="user": {"text": t, "learn": learn, "source": s}
-    assert folds.exemplars([row("x", True, "detector"), row("x", False), row("x", True, "verifier"), row("x", True)]) == [{"text": "x", "occurrences": 2, "source": "user"}]
-    assert folds.exemplars([row("x", True), row("x", False)]) == [] and folds.exemplars([row("a b c d e f g h i", True)]) == []
+    assert list(folds.exemplars([row("x", True, "detector"), row("x", False), row("x", True, "verifier"), row("x", True)])) == [{"text": "x", "occurrences": 2, "source": "user"}]
+    assert not list(folds.exemplars([row("x", True), row("x", False)])) and not list(folds.exemplars([row("a b c d e f g h i", True)]))
 
 
 def test_conversations_are_scored_by_three_moments_and_the_title():
     def at(rec, i, index, start, score, field="transcript"):
         return {"recording_id": rec, "id": i, "utterance_index": index, "start_time": float(start), "score": score, "field": field}
 
-    one = folds.conversation([at(2, 20, 1, 0, 0.028), at(2, 21, 20, 120, 0.009)])[0]
+    one = next(folds.conversation([at(2, 20, 1, 0, 0.028), at(2, 21, 20, 120, 0.009)]))
     assert abs(one["score"] - 0.0298) < 1e-9 and one["moments"] == 2 and not one["title_only"]
-    two = folds.conversation([at(1, 10, 1, 0, 0.02), at(1, -1, -1, 0, 0.5, "title")])[0]
+    two = next(folds.conversation([at(1, 10, 1, 0, 0.02), at(1, -1, -1, 0, 0.5, "title")]))
     assert abs(two["score"] - 0.022) < 1e-9
-    alone = folds.conversation([at(2, -1, -1, 0, 0.8, "title")])[0]
+    alone = next(folds.conversation([at(2, -1, -1, 0, 0.8, "title")]))
     assert alone["title_only"] and alone["score"] == 0.8
 
 
@@ -163,3 +166,116 @@ def test_clusters_and_identities():
     assert groups.dbscan(x, 0.02, 2) == [0, 0, 0, 3, 3]
     assert groups.deduce([({"v1"}, {"ann"}), ({"v1", "v2"}, {"ann", "bob"}), ({"v3", "v4"}, {"x", "y"})]) == {"v1": "ann", "v2": "bob"}
     assert groups.mixture(np.vstack([angles(0, 1, 2), angles(90, 91, 92)])) and not groups.mixture(angles(0, 1, 2, 3, 4, 5))
+
+
+# --- folds as they run: row by row, with the memory of a decision
+
+
+def lines_of(n):
+    """A long recording: lines of a second, pauses here and there, speakers in turn, texts that repeat."""
+    for i in range(n):
+        a = i * 1.2 + (i // 50) * 3
+        yield {"recording_id": 1, "id": i, "utterance_index": i, "start_time": a, "end_time": a + 1, "at": a + 1, "speaker": "AB"[i // 7 % 2], "n_words": 3, "text": f"word{i % 11} and more.", "context": "", "score": (i * 37 % 100) / 100, "a": i % 500, "b": (i * 7 + 1) % 500, "embedding": [1.0, i % 3, 2.0], "speaker_uuid": "u", "learn": i % 3 > 0, "source": "user"}
+
+
+FOLDS = {
+    "merge": folds.merge_segments, "spans": folds.spans, "windows": folds.target_windows, "sentences": folds.pack_sentences, "stitch": folds.stitch, "splits": folds.split_points, "packed": folds.pack_spans, "collapse": folds.collapse,
+    "moments": folds.moments, "ema": folds.ema, "exemplars": folds.exemplars, "pairs": folds.capped_pairs,
+}
+
+
+@pytest.mark.parametrize("name", sorted(FOLDS))
+def test_memory_does_not_grow_with_a_recording(name):
+    def peak(n):
+        tracemalloc.start()
+        for _ in FOLDS[name](lines_of(n)):
+            pass
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    peak(100)
+    assert peak(20_000) < peak(2_000) + 30_000
+
+
+def test_a_recording_of_a_million_lines(spark):
+    n = 1_000_000
+    u = spark.range(n, numPartitions=4).selectExpr("1L AS recording_id", "id AS utterance_index", "CASE WHEN id div 5 % 2 = 0 THEN 'A' ELSE 'B' END AS speaker", "id * 1.0D AS start_time", "id * 1.0D + 0.9 AS end_time", "2.0D AS n_words", "'two words' AS text", "'' AS context")
+    got = folds.per_recording(u, lambda rows: folds.merge_segments(rows, "readable"), "recording_id long, policy string, speaker string, start_time double, end_time double, words double, lines long, text string", ["utterance_index"])
+    assert got.selectExpr("count(*) AS n", "sum(lines) AS lines", "max(lines) AS most").first() == (n // 5, n, 5)
+
+
+def test_batches_and_recordings_are_told_apart(spark):
+    rows = [(r, i, float(i), i + 0.5) for r in range(40) for i in range(0, 60, 1 + r % 3)]
+    df = spark.createDataFrame(rows, "recording_id long, id long, start_time double, end_time double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = folds.per_recording(df, folds.spans, "recording_id long, a double, b double, lines long, clamped boolean", ["start_time"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for r in range(40):
+        want += list(folds.spans({"recording_id": x[0], "start_time": x[2], "end_time": x[3]} for x in rows if x[0] == r))
+    key = lambda r: (r["recording_id"], r["a"])
+    assert sorted((tuple(r[c] for c in ("recording_id", "a", "b", "lines", "clamped")) for r in got)) == [tuple(r[c] for c in ("recording_id", "a", "b", "lines", "clamped")) for r in sorted(want, key=key)]
+
+
+def at(*spans):
+    return [{"recording_id": 1, "start_time": float(a), "end_time": float(b)} for a, b in spans]
+
+
+def shown(rows):
+    return [(round(r["a"], 6), round(r["b"], 6)) for r in rows]
+
+
+def test_spans_to_listen_to_again():
+    got = list(folds.spans(at((10, 12), (13, 15), (18, 19), (50, 90))))
+    assert shown(got) == [(9, 16), (17, 20), (49, 75)] and [r["lines"] for r in got] == [2, 1, 1] and [r["clamped"] for r in got] == [False, False, True]
+    assert [r["lines"] for r in folds.spans(at(*[(i, i + 0.5) for i in range(8)]))] == [6, 2]
+    assert not list(folds.spans([]))
+
+
+def test_target_windows_are_split_merged_grouped_and_padded():
+    # 0-30 is split at 12 and 24; the rest of 6 s takes the neighbour at 31; 100 stands alone and is padded to at least 8 s.
+    assert shown(folds.target_windows(at((0, 30), (31, 33), (100, 101)))) == [(0, 16), (8, 28), (20, 37), (96, 105)]
+    # Parts of a long target come before rows that begin within it, in order.
+    assert list(folds.in_parts(at((0, 30), (5, 6), (13, 40)), 12.0)) == [(0, 12), (5, 6), (12, 24), (13, 25), (24, 30), (25, 37), (37, 40)]
+    assert shown(folds.target_windows(at((0, 1), (2, 3), (11, 13)))) == [(0, 7), (7, 17)]
+
+
+def test_sentences_are_packed_below_fifty_words():
+    row = lambda text: [{"recording_id": 1, "id": 1, "text": text}]
+    ten = " ".join(["w"] * 9 + ["w."])
+    assert [len(r["text"].split()) for r in folds.pack_sentences(row(" ".join([ten] * 6)))] == [40, 20]
+    assert [len(r["text"].split()) for r in folds.pack_sentences(row("w " * 230))] == [100, 100, 30]
+    assert [r["text"] for r in folds.pack_sentences(row("One. Two!\nThree"))] == ["One. Two! Three"] and not list(folds.pack_sentences(row("")))
+
+
+def test_split_points():
+    silent = lambda *ends: [{"recording_id": 1, "at": float(x), "end_time": float(x)} for x in ends]
+    assert [r["at"] for r in folds.split_points(silent(10, 59, 61, 100, 130, 140))] == [61, 130]
+    assert [r["at"] for r in folds.split_points(silent(10, 61, 62, 400))] == [61, 400]
+    assert [r["at"] for r in folds.split_points([{"recording_id": 1, "at": 70.0, "end_time": 300.0}])] == [70, 185]
+
+
+def test_packed_spans_are_bounded_and_split_hard():
+    assert shown(folds.pack_spans(at((5, 6), (7, 20), (21, 40)))) == [(4, 21), (20, 41)]
+    assert shown(folds.pack_spans(at((0, 60)))) == [(0, 28.5), (26.5, 56), (54, 61)]
+
+
+def test_a_moving_average_of_voices():
+    rows = [{"speaker_uuid": "u", "embedding": e} for e in ([2.0, 0.0], [0.0, 1.0], [0.0, 0.0])]
+    got = next(folds.ema(rows))
+    v = np.array([1.0, 0.0])
+    for x in ([0.0, 1.0], [0.0, 0.0]):
+        v = 0.9 * v + 0.1 * np.array(x)
+        v /= np.linalg.norm(v)
+    assert got["n"] == 3 and np.allclose(got["embedding"], v)
+
+
+def test_claims_near_many_lines():
+    rows = [{"recording_id": 1, "id": i, "start_time": i * 1.0, "end_time": i + 0.5, "decides": False} for i in range(200)]
+    asks = [{"recording_id": 1, "id": 900 + k, "start_time": 100.0, "end_time": 100.5, "decides": True} for k in range(4)]
+    assert [r["line"] for r in folds.claim([*rows, *asks])] == [100, 99, 101, 98]
+    assert not list(folds.claim([{"recording_id": 1, "id": 1, "start_time": 900.0, "end_time": 901.0, "decides": True}]))
