@@ -6,7 +6,7 @@ from the synthetic tables, with values that exercise every rule.
 utterances: id, recording_id, utterance_index, start_time, end_time, speaker, speaker_uuid, text, n_words, is_hidden,
 review_status, suspicion, mean_p. recordings: id, title, file_name, file_path, external_id, duration, language,
 created_at (epoch seconds), source, full_transcript, access. tags, recording_tags, meetings, recording_meetings, speakers,
-attendee_mappings, comments, turns (diarised intervals), words (timed words), vectors (voice vectors of utterances),
+attendee_mappings, attendees (of meetings), aliases (who stands for whom), tokens (a recogniser's, with their probabilities), review_signals, comments, turns (diarised intervals), words (timed words), vectors (voice vectors of utterances),
 gold_pairs (labelled pairs of vectors), text_lines (lines of documents as a transcript), line_texts (their canonical texts, the seconds they take, their trigrams),
 exemplars (short lines that recur).
 """
@@ -29,7 +29,7 @@ def relations(d: Spark) -> dict[str, str]:
     lines = "split(text, '\\n')" if d.name == "spark" else "string_split(text, chr(10))"
     return {
         "utterances": f"""
-            SELECT id, recording_id, utterance_index, speaker, speaker_uuid, text, n_words, is_hidden, review_status, suspicion, mean_p,
+            SELECT id, recording_id, utterance_index, speaker, speaker_uuid, text, n_words, is_hidden, review_status, suspicion, mean_p, speaker_assignment_source, speaker_reviewed_at, audio_source,
                    (sum(n_words) OVER (PARTITION BY recording_id ORDER BY utterance_index) - n_words) / 150e0 * 60 AS start_time,
                    sum(n_words) OVER (PARTITION BY recording_id ORDER BY utterance_index) / 150e0 * 60 AS end_time
             FROM (SELECT conv_id * 1000 + turn AS id, conv_id AS recording_id, turn AS utterance_index, role AS speaker, text,
@@ -37,18 +37,26 @@ def relations(d: Spark) -> dict[str, str]:
                          cast({d.size(d.find("text", r"[^ \t\n\r]+"))} AS DOUBLE) AS n_words, (conv_id + turn) % 9 = 0 AS is_hidden,
                          CASE (conv_id + turn) % 5 WHEN 0 THEN 'user_kept' WHEN 1 THEN 'pending_review' END AS review_status,
                          cast((conv_id * 7 + turn * 3) % 11 AS DOUBLE) / 10 AS suspicion,
-                         CASE WHEN (conv_id + 2 * turn) % 6 <> 0 THEN cast((conv_id * 3 + turn * 7) % 20 AS DOUBLE) / 20 END AS mean_p
+                         CASE WHEN (conv_id + 2 * turn) % 6 <> 0 THEN cast((conv_id * 3 + turn * 7) % 20 AS DOUBLE) / 20 END AS mean_p,
+                         CASE WHEN conv_id % 8 = 0 THEN 'manual' WHEN (conv_id + turn) % 4 = 0 THEN 'global_manual' WHEN (conv_id + turn) % 4 = 1 THEN 'auto' END AS speaker_assignment_source,
+                         CASE WHEN conv_id % 8 = 0 OR (conv_id + turn) % 3 <> 0 THEN {EPOCH} + turn END AS speaker_reviewed_at, CASE WHEN role = 'user' AND conv_id % 4 <> 1 THEN 'microphone' WHEN role = 'assistant' AND conv_id % 4 <> 2 THEN 'system' END AS audio_source
                   FROM conversations) c""",
+        # What a recogniser gives for each word of a line, after the marker that it begins with.
+        "tokens": f"""
+            SELECT recording_id, id AS utterance_id, '[_BEG_]' AS text, 1e-1 AS p FROM utterances UNION ALL
+            SELECT recording_id, id, word, CASE WHEN (id + place) % 23 = 0 THEN NULL ELSE cast((id * 3 + place * 7) % 20 AS DOUBLE) / 20 END FROM {d.unnest(f"(SELECT id, recording_id, {d.find('text', r'[^ \t\n\r]+')} AS ws FROM utterances) t", "ws", "word", "place")}""",
+        "review_signals": "SELECT recording_id, cast(recording_id * 13 % 60 AS DOUBLE) AS score, recording_id % 5 <> 2 AS audio_exists FROM (SELECT DISTINCT recording_id FROM utterances) u WHERE recording_id % 9 <> 4",
         # Recordings with lines, and imported files that nobody has transcribed.
         "recordings": f"""
             SELECT recording_id AS id, {d.cut("min_by(text, utterance_index)", "1", "40")} AS title, 'rec_' || cast(recording_id AS VARCHAR(20)) || '.m4a' AS file_name,
                    '/audio/rec_' || cast(recording_id AS VARCHAR(20)) || '.m4a' AS file_path, 'ext' || cast(recording_id AS VARCHAR(20)) AS external_id, max(end_time) AS duration,
                    CASE recording_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS language,
                    {EPOCH} + recording_id * 18000 AS created_at, CASE recording_id % 3 WHEN 0 THEN 'recording' WHEN 1 THEN 'voiceMemos' ELSE 'imported' END AS source,
-                   CASE WHEN recording_id % 10 <> 0 THEN min_by(text, utterance_index) END AS full_transcript, recording_id % 13 <> 0 AS access
+                   CASE WHEN recording_id % 10 <> 0 THEN min_by(text, utterance_index) END AS full_transcript, recording_id % 13 <> 0 AS access,
+                   CASE WHEN recording_id % 8 = 0 OR recording_id % 5 = 3 THEN 'gold' WHEN recording_id % 5 = 0 THEN 'needs_correction' WHEN recording_id % 5 = 1 THEN 'in_progress' WHEN recording_id % 5 = 2 THEN 'complete' END AS speaker_review_status
             FROM utterances GROUP BY recording_id UNION ALL
             SELECT 1000000000 + item_id, {d.cut("text", "1", "40")}, 'import_' || cast(item_id % 25 AS VARCHAR(20)) || '.m4a', NULL, 'ext-i' || cast(item_id AS VARCHAR(20)), NULL, NULL,
-                   {EPOCH} - item_id * 86400, 'imported', NULL, true FROM benchmark""",
+                   {EPOCH} - item_id * 86400, 'imported', NULL, true, NULL FROM benchmark""",
         "tags": "SELECT id, 'tag' || cast(id AS VARCHAR(9)) AS name, id = 8 AS mcp_hidden FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS v(id)",
         "recording_tags": "SELECT DISTINCT id AS recording_id, id % 5 + 1 AS tag_id FROM recordings UNION SELECT id, 6 + id % 3 FROM recordings",
         "meetings": """
@@ -61,13 +69,19 @@ def relations(d: Spark) -> dict[str, str]:
                    1e0 / (1 + abs(r.id - m.id)) AS match_confidence, (r.id + m.id) % 7 = 0 AS is_dismissed
             FROM recordings r JOIN meetings m ON m.id = r.id UNION ALL
             SELECT r.id, m.id, CASE WHEN (r.id + m.id) % 2 = 0 THEN 'suggested' ELSE 'possible' END, 1e0 / 2, (r.id + m.id) % 7 = 0 FROM recordings r JOIN meetings m ON m.id = r.id + 1""",
+        # A speaker of a meeting's recording is invited under an address, now and then with others who aren't heard.
+        "attendees": """
+            SELECT DISTINCT l.meeting_id, 'Person ' || u.speaker_uuid AS name, CASE WHEN length(u.speaker_uuid) % 2 = 0 THEN 'p.' || u.speaker_uuid || '@Example.com' END AS email FROM recording_meetings l JOIN utterances u ON u.recording_id = l.recording_id AND u.speaker_uuid IS NOT NULL WHERE (l.meeting_id + length(u.speaker_uuid)) % 5 <> 0 UNION ALL
+            SELECT id, 'Everyone', 'all@example.com' FROM meetings WHERE id % 2 = 0 UNION ALL SELECT id, '', NULL FROM meetings WHERE id % 7 = 0""",
+        # Who stands for whom: chains, a circle of two, links of those who are no aliases any more.
+        "aliases": "SELECT cast(id AS BIGINT) AS id, cast(CASE WHEN id % 12 = 5 THEN id + 1 WHEN id % 12 = 6 THEN id - 1 WHEN id % 4 <> 0 THEN id - 1 END AS BIGINT) AS canonical_id, CASE WHEN id % 11 = 3 THEN 'active' ELSE 'alias' END AS identity_state FROM recordings WHERE duration IS NOT NULL",
         "speakers": """
             SELECT speaker_uuid AS uuid, CASE WHEN length(speaker_uuid) % 2 = 0 OR min(recording_id) % 2 = 0 THEN upper(min(speaker)) || ' ' || cast(min(recording_id) AS VARCHAR(20)) END AS name,
                    CASE min(recording_id) % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'llm' END AS name_source, 'active' AS identity_state
             FROM utterances WHERE speaker_uuid IS NOT NULL GROUP BY speaker_uuid UNION ALL
             SELECT * FROM (VALUES ('spk-nobody', 'Nobody', 'llm', 'active'), ('spk-blank', cast(NULL AS VARCHAR(9)), cast(NULL AS VARCHAR(9)), cast(NULL AS VARCHAR(9))), ('spk-old', 'Old Name', NULL, 'active'),
                 ('spk-typed', 'Typed In', 'manual', 'active'), ('spk-alias', 'Alias', 'llm', 'alias'), ('spk-invited', 'Invited', 'llm', 'active'), ('spk-empty', '', 'manual', 'active')) AS v(uuid, name, name_source, identity_state)""",
-        "attendee_mappings": "SELECT * FROM (VALUES ('spk-invited', 'invited@example.com', 'manual'), ('spk-nobody', 'nobody@example.com', 'auto'), ('spk-user-1', 'user.one@example.com', 'manual')) AS v(speaker_uuid, email, source)",
+        "attendee_mappings": "SELECT * FROM (VALUES ('spk-invited', 'invited@example.com', 'manual'), ('spk-nobody', 'nobody@example.com', 'auto'), ('spk-user-1', 'user.one@example.com', 'manual'), ('spk-user-4', 'p.spk-user-4@example.com', 'manual')) AS v(speaker_uuid, email, source)",
         "comments": "SELECT id, recording_id, text AS body, CASE WHEN id % 3 = 0 THEN 'open' ELSE 'resolved' END AS status, speaker AS created_by, 'k' || cast(utterance_index AS VARCHAR(9)) AS idempotency_key FROM utterances",
         "turns": """
             SELECT event_id AS id, user_id AS recording_id, 'v' || cast(event_id % 6 AS VARCHAR(9)) AS speaker, floor(value * 3) + event_id % 40 AS start_time, floor(value * 3) + event_id % 40 + 1 + event_id % 7 AS end_time, event_id % 10 / 1e1 AS quality
@@ -103,6 +117,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 STORED = ("line_texts", "exemplars")
 
 
+def reads(sql: str, name: str) -> bool:
+    """Whether a statement has the relation or table in a FROM or JOIN."""
+    return re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql) is not None
+
+
 def used(d: Spark, sql: str, given: frozenset[str] = frozenset()) -> dict[str, str]:
     """The relations that ``sql`` reads, each after those that it reads itself; not those that are ``given`` as tables."""
     all_ = {k: v for k, v in relations(d).items() if k not in given}
@@ -110,7 +129,7 @@ def used(d: Spark, sql: str, given: frozenset[str] = frozenset()) -> dict[str, s
 
     def need(text: str) -> None:
         for name in all_:
-            if name not in out and re.search(rf"\b{name}\b", text):
+            if name not in out and reads(text, name):
                 need(all_[name])
                 out.setdefault(name, all_[name])
 
@@ -140,15 +159,15 @@ class Relations:
 
     def _need(self, sql: str) -> None:
         if isinstance(self.source, dict):
-            if "line_texts" not in self._views and "text_lines" in self._views and re.search(r"\b(line_texts|exemplars)\b", sql):
+            if "line_texts" not in self._views and "text_lines" in self._views and (reads(sql, "line_texts") or reads(sql, "exemplars")):
                 self.put("line_texts", cut(self.spark.sql(self._own(relations(SPARK)["line_texts"])), "line_texts"))
-            if "exemplars" not in self._views and "line_texts" in self._views and re.search(r"\bexemplars\b", sql):
+            if "exemplars" not in self._views and "line_texts" in self._views and reads(sql, "exemplars"):
                 self.put("exemplars", cut(self.spark.sql(self._own(relations(SPARK)["exemplars"])), "exemplars"))
             return
         named = used(SPARK, sql)
         text = " ".join([sql, *named.values()])
         for t in TABLES:
-            if t not in self._views and re.search(rf"\b{t}\b", text):
+            if t not in self._views and reads(text, t):
                 self.put(t, dealt(self.spark.read.parquet(f"{self.source}/{t}.parquet")))
         for name, body in named.items():
             if name not in self._views:

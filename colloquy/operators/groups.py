@@ -6,6 +6,8 @@ applied as grouped pandas functions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
@@ -159,9 +161,28 @@ def _least(groups: dict[int, list[int]], n: int) -> list[int]:
     return out
 
 
-def probability(cosine: np.ndarray, z: np.ndarray | float = 0.0) -> np.ndarray:
-    """Of one person, for a cosine and its z-score in the cohort, before anything is learned."""
-    return 1 / (1 + np.exp(-np.clip(12 * (np.asarray(cosine) - 0.6) + 0.15 * np.asarray(z), -30, 30)))
+@dataclass(frozen=True)
+class Model:
+    """A logistic model of a pair's cosine and of how far it stands out from the cohort (z), both standardised first."""
+
+    bias: float
+    cosine: float
+    z: float
+    cosine_mean: float
+    cosine_scale: float
+    z_mean: float
+    z_scale: float
+
+    def __call__(self, cosine: np.ndarray, z: np.ndarray | float = 0.0) -> np.ndarray:
+        """The probability that a pair is one person."""
+        logit = self.bias + self.cosine * (np.asarray(cosine) - self.cosine_mean) / self.cosine_scale + self.z * (np.asarray(z) - self.z_mean) / self.z_scale
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+# The model before anything is learned.
+probability = Model(bias=-0.4, cosine=1.35, z=0.15, cosine_mean=0.55, cosine_scale=0.10, z_mean=0.0, z_scale=1.0)
+#: Where pairs are merged before anything is learned, the margin over the likeliest pair of different people, and its bounds.
+MERGE, OVER, BOUNDS = 0.88, 0.03, (0.60, 0.985)
 
 
 def reconcile(nodes: list[dict], must: list[tuple[int, int]] = (), cannot: list[tuple[int, int]] = (), anchors: dict[int, str] | None = None, merge: float = 0.88, slack: float = 0.16, single: float = 0.985, margin: float = 0.035, repeated: float = 0.96, model=probability) -> list[int]:
@@ -466,46 +487,28 @@ def hungarian(score: np.ndarray, stay: float = 0.0) -> list[tuple[int, int]]:
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m - n + 1) if match[j])
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.35, steps: int = 700, rate: float = 0.1) -> np.ndarray | None:
-    """Class-weighted logistic weights on standardised features, bias first; None with too few rows of either class."""
-    if len(y) < 6 or min((y == 1).sum(), (y == 0).sum()) < 3:
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.35, steps: int = 700, rate: float = 0.1) -> Model | None:
+    """The model of labelled pairs (rows of cosine and z; 1 for one person): logistic regression in which both classes weigh the same, the
+    weights of the features held back by ``ridge``, in steps that become smaller. None with fewer than six pairs, or three of a class."""
+    same = y == 1
+    n, ones = len(y), int(same.sum())
+    if n < 6 or min(ones, n - ones) < 3:
         return None
-    z = np.hstack([np.ones((len(x), 1)), (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9)])
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-z @ w))
-        w -= rate * (z.T @ ((p - y) * weight) / len(y) + ridge * np.concatenate([[0], w[1:]]) / len(y))
-    return w
-
-
-def deduce(meetings: list[tuple[set[str], set[str]]], owner: str | None = None) -> dict[str, str]:
-    """voice -> person: a meeting with one unknown voice, the owner's aside, and one unknown attendee settles both; repeat until
-    nothing moves."""
-    known: dict[str, str] = {}
-    moved = True
-    while moved:
-        moved = False
-        for voices, people in meetings:
-            v, p = sorted(voices - known.keys() - {owner}), sorted(people - set(known.values()))
-            if len(v) == 1 and len(p) == 1:
-                known[v[0]] = p[0]
-                moved = True
-    return known
-
-
-def tiered(scores: list[dict]) -> list[dict]:
-    """Identity guesses by falling rank, each voice and person once: strong, likely or weak, lower if a rival is close."""
-    out, voices, people = [], set(), set()
-    for s in sorted(scores, key=lambda s: (-s["rank"], s["voice"], s["person"])):
-        if s["voice"] in voices or s["person"] in people:
-            continue
-        tier = 2 if s["coverage"] >= 0.7 and s["shared"] >= 2 and s["specificity"] >= 0.5 else 1 if s["coverage"] >= 0.4 else 0
-        rival = max((r["rank"] for r in scores if r["voice"] == s["voice"] and r["person"] != s["person"]), default=0.0)
-        if rival >= 0.85 * s["rank"] and tier:
-            tier -= 1
-        voices.add(s["voice"]), people.add(s["person"])
-        out.append(s | {"tier": ("weak", "likely", "strong")[tier]})
-    return out
-
-
+    mean = x.mean(axis=0)
+    scale = np.maximum(x.std(axis=0, ddof=1), 1e-4)
+    f = np.column_stack([np.ones(n), (x - mean) / scale])
+    weight = np.where(same, n / (2 * ones), n / (2 * (n - ones)))
+    w = np.array([np.log(ones / (n - ones)), 0.0, 0.0])
+    held = ridge * np.array([0.0, 1.0, 1.0])
+    for step in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
+        w = w - rate / np.sqrt(1 + step / 80) * (f.T @ ((p - y) * weight) / n + held * w)
+    return Model(*map(float, w), float(mean[0]), float(scale[0]), float(mean[1]), float(scale[1]))
+
+
+def merge_point(model: Model | None, different: np.ndarray) -> float:
+    """From which probability pairs are merged: a margin over the likeliest of the labelled pairs of different people (rows of
+    cosine and z)."""
+    if model is None or not len(different):
+        return MERGE
+    return float(min(BOUNDS[1], max(BOUNDS[0], model(different[:, 0], different[:, 1]).max() + OVER)))

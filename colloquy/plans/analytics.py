@@ -51,7 +51,9 @@ def best_tier(d: Spark) -> str:
 
 
 def owner_counts(d: Spark) -> str:
-    return "SELECT u.speaker_uuid, count(*) AS recordings, count(*) FILTER (WHERE n.n = 1) AS solo FROM (SELECT DISTINCT recording_id, speaker_uuid FROM utterances WHERE speaker_uuid IS NOT NULL) u JOIN (SELECT recording_id, count(DISTINCT speaker_uuid) AS n FROM utterances WHERE speaker_uuid IS NOT NULL GROUP BY recording_id) n ON n.recording_id = u.recording_id GROUP BY u.speaker_uuid"
+    """For each voice its recordings, and those that it made alone: with no other voice, and not imported."""
+    return """SELECT u.speaker_uuid, count(*) AS recordings, count(*) FILTER (WHERE n.n = 1 AND r.source IN ('voiceMemos', 'recording')) AS solo FROM (SELECT DISTINCT recording_id, speaker_uuid FROM utterances WHERE speaker_uuid IS NOT NULL) u
+        JOIN (SELECT recording_id, count(DISTINCT speaker_uuid) AS n FROM utterances WHERE speaker_uuid IS NOT NULL GROUP BY recording_id) n ON n.recording_id = u.recording_id JOIN recordings r ON r.id = u.recording_id GROUP BY u.speaker_uuid"""
 
 
 def speaker_lists(d: Spark) -> str:
@@ -59,15 +61,19 @@ def speaker_lists(d: Spark) -> str:
 
 
 def profile(d: Spark) -> str:
-    count = lambda x: f"coalesce(sum(CASE WHEN {x} THEN 1 ELSE 0 END), 0)"
-    return f"""SELECT recording_id, cast({count("is_hidden")} AS BIGINT) AS hidden, cast({count("speaker_uuid IS NULL")} AS BIGINT) AS unknown, cast({count("review_status LIKE 'user%'")} AS BIGINT) AS settled, cast({count("review_status = 'pending_review'")} AS BIGINT) AS pending,
-        cast({count("suspicion >= 0.4")} AS BIGINT) AS suspicious, cast({count("suspicion >= 0.9")} AS BIGINT) AS junk, cast({count("end_time - start_time < 1")} AS BIGINT) AS short, cast({count("n_words > 50")} AS BIGINT) AS long_, count(DISTINCT speaker_uuid) AS speakers
-        FROM utterances GROUP BY recording_id HAVING {count("suspicion >= 0.4")} > 0"""
+    """What an evaluation asks of a recording: counts over its visible lines, and what people have done to any of its lines."""
+    count = lambda x: f"cast(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT)"
+    seen, manual = "NOT coalesce(u.is_hidden, false)", "coalesce(u.speaker_assignment_source, '') IN ('manual', 'global_manual')"
+    return f"""SELECT u.recording_id, {count(seen)} AS visible, count(DISTINCT CASE WHEN {seen} THEN coalesce(u.speaker_uuid, u.speaker) END) AS speakers, {count(f"{seen} AND {manual}")} AS manual, {count("u.review_status IN ('user_corrected', 'user_hidden', 'user_kept')")} AS human_actions,
+        {count(f"{seen} AND v.utterance_id IS NOT NULL")} AS voices, {count(f"{seen} AND u.speaker_uuid IS NULL AND trim(coalesce(u.speaker, '')) = ''")} AS unassigned, {count(f"{seen} AND NOT {manual}")} AS not_manual, {count(f"{seen} AND u.speaker_reviewed_at IS NULL")} AS unreviewed,
+        {count(f"{seen} AND coalesce(u.audio_source, '') = 'microphone'")} AS microphone, {count(f"{seen} AND coalesce(u.audio_source, '') = 'system'")} AS system_
+        FROM utterances u LEFT JOIN (SELECT DISTINCT utterance_id FROM vectors) v ON v.utterance_id = u.id GROUP BY u.recording_id HAVING {count(seen)} > 0"""
 
 
 def status(d: Spark) -> str:
-    return f"""WITH v AS (SELECT r.id, r.created_at FROM recordings r WHERE {VISIBLE}), u AS (SELECT x.* FROM utterances x JOIN v ON v.id = x.recording_id WHERE NOT x.is_hidden)
-        SELECT (SELECT count(*) FROM v) AS recordings, (SELECT max(created_at) FROM v) AS newest, (SELECT count(*) FROM u) AS lines, (SELECT count(*) FROM u JOIN vectors e ON e.vec_id = u.id) AS indexed"""
+    """A library as its readers may see it: visible recordings and lines, and how many of those lines have a vector."""
+    return f"""WITH v AS (SELECT r.id, r.created_at FROM recordings r WHERE {VISIBLE}), u AS (SELECT x.id FROM utterances x JOIN v ON v.id = x.recording_id WHERE NOT x.is_hidden), c AS (SELECT count(*) AS lines, count(e.utterance_id) AS indexed FROM u LEFT JOIN (SELECT DISTINCT utterance_id FROM vectors) e ON e.utterance_id = u.id)
+        SELECT w.recordings, w.newest, c.lines, c.indexed, CASE WHEN c.lines = 0 THEN 1e0 ELSE round(c.indexed * 1e0 / c.lines, 6) END AS coverage FROM (SELECT count(*) AS recordings, max(created_at) AS newest FROM v) w CROSS JOIN c"""
 
 
 def daily(d: Spark, first: int = 1704067200, days: int = 30) -> str:
@@ -92,10 +98,12 @@ def talk_stats(d: Spark) -> str:
 
 
 def longest_monologue(d: Spark) -> str:
-    """Islands of one speaker by order of start: first start to greatest end; the longest, ties to the lower recording."""
-    return """WITH o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY utterance_index) - row_number() OVER (PARTITION BY recording_id, speaker ORDER BY utterance_index) AS island FROM utterances WHERE NOT is_hidden),
-        i AS (SELECT recording_id, speaker, island, max(end_time) - min(start_time) AS s, min(start_time) AS a FROM o GROUP BY recording_id, speaker, island)
-        SELECT speaker, recording_id, round(s, 6) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY s DESC, recording_id, a) AS n FROM i) x WHERE n = 1"""
+    """Each speaker's longest run of visible lines that nobody interrupts, by start: from the first start to the greatest end, and its
+    words. Ties: the lower recording, the earlier run."""
+    by = "ORDER BY start_time, utterance_index"
+    return f"""WITH o AS (SELECT recording_id, speaker_uuid, start_time, end_time, {d.size(d.find("lower(text)", TALK_WORD))} AS n, row_number() OVER (PARTITION BY recording_id {by}) - row_number() OVER (PARTITION BY recording_id, speaker_uuid {by}) AS island FROM utterances WHERE NOT is_hidden),
+        i AS (SELECT recording_id, speaker_uuid, island, max(end_time) - min(start_time) AS s, min(start_time) AS a, cast(sum(n) AS BIGINT) AS words FROM o WHERE speaker_uuid IS NOT NULL GROUP BY recording_id, speaker_uuid, island)
+        SELECT speaker_uuid, recording_id, round(s, 6) AS seconds, words FROM (SELECT *, row_number() OVER (PARTITION BY speaker_uuid ORDER BY round(s, 9) DESC, recording_id, a) AS n FROM i) x WHERE n = 1"""
 
 
 def signature_words(d: Spark, least: int = 4, top: int = 5) -> str:
@@ -106,8 +114,8 @@ def signature_words(d: Spark, least: int = 4, top: int = 5) -> str:
 
 
 def token_stats(d: Spark) -> str:
-    """Mean and least probability and the share under 0.4 of a recording's tokens, without markers and unknown ones."""
-    return "SELECT recording_id, round(avg(mean_p), 6) AS mean_p, min(mean_p) AS min_p, round(avg(CASE WHEN mean_p < 4e-1 THEN 1e0 ELSE 0e0 END), 6) AS low_frac FROM utterances WHERE text NOT LIKE '[%' AND mean_p IS NOT NULL GROUP BY recording_id"
+    """Of a recording's tokens, without markers: mean and least probability, the share under 0.4, and how many there are."""
+    return """SELECT recording_id, round(avg(p), 6) AS mean_p, min(p) AS min_p, round(avg(CASE WHEN p < 4e-1 THEN 1e0 ELSE 0e0 END), 6) AS low_frac, count(*) AS tokens FROM tokens WHERE p IS NOT NULL AND NOT (substring(text, 1, 2) = '[_' AND substring(text, length(text), 1) = ']') GROUP BY recording_id"""
 
 
 def combine_stats(d: Spark) -> str:
@@ -565,14 +573,31 @@ def same_person(d: Spark) -> str:
 # --- identity, evaluation, state ------------------------------------------------------------------------------------
 
 
+#: What a meeting counts for by the confidence of its link.
+MEETING_WEIGHT = "CASE max(CASE l.link_type WHEN 'matched' THEN 2 WHEN 'suggested' THEN 1 ELSE 0 END) WHEN 2 THEN 1e0 WHEN 1 THEN 6e-1 ELSE 3e-1 END"
+#: Who an attendee is: the address in lower case, else the name; null without either.
+ATTENDEE_KEY = "nullif(coalesce(nullif(lower(trim(email)), ''), lower(trim(name))), '')"
+
+
+def meeting_weights(d: Spark) -> str:
+    """Meetings with a recording in which somebody speaks, by the best of their links that nobody has dismissed."""
+    return f"SELECT l.meeting_id, {MEETING_WEIGHT} AS w FROM recording_meetings l JOIN (SELECT DISTINCT recording_id FROM utterances WHERE speaker_uuid IS NOT NULL) u ON u.recording_id = l.recording_id WHERE NOT l.is_dismissed GROUP BY l.meeting_id"
+
+
 def coverage_scores(d: Spark) -> str:
-    return """WITH at AS (SELECT DISTINCT recording_id, speaker FROM turns), m AS (SELECT recording_id, meeting FROM (SELECT DISTINCT recording_id, recording_id % 4 AS meeting FROM turns) x), n AS (SELECT recording_id, count(*) AS voices FROM at GROUP BY recording_id),
-        s AS (SELECT a.speaker, m.meeting, count(*) AS shared, sum(1e0 / n.voices) AS weight FROM at a JOIN m ON m.recording_id = a.recording_id JOIN n ON n.recording_id = a.recording_id GROUP BY a.speaker, m.meeting), t AS (SELECT speaker, sum(weight) AS whole FROM s GROUP BY speaker)
-        SELECT s.speaker, s.meeting, s.shared, round(s.weight / t.whole, 6) AS coverage, round(s.weight / t.whole * s.shared, 6) AS rank FROM s JOIN t ON t.speaker = s.speaker""".replace(" at AS", " present AS").replace("FROM at ", "FROM present ")
+    """How an attendee's meetings go with a voice's, by the meetings' weights: coverage, the share of the voice's meetings; specificity,
+    the share of the attendee's; rank, coverage by the number of meetings that both were in."""
+    return f"""WITH m AS ({meeting_weights(d)}),
+        vm AS (SELECT DISTINCT m.meeting_id, m.w, u.speaker_uuid AS voice FROM m JOIN recording_meetings l ON l.meeting_id = m.meeting_id AND NOT l.is_dismissed JOIN utterances u ON u.recording_id = l.recording_id AND u.speaker_uuid IS NOT NULL),
+        am AS (SELECT DISTINCT m.meeting_id, m.w, a.person FROM m JOIN (SELECT meeting_id, {ATTENDEE_KEY} AS person FROM attendees) a ON a.meeting_id = m.meeting_id AND a.person IS NOT NULL),
+        vw AS (SELECT voice, sum(w) AS w, count(*) AS total FROM vm GROUP BY voice), aw AS (SELECT person, sum(w) AS w FROM am GROUP BY person),
+        c AS (SELECT vm.voice, am.person, sum(vm.w) AS w, count(*) AS shared FROM vm JOIN am ON am.meeting_id = vm.meeting_id GROUP BY vm.voice, am.person)
+        SELECT c.voice, c.person, c.shared, vw.total, round(c.w / vw.w, 6) AS coverage, round(c.w / aw.w, 6) AS specificity, round(c.w / vw.w * c.shared, 6) AS rank FROM c JOIN vw ON vw.voice = c.voice JOIN aw ON aw.person = c.person"""
 
 
 def owner(d: Spark) -> str:
-    return f"WITH c AS ({owner_counts(d)}), r AS (SELECT speaker_uuid, 2 * solo + recordings AS score FROM c), b AS (SELECT max(score) AS score FROM r) SELECT CASE WHEN count(*) = 1 THEN min(speaker_uuid) END AS owner FROM r JOIN b ON b.score = r.score"
+    """The voice with the most solo and other recordings; nobody if two have as many, or none has any."""
+    return f"WITH c AS ({owner_counts(d)}), r AS (SELECT speaker_uuid, 2 * solo + recordings AS score FROM c), b AS (SELECT max(score) AS score FROM r) SELECT CASE WHEN count(*) = 1 AND min(r.score) > 0 THEN min(speaker_uuid) END AS owner FROM r JOIN b ON b.score = r.score"
 
 
 def verdicts(d: Spark) -> str:
@@ -584,19 +609,15 @@ def verdicts(d: Spark) -> str:
         SELECT uuid, heard, 1, 7e-1 FROM ({base}) b WHERE {acts} AND lower(heard) <> lower(name)"""
 
 
-def pooled(d: Spark) -> str:
-    return "WITH p AS (SELECT speaker_uuid, min(recording_id) % 3 AS persona FROM utterances WHERE speaker_uuid IS NOT NULL GROUP BY speaker_uuid), a AS (SELECT p.persona, count(*) AS lines FROM utterances u JOIN p ON p.speaker_uuid = u.speaker_uuid GROUP BY p.persona) SELECT p.speaker_uuid, a.lines FROM p JOIN a ON a.persona = p.persona"
-
-
 def owner_likeness(d: Spark, owner: str = "spk1-0", least: float = 0.6) -> str:
     """Voices that are so like the owner's mean voice that they are the owner's."""
     return f"WITH {centroids(d)} SELECT v.vec_id, {cosine(d, 'v.embedding', 'z.m')} >= {least} AS you FROM vectors v CROSS JOIN (SELECT m FROM cent WHERE speaker_uuid = {d.text(owner)}) z"
 
 
-def aliases(d: Spark, most: int = 32) -> str:
-    """Follow canonical ids to their end; a circle ends at the first id that comes again."""
-    return f"""WITH RECURSIVE links AS (SELECT cast(id AS BIGINT) AS id, cast(CASE WHEN id % 12 = 5 THEN id + 1 WHEN id % 12 = 6 THEN id - 1 WHEN id % 3 = 0 THEN id ELSE id - 1 END AS BIGINT) AS up FROM recordings WHERE duration IS NOT NULL),
-        walk AS (SELECT id, id AS at_, ',' || cast(id AS VARCHAR(4000)) || ',' AS seen, 0 AS steps FROM links UNION ALL SELECT w.id, l.up, w.seen || cast(l.up AS VARCHAR(20)) || ',', w.steps + 1 FROM walk w JOIN links l ON l.id = w.at_ WHERE w.steps < {most} AND NOT contains(w.seen, ',' || cast(l.up AS VARCHAR(20)) || ','))
+def aliases(d: Spark) -> str:
+    """Follow aliases to whom they stand for, to the end; a circle ends at its first id that comes again."""
+    return """WITH RECURSIVE links AS (SELECT id, canonical_id AS up FROM aliases WHERE identity_state = 'alias' AND canonical_id IS NOT NULL),
+        walk AS (SELECT id, id AS at_, ',' || cast(id AS VARCHAR(4000)) || ',' AS seen, 0 AS steps, false AS done FROM aliases UNION ALL SELECT w.id, l.up, w.seen || cast(l.up AS VARCHAR(20)) || ',', w.steps + 1, contains(w.seen, ',' || cast(l.up AS VARCHAR(20)) || ',') FROM walk w JOIN links l ON l.id = w.at_ WHERE NOT w.done)
         SELECT id, max_by(at_, steps) AS canonical FROM walk GROUP BY id"""
 
 
@@ -612,13 +633,6 @@ def cohort_features(d: Spark) -> str:
         SELECT p.a, p.b, round(p.c, 6) AS cosine, round(greatest(-6e0, least(6e0, ((p.c - x.m) / x.s + (p.c - y.m) / y.s) / 2)), 4) + 0e0 AS z FROM p JOIN st x ON x.a = p.a JOIN st y ON y.a = p.b WHERE p.a < p.b"""
 
 
-def operating_point(d: Spark) -> str:
-    """Where voices are merged: 0.03 over the highest probability of a pair of different people, within 0.60 and 0.985, from
-    the development pairs alone. The probability is a logistic function of the cosine."""
-    c = cosine(d, "a.embedding", "b.embedding")
-    return f"SELECT a.library_id, round(greatest(6e-1, least(985e-3, max(1 / (1 + exp(-(12 * ({c}) - 6)))) + 3e-2)), 6) AS threshold FROM gold_pairs p JOIN vectors a ON a.vec_id = p.a JOIN vectors b ON b.vec_id = p.b WHERE p.verdict = 'different' AND p.role = 'development' GROUP BY a.library_id"
-
-
 def error_rates(d: Spark) -> str:
     """Character errors of a second transcript against the lines that a person has settled: its text for a line is that of
     its own segments that the line's time touches, in order. It hears every e as an a and has its times a second late."""
@@ -664,13 +678,27 @@ def held_out(d: Spark) -> str:
 
 
 def recommendation(d: Spark) -> str:
-    return "SELECT r.id, round(least(r.duration / 600, 1) * 40 + CASE WHEN r.access THEN 20 ELSE 0 END + CASE r.source WHEN 'recording' THEN 15 WHEN 'imported' THEN 5 ELSE 0 END + count(DISTINCT u.speaker_uuid) * 8, 6) AS score FROM recordings r JOIN utterances u ON u.recording_id = r.id GROUP BY r.id, r.duration, r.access, r.source"
+    """How much there is to gain from reviewing a recording next. What is settled already has -1000; kinds of recordings of which none is
+    settled gain."""
+    per = lambda n: f"{n} * 1e0 / p.visible"
+    kind = "CASE WHEN p.speakers <= 1 THEN 1 WHEN p.speakers >= 4 THEN 4 ELSE p.speakers END"
+    return f"""WITH p AS (SELECT p.*, {kind.replace("p.", "")} AS kind, CASE WHEN microphone > 0 AND system_ > 0 THEN 'mixed' WHEN microphone > 0 THEN 'microphone' WHEN system_ > 0 THEN 'system' ELSE 'unknown' END AS track FROM ({profile(d)}) p),
+        g AS (SELECT p.*, r.duration, r.speaker_review_status AS status, coalesce(s.score, 0) AS learning, coalesce(s.audio_exists, false) AS audio, coalesce(r.speaker_review_status, '') = 'gold' AND unassigned = 0 AND not_manual = 0 AND unreviewed = 0 AS gold FROM p JOIN recordings r ON r.id = p.recording_id LEFT JOIN review_signals s ON s.recording_id = r.id),
+        have AS (SELECT kind, track FROM g WHERE gold)
+        SELECT recording_id, round(CASE WHEN gold THEN -1000e0 ELSE learning + CASE WHEN audio THEN 35 ELSE -80 END + CASE status WHEN 'needs_correction' THEN 55 WHEN 'in_progress' THEN 45 WHEN 'complete' THEN 45 WHEN 'gold' THEN 20 ELSE 0 END
+            + least(25e0, human_actions * 25e-1) + 20 * ({per("p.manual")}) + 12 * ({per("p.voices")}) + CASE WHEN p.speakers = 1 THEN 8 WHEN p.speakers = 2 THEN 24 WHEN p.speakers = 3 THEN 30 WHEN p.speakers > 3 THEN 26 ELSE 0 END
+            + CASE WHEN NOT EXISTS (SELECT 1 FROM have h WHERE h.kind = p.kind) THEN 24 ELSE 0 END + CASE WHEN p.track <> 'unknown' AND NOT EXISTS (SELECT 1 FROM have h WHERE h.track = p.track) THEN 18 ELSE 0 END
+            + CASE WHEN duration / 60 BETWEEN 1 AND 12 THEN 22 WHEN duration / 60 BETWEEN 12 AND 25 THEN 12 WHEN duration / 60 BETWEEN 25 AND 45 THEN 2 WHEN duration / 60 >= 45 THEN -least(30e0, (duration / 60 - 45) / 2) ELSE -15 END - CASE WHEN p.visible > 500 THEN 20 ELSE 0 END END, 6) AS score FROM g p"""
 
 
 def leave_one_out(d: Spark) -> str:
-    """Each vector against the sum of its label's vectors of other recordings."""
-    return f"""WITH x AS (SELECT vec_id, recording_id, label, cast(v AS DOUBLE) AS v, k FROM {d.unnest("(SELECT vec_id, recording_id, label, embedding FROM vectors) s", "embedding", "v", "k")}), r AS (SELECT label, recording_id, k, sum(v) AS s FROM x GROUP BY label, recording_id, k), a AS (SELECT label, k, sum(s) AS s FROM r GROUP BY label, k)
-        SELECT x.vec_id, round(sum(x.v * (a.s - r.s)) / greatest(sqrt(sum(x.v * x.v)) * sqrt(sum((a.s - r.s) * (a.s - r.s))), 0.000000001), 6) AS similarity FROM x JOIN r ON r.label = x.label AND r.recording_id = x.recording_id AND r.k = x.k JOIN a ON a.label = x.label AND a.k = x.k GROUP BY x.vec_id"""
+    """Each identity's voice in a recording against the mean of its voices in its other recordings, where it has three or more.
+    A voice of a recording is its vectors' sum, normalised."""
+    x = d.unnest("(SELECT speaker_uuid, recording_id, embedding FROM vectors WHERE speaker_uuid IS NOT NULL) s", "embedding", "v", "k")
+    return f"""WITH s AS (SELECT speaker_uuid, recording_id, cast(k AS BIGINT) AS k, sum(cast(v AS DOUBLE)) AS v FROM {x} GROUP BY speaker_uuid, recording_id, k), n AS (SELECT speaker_uuid, recording_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY speaker_uuid, recording_id),
+        c AS (SELECT s.speaker_uuid, s.recording_id, s.k, s.v / n.norm AS v FROM s JOIN n ON n.speaker_uuid = s.speaker_uuid AND n.recording_id = s.recording_id WHERE n.norm > 0),
+        a AS (SELECT speaker_uuid, k, sum(v) AS v, count(*) AS n FROM c GROUP BY speaker_uuid, k)
+        SELECT c.speaker_uuid, c.recording_id, round(sum(c.v * (a.v - c.v)) / greatest(sqrt(sum(c.v * c.v)) * sqrt(sum((a.v - c.v) * (a.v - c.v))), 1e-9), 6) AS similarity, max(a.n) AS recordings FROM c JOIN a ON a.speaker_uuid = c.speaker_uuid AND a.k = c.k WHERE a.n >= 3 GROUP BY c.speaker_uuid, c.recording_id"""
 
 
 def flags(d: Spark) -> str:
@@ -741,9 +769,9 @@ PLANS = {
     "AGG-01": speaker_stats, "AGG-02": by_source, "AGG-03": durations, "AGG-04": recordings_per_speaker, "AGG-05": speaker_recordings, "AGG-06": tag_counts, "AGG-07": link_counts, "AGG-08": best_tier, "AGG-09": owner_counts, "AGG-10": speaker_lists, "AGG-11": profile, "AGG-12": status, "AGG-13": daily, "AGG-14": relative_days, "AGG-15": talk_stats, "AGG-16": longest_monologue, "AGG-17": signature_words, "AGG-18": token_stats, "AGG-19": combine_stats, "AGG-20": language_vote, "AGG-21": union_duration, "AGG-22": dedup, "AGG-23": p95, "AGG-24": prototypes, "AGG-25": cohesion, "AGG-26": cluster_centroids, "AGG-27": detail, "AGG-28": embedding_coverage,
     "ASG-05": aliases,
     "EVL-02": error_rates, "EVL-06": pair_f1, "EVL-07": b_cubed, "EVL-08": regression_gate, "EVL-09": labelled_pairs, "EVL-10": held_out, "EVL-12": recommendation, "EVL-13": leave_one_out,
-    "INF-02": coverage_scores, "INF-04": owner, "INF-05": verdicts, "INF-06": pooled, "INF-07": owner_likeness,
+    "INF-02": coverage_scores, "INF-04": owner, "INF-05": verdicts, "INF-07": owner_likeness,
     "INT-01": overlap_evidence, "INT-02": exclusive_spans, "INT-03": clip, "INT-04": material_speakers, "INT-05": material_overlap,
-    "REC-01": cohort_features, "REC-03": operating_point,
+    "REC-01": cohort_features,
     "STR-02": flags, "STR-03": missing_work, "STR-04": queue_reconcile, "STR-05": backoff, "STR-06": stuck, "STR-07": duplicate_jobs, "STR-09": job_state, "STR-11": activity_windows, "STR-12": recent, "STR-13": guarded_updates, "STR-14": idempotent, "STR-16": rolling,
     "TXT-01": canonical_text, "TXT-02": trimmed_words, "TXT-03": letter_words, "TXT-04": word_sets, "TXT-05": jaccard, "TXT-06": trigram_counts, "TXT-07": overlap_coefficient, "TXT-08": coverage, "TXT-09": ngram_evidence, "TXT-12": boilerplate, "TXT-13": symbols_only, "TXT-14": silence_filler, "TXT-15": script_outlier, "TXT-16": char_rate, "TXT-20": exemplar_sweep, "TXT-21": embedding_sweep, "TXT-22": mentions, "TXT-23": introductions, "TXT-24": safe_repair, "TXT-25": verdict_action, "TXT-26": mic_track, "TXT-27": same_person,
     "WIN-01": run_lengths, "WIN-02": previous_row, "WIN-03": speaker_change, "WIN-04": bridge_gaps, "WIN-08": adjacent_merge, "WIN-10": margins, "WIN-11": partition_interval, "WIN-12": anchor_union, "WIN-14": estimated_timing, "WIN-15": word_timing, "WIN-17": silence,

@@ -445,10 +445,12 @@ def cosine(d: Spark, a: str, b: str) -> str:
     return f"CASE WHEN {d.size(a)} <> {d.size(b)} OR {d.size(a)} = 0 THEN 0e0 WHEN {n} > 0 THEN {d.dot(a, b)} / {n} ELSE 0e0 END"
 
 
-def similar_pairs(d: Spark, least: float = 0.8) -> str:
-    """Pairs of voices of different recordings of one library that are similar enough, whoever they are said to be."""
+def similar_pairs(d: Spark, least: float = 0.8, of_library: bool = False) -> str:
+    """Pairs of voices of different recordings (of one library) that are similar enough, whoever they are said to be. All pairs are
+    compared; :class:`colloquy.similar.Pairs` finds them without."""
     v = f"(SELECT vec_id, library_id, recording_id, embedding, sqrt({d.dot('embedding', 'embedding')}) AS norm FROM vectors)"
-    return f"""SELECT a, b, round(c, 6) AS cosine FROM (SELECT a.vec_id AS a, b.vec_id AS b, {d.dot("a.embedding", "b.embedding")} / (a.norm * b.norm) AS c FROM {v} a JOIN {v} b ON a.library_id = b.library_id AND a.recording_id <> b.recording_id AND a.vec_id < b.vec_id WHERE a.norm > 0 AND b.norm > 0) p WHERE c >= {least}"""
+    within = "a.library_id = b.library_id AND " if of_library else ""
+    return f"""SELECT a, b, round(c, 6) AS cosine FROM (SELECT a.vec_id AS a, b.vec_id AS b, {d.dot("a.embedding", "b.embedding")} / (a.norm * b.norm) AS c FROM {v} a JOIN {v} b ON {within}a.recording_id <> b.recording_id AND a.vec_id < b.vec_id WHERE a.norm > 0 AND b.norm > 0) p WHERE c >= {least}"""
 
 
 PLANS = {

@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import functions, sinks
+from .. import components, functions, identity, sinks
 from ..api import Library
 from ..dialect import SPARK
 from ..domain import Relations, statement
 from ..index import KeywordIndex
 from ..operators import folds, groups
 from ..sources import transcripts
+from ..similar import Pairs
 from ..storage import cut, fresh_path
 from ..streaming import live
 from ..vectors import VectorIndex
@@ -121,7 +122,7 @@ def capped_pairs(spark, source):
 def _similar(least: float = 0.7) -> str:
     from .library import similar_pairs
 
-    return similar_pairs(SPARK, least)
+    return similar_pairs(SPARK, least, True)
 
 
 def sentences(spark, source):
@@ -483,17 +484,34 @@ def _review(voices):
     return [(voices[x["a"]]["key"], voices[x["b"]]["key"], round(x["points"], 6), x["reason"]) for x in groups.review_pairs(samples)]
 
 
-def calibration(spark, source):
-    """Logistic weights of cosine and z-score for each library's labelled development pairs."""
+def labelled(spark, source) -> DataFrame:
+    """library_id, a, b, cosine, z, same: the labelled development pairs with their features."""
     z = analytics.cohort_features(SPARK)
-    t = statement(spark, source, f"SELECT v.library_id, p.a, p.b, z.cosine, z.z, p.verdict = 'same' AS same FROM gold_pairs p JOIN vectors v ON v.vec_id = p.a JOIN ({z}) z ON z.a = least(p.a, p.b) AND z.b = greatest(p.a, p.b) WHERE p.verdict <> 'unsure' AND p.role = 'development'")
+    return statement(spark, source, f"SELECT v.library_id, p.a, p.b, z.cosine, z.z, p.verdict = 'same' AS same FROM gold_pairs p JOIN vectors v ON v.vec_id = p.a JOIN ({z}) z ON z.a = least(p.a, p.b) AND z.b = greatest(p.a, p.b) WHERE p.verdict <> 'unsure' AND p.role = 'development'")
+
+
+def calibration(spark, source):
+    """The model that each library's labelled development pairs give; null where there are too few."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"])
+        m = groups.calibrate(pdf[["cosine", "z"]].to_numpy(dtype=float), pdf["same"].to_numpy(dtype=float))
+        return pd.DataFrame([(int(pdf["library_id"].iloc[0]), len(pdf), *([None] * 7 if m is None else [round(v, 6) for v in vars(m).values()]))], columns=["library_id", "n", *names])
+
+    names = ["bias", "cosine", "z", "cosine_mean", "cosine_scale", "z_mean", "z_scale"]
+    return labelled(spark, source).groupBy("library_id").applyInPandas(one, "library_id long, n long, " + ", ".join(f"{n} double" for n in names))
+
+
+def operating_point(spark, source):
+    """From which probability of a library's model voices are merged, by its development pairs alone."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])
-        w = groups.calibrate(pdf[["cosine", "z"]].to_numpy(dtype=float), pdf["same"].to_numpy(dtype=float))
-        return pd.DataFrame([(int(pdf["library_id"].iloc[0]), len(pdf), *([None] * 3 if w is None else [round(float(v), 6) for v in w]))], columns=["library_id", "n", "bias", "cosine", "z"])
+        x, same = pdf[["cosine", "z"]].to_numpy(dtype=float), pdf["same"].to_numpy(dtype=bool)
+        m = groups.calibrate(x, same.astype(float))
+        return pd.DataFrame([(int(pdf["library_id"].iloc[0]), m is not None, round(groups.merge_point(m, x[~same]), 6))], columns=["library_id", "learned", "threshold"])
 
-    return t.groupBy("library_id").applyInPandas(one, "library_id long, n long, bias double, cosine double, z double")
+    return labelled(spark, source).groupBy("library_id").applyInPandas(one, "library_id long, learned boolean, threshold double")
 
 
 def apply_and_undo(spark, source):
@@ -507,36 +525,80 @@ def apply_and_undo(spark, source):
     return was.join(now, "id").join(back.withColumnRenamed("speaker_uuid", "undone"), "id").where("first <> applied")
 
 
-def _identity(decide, schema):
-    """Libraries' voices in meetings, and who was invited: each voice is there in some meetings, with the person whose it is."""
+def _known(spark, source) -> DataFrame:
+    """Who is settled before: the owner's voice, and voices that a person has mapped to an address."""
+    return statement(spark, source, f"SELECT owner AS voice, cast(NULL AS STRING) AS person FROM ({analytics.owner(SPARK)}) o WHERE owner IS NOT NULL UNION ALL SELECT speaker_uuid, lower(trim(email)) FROM attendee_mappings WHERE source = 'manual'")
 
-    def run(spark, source):
-        names = ["library_id", *(c.split()[0] for c in schema.split(", "))]
-        t = voices(spark, source).where((F.col("label") - F.col("recording_id") % 10).isin(0, 1, 4)).select("library_id", "recording_id", "label").distinct()
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            meetings = [(int(r), {f"v{x}" for x in g["label"]}, {f"p{x}" for x in g["label"] if x - r % 10 != 4}) for r, g in sorted(pdf.groupby("recording_id"), key=lambda x: x[0])]
-            return pd.DataFrame([(int(pdf["library_id"].iloc[0]), *row) for row in decide(meetings)], columns=names)
+def _of_meetings(spark, source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(statement(spark, source, f"SELECT * FROM {name}") for name in ("recording_meetings", "utterances", "attendees"))
 
-        return t.groupBy("library_id").applyInPandas(one, f"library_id long, {schema}")
 
-    return run
+def deduced(spark, source):
+    """What meetings with one unknown voice and one unknown attendee settle, until nothing moves."""
+    voices_, people = (cut(x, "of_meetings") for x in identity.contexts(*_of_meetings(spark, source)))
+    return identity.deduced(voices_, people, _known(spark, source)).select("voice", "person", "meeting_id")
 
 
-def _deduced(meetings):
-    return sorted(groups.deduce([(v, p) for _, v, p in meetings], "v0").items())
+def guessed(spark, source):
+    """Voices and attendees by how their meetings go together, each once, with tiers."""
+    voices_, people = (cut(x, "of_meetings") for x in identity.contexts(*_of_meetings(spark, source)))
+    scored = cut(identity.candidates(voices_, people), "scored")
+    return identity.tiered(identity.matched(scored), scored).select("voice", "person", "tier", F.round("coverage", 6).alias("coverage"), F.round("rank", 6).alias("rank"), "rival")
 
 
-def _tiered(meetings):
-    rows = []
-    for voice in sorted({v for _, vs, _ in meetings for v in vs}):
-        mine = [i for i, (_, vs, _) in enumerate(meetings) if voice in vs]
-        for person in sorted({p for _, _, ps in meetings for p in ps}):
-            theirs = [i for i, (_, _, ps) in enumerate(meetings) if person in ps]
-            both = len(set(mine) & set(theirs))
-            if both:
-                rows.append({"voice": voice, "person": person, "coverage": both / len(mine), "shared": both, "specificity": both / len(theirs), "rank": both / len(mine) * both})
-    return [(r["voice"], r["person"], r["tier"]) for r in groups.tiered(rows)]
+def pooled(spark, source):
+    """Identities of voices after voices that are one (CLU-01) have been pooled, expanded to each of them again."""
+    named = statement(spark, source, "SELECT uuid AS speaker_uuid FROM speakers").join(personas(spark, source), "speaker_uuid")
+    return identity.infer(*_of_meetings(spark, source), _known(spark, source), named).withColumn("score", F.round("score", 6))
+
+
+def canonical(spark, source):
+    """Whom each alias stands for, by pointers that are doubled."""
+    a = statement(spark, source, "SELECT * FROM aliases")
+    links = a.where("identity_state = 'alias' AND canonical_id IS NOT NULL").select(F.col("id").alias("node"), F.col("canonical_id").alias("up"))
+    return components.ends(a.select(F.col("id").alias("node")), links).select(F.col("node").alias("id"), F.col("end").alias("canonical"))
+
+
+# --- whole libraries -------------------------------------------------------------------------------------------------
+
+
+def similar(spark, source, least: float = 0.8):
+    """Pairs of voices of different recordings that are similar enough, over the whole library."""
+    v = cut(voices(spark, source).select(F.col("vec_id").alias("id"), "recording_id", "embedding"), "voices")
+    of = lambda side: v.select(F.col("id").alias(side), F.col("recording_id").alias(f"of_{side}"))
+    found = Pairs(v, least).found().join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b")
+    return found.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def _linked(rows: DataFrame, key: str, least: float) -> DataFrame:
+    """``rows`` (key, embedding) with component, the least key of those that a chain of similar ones joins it to."""
+    numbered = cut(cut(rows, "rows").withColumn("id", F.monotonically_increasing_id()), "numbered")  # ids of a written table
+    near = Pairs(numbered, least).between_classes()
+    same = numbered.groupBy("embedding").agg(F.min("id").alias("first"))  # equal vectors are one class
+    classes = numbered.join(same, "embedding").select("id", "first")
+    edges = near.select("a", "b").unionByName(classes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    found = components.connected(numbered.select(F.col("id").alias("node")), edges)
+    named = numbered.join(found.withColumnRenamed("node", "id"), "id").select(key, "component")
+    return named.join(named.groupBy("component").agg(F.min(key).alias("first")), "component").select(key, F.col("first").alias("component"))
+
+
+def speaker_voices(spark, source) -> DataFrame:
+    """speaker_uuid, embedding: each speaker's mean over the voices of its recordings."""
+    v = local_clusters(spark, source).select("speaker_uuid", F.posexplode("m").alias("k", "v"))
+    mean = v.groupBy("speaker_uuid", "k").agg(F.avg("v").alias("v")).groupBy("speaker_uuid").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("m"))
+    return mean.select("speaker_uuid", F.transform("m", lambda x: x["v"]).alias("embedding"))
+
+
+def personas(spark, source, least: float = 0.8):
+    """Speakers whose voices chains of similar voices join: one persona, named by its first."""
+    return _linked(speaker_voices(spark, source), "speaker_uuid", least).withColumnRenamed("component", "persona")
+
+
+def voice_components(spark, source, least: float = 0.8):
+    """How many voices of recordings there are, and how many groups chains of similar ones make of them."""
+    v = local_clusters(spark, source).select(F.concat_ws(":", "recording_id", "speaker_uuid", "label").alias("key"), F.col("m").alias("embedding"))
+    return _linked(v, "key", least).agg(F.count("*").alias("voices"), F.countDistinct("component").alias("components"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
@@ -700,10 +762,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "SRC-06": token_sidecars, "SRC-07": whole_output, "SRC-09": watched_folder, "SRC-11": broken_output, "JN-18": claims, "RNK-03": routed, "RNK-05": moments, "RNK-06": conversations, "VEC-03": near_lines, "VEC-05": widened, "VEC-09": moving_average,
     "WIN-05": segments, "WIN-06": spans, "WIN-07": target_windows, "WIN-09": capped_pairs, "WIN-13": sentences, "WIN-16": stitched, "WIN-18": split_points, "WIN-19": packed_spans, "WIN-20": collapsed,
     "TXT-10": longest_runs, "TXT-11": runaways, "TXT-17": suspicions, "TXT-18": tiers, "TXT-19": exemplars,
-    "CLU-01": _personas("single"), "CLU-02": _personas("complete"), "CLU-03": _of_segments(groups.dbscan_sweep), "CLU-04": _of_segments(lambda x: groups.linkage(x, 0.5, "average")), "CLU-04-target": _of_segments(lambda x: groups.linkage(x, 0.0, "average", 10)),
-    "CLU-05": _grouped(groups.evidence_graph), "CLU-06": _grouped(_split_profiles), "CLU-07": mixtures, "CLU-08": per_library(lambda v: [(len(v), len(set(groups.single_linkage(np.array([x["embedding"] for x in v]), 0.8))))], "voices long, components long"),
+    "CLU-01": personas, "JN-20": similar, "ASG-05": canonical, "REC-03": operating_point, "INF-06": pooled, "CLU-02": _personas("complete"), "CLU-03": _of_segments(groups.dbscan_sweep), "CLU-04": _of_segments(lambda x: groups.linkage(x, 0.5, "average")), "CLU-04-target": _of_segments(lambda x: groups.linkage(x, 0.0, "average", 10)),
+    "CLU-05": _grouped(groups.evidence_graph), "CLU-06": _grouped(_split_profiles), "CLU-07": mixtures, "CLU-08": voice_components,
     "ASG-01": _assigned(_by_pairs(lambda s: groups.greedy(s, 0.85))), "ASG-02": _assigned(_by_pairs(lambda s: groups.optimal(s, 0.8, 0.05))), "ASG-03": _assigned(lambda new, known: groups.consensus(new, known, 0.8, 0.05)), "ASG-04": per_library(_fragments, "speaker_uuid string, target string, score double, margin double, support long"),
-    "REC-02": calibration, "REC-04": _grouped(_constraints), "REC-05": apply_and_undo, "INF-01": _identity(_deduced, "voice string, person string"), "INF-03": _identity(_tiered, "voice string, person string, tier string"),
+    "REC-02": calibration, "REC-04": _grouped(_constraints), "REC-05": apply_and_undo, "INF-01": deduced, "INF-03": guessed,
     "EVL-01": word_errors, "EVL-02-words": candidate_errors, "EVL-03": boundaries, "EVL-04": diarisation_error, "EVL-05": pipeline_metrics, "EVL-11": per_library(_review, "a string, b string, points double, reason string"),
     "STR-01": maintained, "STR-08": high_water_mark, "STR-10": voice_changes, "STR-11": activity_stream, "STR-11-sessions": session_stream,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dialect import Spark, folded
 from ..index import TOKEN
-from .library import cosine, shown_name
+from .library import VISIBLE, cosine, shown_name
 
 FUSION = 60
 #: Weights of the fields in BM25, its k1 and b.
@@ -195,7 +195,10 @@ def strategy(d: Spark, most: int = 20000, force: bool = False, recordings: tuple
 
 
 def index_coverage(d: Spark) -> str:
-    return "SELECT u.recording_id, count(*) AS visible, count(e.vec_id) AS indexed, round(count(e.vec_id) * 1e0 / count(*), 6) AS ratio FROM utterances u LEFT JOIN vectors e ON e.utterance_id = u.id WHERE NOT u.is_hidden GROUP BY u.recording_id"
+    """Visible lines of visible recordings and those with a vector, by recording and (recording_id null) for the library."""
+    seen = f"(SELECT u.recording_id, e.utterance_id FROM utterances u JOIN (SELECT r.id FROM recordings r WHERE {VISIBLE}) r ON r.id = u.recording_id LEFT JOIN (SELECT DISTINCT utterance_id FROM vectors) e ON e.utterance_id = u.id WHERE NOT u.is_hidden)"
+    counts = "count(*) AS visible, count(x.utterance_id) AS indexed, CASE WHEN count(*) = 0 THEN 1e0 ELSE round(count(x.utterance_id) * 1e0 / count(*), 6) END AS ratio"
+    return f"SELECT x.recording_id, {counts} FROM {seen} x GROUP BY x.recording_id UNION ALL SELECT cast(NULL AS BIGINT), {counts} FROM {seen} x"
 
 
 #: Weights of vectors in a mean, by policy.

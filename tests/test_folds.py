@@ -164,7 +164,6 @@ def test_clusters_and_identities():
     assert groups.single_linkage(x, 0.98) == [0, 0, 0, 3, 3]
     assert groups.linkage(x, 0.98) == [0, 0, 2, 3, 3] or groups.linkage(x, 0.98) == [0, 1, 1, 3, 3]
     assert groups.dbscan(x, 0.02, 2) == [0, 0, 0, 3, 3]
-    assert groups.deduce([({"v1"}, {"ann"}), ({"v1", "v2"}, {"ann", "bob"}), ({"v3", "v4"}, {"x", "y"})]) == {"v1": "ann", "v2": "bob"}
     assert groups.mixture(np.vstack([angles(0, 1, 2), angles(90, 91, 92)])) and not groups.mixture(angles(0, 1, 2, 3, 4, 5))
 
 
