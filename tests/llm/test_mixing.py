@@ -69,5 +69,22 @@ def test_reruns_and_partitions_agree_and_rows_are_taken_as_decided(mixed):
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
 
 
+@pytest.mark.parametrize("copies, others", [(1000, 0), (999, 500), (2, 3)])
+def test_of_repeated_rows_as_many_are_taken_as_the_target_asks_for(spark, copies, others):
+    rows = [(7, "ten words are in here " * 2, "a")] * copies + [(i, "one two three", "b") for i in range(100, 100 + others)] + [(50, "w " * 9 * copies, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    size = {s: sum(len(WORDS.findall(t)) for _, t, x in rows if x == s) for s in {r[2] for r in rows}}
+    want = shares(size)
+    for s in want:
+        taken = sum(r.taken for r in got if r.source == s)
+        largest = max(len(WORDS.findall(t)) for _, t, x in rows if x == s)
+        assert abs(taken - want[s]) <= largest / 2 + 1e-6
+    again = mixing.mix(df.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    kept = mixing.apply(df)
+    assert {s: sum(len(WORDS.findall(r.text)) for r in kept.collect() if r.source == s) for s in want} == {s: sum(r.taken for r in got if r.source == s) for s in want}
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
