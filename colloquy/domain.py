@@ -26,6 +26,8 @@ EPOCH = 1704067200
 
 def relations(d: Spark) -> dict[str, str]:
     """name -> SELECT over the driver's tables and the relations before it."""
+    # Lines that a recogniser makes up in silence, among those of the documents.
+    made = "CASE (doc_id * 100000 + place) % 97 WHEN 1 THEN 'Subtitles by the Amara.org community' WHEN 2 THEN line || ' www.example.com' WHEN 3 THEN line || ' Thanks for watching!' WHEN 4 THEN 'www.example.com' WHEN 5 THEN 'Спасибо за просмотр' WHEN 6 THEN '시청해 주셔서 감사합니다' ELSE line END"
     lines = "split(text, '\\n')" if d.name == "spark" else "string_split(text, chr(10))"
     return {
         "utterances": f"""
@@ -40,7 +42,7 @@ def relations(d: Spark) -> dict[str, str]:
                          CASE WHEN (conv_id + 2 * turn) % 6 <> 0 THEN cast((conv_id * 3 + turn * 7) % 20 AS DOUBLE) / 20 END AS mean_p,
                          CASE WHEN conv_id % 8 = 0 THEN 'manual' WHEN (conv_id + turn) % 4 = 0 THEN 'global_manual' WHEN (conv_id + turn) % 4 = 1 THEN 'auto' END AS speaker_assignment_source,
                          CASE WHEN conv_id % 8 = 0 OR (conv_id + turn) % 3 <> 0 THEN {EPOCH} + turn END AS speaker_reviewed_at, CASE WHEN role = 'user' AND conv_id % 4 <> 1 THEN 'microphone' WHEN role = 'assistant' AND conv_id % 4 <> 2 THEN 'system' END AS audio_source
-                  FROM conversations) c""",
+                  FROM (SELECT conv_id, turn, role, CASE WHEN turn = 1 AND conv_id % 6 = 2 THEN 'My name is ' || role || '. ' || text ELSE text END AS text FROM conversations) v) c""",
         # What a recogniser gives for each word of a line, after the marker that it begins with.
         "tokens": f"""
             SELECT recording_id, id AS utterance_id, '[_BEG_]' AS text, 1e-1 AS p FROM utterances UNION ALL
@@ -48,7 +50,7 @@ def relations(d: Spark) -> dict[str, str]:
         "review_signals": "SELECT recording_id, cast(recording_id * 13 % 60 AS DOUBLE) AS score, recording_id % 5 <> 2 AS audio_exists FROM (SELECT DISTINCT recording_id FROM utterances) u WHERE recording_id % 9 <> 4",
         # Recordings with lines, and imported files that nobody has transcribed.
         "recordings": f"""
-            SELECT recording_id AS id, {d.cut("min_by(text, utterance_index)", "1", "40")} AS title, 'rec_' || cast(recording_id AS VARCHAR(20)) || '.m4a' AS file_name,
+            SELECT recording_id AS id, {d.cut("min_by(text, utterance_index)", "1", "40")} AS title, CASE WHEN recording_id % 6 = 1 THEN 'meeting_' || cast({EPOCH} + recording_id AS VARCHAR(20)) || '_mic.m4a' ELSE 'rec_' || cast(recording_id AS VARCHAR(20)) || '.m4a' END AS file_name,
                    '/audio/rec_' || cast(recording_id AS VARCHAR(20)) || '.m4a' AS file_path, 'ext' || cast(recording_id AS VARCHAR(20)) AS external_id, max(end_time) AS duration,
                    CASE recording_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS language,
                    {EPOCH} + recording_id * 18000 AS created_at, CASE recording_id % 3 WHEN 0 THEN 'recording' WHEN 1 THEN 'voiceMemos' ELSE 'imported' END AS source,
@@ -104,8 +106,41 @@ def relations(d: Spark) -> dict[str, str]:
             FROM (SELECT vec_id, recording_id, speaker_uuid, label, row_number() OVER (PARTITION BY speaker_uuid ORDER BY vec_id) AS n FROM vectors) a
             JOIN (SELECT vec_id, recording_id, speaker_uuid, label, row_number() OVER (PARTITION BY speaker_uuid ORDER BY vec_id) AS n FROM vectors) b
               ON a.n = b.n - 1 AND (a.speaker_uuid = b.speaker_uuid OR (a.label + 1 = b.label AND substring(a.speaker_uuid, 5) = substring(b.speaker_uuid, 5)))""",
-        "text_lines": f"""SELECT doc_id * 100000 + place AS id, doc_id AS recording_id, place AS utterance_index, lang, line AS text, 'v' || cast(place % 3 AS VARCHAR(9)) AS speaker, place * 15e0 AS start_time, place * 15e0 + 1 + (doc_id + place) % 14 AS end_time,
+        "text_lines": f"""SELECT doc_id * 100000 + place AS id, doc_id AS recording_id, place AS utterance_index, lang, {made} AS text, 'v' || cast(place % 3 AS VARCHAR(9)) AS speaker, place * 15e0 AS start_time, place * 15e0 + 1 + (doc_id + place) % 14 AS end_time,
                    CASE WHEN (doc_id + place) % 6 <> 0 THEN cast((doc_id * 3 + place * 7) % 20 AS DOUBLE) / 20 END AS mean_p FROM {d.unnest(f"(SELECT doc_id, lang, {lines} AS xs FROM documents) t", "xs", "line", "place")}""",
+        # What a process gave for each line: log lines, now and then an error.
+        "process_runs": """
+            SELECT id, CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS exit_code, 'main: loading model: x' || chr(10) || 'encoding audio slice' || chr(10) || chr(10) || CASE WHEN id % 5 = 0 THEN 'Error: bad audio' ELSE text END || chr(10) || '[debug] 12' || chr(10) || 'a=1 b: 2' AS stdout,
+                   'model loaded in 12.50 ms' || chr(10) || 'Warning: slow disk' || chr(10) || 'generated ' || cast(utterance_index + 30 AS VARCHAR(9)) || ' tokens' || CASE WHEN id % 14 = 0 THEN chr(10) || 'malloc failed' ELSE '' END AS stderr FROM utterances""",
+        # Lines by channel; some system lines come over the microphone as well, a second late.
+        "channel_lines": """
+            SELECT id, recording_id, start_time, end_time, text, speaker = 'user' AS mic FROM utterances UNION ALL
+            SELECT -id - 1, recording_id, start_time + 1, end_time + 1, replace(replace(lower(text), ' de ', ' '), ' the ', ' '), true FROM utterances WHERE speaker = 'assistant' AND id % 5 = 0""",
+        "old_turns": "SELECT id, recording_id, speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1', 'v2')",
+        "new_turns": "SELECT id, recording_id, 'n' || CASE WHEN id % 16 = 0 THEN 'x' ELSE substring(speaker, 2, 1) END AS speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1') AND id % 5 <> 0",
+        "voice_exemplars": "SELECT vec_id, library_id, embedding, 'thank you' || cast(vec_id AS VARCHAR(20)) AS text FROM vectors WHERE vec_id % 20 = 4",
+        "repairs": "SELECT id, CASE WHEN id % 7 = 0 THEN '' WHEN id % 7 = 1 THEN 'I cannot transcribe this' WHEN id % 7 = 2 THEN text || text || text || text WHEN id % 7 = 3 THEN '<|x|>' || text ELSE upper(text) END AS proposed FROM text_lines",
+        "listener_verdicts": """
+            SELECT id AS utterance_id, CASE WHEN suspicion >= 3e-1 THEN 'high' ELSE 'medium' END AS confidence, utterance_index = 6 AS clamped, CASE utterance_index % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'not_spoken' ELSE 'wrong' END AS verdict,
+                   CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN text || ' {x}' WHEN 2 THEN text || text || text || text ELSE reverse(text) END AS heard FROM utterances""",
+        "people": "SELECT uuid, CASE WHEN length(uuid) % 3 = 0 THEN lower(replace(name, ' ', '.')) || '@example.com' ELSE name END AS called FROM speakers",
+        "heard_languages": "SELECT u.recording_id, CASE WHEN u.suspicion >= 9e-1 THEN 'auto' WHEN u.id % 4 = 0 THEN 'en' ELSE r.language END AS language, u.mean_p AS confidence, u.start_time, u.end_time FROM utterances u JOIN recordings r ON r.id = u.recording_id",
+        "mixed_voices": "SELECT DISTINCT recording_id, speaker_uuid FROM vectors WHERE recording_id % 11 = 3 AND label = 3",
+        "heard_lines": "SELECT id, recording_id, utterance_index, start_time, end_time, CASE WHEN id % 17 = 0 THEN 2 ELSE 1 END AS active, CASE WHEN suspicion > 0.3 THEN speaker END AS speaker FROM utterances",
+        # Texts that were put together from a line, or from it and the two after it.
+        "line_supports": "SELECT id, id AS anchor FROM utterances WHERE id % 3 < 2 UNION ALL SELECT id, id + 1 FROM utterances WHERE id % 3 = 1 UNION ALL SELECT id, id + 2 FROM utterances WHERE id % 3 = 1",
+        # A recogniser that hears every e as an a and has its times a second late.
+        "second_transcript": "SELECT id, recording_id, start_time + 1 AS start_time, end_time + 1 AS end_time, replace(text, 'e', 'a') AS text FROM utterances",
+        "clusterings": "SELECT vec_id, recording_id, label AS gold, (label + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) % 10 AS pred, (label + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) % 10 AS before FROM vectors",
+        "guesses": """
+            SELECT uuid, name, length(uuid) % 3 AS tier, 5e-1 + length(uuid) % 5 / 1e1 AS score, CASE WHEN name_source = 'manual' THEN lower(name) WHEN name_source = 'llm' THEN 'Someone Else' END AS heard, CASE WHEN length(name) % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence
+            FROM speakers WHERE coalesce(name, '') <> ''""",
+        "comment_inserts": """
+            SELECT id, recording_id, body, created_by, idempotency_key || '-' || cast(recording_id % 9 AS VARCHAR(9)) AS idempotency_key FROM comments UNION ALL
+            SELECT id + 500000000, recording_id, body || ' ', created_by, idempotency_key || '-' || cast(recording_id % 9 AS VARCHAR(9)) FROM comments WHERE id % 4 = 0""",
+        "note_edits": "SELECT id, CASE WHEN id % 6 <> 0 THEN created_at * 1e0 END AS stored, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN created_at + 1e-3 WHEN 2 THEN created_at + 5e-1 ELSE created_at * 1e0 END AS seen FROM recordings",
+        # Voices under the speaker that they were given to: one in eleven under another's.
+        "said_by": "SELECT vec_id, recording_id, embedding, CASE WHEN vec_id % 11 = 0 THEN 'spk' || cast((label + 1) % 10 AS VARCHAR(9)) || '-' || cast(library_id AS VARCHAR(20)) ELSE speaker_uuid END AS own FROM vectors",
         "line_texts": f"SELECT id, recording_id, s, t, {d.grams('t', 3)} AS gs FROM (SELECT id, recording_id, end_time - start_time AS s, {d.canonical('text')} AS t FROM text_lines) q WHERE t <> ''",
         "exemplars": f"SELECT min(id) AS id, t AS text, count(*) AS occurrences FROM line_texts WHERE {d.size(d.find('t', '[^ ]+'))} <= 8 GROUP BY t HAVING count(*) >= 3",
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..dialect import Spark
+from ..dialect import Spark, folded
 from .library import VISIBLE, WORD, cosine, overlaps
 from .search import TOKEN, centroids
 
@@ -128,8 +128,7 @@ def language_vote(d: Spark, requested: str = "auto") -> str:
     have one; a language that is asked for wins. One recording a vote."""
     if requested.strip().lower() not in ("", "auto", "auto-detected", "unknown"):
         return f"SELECT id AS recording_id, {d.text(requested.strip().lower())} AS language, cast(NULL AS DOUBLE) AS confidence, 'user_selected' AS source FROM recordings WHERE duration IS NOT NULL"
-    heard = "CASE WHEN u.suspicion >= 9e-1 THEN 'auto' WHEN u.id % 4 = 0 THEN 'en' ELSE r.language END"
-    return f"""WITH o AS (SELECT u.recording_id, lower(trim({heard})) AS code, u.mean_p AS confidence, u.end_time - u.start_time AS s FROM utterances u JOIN recordings r ON r.id = u.recording_id),
+    return f"""WITH o AS (SELECT recording_id, lower(trim(language)) AS code, confidence, end_time - start_time AS s FROM heard_languages),
         t AS (SELECT recording_id, code, sum(s) AS s, sum(CASE WHEN confidence IS NOT NULL THEN confidence * s END) / nullif(sum(CASE WHEN confidence IS NOT NULL THEN s END), 0) AS confidence FROM o WHERE code <> '' AND code <> 'auto' AND s > 0 GROUP BY recording_id, code)
         SELECT recording_id, code AS language, round(confidence, 6) AS confidence, 'audio' AS source FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY round(s, 9) DESC, code) AS n FROM t) v WHERE n = 1"""
 
@@ -149,9 +148,7 @@ def dedup(d: Spark) -> str:
 
 
 def p95(d: Spark) -> str:
-    """The value at place ceil(0.95 n) of the ordered values."""
-    if d.name == "spark":
-        return "SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS value FROM events GROUP BY event_type"
+    """The value at place ceil(0.95 n) of the ordered values, by sorting each group; see :mod:`colloquy.ranks` for large ones."""
     return "SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events) t WHERE n = greatest(1, ceil(0.95 * c))"
 
 
@@ -176,7 +173,7 @@ def prototypes(d: Spark, least: float = 0.35) -> str:
     """A vector for each speaker, recording and label from what is surely that speaker's: visible lines without overlap, of
     one active speaker, of voices that hold together and that nobody has marked as several people."""
     fine = f"""(SELECT v.* FROM vectors v LEFT JOIN utterances u ON u.id = v.utterance_id JOIN ({cohesion(d).replace("cent", "coh")}) h ON h.speaker_uuid = v.speaker_uuid AND h.recording_id = v.recording_id
-        WHERE NOT coalesce(u.is_hidden, false) AND v.overlap_ratio <= 5e-2 AND v.active_speakers <= 1 AND NOT (h.n > 1 AND h.cohesion < {least}) AND NOT (v.recording_id % 11 = 3 AND v.label = 3))"""
+        WHERE NOT coalesce(u.is_hidden, false) AND v.overlap_ratio <= 5e-2 AND v.active_speakers <= 1 AND NOT (h.n > 1 AND h.cohesion < {least}) AND NOT EXISTS (SELECT 1 FROM mixed_voices x WHERE x.recording_id = v.recording_id AND x.speaker_uuid = v.speaker_uuid))"""
     source = "(SELECT speaker_uuid, recording_id, label, n, confidence, m FROM cent) c"
     return f"WITH {centroids(d, 'speaker_uuid, recording_id, label', source=fine)} SELECT speaker_uuid, recording_id, label, n, round(confidence, 6) AS confidence, cast(k AS BIGINT) AS k, round(v, 6) AS v FROM {d.unnest(source, 'm', 'v', 'k')}"
 
@@ -211,10 +208,9 @@ def bridge_gaps(d: Spark, policy: str = "readable") -> str:
     """Runs of lines without a speaker between two lines of the same one: filled if the run is short, the gaps beside it
     are small, and nobody speaks at the same time in it."""
     gap, longest = BRIDGES[policy]
-    known = "CASE WHEN suspicion > 0.3 THEN speaker END"
     w = "OVER (PARTITION BY recording_id ORDER BY utterance_index"
     first = lambda x, back: f"{'lag' if back else 'lead'}({x}) {w})"
-    return f"""WITH k AS (SELECT id, recording_id, utterance_index, start_time, end_time, CASE WHEN id % 17 = 0 THEN 2 ELSE 1 END AS active, {known} AS s FROM utterances),
+    return f"""WITH k AS (SELECT id, recording_id, utterance_index, start_time, end_time, active, speaker AS s FROM heard_lines),
         n AS (SELECT *, CASE WHEN s IS NULL THEN 0 ELSE 1 END AS has, {first("s", True)} AS before, {first("end_time", True)} AS before_end, {first("s", False)} AS after, {first("start_time", False)} AS after_start FROM k),
         g AS (SELECT *, sum(has) {w} ROWS UNBOUNDED PRECEDING) AS run FROM n),
         r AS (SELECT recording_id, run, min_by(before, utterance_index) AS lead_s, min_by(before_end, utterance_index) AS lead_end, max_by(after, utterance_index) AS next_s, max_by(after_start, utterance_index) AS next_start, min(start_time) AS a, max_by(end_time, utterance_index) AS b, max(active) AS active FROM g WHERE s IS NULL GROUP BY recording_id, run)
@@ -241,10 +237,8 @@ def partition_interval(d: Spark) -> str:
 
 def anchor_union(d: Spark) -> str:
     """Texts put together from several lines take the time from the first start to the last end of these lines; where one
-    of the lines isn't known, their time stays approximate. Each text here is a line and the two after it."""
-    ids = d.array("id", "id + 1", "id + 2")
-    source = f"(SELECT id, CASE WHEN id % 3 = 0 THEN {d.array('id')} WHEN id % 3 = 1 THEN {ids} END AS support FROM utterances) f"
-    return f"""WITH s AS (SELECT id, anchor FROM {d.unnest(source, "support", "anchor")}), a AS (SELECT s.id, count(*) AS asked, count(u.id) AS found, min(u.start_time) AS start_time, max(u.end_time) AS end_time FROM s LEFT JOIN utterances u ON u.id = s.anchor GROUP BY s.id)
+    of the lines isn't known, their time stays approximate."""
+    return f"""WITH a AS (SELECT s.id, count(*) AS asked, count(u.id) AS found, min(u.start_time) AS start_time, max(u.end_time) AS end_time FROM line_supports s LEFT JOIN utterances u ON u.id = s.anchor GROUP BY s.id)
         SELECT u.id, CASE WHEN a.asked = a.found AND a.end_time > a.start_time THEN a.start_time ELSE u.start_time END AS start_time, CASE WHEN a.asked = a.found AND a.end_time > a.start_time THEN a.end_time ELSE u.end_time END AS end_time,
             CASE WHEN a.id IS NULL OR a.asked <> a.found OR a.end_time <= a.start_time THEN 'approximate' WHEN a.asked = 1 THEN 'anchor' ELSE 'anchor_union' END AS method FROM utterances u LEFT JOIN a ON a.id = u.id"""
 
@@ -426,8 +420,7 @@ def boilerplate(d: Spark) -> str:
     words = d.size(d.trimmed("t"))
     held = " OR ".join([*(f"contains(t, {d.text(m)})" for m in (*MARKERS, *PHRASES)), "(contains(t, 'copyright') AND contains(t, 'sdi media'))"])
     credit = is_credit(d, "t", "n")
-    made = "CASE WHEN id % 97 = 1 THEN 'Subtitles by the Amara.org community' WHEN id % 97 = 2 THEN text || ' www.example.com' WHEN id % 97 = 3 THEN text || ' Thanks for watching!' WHEN id % 97 = 4 THEN 'www.example.com' ELSE text END"
-    return f"SELECT id, kind FROM (SELECT id, CASE WHEN {credit} THEN 'credit' WHEN n > {CREDIT_WORDS} AND ({held}) THEN 'embedded' END AS kind FROM (SELECT id, t, {words} AS n FROM (SELECT id, lower({made}) AS t FROM text_lines) l) w) k WHERE kind IS NOT NULL"
+    return f"SELECT id, kind FROM (SELECT id, CASE WHEN {credit} THEN 'credit' WHEN n > {CREDIT_WORDS} AND ({held}) THEN 'embedded' END AS kind FROM (SELECT id, t, {words} AS n FROM (SELECT id, lower(text) AS t FROM text_lines) l) w) k WHERE kind IS NOT NULL"
 
 
 def bare(d: Spark, text: str = "lower(text)") -> str:
@@ -458,13 +451,12 @@ SCRIPTS = {
 def script_outlier(d: Spark) -> str:
     """Short lines whose letters are mostly of another script than the recording's, if the recording has one."""
     ranges = {k: v.encode().decode("unicode_escape") for k, v in SCRIPTS.items()}
-    made = "CASE WHEN id % 83 = 5 THEN 'Спасибо за просмотр' WHEN id % 83 = 6 THEN '시청해 주셔서 감사합니다' ELSE text END"
     letters = d.sub("text", "[^\\p{L}]", "")
     count = ", ".join(f"length(x) - length({d.sub('x', f'[{v}]', '')}) AS {k}" for k, v in ranges.items())
     names = list(ranges)
     top = lambda p, whole: "CASE " + " ".join(f"WHEN {p}{k} = greatest({', '.join(p + x for x in names)}) THEN '{k}'" for k in names) + " END"
     most, line = f"greatest({', '.join('r_' + k for k in names)})", f"greatest({', '.join(names)})"
-    return f"""WITH c AS (SELECT id, recording_id, n, {count} FROM (SELECT id, recording_id, {d.size(d.trimmed("lower(text)"))} AS n, {letters} AS x FROM (SELECT id, recording_id, {made} AS text FROM text_lines) m) t),
+    return f"""WITH c AS (SELECT id, recording_id, n, {count} FROM (SELECT id, recording_id, {d.size(d.trimmed("lower(text)"))} AS n, {letters} AS x FROM text_lines) t),
         r AS (SELECT *, {", ".join(f"sum({k}) OVER (PARTITION BY recording_id) AS r_{k}" for k in names)} FROM c), s AS (SELECT *, {" + ".join("r_" + k for k in names)} AS r_all, {" + ".join(names)} AS own FROM r)
         SELECT id, r_all >= 20 AND {most} * 1e0 / greatest(r_all, 1) >= 6e-1 AND n <= 8 AND own >= 2 AND {line} * 1e0 / greatest(own, 1) >= 7e-1 AND {top("", "own")} <> {top("r_", "r_all")} AS outlier FROM s"""
 
@@ -501,8 +493,8 @@ def embedding_sweep(d: Spark, k: int = 30, tuning: str = "balanced") -> str:
     c = cosine(d, "e.embedding", "v.embedding")
     text = d.canonical("u.text")
     return f"""SELECT exemplar, vec_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY exemplar ORDER BY round(c, 9) DESC, vec_id) AS n FROM (
-          SELECT e.vec_id AS exemplar, v.vec_id, v.utterance_id, v.end_time - v.start_time AS s, {c} AS c FROM (SELECT * FROM vectors WHERE vec_id % 20 = 4) e JOIN vectors v ON v.library_id = e.library_id AND v.vec_id <> e.vec_id) p) t
-        LEFT JOIN utterances u ON u.id = t.utterance_id WHERE n <= {k} AND c >= {floor} AND {gate("'thank you' || cast(exemplar AS VARCHAR(20))", f"coalesce({text}, '')", "s", rate * 100)}"""
+          SELECT e.vec_id AS exemplar, e.text AS said, v.vec_id, v.utterance_id, v.end_time - v.start_time AS s, {c} AS c FROM voice_exemplars e JOIN vectors v ON v.library_id = e.library_id AND v.vec_id <> e.vec_id) p) t
+        LEFT JOIN utterances u ON u.id = t.utterance_id WHERE n <= {k} AND c >= {floor} AND {gate("said", f"coalesce({text}, '')", "s", rate * 100)}"""
 
 
 def name_tokens(d: Spark, name: str, email: str) -> str:
@@ -522,13 +514,9 @@ def mentions(d: Spark) -> str:
 INTRODUCTIONS = ("my name is", "mitt namn är", "jag heter")
 
 
-def introductions(d: Spark, probes: tuple = (*INTRODUCTIONS, "the ", "der "), cap: int = 5) -> str:
-    """The first ``cap`` different lines of a recording with one of the probes in them. The lines at hand are invented words,
-    so two more probes are asked."""
-    from ..dialect import ACCENTED, PLAIN
-
-    table = str.maketrans(ACCENTED, PLAIN)
-    hit = " OR ".join(f"contains({d.fold('text')}, {d.text(p.lower().translate(table))})" for p in probes)
+def introductions(d: Spark, probes: tuple = INTRODUCTIONS, cap: int = 5) -> str:
+    """The first ``cap`` different lines of a recording with one of the probes in them."""
+    hit = " OR ".join(f"contains({d.fold('text')}, {d.text(folded(p))})" for p in probes)
     return f"""SELECT recording_id, id FROM (SELECT recording_id, id, row_number() OVER (PARTITION BY recording_id ORDER BY utterance_index) AS n FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker, text ORDER BY utterance_index) AS k FROM utterances WHERE {hit}) x WHERE k = 1) t WHERE n <= {cap}"""
 
 
@@ -541,32 +529,30 @@ def safe_repair(d: Spark, chars: float = 1.5, words: float = 1.5) -> str:
     than the longer of the line and the one after it."""
     plain = lambda x: d.find(f"lower({x})", "[\\p{L}\\p{M}\\p{N}]+")
     refused = " OR ".join(f"contains(lower(p), {d.text(m)})" for m in REFUSALS)
-    made = f"CASE WHEN id % 7 = 0 THEN '' WHEN id % 7 = 1 THEN 'I cannot transcribe this' WHEN id % 7 = 2 THEN text || text || text || text WHEN id % 7 = 3 THEN '<|x|>' || text ELSE upper(text) END"
     longest = lambda f: f"greatest({f('a')}, {f('b')})"
     return f"""SELECT id, length(p) > 0 AND NOT contains(p, '<|') AND NOT ({refused}) AND {d.size(plain("p"))} > 0 AND length(p) <= greatest(80, cast(floor({longest(lambda x: f"length({x})")} * {chars}) AS BIGINT) + 32)
           AND {d.size(plain("p"))} <= greatest(12, cast(floor({longest(lambda x: d.size(plain(x)))} * {words}) AS BIGINT) + 4) AS safe
-        FROM (SELECT id, trim(text) AS a, trim({made}) AS p, coalesce(trim(lead(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)), '') AS b FROM text_lines) t WHERE length(a) > 0 OR length(b) > 0"""
+        FROM (SELECT l.id, trim(l.text) AS a, trim(r.proposed) AS p, l.b FROM (SELECT id, text, coalesce(trim(lead(text) OVER (PARTITION BY recording_id ORDER BY utterance_index)), '') AS b FROM text_lines) l JOIN repairs r ON r.id = l.id) t WHERE length(a) > 0 OR length(b) > 0"""
 
 
 def verdict_action(d: Spark) -> str:
-    """What a listener's verdict on a line leads to. The verdicts here go by the line's place."""
-    heard = "CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN text || ' {x}' WHEN 2 THEN text || text || text || text ELSE reverse(text) END"
+    """What a listener's verdict on a line leads to."""
     return f"""SELECT id, CASE WHEN {d.starts("coalesce(review_status, '')", "'user_'")} THEN 'skip' WHEN NOT (confidence = 'high' AND NOT clamped) THEN 'pending' WHEN verdict = 'correct' THEN 'verified' WHEN verdict = 'not_spoken' THEN 'hide'
           WHEN length(trim(heard)) > 0 AND NOT contains(heard, '{{') AND NOT contains(heard, '}}') AND length(trim(heard)) * 1e0 / greatest(length(trim(text)), 1) BETWEEN 3e-1 AND 3 THEN 'rewrite' ELSE 'pending' END AS action
-        FROM (SELECT id, text, review_status, CASE WHEN suspicion >= 3e-1 THEN 'high' ELSE 'medium' END AS confidence, utterance_index = 6 AS clamped, CASE utterance_index % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'not_spoken' ELSE 'wrong' END AS verdict, {heard} AS heard FROM utterances) t"""
+        FROM (SELECT u.id, u.text, u.review_status, v.confidence, v.clamped, v.verdict, v.heard FROM utterances u JOIN listener_verdicts v ON v.utterance_id = u.id) t"""
 
 
 def mic_track(d: Spark) -> str:
-    return f"SELECT id, {d.group('name', '^meeting_([0-9]+)_mic', 1)} AS stamp FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'meeting_' || cast(created_at AS VARCHAR(20)) || '_mic.m4a' ELSE file_name END AS name FROM recordings) t"
+    """The meeting's stamp in the name of a file that holds the microphone's track of one; '' for others."""
+    return f"SELECT id, {d.group('file_name', '^meeting_([0-9]+)_mic', 1)} AS stamp FROM recordings"
 
 
 def same_person(d: Spark) -> str:
     """Names that are one person's: the words of one (of more than one letter; of a mail address what is before the @) are
     all in the other. A person shares a word with whoever it is the same as, so people are joined on words."""
-    made = f"CASE WHEN length(uuid) % 3 = 0 THEN lower(replace(name, ' ', '.')) || '@example.com' ELSE name END"
     toks = d.distinct(d.kept(d.find(d.group(d.fold("called"), "^([^@]*)", 1), r"[\p{L}\p{N}]+"), "w", "length(w) > 1"))
     has = d.size(d.common("x.ws", "y.ws"))
-    return f"""WITH k AS (SELECT uuid, {toks} AS ws FROM (SELECT uuid, {made} AS called FROM speakers WHERE name IS NOT NULL) n), t AS (SELECT uuid, w FROM {d.unnest("k", "ws", "w")}),
+    return f"""WITH k AS (SELECT uuid, {toks} AS ws FROM people WHERE called IS NOT NULL), t AS (SELECT uuid, w FROM {d.unnest("k", "ws", "w")}),
         c AS (SELECT DISTINCT x.uuid AS a, y.uuid AS b FROM t x JOIN t y ON x.w = y.w AND x.uuid < y.uuid) SELECT c.a, c.b FROM c JOIN k x ON x.uuid = c.a JOIN k y ON y.uuid = c.b WHERE {has} = {d.size("x.ws")} OR {has} = {d.size("y.ws")}"""
 
 
@@ -603,10 +589,9 @@ def owner(d: Spark) -> str:
 def verdicts(d: Spark) -> str:
     """What stored verdicts do to guesses: agreement promotes by a tier and gives a score of 0.9 at least; contradiction
     demotes and adds a row for the person who was heard. Verdicts of low confidence, or without a person, do nothing."""
-    base = """SELECT uuid, name, length(uuid) % 3 AS tier, 5e-1 + length(uuid) % 5 / 1e1 AS score, CASE WHEN name_source = 'manual' THEN lower(name) WHEN name_source = 'llm' THEN 'Someone Else' END AS heard, CASE WHEN length(name) % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM speakers WHERE coalesce(name, '') <> ''"""
     acts = "confidence = 'high' AND heard IS NOT NULL"
-    return f"""SELECT uuid, name, CASE WHEN {acts} AND lower(heard) = lower(name) THEN least(tier + 1, 2) WHEN {acts} THEN 0 ELSE tier END AS tier, round(CASE WHEN {acts} AND lower(heard) = lower(name) THEN greatest(score, 9e-1) ELSE score END, 6) AS score FROM ({base}) a UNION ALL
-        SELECT uuid, heard, 1, 7e-1 FROM ({base}) b WHERE {acts} AND lower(heard) <> lower(name)"""
+    return f"""SELECT uuid, name, CASE WHEN {acts} AND lower(heard) = lower(name) THEN least(tier + 1, 2) WHEN {acts} THEN 0 ELSE tier END AS tier, round(CASE WHEN {acts} AND lower(heard) = lower(name) THEN greatest(score, 9e-1) ELSE score END, 6) AS score FROM guesses UNION ALL
+        SELECT uuid, heard, 1, 7e-1 FROM guesses WHERE {acts} AND lower(heard) <> lower(name)"""
 
 
 def owner_likeness(d: Spark, owner: str = "spk1-0", least: float = 0.6) -> str:
@@ -635,16 +620,15 @@ def cohort_features(d: Spark) -> str:
 
 def error_rates(d: Spark) -> str:
     """Character errors of a second transcript against the lines that a person has settled: its text for a line is that of
-    its own segments that the line's time touches, in order. It hears every e as an a and has its times a second late."""
+    its own segments that the line's time touches, in order."""
     plain = lambda x: d.sub(d.sub(f"trim({d.sub(d.fold(x), '[^\\p{L}\\p{N}]+', ' ')})", " +", " "), "[^ -~]", "?")  # noqa: E731  engines count other letters as characters or as bytes
     gold = f"(SELECT id, recording_id, start_time, end_time, text FROM utterances WHERE {d.starts("coalesce(review_status, '')", "'user_'")})"
-    heard = "(SELECT id, recording_id, start_time + 1 AS start_time, end_time + 1 AS end_time, replace(text, 'e', 'a') AS text FROM utterances)"
-    return f"""WITH h AS (SELECT l.id, {d.join("r.text", " ", "r.start_time")} AS said FROM {overlaps(d, gold, heard, 60)} WHERE r.end_time > l.start_time AND r.start_time < l.end_time GROUP BY l.id),
+    return f"""WITH h AS (SELECT l.id, {d.join("r.text", " ", "r.start_time")} AS said FROM {overlaps(d, gold, "second_transcript", 60)} WHERE r.end_time > l.start_time AND r.start_time < l.end_time GROUP BY l.id),
         t AS (SELECT g.id, g.recording_id, {plain("g.text")} AS t, coalesce({plain("h.said")}, '') AS s FROM {gold} g LEFT JOIN h ON h.id = g.id)
         SELECT recording_id, cast(sum(levenshtein(t, s)) AS BIGINT) AS edits, cast(sum(length(t)) AS BIGINT) AS length_, round(sum(levenshtein(t, s)) * 1e0 / greatest(sum(length(t)), 1), 6) AS cer FROM t GROUP BY recording_id"""
 
 
-_CLUSTERS = "c AS (SELECT vec_id, recording_id, label AS gold, (label + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) % 10 AS pred, (label + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) % 10 AS before FROM vectors)"
+_CLUSTERS = "c AS (SELECT vec_id, recording_id, gold, pred, before FROM clusterings)"
 
 
 def pair_metrics(d: Spark, pred: str = "pred") -> str:
@@ -741,13 +725,12 @@ def idempotent(d: Spark) -> str:
     """Inserts that repeat a key of their author: with the same intent they give the row that is there, else a conflict."""
     w = "OVER (PARTITION BY created_by, idempotency_key ORDER BY id"
     return f"""SELECT id, CASE WHEN n = 1 THEN 'inserted' WHEN recording_id = first_recording AND trim(body) = first_body THEN 'existing' ELSE 'conflict' END AS outcome, CASE WHEN n = 1 OR (recording_id = first_recording AND trim(body) = first_body) THEN first_id END AS row_id FROM (
-        SELECT *, row_number() {w}) AS n, first_value(id) {w}) AS first_id, first_value(recording_id) {w}) AS first_recording, first_value(trim(body)) {w}) AS first_body FROM (SELECT id, recording_id, body, created_by, idempotency_key || '-' || cast(recording_id % 9 AS VARCHAR(9)) AS idempotency_key FROM comments UNION ALL SELECT id + 500000000, recording_id, body || ' ', created_by, idempotency_key || '-' || cast(recording_id % 9 AS VARCHAR(9)) FROM comments WHERE id % 4 = 0) c) t"""
+        SELECT *, row_number() {w}) AS n, first_value(id) {w}) AS first_id, first_value(recording_id) {w}) AS first_recording, first_value(trim(body)) {w}) AS first_body FROM comment_inserts) t"""
 
 
 def guarded_updates(d: Spark, slack: float = 0.002) -> str:
     """Edits that say which version they saw: refused if there is none, or it is another one by more than ``slack`` seconds."""
-    return f"""SELECT id, seen IS NULL OR coalesce(abs(stored - seen) <= {slack}, false) AS accepted, CASE WHEN NOT (seen IS NULL OR coalesce(abs(stored - seen) <= {slack}, false)) THEN stored END AS current_version FROM (
-        SELECT id, CASE WHEN id % 6 <> 0 THEN created_at * 1e0 END AS stored, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN created_at + 1e-3 WHEN 2 THEN created_at + 5e-1 ELSE created_at * 1e0 END AS seen FROM recordings) n"""
+    return f"""SELECT id, seen IS NULL OR coalesce(abs(stored - seen) <= {slack}, false) AS accepted, CASE WHEN NOT (seen IS NULL OR coalesce(abs(stored - seen) <= {slack}, false)) THEN stored END AS current_version FROM note_edits"""
 
 
 def recent(d: Spark, most: int = 64) -> str:

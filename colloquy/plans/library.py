@@ -65,7 +65,7 @@ def process_output(d: Spark) -> str:
     """A process's stdout, stderr and exit code -> error or transcript, warnings and timings.
 
     The transcript is what follows the last empty line, or all of it, without log lines; under three characters it is
-    none. The lines of the library play the process.
+    none.
     """
     nl = "chr(10)"
     lines = lambda x: f"split({x}, '\\n')" if d.name == "spark" else f"string_split({x}, {nl})"
@@ -75,9 +75,7 @@ def process_output(d: Spark) -> str:
     odd = " OR ".join([*(d.starts("trim(x)", d.text(s)) for s in ("[", "{", "//", "#")), "(contains(x, '=') AND contains(x, ':'))", *(f"contains(x, {d.text(s)})" for s in (" ms", " tokens/s", " MB"))])
     error = " ".join(f"WHEN {' OR '.join(f'contains(stderr, {d.text(m)})' for m in marks)} THEN {d.text(kind)}" for kind, marks in PROCESS_ERRORS)
     number = lambda p: f"cast(nullif({d.group('stderr', p, 1)}, '') AS DOUBLE)"
-    return f"""WITH p AS (SELECT id, CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS exit_code, 'main: loading model: x' || {nl} || 'encoding audio slice' || {nl} || {nl} || CASE WHEN id % 5 = 0 THEN 'Error: bad audio' ELSE text END || {nl} || '[debug] 12' || {nl} || 'a=1 b: 2' AS stdout,
-            'model loaded in 12.50 ms' || {nl} || 'Warning: slow disk' || {nl} || 'generated ' || cast(utterance_index + 30 AS VARCHAR(9)) || ' tokens' || CASE WHEN id % 14 = 0 THEN {nl} || 'malloc failed' ELSE '' END AS stderr FROM utterances),
-        t AS (SELECT *, CASE WHEN exit_code <> 0 THEN CASE {error} ELSE 'unknown' END WHEN contains(stdout, 'Error:') OR contains(stdout, 'ERROR') THEN 'unknown' END AS error, {last} AS rest FROM p),
+    return f"""WITH t AS (SELECT *, CASE WHEN exit_code <> 0 THEN CASE {error} ELSE 'unknown' END WHEN contains(stdout, 'Error:') OR contains(stdout, 'ERROR') THEN 'unknown' END AS error, {last} AS rest FROM process_runs),
         k AS (SELECT *, trim({joined(d.kept(lines("CASE WHEN rest = '' THEN stdout ELSE rest END"), "x", f"NOT (trim(x) = '' OR {logs} OR {odd})"))}) AS said FROM t)
         SELECT id, CASE WHEN error IS NULL AND length(said) < 3 THEN 'unknown' ELSE error END AS error, CASE WHEN error IS NULL AND length(said) >= 3 THEN said END AS transcript,
             {d.size(d.kept(lines("stderr"), "x", "contains(x, 'warning:') OR contains(x, 'Warning:')"))} AS warnings, {number("model loaded in ([0-9]+[.][0-9]+) ms")} / 1e3 AS load_seconds, {number("generated ([0-9]+) tokens")} AS tokens FROM k"""
@@ -411,12 +409,10 @@ def simultaneous(d: Spark, least: float = 0.35) -> str:
 
 def echoes(d: Spark, near: float = 2.5, least: float = 0.5) -> str:
     """Microphone lines without those that repeat a system line whose time is within ``near`` seconds of theirs, at a
-    similarity of their words of ``least`` or more. Some system lines come over the microphone as well, a second late."""
+    similarity of their words of ``least`` or more."""
     toks = d.distinct(d.kept(d.find("lower(text)", r"[\p{L}\p{N}]+"), "w", "length(w) > 1"))
-    lines = f"""(SELECT id, recording_id, start_time, end_time, {toks} AS ws, speaker = 'user' AS mic FROM utterances UNION ALL
-        SELECT -id - 1, recording_id, start_time + 1, end_time + 1, {d.distinct(d.kept(d.find("upper(text)", r"[\p{L}\p{N}]+").replace("upper(text)", "lower(text)"), "w", "length(w) > 1 AND w <> 'de'"))}, true FROM utterances WHERE speaker = 'assistant' AND id % 5 = 0)"""
     same = f"{d.size(d.common('l.ws', 'r.ws'))} >= {least} * {d.size(d.union('l.ws', 'r.ws'))} AND {d.size('l.ws')} > 0 AND {d.size('r.ws')} > 0"
-    return f"""WITH k AS (SELECT * FROM {lines} x), dropped AS (SELECT DISTINCT l.id FROM {overlaps(d, "(SELECT * FROM k WHERE mic)", "(SELECT * FROM k WHERE NOT mic)", 60, near)}
+    return f"""WITH k AS (SELECT id, recording_id, start_time, end_time, {toks} AS ws, mic FROM channel_lines), dropped AS (SELECT DISTINCT l.id FROM {overlaps(d, "(SELECT * FROM k WHERE mic)", "(SELECT * FROM k WHERE NOT mic)", 60, near)}
           WHERE l.start_time <= r.end_time + {near} AND r.start_time <= l.end_time + {near} AND {same})
         SELECT k.id FROM k LEFT JOIN dropped x ON x.id = k.id WHERE k.mic AND x.id IS NULL"""
 
@@ -424,16 +420,12 @@ def echoes(d: Spark, near: float = 2.5, least: float = 0.5) -> str:
 def timeline_evidence(d: Spark, overlap: float = 0.40, purity: float = 0.80, coverage: float = 0.45) -> str:
     """Old clusters of a recording and the new cluster that their time points to: the one with the most overlap, if that
     is ``overlap`` seconds at least, ``purity`` of all overlap and ``coverage`` of the old cluster's own time.
-
-    The old clusters are the diarised voices; the new ones have most of their turns, and some turns of others.
     """
-    own = "SELECT id, recording_id, speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1', 'v2')"
-    new = "SELECT id, recording_id, 'n' || CASE WHEN id % 16 = 0 THEN 'x' ELSE substring(speaker, 2, 1) END AS speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1') AND id % 5 <> 0"
-    return f"""WITH old AS ({own}), islands AS (SELECT recording_id, speaker, min(start_time) AS a, max(end_time) AS b FROM (
+    return f"""WITH old AS (SELECT id, recording_id, speaker, start_time, end_time FROM old_turns), islands AS (SELECT recording_id, speaker, min(start_time) AS a, max(end_time) AS b FROM (
             SELECT *, sum(new) OVER (PARTITION BY recording_id, speaker ORDER BY start_time, end_time, id ROWS UNBOUNDED PRECEDING) AS island FROM (
               SELECT *, CASE WHEN start_time <= max(end_time) OVER (PARTITION BY recording_id, speaker ORDER BY start_time, end_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM old) t) i
             GROUP BY recording_id, speaker, island), whole AS (SELECT recording_id, speaker, sum(b - a) AS s FROM islands GROUP BY recording_id, speaker),
-        o AS (SELECT l.recording_id, l.speaker AS target, r.speaker AS evidence, sum({_OVERLAP}) AS o FROM {overlaps(d, "old", f"({new})", 16)} WHERE r.start_time < l.end_time AND r.end_time > l.start_time GROUP BY l.recording_id, l.speaker, r.speaker),
+        o AS (SELECT l.recording_id, l.speaker AS target, r.speaker AS evidence, sum({_OVERLAP}) AS o FROM {overlaps(d, "old", "new_turns", 16)} WHERE r.start_time < l.end_time AND r.end_time > l.start_time GROUP BY l.recording_id, l.speaker, r.speaker),
         n AS (SELECT *, sum(o) OVER (PARTITION BY recording_id, target) AS seen, row_number() OVER (PARTITION BY recording_id, target ORDER BY o DESC, evidence) AS n FROM o)
         SELECT n.recording_id, n.target, n.evidence, round(n.o / n.seen, 6) AS purity, round(least(1, n.o / w.s), 6) AS coverage FROM n JOIN whole w ON w.recording_id = n.recording_id AND w.speaker = n.target
         WHERE n.n = 1 AND n.o >= {overlap} AND n.o / n.seen >= {purity} AND n.o / w.s >= {coverage}"""

@@ -21,6 +21,7 @@ from ..domain import Relations, statement
 from ..index import KeywordIndex
 from ..operators import folds, groups
 from ..sources import transcripts
+from ..ranks import nearest_rank
 from ..similar import Pairs
 from ..storage import cut, fresh_path
 from ..streaming import live
@@ -243,14 +244,14 @@ def suspicion(lines: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("recording_id").orderBy("utterance_index")
     spark = lines.sparkSession
-    lines.createOrReplaceTempView("judged_lines")
+    given = search.view(lines, "lines")
     about = spark.sql(f"""
-        SELECT *, size(ws) AS n FROM (SELECT *, {SPARK.trimmed("lower(text)")} AS ws, {SPARK.canonical("text")} AS norm, length(trim(text)) AS chars, greatest(end_time - start_time, 0) AS s, NOT {SPARK.matches(analytics.bare(SPARK), "[\\p{L}\\p{N}]")} AS empty FROM judged_lines) t""")
-    about.createOrReplaceTempView("judged_words")
+        SELECT *, size(ws) AS n FROM (SELECT *, {SPARK.trimmed("lower(text)")} AS ws, {SPARK.canonical("text")} AS norm, length(trim(text)) AS chars, greatest(end_time - start_time, 0) AS s, NOT {SPARK.matches(analytics.bare(SPARK), "[\\p{L}\\p{N}]")} AS empty FROM {given}) t""")
+    words = search.view(about, "words")
     held = " OR ".join([*(f"contains(lower(text), {SPARK.text(m)})" for m in (*analytics.MARKERS, *analytics.PHRASES)), "(contains(lower(text), 'copyright') AND contains(lower(text), 'sdi media'))"])
     credit = analytics.is_credit(SPARK, "lower(text)", "n")
     dots = SPARK.sub("replace(lower(text), '…', '...')", "[ \t\n\r]+", "")
-    t = spark.sql(f"SELECT *, {credit} AS credit, n > {analytics.CREDIT_WORDS} AND ({held}) AS embedded, size(array_distinct(ws)) BETWEEN 1 AND 3 AND {SPARK.matches(dots, '[.]{4}')} AS filler FROM judged_words")
+    t = spark.sql(f"SELECT *, {credit} AS credit, n > {analytics.CREDIT_WORDS} AND ({held}) AS embedded, size(array_distinct(ws)) BETWEEN 1 AND 3 AND {SPARK.matches(dots, '[.]{4}')} AS filler FROM {words}")
     # Text that repeats itself: runs of one to four words, in one pass over the words.
     t = t.withColumn("r", functions.runs(F.col("ws")))
     loop = (F.col("n") >= functions.LOOP_WORDS) & (F.col("r.run") >= functions.LOOP_RUN) & (F.col("r.covered") >= functions.LOOP_SHARE * F.col("n"))
@@ -260,7 +261,7 @@ def suspicion(lines: DataFrame) -> DataFrame:
     t = t.withColumn("island", F.sum((~F.col("again")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     t = t.withColumn("same", F.row_number().over(Window.partitionBy("recording_id", "island").orderBy("utterance_index")))
     t = t.withColumns({"n_before": F.coalesce(F.lag("n").over(order), F.lit(0)), "by_before": F.lag("speaker").over(order)})
-    outlier = spark.sql(analytics.script_outlier(SPARK).replace("FROM text_lines", "FROM judged_lines").replace("WHEN id % 83 = 5 THEN", "WHEN false THEN").replace("WHEN id % 83 = 6 THEN", "WHEN false THEN"))
+    outlier = spark.sql(analytics.script_outlier(SPARK).replace("FROM text_lines", f"FROM {given}"))
     t = t.join(outlier.withColumnRenamed("id", "_o"), F.col("id") == F.col("_o"), "left")
     rate = F.when((F.col("chars") > 0) & (F.col("s") >= 1), F.col("chars") / F.col("s"))
     known = F.col("exemplar_exact") | (F.coalesce("exemplar_cosine", F.lit(0.0)) >= 0.92) | (F.coalesce("exemplar_overlap", F.lit(0.0)) >= 0.7)
@@ -635,7 +636,13 @@ def pipeline_metrics(spark, source):
     speakers, mean and 95th percentile of their length (the value at place ceil(0.95 n))."""
     c = _components(spark, source).agg(F.round(F.sum("word_errors") / F.sum("words"), 6).alias("wder"), F.round(F.avg(F.abs(F.col("reference_speakers") - F.col("predicted_speakers"))), 6).alias("count_error"), F.round(F.sum("segments") / F.sum("reference_segments"), 6).alias("fragmentation"), F.round(F.sum("mixed") / F.sum("scored"), 6).alias("mixed_rate"))
     d = _references(spark, source).where("side = 'hyp' AND end_time > start_time").withColumn("d", F.col("end_time") - F.col("start_time"))
-    return c.crossJoin(d.agg(F.round(F.avg("d"), 6).alias("mean_seconds"), F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY d)"), 6).alias("p95_seconds")))
+    # Three tables of one row each.
+    return c.crossJoin(d.agg(F.round(F.avg("d"), 6).alias("mean_seconds"))).crossJoin(nearest_rank(d, "d", 0.95).select(F.round("d", 6).alias("p95_seconds")))
+
+
+def p95(spark, source):
+    """The value of each kind of event at place ceil(0.95 n)."""
+    return nearest_rank(statement(spark, source, "SELECT event_type, value FROM events"), "value", 0.95, ["event_type"])
 
 
 def boundaries(spark, source):
@@ -747,7 +754,8 @@ def high_water_mark(spark, source):
     """Three sweeps with new exemplars in between: each looks at the new ones alone."""
     state = fresh_path(spark, "mark")
     ex = statement(spark, source, "SELECT id, text FROM exemplars")
-    middle = ex.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY id)")).first()[0] or 0
+    half = nearest_rank(ex, "id", 0.5).first()
+    middle = half["id"] if half else 0
     lines = statement(spark, source, f"SELECT id, {SPARK.canonical('text')} AS t FROM text_lines")
 
     def sweep(new: DataFrame) -> DataFrame:
@@ -766,6 +774,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "CLU-05": _grouped(groups.evidence_graph), "CLU-06": _grouped(_split_profiles), "CLU-07": mixtures, "CLU-08": voice_components,
     "ASG-01": _assigned(_by_pairs(lambda s: groups.greedy(s, 0.85))), "ASG-02": _assigned(_by_pairs(lambda s: groups.optimal(s, 0.8, 0.05))), "ASG-03": _assigned(lambda new, known: groups.consensus(new, known, 0.8, 0.05)), "ASG-04": per_library(_fragments, "speaker_uuid string, target string, score double, margin double, support long"),
     "REC-02": calibration, "REC-04": _grouped(_constraints), "REC-05": apply_and_undo, "INF-01": deduced, "INF-03": guessed,
-    "EVL-01": word_errors, "EVL-02-words": candidate_errors, "EVL-03": boundaries, "EVL-04": diarisation_error, "EVL-05": pipeline_metrics, "EVL-11": per_library(_review, "a string, b string, points double, reason string"),
+    "AGG-23": p95, "EVL-01": word_errors, "EVL-02-words": candidate_errors, "EVL-03": boundaries, "EVL-04": diarisation_error, "EVL-05": pipeline_metrics, "EVL-11": per_library(_review, "a string, b string, points double, reason string"),
     "STR-01": maintained, "STR-08": high_water_mark, "STR-10": voice_changes, "STR-11": activity_stream, "STR-11-sessions": session_stream,
 }

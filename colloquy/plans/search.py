@@ -251,10 +251,9 @@ def coerced(d: Spark, short: int = 48, long: int = 80, most: int = 3000) -> str:
 
 def voice_check(d: Spark, margin: float = 0.05, floor: float = 0.5) -> str:
     """Each voice against its own speaker's mean and the nearest other speaker's of its recording: suspect if the other is
-    nearer by ``margin`` or its own is below ``floor``, with a score. A line in eleven is said to be another's."""
-    said = "(SELECT vec_id, recording_id, embedding, CASE WHEN vec_id % 11 = 0 THEN 'spk' || cast((label + 1) % 10 AS VARCHAR(9)) || '-' || cast(library_id AS VARCHAR(20)) ELSE speaker_uuid END AS own FROM vectors)"
-    return f"""WITH {centroids(d, weight="equal")}, here AS (SELECT DISTINCT recording_id, own FROM {said} q),
-        c AS (SELECT x.vec_id, x.own, h.own AS other, {cosine(d, "x.embedding", "m.m")} AS c FROM {said} x JOIN here h ON h.recording_id = x.recording_id JOIN cent m ON m.speaker_uuid = h.own),
+    nearer by ``margin`` or its own is below ``floor``, with a score."""
+    return f"""WITH {centroids(d, weight="equal")}, here AS (SELECT DISTINCT recording_id, own FROM said_by q),
+        c AS (SELECT x.vec_id, x.own, h.own AS other, {cosine(d, "x.embedding", "m.m")} AS c FROM said_by x JOIN here h ON h.recording_id = x.recording_id JOIN cent m ON m.speaker_uuid = h.own),
         s AS (SELECT vec_id, coalesce(max(CASE WHEN own = other THEN c END), -1) AS me, max(CASE WHEN own <> other THEN c END) AS best, min(CASE WHEN own <> other AND k = 1 THEN other END) AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, own = other ORDER BY round(c, 9) DESC, other) AS k FROM c) r GROUP BY vec_id)
         SELECT vec_id, round(me, 6) AS self_, nearest, round(best, 6) AS best_other, coalesce(best > me + {margin}, false) OR (me >= 0 AND me < {floor}) AS suspect, round(greatest(0e0, coalesce(best, -1) - me) + greatest(0e0, {floor} - greatest(me, 0e0)) * 5e-1, 6) AS score FROM s"""
 

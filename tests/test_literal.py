@@ -146,3 +146,29 @@ def test_plans_see_the_relations_they_are_given(spark):
     first = statement(spark, one, "SELECT recording_id FROM tokens")
     second = statement(spark, two, "SELECT recording_id FROM tokens")
     assert [r[0] for r in first.collect()] == [1] and [r[0] for r in second.collect()] == [2]
+
+
+def test_no_operator_makes_up_values(spark):
+    """Plans on harmless lines of one's own: nothing is found that isn't in them."""
+    texts = [(i, 1, i, "en", f"we spoke about plan number {i}", "A", i * 5.0, i * 5.0 + 3, None) for i in range(200)]
+    mine = {"text_lines": spark.createDataFrame(texts, "id long, recording_id long, utterance_index int, lang string, text string, speaker string, start_time double, end_time double, mean_p double")}
+    assert plans.run(spark, mine, "TXT-12").count() == 0
+    assert plans.run(spark, mine, "TXT-15").where("outlier").count() == 0
+    mine["repairs"] = spark.createDataFrame([(7, "we spoke about plan number seven"), (8, ""), (9, "<|x|> hm")], "id long, proposed string")
+    assert {r.id: r.safe for r in plans.run(spark, mine, "TXT-24").collect()} == {7: True, 8: False, 9: False}
+
+
+def test_operators_take_the_columns_they_are_given(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    runs = one([(1, 0, "log\n\nhello there", ""), (2, 1, "", "malloc failed"), (3, 0, "\n\n", "")], "id long, exit_code int, stdout string, stderr string")
+    assert {r.id: (r.error, r.transcript) for r in plans.run(spark, {"process_runs": runs}, "SRC-08").collect()} == {1: (None, "hello there"), 2: ("memory_error", None), 3: ("unknown", None)}
+    channels = one([(1, 1, 0.0, 2.0, "good morning to all", True), (2, 1, 1.0, 3.0, "good morning to all", False), (3, 1, 50.0, 52.0, "good morning to all", True)], "id long, recording_id long, start_time double, end_time double, text string, mic boolean")
+    assert [r.id for r in plans.run(spark, {"channel_lines": channels}, "JN-17").collect()] == [3]
+    files = one([(1, "meeting_170_mic.m4a"), (83, "memo.m4a")], "id long, file_name string")
+    assert {r.id: r.stamp for r in plans.run(spark, {"recordings": files}, "TXT-26").collect()} == {1: "170", 83: ""}
+    people = one([("a", "Ann Lee"), ("b", "ann.lee@example.com"), ("c", "Bo Lee"), ("d", None)], "uuid string, called string")
+    assert {(r.a, r.b) for r in plans.run(spark, {"people": people}, "TXT-27").collect()} == {("a", "b")}
+    heard = one([(1, "EN ", 0.5, 0.0, 4.0), (1, "fr", None, 4.0, 7.0), (1, "auto", 0.9, 7.0, 99.0)], "recording_id long, language string, confidence double, start_time double, end_time double")
+    assert [(r.language, r.confidence, r.source) for r in plans.run(spark, {"heard_languages": heard}, "AGG-20").collect()] == [("en", 0.5, "audio")]
+    edits = one([(1, 5.0, 5.001), (2, 5.0, 6.0), (3, None, 5.0), (4, 5.0, None)], "id long, stored double, seen double")
+    assert {r.id: (r.accepted, r.current_version) for r in plans.run(spark, {"note_edits": edits}, "STR-13").collect()} == {1: (True, None), 2: (False, 5.0), 3: (False, None), 4: (True, None)}

@@ -33,7 +33,7 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(plans.catalog()))
 def test_plan(spark, sf_dir, duck, name):
-    df = plans.run(spark, sf_dir, name)
+    df = entry.queries()[name](spark, sf_dir)
     cursor = duck.execute(plans.oracle(name))
     names = [x[0] for x in cursor.description]
     assert sorted(names) == sorted(df.columns)
