@@ -23,7 +23,7 @@ from ..operators import folds, groups
 from ..sources import transcripts
 from ..ranks import nearest_rank
 from ..similar import Pairs
-from ..storage import cut, fresh_path
+from ..storage import cut, exists, fresh_path
 from ..streaming import live
 from ..vectors import VectorIndex
 from . import analytics, search
@@ -43,7 +43,7 @@ _BUILT: dict[tuple, str] = {}
 def _stored(spark: SparkSession, source, kind: str, build: Callable[[str], object]) -> str:
     """The path of the index of that kind over a source: built when an application first asks for it, then kept."""
     key = (spark.sparkContext.applicationId, source if isinstance(source, str) else id(source), kind)
-    if key not in _BUILT or not isinstance(source, str):
+    if key not in _BUILT or not isinstance(source, str) or not exists(spark, _BUILT[key]):
         path = fresh_path(spark, kind)
         build(path)
         _BUILT[key] = path
@@ -180,9 +180,14 @@ def _arriving(df: DataFrame, order: str, parts: int) -> list[DataFrame]:
 def _streamed(spark, df: DataFrame, order: str, plan: Callable[[DataFrame], DataFrame], last: DataFrame | None = None, parts: int = 3) -> DataFrame:
     """``plan`` over a stream of ``df`` that comes in parts, stopped and started again after each; ``last`` comes at the end."""
     folder, out, ledger = (fresh_path(spark, n) for n in ("arriving", "final", "ledger"))
-    for part in [*_arriving(df, order, parts), *([] if last is None else [last])]:
-        part.write.mode("append").parquet(folder)
-        live.run(plan(spark.readStream.schema(df.schema).parquet(folder)), out, ledger)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))  # as many parts of the state as cores
+    try:
+        for part in [*_arriving(df, order, parts), *([] if last is None else [last])]:
+            part.write.mode("append").parquet(folder)
+            live.run(plan(spark.readStream.schema(df.schema).parquet(folder)), out, ledger)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(plan(df.limit(0)).schema).parquet(out)
 
 

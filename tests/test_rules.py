@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from colloquy import functions, plans, sinks
 from colloquy.plans import procedures
 from colloquy.sources import transcripts
-from colloquy.streaming import live
+from colloquy.versions import Keyed
 
 
 def table(spark, schema, *rows):
@@ -114,6 +114,7 @@ def test_sinks(spark, tmp_path):
 def test_index_takes_late_and_repeated_changes(spark, tmp_path):
     path, schema = str(tmp_path / "index"), "id long, text string, is_hidden boolean, version int"
     batches = [[(1, "a", False, 1), (2, "b", False, 5)], [(1, "a3", True, 3)], [(1, "a2", False, 2), (2, "b", False, 5)], [(3, "c", False, 1)]]
+    kept = Keyed(spark, f"file://{path}", ["id"])
     for rows in [*batches, batches[0]]:
-        live.merge(table(spark, schema, *rows), path)
-    assert sorted((r.id, r.text) for r in live.indexed(spark, path).collect()) == [(2, "b"), (3, "c")]
+        kept.upsert(table(spark, schema, *rows), "version")
+    assert sorted((r.id, r.text) for r in kept.read().where("NOT is_hidden").collect()) == [(2, "b"), (3, "c")]
