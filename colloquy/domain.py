@@ -73,7 +73,7 @@ def relations(d: Spark) -> dict[str, str]:
             SELECT r.id, m.id, CASE WHEN (r.id + m.id) % 2 = 0 THEN 'suggested' ELSE 'possible' END, 1e0 / 2, (r.id + m.id) % 7 = 0 FROM recordings r JOIN meetings m ON m.id = r.id + 1""",
         # A speaker of a meeting's recording is invited under an address, now and then with others who aren't heard.
         "attendees": """
-            SELECT DISTINCT l.meeting_id, 'Person ' || u.speaker_uuid AS name, CASE WHEN length(u.speaker_uuid) % 2 = 0 THEN 'p.' || u.speaker_uuid || '@Example.com' END AS email FROM recording_meetings l JOIN utterances u ON u.recording_id = l.recording_id AND u.speaker_uuid IS NOT NULL WHERE (l.meeting_id + length(u.speaker_uuid)) % 5 <> 0 UNION ALL
+            SELECT DISTINCT l.meeting_id, 'Person ' || u.speaker_uuid AS name, CASE WHEN length(u.speaker_uuid) % 2 = 0 THEN 'p.' || u.speaker_uuid || '@Example.com' END AS email FROM recording_meetings l JOIN utterances u ON u.recording_id = l.recording_id AND u.speaker_uuid IS NOT NULL WHERE NOT l.is_dismissed AND (l.meeting_id + length(u.speaker_uuid)) % 5 <> 0 UNION ALL
             SELECT id, 'Everyone', 'all@example.com' FROM meetings WHERE id % 4 = 2 UNION ALL SELECT id, '', NULL FROM meetings WHERE id % 7 = 0""",
         # Who stands for whom: chains, a circle of two, links of those who are no aliases any more.
         "aliases": "SELECT cast(id AS BIGINT) AS id, cast(CASE WHEN id % 12 = 5 THEN id + 1 WHEN id % 12 = 6 THEN id - 1 WHEN id % 4 <> 0 THEN id - 1 END AS BIGINT) AS canonical_id, CASE WHEN id % 11 = 3 THEN 'active' ELSE 'alias' END AS identity_state FROM recordings WHERE duration IS NOT NULL",
