@@ -448,17 +448,25 @@ SCRIPTS = {
 }
 
 
-def script_outlier(d: Spark) -> str:
-    """Short lines whose letters are mostly of another script than the recording's, if the recording has one."""
+def script_steps(d: Spark) -> list[str]:
+    """What tells lines of another script than their recording's, in steps: select lists that each add to the columns before (text,
+    recording_id, n: the number of words), down to ``outlier``."""
     ranges = {k: v.encode().decode("unicode_escape") for k, v in SCRIPTS.items()}
-    letters = d.sub("text", "[^\\p{L}]", "")
-    count = ", ".join(f"length(x) - length({d.sub('x', f'[{v}]', '')}) AS {k}" for k, v in ranges.items())
     names = list(ranges)
     top = lambda p, whole: "CASE " + " ".join(f"WHEN {p}{k} = greatest({', '.join(p + x for x in names)}) THEN '{k}'" for k in names) + " END"
     most, line = f"greatest({', '.join('r_' + k for k in names)})", f"greatest({', '.join(names)})"
-    return f"""WITH c AS (SELECT id, recording_id, n, {count} FROM (SELECT id, recording_id, {d.size(d.trimmed("lower(text)"))} AS n, {letters} AS x FROM text_lines) t),
-        r AS (SELECT *, {", ".join(f"sum({k}) OVER (PARTITION BY recording_id) AS r_{k}" for k in names)} FROM c), s AS (SELECT *, {" + ".join("r_" + k for k in names)} AS r_all, {" + ".join(names)} AS own FROM r)
-        SELECT id, r_all >= 20 AND {most} * 1e0 / greatest(r_all, 1) >= 6e-1 AND n <= 8 AND own >= 2 AND {line} * 1e0 / greatest(own, 1) >= 7e-1 AND {top("", "own")} <> {top("r_", "r_all")} AS outlier FROM s"""
+    return [
+        f"{d.sub('text', '[^\\p{L}]', '')} AS letters_", ", ".join(f"length(letters_) - length({d.sub('letters_', f'[{v}]', '')}) AS {k}" for k, v in ranges.items()), ", ".join(f"sum({k}) OVER (PARTITION BY recording_id) AS r_{k}" for k in names), f"{' + '.join('r_' + k for k in names)} AS r_all, {' + '.join(names)} AS own",
+        f"r_all >= 20 AND {most} * 1e0 / greatest(r_all, 1) >= 6e-1 AND n <= 8 AND own >= 2 AND {line} * 1e0 / greatest(own, 1) >= 7e-1 AND {top('', 'own')} <> {top('r_', 'r_all')} AS outlier",
+    ]
+
+
+def script_outlier(d: Spark) -> str:
+    """Short lines whose letters are mostly of another script than the recording's, if the recording has one."""
+    found = f"SELECT id, recording_id, text, {d.size(d.trimmed('lower(text)'))} AS n FROM text_lines"
+    for k, step in enumerate(script_steps(d)):
+        found = f"SELECT *, {step} FROM ({found}) s{k}"
+    return f"SELECT id, outlier FROM ({found}) o"
 
 
 def char_rate(d: Spark) -> str:

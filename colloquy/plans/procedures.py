@@ -257,6 +257,8 @@ def suspicion(lines: DataFrame) -> DataFrame:
     credit = analytics.is_credit(SPARK, "lower(text)", "n")
     dots = SPARK.sub("replace(lower(text), '…', '...')", "[ \t\n\r]+", "")
     t = spark.sql(f"SELECT *, {credit} AS credit, n > {analytics.CREDIT_WORDS} AND ({held}) AS embedded, size(array_distinct(ws)) BETWEEN 1 AND 3 AND {SPARK.matches(dots, '[.]{4}')} AS filler FROM {words}")
+    for name in (given, words):
+        spark.catalog.dropTempView(name)
     # Text that repeats itself: runs of one to four words, in one pass over the words.
     t = t.withColumn("r", functions.runs(F.col("ws")))
     loop = (F.col("n") >= functions.LOOP_WORDS) & (F.col("r.run") >= functions.LOOP_RUN) & (F.col("r.covered") >= functions.LOOP_SHARE * F.col("n"))
@@ -266,8 +268,10 @@ def suspicion(lines: DataFrame) -> DataFrame:
     t = t.withColumn("island", F.sum((~F.col("again")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     t = t.withColumn("same", F.row_number().over(Window.partitionBy("recording_id", "island").orderBy("utterance_index")))
     t = t.withColumns({"n_before": F.coalesce(F.lag("n").over(order), F.lit(0)), "by_before": F.lag("speaker").over(order)})
-    outlier = spark.sql(analytics.script_outlier(SPARK).replace("FROM text_lines", f"FROM {given}"))
-    t = t.join(outlier.withColumnRenamed("id", "_o"), F.col("id") == F.col("_o"), "left")
+    for step in analytics.script_steps(SPARK):
+        seen = search.view(t, "step")
+        t = spark.sql(f"SELECT *, {step} FROM {seen}")
+        spark.catalog.dropTempView(seen)
     rate = F.when((F.col("chars") > 0) & (F.col("s") >= 1), F.col("chars") / F.col("s"))
     known = F.col("exemplar_exact") | (F.coalesce("exemplar_cosine", F.lit(0.0)) >= 0.92) | (F.coalesce("exemplar_overlap", F.lit(0.0)) >= 0.7)
     text = ~F.col("empty")
