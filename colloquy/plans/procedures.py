@@ -266,12 +266,13 @@ def suspicion(lines: DataFrame) -> DataFrame:
     # Runs of equal lines, through junk too.
     t = t.withColumn("again", F.coalesce((F.col("norm") != "") & (F.col("norm") == F.lag("norm").over(order)), F.lit(False)))
     t = t.withColumn("island", F.sum((~F.col("again")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("same", F.row_number().over(Window.partitionBy("recording_id", "island").orderBy("utterance_index")))
     t = t.withColumns({"n_before": F.coalesce(F.lag("n").over(order), F.lit(0)), "by_before": F.lag("speaker").over(order)})
+    # Sums over a recording need no order, so the rows stay as they are sorted.
     for step in analytics.script_steps(SPARK):
         seen = search.view(t, "step")
         t = spark.sql(f"SELECT *, {step} FROM {seen}")
         spark.catalog.dropTempView(seen)
+    t = t.withColumn("same", F.row_number().over(Window.partitionBy("recording_id", "island").orderBy("utterance_index")))
     rate = F.when((F.col("chars") > 0) & (F.col("s") >= 1), F.col("chars") / F.col("s"))
     known = F.col("exemplar_exact") | (F.coalesce("exemplar_cosine", F.lit(0.0)) >= 0.92) | (F.coalesce("exemplar_overlap", F.lit(0.0)) >= 0.7)
     text = ~F.col("empty")
