@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .dialect import SPARK
 from .storage import cut
-from .versions import Versions, bucket_of, schema_of, whole, with_folder
+from .versions import Versions, bucket_of, whole, with_folder
 
 #: Letters and digits.
 TOKEN = r"[\p{L}\p{N}]+"

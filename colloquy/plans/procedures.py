@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import components, functions, identity, sinks
 from ..api import Library
 from ..dialect import SPARK
-from ..domain import Relations, statement
+from ..domain import statement
 from ..index import KeywordIndex
 from ..operators import folds, groups
 from ..sources import transcripts

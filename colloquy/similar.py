@@ -122,12 +122,12 @@ class Pairs:
         visitors = cut(placed.mapInArrow(visit, "id long, x binary, block int"), "visitors")
         counts = placed.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("r")).join(visitors.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("v")), "block", "left").na.fill(0, ["v"])
         deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        from_, upto = lambda a, b: F.sequence(a, b), F.explode
+        each = lambda a, b: F.explode(F.sequence(a, b))
         here = placed.join(counts, "block").withColumn("i", deal("r"))
-        mine = here.withColumn("j", upto(from_(F.col("i"), F.col("r") - 1))).select("block", "i", "j", F.lit(0).alias("kind"), "id", "x")
-        theirs = here.select("block", upto(from_(F.lit(0), F.col("i"))).alias("i_"), F.col("i").alias("j"), F.lit(0).alias("kind"), "id", "x").withColumnRenamed("i_", "i")
-        hosts = here.where("v > 0").withColumn("j", upto(from_(F.lit(0), F.col("v") - 1))).select("block", "i", "j", F.lit(1).alias("kind"), "id", "x")
-        guests = visitors.join(counts, "block").withColumn("j", deal("v")).withColumn("i", upto(from_(F.lit(0), F.col("r") - 1))).select("block", "i", "j", F.lit(1).alias("kind"), "id", "x")
+        mine = here.withColumn("j", each(F.col("i"), F.col("r") - 1)).select("block", "i", "j", F.lit(0).alias("kind"), "id", "x")
+        theirs = here.select("block", each(F.lit(0), F.col("i")).alias("i_"), F.col("i").alias("j"), F.lit(0).alias("kind"), "id", "x").withColumnRenamed("i_", "i")
+        hosts = here.where("v > 0").withColumn("j", each(F.lit(0), F.col("v") - 1)).select("block", "i", "j", F.lit(1).alias("kind"), "id", "x")
+        guests = visitors.join(counts, "block").withColumn("j", deal("v")).withColumn("i", each(F.lit(0), F.col("r") - 1)).select("block", "i", "j", F.lit(1).alias("kind"), "id", "x")
         right = theirs.unionByName(guests)
         self.units = (mine.unionByName(hosts), right.select(*[F.col(c).alias(f"{c}_") for c in right.columns]))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .versions import Versions, bucket_of, schema_of, whole, with_folder
+from .versions import Versions, bucket_of, whole, with_folder
 
 #: Vectors that centres are learned from, those with the least hash; vectors of a cell that are aimed at; cells at most.
 SAMPLE, CELL, MOST_CELLS = 16_384, 1000, 1024

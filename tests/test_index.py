@@ -8,7 +8,6 @@ import regex
 
 from colloquy import api, plans
 from colloquy.dialect import SPARK, folded
-from colloquy.domain import statement
 from colloquy.index import CHANGES, KeywordIndex
 from colloquy.plans import procedures, search
 from colloquy.vectors import VectorIndex
