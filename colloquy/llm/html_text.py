@@ -8,7 +8,9 @@
 2. Within a host, the different pages (by their lines; copies are one page) are put in order by URL path, and each is
    paired with those next to it. The lines of a pair are aligned by longest common subsequence. A line that both have is
    template and is deleted: on a page without an article element if the neighbour with the longer common beginning of
-   the path has it, in an article element if the neighbours on both sides have it.
+   the path has it, in an article element if the neighbours on both sides have it and more than half of the host's pages with such an
+   element hold it, three at least. Neighbours may have a paragraph in common by chance, as quoted and copied texts are;
+   what stands in most articles of a host belongs to the host.
 3. A pair of near copies says nothing about templates: if the clauses of the lines that a pair doesn't share are the same
    for a good part, or if one page holds all of the other, it is left aside, whatever it shares.
 
@@ -58,6 +60,10 @@ OPEN, TEXT, HINTED = 0, 1, 2  # HINTED is added to either
 NEAR = 1 / 3
 #: Cells of one LCS table; above, the alignment is split in halves.
 CELLS = 4_000_000
+#: Articles of a host that hold a line before it can be the host's.
+LEAST = 3
+#: Pages in one range of the order of a host's paths.
+RANGE = 20_000
 
 
 def named(attributes: str) -> tuple[bool, bool]:
@@ -317,6 +323,21 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def of_hosts(gone: DataFrame, pages: DataFrame) -> DataFrame:
+    """host, page, gone: of what differencing found in articles the lines that more than half of the host's articles, and three at
+    least, hold.
+
+    A host has at most twice as many such lines as an article of its has on average, so they are one row for each host.
+    """
+    total = pages.groupBy("host").agg(F.count("*").alias("n"))
+    held = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("m"))
+    template = held.join(total, "host").where((F.col("m") >= LEAST) & (F.col("m") * 2 > F.col("n"))).groupBy("host").agg(F.collect_list("line").alias("template"))
+    found = salted(gone, template, "host", hot_keys(total, "host", "n"), F.xxhash64("page"))
+    places = F.arrays_zip(F.col("gone").alias("place"), F.col("at").alias("line"))
+    # One look-up for each distinct line of the page, by the set of both.
+    return found.withColumn("both", F.array_intersect("at", "template")).where(F.size("both") > 0).select("host", "page", F.transform(F.filter(places, lambda x: F.array_contains(F.col("both"), x["line"])), lambda x: x["place"]).alias("gone"))
+
+
 def deletions(pages: DataFrame) -> DataFrame:
     """k, gone: for row keys with lines to delete, the positions of these among the page's candidate lines."""
     spark = pages.sparkSession
@@ -325,7 +346,8 @@ def deletions(pages: DataFrame) -> DataFrame:
     # Copies on a host are one page, at the least of their paths.
     each = outline.groupBy("host", "page").agg(F.min("path").alias("path"), F.first("main").alias("main"), F.first("lines").alias("lines"), F.first("marks").alias("marks"))
     row = ["host", "path", "page", "main", "lines", "marks"]
-    ordered = each.repartitionByRange("host", "path", "page").withColumn("part", F.spark_partition_id()).select("part", *row)
+    ranges = max(spark.sparkContext.defaultParallelism, -(-outline.count() // RANGE))
+    ordered = each.repartitionByRange(ranges, "host", "path", "page").withColumn("part", F.spark_partition_id()).select("part", *row)
     ordered = cut(ordered, "ordered")
     # The first and the last row of each partition go to the partition before and after as well. Only numbers of
     # partitions reach the driver.
@@ -345,11 +367,13 @@ def deletions(pages: DataFrame) -> DataFrame:
             if r["edge"] == 0:
                 near = [rows[j] if 0 <= j < len(rows) and rows[j]["host"] == r["host"] else None for j in (i - 1, i + 1)]
                 if gone := to_delete(r, *near):
-                    got.append((r["host"], r["page"], gone))
-        return pd.DataFrame(got, columns=["host", "page", "gone"])
+                    got.append((r["host"], r["page"], r["main"], gone, [r["lines"][k] for k in gone]))
+        return pd.DataFrame(got, columns=["host", "page", "main", "gone", "at"])
 
-    # A part is one range of the sort, of the size of a shuffle partition, and holds hashes, not text.
-    gone = cut(both.groupBy("part").applyInPandas(run, "host string, page string, gone array<int>"), "gone")
+    # A part is one range of the sort, of RANGE pages, and holds hashes, not text.
+    gone = cut(both.groupBy("part").applyInPandas(run, "host string, page string, main boolean, gone array<int>, at array<bigint>"), "gone")
+    gone = gone.where("NOT main").select("host", "page", "gone").unionByName(of_hosts(gone.where("main"), ordered.where("main")))
+    gone = cut(gone.where(F.size("gone") > 0), "gone")
     if gone.isEmpty():
         return spark.createDataFrame([], "k bigint, gone array<int>")
     own = F.concat_ws(" ", "page", "host").alias("p")

@@ -1,4 +1,5 @@
 import hashlib
+import html
 import random
 import time
 
@@ -130,12 +131,14 @@ def test_pairs_and_deletions_are_those_of_brute_force(spark):
             near = [row[k] for k in (j - 1, j + 1) if 0 <= k < len(row)]
             # Template lines stand in one order and once, so what two pages have in common is their longest common subsequence.
             both = [(start(path, p), {x for x in lines if x in other}) for p, (_, other), _ in near]
-            gone = set.intersection(*[g for _, g in both]) if main and len(both) == 2 else set() if main else max(both, key=lambda x: x[0])[1] if both else set()
+            holders = lambda x: sum(m and x in other for _, (m, other), _ in row)  # noqa: B023, E731
+            articles = sum(m for _, (m, _), _ in row)
+            gone = {x for x in set.intersection(*[g for _, g in both]) if holders(x) >= 3 and 2 * holders(x) > articles} if main and len(both) == 2 else set() if main else max(both, key=lambda x: x[0])[1] if both else set()
             for i in members:
                 if gone:
                     want[i] = [k for k, x in enumerate(lines) if x in gone]
-    html = lambda lines, main: ("<article>" if main else "") + "".join(f"<p>{x}" for x in lines)
-    df = spark.createDataFrame([(i, url, html(lines, main)) for i, url, lines, main in pages], "_k long, url string, html string")
+    built = lambda lines, main: ("<article>" if main else "") + "".join(f"<p>{x}" for x in lines)
+    df = spark.createDataFrame([(i, url, built(lines, main)) for i, url, lines, main in pages], "_k long, url string, html string")
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -150,7 +153,33 @@ def h_page(key):
     return hashlib.md5(",".join([str(main).lower(), *(str(h.line_hash(x)) for x in lines)]).encode()).hexdigest()
 
 
-def test_pages_of_the_tables(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+def test_paragraphs_of_articles_are_judged_alike_on_a_host(spark):
+    """A notice in all articles of a host goes; a paragraph that many articles quote stays, neighbours or not."""
+    quote, notice = "a paragraph that is quoted", "subscribe to all of it"
+    rows, want = [], {}
+    for i in range(60):
+        own = [f"article {i} says {j}" for j in range(3)] + ([quote] if i % 5 < 2 else [])
+        rows.append((i, f"http://a.example.org/{i:03d}", "<article>" + "".join(f"<p>{x}" for x in [own[0], notice, *own[1:]]) + "</article>"))
+        rows.append((100 + i, f"http://b.example.org/{i:03d}", "<article>" + "".join(f"<p>{x}" for x in own) + "</article>"))
+        want[100 + i] = " ".join(own)
+        want[i] = " ".join([own[0], *([notice] if i in (0, 59) else []), *own[1:]])  # the first and the last have one neighbour
+    # Three pages, all with a paragraph: also template.
+    rows += [(200 + i, f"http://c.example.org/{i}", f"<article><p>text {i}.<p>{quote}</article>") for i in range(3)]
+    got = {x.page_id: x.text for x in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: v for k, v in got.items() if k < 200} == want
+    assert [got[200 + i] for i in range(3)] == [f"text 0. {quote}", "text 1.", f"text 2. {quote}"]
+
+
+def test_pages_of_the_tables(spark):
+    """On the tables every article is in its text whole, with paragraphs that other articles have as well, and nothing of the site is."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    source, n = {r.page_id: r.html for r in pages.collect()}, 0
     for x in h.main_text(pages).collect():
-        assert x.n_chars == len(x.text) and "<" not in x.text.replace("<<<", "") or "$" in x.text
+        assert x.n_chars == len(x.text)
+        whole = source[x.page_id] or ""
+        if whole.count("<article>") == 1 and "<div" not in (inside := whole.split("<article>")[1].split("</article>")[0]) and not h.re.search("<(?!/?(?:p|b|h1|br|em|i)>)[a-zA-Z/!]", inside):
+            # By markup that is this plain, a text is what is left without its tags.
+            parts = [" ".join(html.unescape(h.re.sub("</?(?:b|em|i)>", "", t)).split()) for t in h.re.split("</?(?:p|h1)>|<br>", inside)]
+            assert x.text == " ".join(t for t in parts if t)
+            n += 1
+    assert n > 50, n
