@@ -118,6 +118,11 @@ def relations(d: Spark) -> dict[str, str]:
             SELECT -id - 1, recording_id, start_time + 1, end_time + 1, replace(replace(lower(text), ' de ', ' '), ' the ', ' '), true FROM utterances WHERE speaker = 'assistant' AND id % 5 = 0""",
         "old_turns": "SELECT id, recording_id, speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1', 'v2')",
         "new_turns": "SELECT id, recording_id, 'n' || CASE WHEN id % 16 = 0 THEN 'x' ELSE substring(speaker, 2, 1) END AS speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1') AND id % 5 <> 0",
+        # What people have settled of the voices of recordings: who some are, and which are or aren't one.
+        "voice_anchors": "SELECT DISTINCT library_id, recording_id, speaker_uuid, 'person-' || cast(label AS VARCHAR(9)) AS person FROM vectors WHERE label IN (1, 3) AND recording_id % 4 = 0",
+        "voice_links": """
+            SELECT DISTINCT a.library_id, a.recording_id, a.speaker_uuid, b.recording_id AS other_recording, b.speaker_uuid AS other, a.label = b.label AS same FROM (SELECT DISTINCT library_id, recording_id, speaker_uuid, label FROM vectors WHERE label IN (2, 5, 8)) a
+            JOIN (SELECT DISTINCT library_id, recording_id, speaker_uuid, label FROM vectors WHERE label IN (2, 5, 8)) b ON b.library_id = a.library_id AND (a.label = 5 AND b.speaker_uuid = a.speaker_uuid AND b.recording_id = a.recording_id + 1 OR a.label = 2 AND b.label = 8)""",
         "voice_exemplars": "SELECT vec_id, library_id, embedding, 'thank you' || cast(vec_id AS VARCHAR(20)) AS text FROM vectors WHERE vec_id % 20 = 4",
         "repairs": "SELECT id, CASE WHEN id % 7 = 0 THEN '' WHEN id % 7 = 1 THEN 'I cannot transcribe this' WHEN id % 7 = 2 THEN text || text || text || text WHEN id % 7 = 3 THEN '<|x|>' || text ELSE upper(text) END AS proposed FROM text_lines",
         "listener_verdicts": """

@@ -7,6 +7,8 @@ applied as grouped pandas functions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import combinations
 
 import numpy as np
 
@@ -41,25 +43,41 @@ def single_linkage(x: np.ndarray, least: float = 0.8) -> list[int]:
 def linkage(x: np.ndarray, least: float, kind: str = "complete", k: int | None = None, apart: set[frozenset[int]] = frozenset()) -> list[int]:
     """Agglomerative clusters: merge the pair with the strongest worst (complete) or mean (average) cosine while it
     reaches ``least``, or until ``k`` are left. Pairs in ``apart`` never meet. Ties go to the lower members."""
-    c = cosines(x)
-    groups = {i: [i] for i in range(len(x))}
-    while len(groups) > (k or 1):
-        best = None
-        for a in groups:
-            for b in groups:
-                if a < b and not any(frozenset((i, j)) in apart for i in groups[a] for j in groups[b]):
-                    part = c[np.ix_(groups[a], groups[b])]
-                    s = part.min() if kind == "complete" else part.max() if kind == "single" else part.mean()
-                    if best is None or (-round(s, 12), a, b) < best:
-                        best = (-round(s, 12), a, b)
-        if best is None or (k is None and -best[0] < least):
+    n = len(x)
+    s, sizes, of = cosines(x), np.ones(n), np.arange(n)
+    np.fill_diagonal(s, -np.inf)
+    for i, j in (sorted(p) for p in apart):
+        s[i, j] = s[j, i] = -np.inf
+    # Each group's strongest partner among those after it; a merge changes those of few groups.
+    to, best = np.zeros(n, dtype=int), np.full(n, -np.inf)
+
+    def look(i: int) -> None:
+        if i + 1 < n:
+            later = np.round(s[i, i + 1 :], 12)
+            to[i] = i + 1 + int(later.argmax())
+            best[i] = later[to[i] - i - 1]
+
+    for i in range(n):
+        look(i)
+    for _ in range(n - (k or 1)):
+        a = int(best.argmax())
+        if best[a] == -np.inf or (k is None and best[a] < least):
             break
-        groups[best[1]] += groups.pop(best[2])
-    out = [0] * len(x)
-    for g, members in groups.items():
-        for i in members:
-            out[i] = g
-    return out
+        b = int(to[a])
+        with np.errstate(invalid="ignore"):
+            row = np.minimum(s[a], s[b]) if kind == "complete" else np.maximum(s[a], s[b]) if kind == "single" else (s[a] * sizes[a] + s[b] * sizes[b]) / (sizes[a] + sizes[b])
+        row[np.isneginf(s[a]) | np.isneginf(s[b])] = -np.inf
+        s[a], s[:, a], s[b], s[:, b] = row, row, -np.inf, -np.inf
+        sizes[a] += sizes[b]
+        best[b] = -np.inf
+        of[of == b] = a
+        stale = np.flatnonzero((best > -np.inf) & ((to == a) | (to == b)))
+        for i in {a, *stale.tolist()}:
+            look(i)
+        value = np.round(s[:a, a], 12)
+        nearer = np.flatnonzero((value > best[:a]) | ((value == best[:a]) & (value > -np.inf) & (a < to[:a])))
+        best[nearer], to[nearer] = value[nearer], a
+    return of.tolist()
 
 
 def dbscan(x: np.ndarray, eps: float, least: int) -> list[int]:
@@ -95,10 +113,12 @@ def _clash(nodes: list[dict]) -> np.ndarray:
     """Pairs of nodes of one recording that speak at the same time."""
     n = len(nodes)
     out = np.zeros((n, n), dtype=bool)
-    for i in range(n):
-        for j in range(i):
-            if nodes[i]["recording_id"] == nodes[j]["recording_id"] and meets(nodes[i]["spans"], nodes[j]["spans"]):
-                out[i, j] = out[j, i] = True
+    of: dict[int, list[int]] = {}
+    for i, x in enumerate(nodes):
+        of.setdefault(x["recording_id"], []).append(i)
+    for members in of.values():
+        for i, j in combinations(members, 2):
+            out[i, j] = out[j, i] = meets(nodes[i]["spans"], nodes[j]["spans"])
     return out
 
 
@@ -142,14 +162,31 @@ def evidence_graph(nodes: list[dict], threshold: float = 0.65, slack: float = 0.
         return (-round(0.7 * scores[0] + 0.3 * float(scores[:3].mean()), 9), -round(scores[0], 9), -support, a, b)
 
     # Only pairs of groups with an edge at the threshold can merge; what a merge doesn't touch keeps its evidence.
-    known: dict[tuple[int, int], tuple | None] = {(min(i, j), max(i, j)): None for i, j in np.argwhere(np.nan_to_num(c, nan=-2.0) >= threshold) if i < j}
-    known = {k: evidence(*k) for k in known}
-    while found := [e for e in known.values() if e is not None]:
-        *_, a, b = min(found)
+    beside: dict[int, set[int]] = {i: set() for i in groups}
+    known: dict[tuple[int, int], tuple | None] = {}
+    for i, j in np.argwhere(np.triu(np.nan_to_num(c, nan=-2.0) >= threshold, 1)).tolist():
+        beside[i].add(j)
+        beside[j].add(i)
+        known[i, j] = evidence(i, j)
+    heap = [e for e in known.values() if e is not None]
+    heapify(heap)
+    while heap:
+        e = heappop(heap)
+        *_, a, b = e
+        if known.get((a, b)) is not e:
+            continue  # one of both has changed since
         groups[a] = sorted(groups[a] + groups.pop(b))
-        near = {x for k in known if a in k or b in k for x in k} - {a, b}
-        known = {k: e for k, e in known.items() if not {a, b} & set(k)}
-        known |= {(min(a, x), max(a, x)): evidence(min(a, x), max(a, x)) for x in near}
+        near = (beside[a] | beside.pop(b)) - {a, b}
+        for x in near:
+            for k in (a, b):
+                known.pop((min(k, x), max(k, x)), None)
+            beside[x] = (beside[x] - {b}) | {a}
+            pair = min(a, x), max(a, x)
+            known[pair] = evidence(*pair)
+            if known[pair] is not None:
+                heappush(heap, known[pair])
+        known.pop((a, b))
+        beside[a] = near
     return _least(groups, n)
 
 
@@ -173,6 +210,13 @@ class Model:
     z_mean: float
     z_scale: float
 
+    def least(self, p: float) -> float:
+        """The least cosine with a probability of ``p``, by the cosine alone; only for models that grow with it."""
+        if self.cosine <= 0:
+            return -1.0
+        logit = np.log(p / (1 - p)) - self.bias - self.z * -self.z_mean / self.z_scale
+        return float(self.cosine_mean + logit * self.cosine_scale / self.cosine)
+
     def __call__(self, cosine: np.ndarray, z: np.ndarray | float = 0.0) -> np.ndarray:
         """The probability that a pair is one person."""
         logit = self.bias + self.cosine * (np.asarray(cosine) - self.cosine_mean) / self.cosine_scale + self.z * (np.asarray(z) - self.z_mean) / self.z_scale
@@ -228,8 +272,8 @@ def reconcile(nodes: list[dict], must: list[tuple[int, int]] = (), cannot: list[
             join(of[i], of[j])
     q = np.where(np.isnan(p), -1.0, p)
     best = [int(np.argmax(q[i])) if n and (q[i] >= 0).any() else -1 for i in range(n)]
-    second = [float(np.sort(q[i])[-2]) if n > 1 else -1.0 for i in range(n)]
-    edges = sorted((-p[i, j], i, j) for i in good for j in good if i < j and not np.isnan(p[i, j]) and p[i, j] >= merge - slack)
+    second = np.partition(q, -2, axis=1)[:, -2].tolist() if n > 1 else [-1.0] * n
+    edges = sorted((-p[i, j], i, j) for i, j in np.argwhere(np.triu(q >= merge - slack, 1)).tolist())
     floor = np.where(q >= merge - slack, q, np.nan)
     for _, i, j in edges:
         a, b = of[i], of[j]

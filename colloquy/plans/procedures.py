@@ -357,7 +357,14 @@ def local_clusters(spark, source) -> DataFrame:
 def nodes(pdf: pd.DataFrame) -> list[dict]:
     """A library's voices of recordings, in order, as the decisions take them."""
     pdf = pdf.sort_values(["recording_id", "speaker_uuid"])
-    return [{"recording_id": int(r.recording_id), "uuid": r.speaker_uuid, "label": int(r.label), "n": int(r.n), "embedding": np.asarray(r.m, dtype=float), "spans": [(x["a"], x["b"]) for x in r.spans], "reliable": bool(r.reliable), "key": f"{r.recording_id}:{r.speaker_uuid}"} for r in pdf.itertuples()]
+    return [{"recording_id": int(r.recording_id), "uuid": r.speaker_uuid, "label": int(r.label), "n": int(r.n), "embedding": np.asarray(r.m, dtype=float), "spans": [(x["a"], x["b"]) for x in r.spans], "reliable": bool(r.reliable), "key": f"{r.recording_id}:{r.speaker_uuid}", **_settled(r)} for r in pdf.itertuples()]
+
+
+def _settled(r) -> dict:
+    """What is settled of a voice, where that was asked: its person, and the voices (recording, speaker) it must or mustn't be."""
+    if not hasattr(r, "must"):
+        return {}
+    return {"person": r.person if isinstance(r.person, str) else None} | {name: [] if at is None else [(int(x["other_recording"]), x["other"]) for x in at] for name, at in (("must", r.must), ("cannot", r.cannot))}
 
 
 def per_library(decide: Callable[[list[dict]], list[tuple]], schema: str):
@@ -382,55 +389,138 @@ def speakers_of(voices: list[dict]) -> list[tuple[str, np.ndarray]]:
     return [(u, (m := np.mean(x, axis=0)) / (np.linalg.norm(m) or 1)) for u, x in sorted(by.items())]
 
 
-def _personas(kind: str, least: float = 0.8):
-    def decide(voices):
-        known = speakers_of(voices)
-        x = np.array([m for _, m in known])
-        label = groups.single_linkage(x, least) if kind == "single" else groups.linkage(x, least, kind)
-        return [(u, known[i][0]) for (u, _), i in zip(known, label, strict=True)]
+def _linked(rows: DataFrame, key: str, least: float, more: DataFrame | None = None) -> DataFrame:
+    """``rows`` (key, embedding) with component, the least key of those that a chain of similar ones, or of pairs of keys in ``more`` (a, b), joins it to."""
+    numbered = cut(cut(rows, "rows").withColumn("id", F.monotonically_increasing_id()), "numbered")  # ids of a written table
+    near = Pairs(numbered, least).between_classes()
+    same = numbered.groupBy("embedding").agg(F.min("id").alias("first"))  # equal vectors are one class
+    classes = numbered.join(same, "embedding").select("id", "first")
+    edges = near.select("a", "b").unionByName(classes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    if more is not None:
+        of = lambda name: numbered.select(F.col(key).alias(name), F.col("id").alias(f"id_{name}"))
+        edges = edges.unionByName(more.join(of("a"), "a").join(of("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    found = components.connected(numbered.select(F.col("id").alias("node")), edges)
+    named = numbered.join(found.withColumnRenamed("node", "id"), "id").select(key, "component")
+    return named.join(named.groupBy("component").agg(F.min(key).alias("first")), "component").select(key, F.col("first").alias("component"))
 
-    return per_library(decide, "speaker_uuid string, persona string")
 
+def speaker_voices(spark, source, *by: str) -> DataFrame:
+    """``by``, speaker_uuid, embedding: each speaker's mean over the voices of its recordings."""
+    who = [*by, "speaker_uuid"]
+    v = local_clusters(spark, source).select(*who, F.posexplode("m").alias("k", "v"))
+    mean = v.groupBy(*who, "k").agg(F.avg("v").alias("v")).groupBy(*who).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("m"))
+    return mean.select(*who, F.transform("m", lambda x: x["v"]).alias("embedding"))
 
-def _grouped(decide):
-    """Groups of the voices of recordings, each named by its first."""
-    return per_library(lambda v: [(x["recording_id"], x["uuid"], v[i]["key"]) for x, i in zip(v, decide(v), strict=True)], "recording_id long, speaker_uuid string, cluster string")
 
+def personas(spark, source, least: float = 0.8):
+    """Speakers whose voices chains of similar voices join: one persona, named by its first."""
+    return _linked(speaker_voices(spark, source), "speaker_uuid", least).withColumnRenamed("component", "persona")
 
-def _of_segments(decide):
-    """Clusters of the vectors of each recording: vec_id -> the least vec_id of its cluster."""
 
-    def run(spark, source):
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("vec_id")
-            ids = pdf["vec_id"].to_numpy()
-            return pd.DataFrame({"recording_id": pdf["recording_id"].to_numpy(), "vec_id": ids, "cluster": ids[np.asarray(decide(np.stack(pdf["embedding"].to_numpy()).astype(float)), dtype=int)]})
+def voice_components(spark, source, least: float = 0.8):
+    """How many voices of recordings there are, and how many groups chains of similar ones make of them."""
+    v = local_clusters(spark, source).select(F.concat_ws(":", "recording_id", "speaker_uuid", "label").alias("key"), F.col("m").alias("embedding"))
+    return _linked(v, "key", least).agg(F.count("*").alias("voices"), F.countDistinct("component").alias("components"))
 
-        return voices(spark, source).select("recording_id", "vec_id", "embedding").groupBy("recording_id").applyInPandas(one, "recording_id long, vec_id long, cluster long")
 
-    return run
+def _components_of(v: DataFrame, embedding: str, least: float, more: DataFrame | None = None) -> DataFrame:
+    """``v`` (key, library_id, ..) with component and size: within a library, whom chains of cosines of ``least`` or more, or pairs of keys in ``more``, join."""
+    v = cut(v, "voices")
+    linked = _linked(v.select("key", F.col(embedding).alias("embedding")), "key", least, more) if least > 0 else v.select("key", F.lit("").alias("component"))
+    return cut(v.join(linked, "key").withColumn("size", F.count("*").over(Window.partitionBy("library_id", "component"))), "components")
+
+
+def by_component(voices: DataFrame, decide: Callable[[list[dict]], list[int]], least: float, more: DataFrame | None = None) -> DataFrame:
+    """library_id, recording_id, speaker_uuid, cluster: ``decide`` over the voices of each component of a library; a cluster is named by its first.
+
+    ``voices``: as :func:`local_clusters`, with key. For decisions that merge two groups only if a voice of one and a voice of the other
+    have a cosine of at least ``least``, or are a pair in ``more``: what isn't joined so can't touch, so a component gives what the whole
+    library would. Voices that nothing is joined to are clusters as they are.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        lib, found = int(pdf["library_id"].iloc[0]), nodes(pdf)
+        return pd.DataFrame([(lib, x["recording_id"], x["uuid"], found[i]["key"]) for x, i in zip(found, decide(found), strict=True)], columns=["library_id", "recording_id", "speaker_uuid", "cluster"])
 
+    v = _components_of(voices, "m", least, more)
+    several = v.where("size > 1").groupBy("library_id", "component").applyInPandas(one, "library_id long, recording_id long, speaker_uuid string, cluster string")
+    return several.unionByName(v.where("size = 1").select("library_id", "recording_id", "speaker_uuid", F.concat_ws(":", "recording_id", "speaker_uuid").alias("cluster")))
 
-def _split_profiles(v):
+
+def keyed(voices: DataFrame) -> DataFrame:
+    return voices.withColumn("key", F.concat_ws(":", "library_id", "recording_id", "speaker_uuid", "label"))
+
+
+def people_by_evidence(spark, source, threshold: float = 0.65):
+    """The voices of a library's recordings as people, by the evidence of their cosines."""
+    return by_component(keyed(local_clusters(spark, source)), lambda v: groups.evidence_graph(v, threshold), threshold)
+
+
+def split_profiles(spark, source, least: float = 0.7):
     """Profiles that may be several people (here: pairs of labels): each divided anew, labels of one recording kept apart."""
+    return by_component(keyed(local_clusters(spark, source)), lambda v: _split(v, least), least)
+
+
+def _split(v, least):
     out = list(range(len(v)))
     for half in {x["label"] // 2 for x in v}:
         at = [i for i, x in enumerate(v) if x["label"] // 2 == half]
         apart = {frozenset((a, b)) for a in range(len(at)) for b in range(a) if v[at[a]]["recording_id"] == v[at[b]]["recording_id"] and v[at[a]]["label"] != v[at[b]]["label"]}
-        for kind, least in (("single", 0.8), ("complete", 0.7)):
-            label = groups.linkage(np.array([v[i]["embedding"] for i in at]), least, kind, None, apart)
-            if kind == "complete":
-                for i, g in zip(at, label, strict=True):
-                    out[i] = at[g]
+        for i, g in zip(at, groups.linkage(np.array([v[i]["embedding"] for i in at]), least, "complete", None, apart), strict=True):
+            out[i] = at[g]
     return out
 
 
-def _constraints(v):
-    """What people have settled: anchors, pairs that are one, and pairs that aren't."""
-    anchors = {i: f"person-{x['label']}" for i, x in enumerate(v) if x["label"] in (1, 3) and x["recording_id"] % 4 == 0}
-    must = [(i, j) for i, x in enumerate(v) for j, y in enumerate(v) if i < j and x["uuid"] == y["uuid"] and x["recording_id"] + 1 == y["recording_id"] and x["label"] == 5]
-    cannot = [(i, j) for i, x in enumerate(v) for j, y in enumerate(v) if i < j and {x["label"], y["label"]} == {2, 8}]
-    return groups.reconcile(v, must, cannot, anchors)
+def reconciled(spark, source, merge: float = 0.88, slack: float = 0.16, model: groups.Model = groups.probability):
+    """The voices of a library's recordings as people, under what people have settled: voice_anchors (library_id, recording_id, speaker_uuid,
+    person) and voice_links (library_id, recording_id, speaker_uuid, other_recording, other, same)."""
+    voice = ["library_id", "recording_id", "speaker_uuid"]
+    links = statement(spark, source, "SELECT * FROM voice_links WHERE same IS NOT NULL")
+    other = [F.col("library_id"), F.col("other_recording").alias("recording_id"), F.col("other").alias("speaker_uuid")]
+    both = links.select(*voice, "same", F.struct("other_recording", "other").alias("to")).unionByName(links.select(*other, "same", F.struct(F.col("recording_id").alias("other_recording"), F.col("speaker_uuid").alias("other")).alias("to")))
+    settled = both.groupBy(*voice).agg(*[F.collect_set(F.when(F.col("same") == same, F.col("to"))).alias(name) for name, same in (("must", True), ("cannot", False))])
+    anchors = statement(spark, source, "SELECT library_id, recording_id, speaker_uuid, min(person) AS person FROM voice_anchors WHERE person IS NOT NULL GROUP BY library_id, recording_id, speaker_uuid")
+    v = cut(keyed(local_clusters(spark, source)).join(anchors, voice, "left").join(settled, voice, "left"), "voices")
+    # Voices of one person hang on the first of them.
+    named = v.where("person IS NOT NULL").select("library_id", "person", F.col("key").alias("b"))
+    stars = named.join(named.groupBy("library_id", "person").agg(F.min("b").alias("a")), ["library_id", "person"]).select("a", "b")
+    ends = v.select("library_id", F.col("recording_id").alias("other_recording"), F.col("speaker_uuid").alias("other"), F.col("key").alias("b"))
+    pairs = v.select("library_id", F.col("key").alias("a"), F.explode("must").alias("to")).select("library_id", "a", "to.*").join(ends, ["library_id", "other_recording", "other"]).select("a", "b")
+    # The margin over the next is smaller than the slack, so a next that isn't in the component is far enough behind.
+    return by_component(v, lambda x: _constrained(x, merge, slack, model), model.least(merge - slack) - 1e-9, stars.unionByName(pairs))
+
+
+def _constrained(v, merge, slack, model):
+    at = {(x["recording_id"], x["uuid"]): i for i, x in enumerate(v)}
+    pairs = lambda name: sorted({tuple(sorted((i, at[k]))) for i, x in enumerate(v) for k in x[name] if k in at})
+    return groups.reconcile(v, pairs("must"), pairs("cannot"), {i: x["person"] for i, x in enumerate(v) if x["person"]}, merge, slack, model=model)
+
+
+def complete_personas(spark, source, least: float = 0.8):
+    """Speakers of a library as personas in which every two are similar; each is named by its first."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("speaker_uuid")
+        names = pdf["speaker_uuid"].to_numpy()
+        return pd.DataFrame({"library_id": pdf["library_id"].to_numpy(), "speaker_uuid": names, "persona": names[groups.linkage(np.stack(pdf["embedding"].to_numpy()), least)]})
+
+    v = _components_of(speaker_voices(spark, source, "library_id").withColumn("key", F.concat_ws(":", "library_id", "speaker_uuid")), "embedding", least)
+    several = v.where("size > 1").groupBy("library_id", "component").applyInPandas(one, "library_id long, speaker_uuid string, persona string")
+    return several.unionByName(v.where("size = 1").select("library_id", "speaker_uuid", F.col("speaker_uuid").alias("persona")))
+
+
+def _of_segments(decide):
+    """Clusters of the vectors of each recording: vec_id -> the least vec_id of its cluster."""
+
+    def run(spark, source):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("vec_id")
+            ids = pdf["vec_id"].to_numpy()
+            return pd.DataFrame({"recording_id": pdf["recording_id"].to_numpy(), "vec_id": ids, "cluster": ids[np.asarray(decide(np.stack(pdf["embedding"].to_numpy()).astype(float)), dtype=int)]})
+
+        return voices(spark, source).select("recording_id", "vec_id", "embedding").groupBy("recording_id").applyInPandas(one, "recording_id long, vec_id long, cluster long")
+
+    return run
 
 
 def mixtures(spark, source):
@@ -529,7 +619,7 @@ def apply_and_undo(spark, source):
     """Who is who, with a library's reconciliation applied and taken back: in both versions the rows that it changed."""
     table = sinks.Assignments(spark, fresh_path(spark, "assignments"))
     table.start(voices(spark, source).select(F.col("vec_id").alias("id"), "speaker_uuid"))
-    moved = cut(_personas("single")(spark, source).where("persona <> speaker_uuid"), "personas")
+    moved = cut(personas(spark, source).where("persona <> speaker_uuid"), "personas")
     table.apply(0, table.now(0).join(moved, "speaker_uuid").select("id", F.col("persona").alias("speaker_uuid")))
     back = table.undo(1, 1)
     was, now = table.now(0).withColumnRenamed("speaker_uuid", "first"), table.now(1).withColumnRenamed("speaker_uuid", "applied")
@@ -582,36 +672,6 @@ def similar(spark, source, least: float = 0.8):
     return found.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-def _linked(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """``rows`` (key, embedding) with component, the least key of those that a chain of similar ones joins it to."""
-    numbered = cut(cut(rows, "rows").withColumn("id", F.monotonically_increasing_id()), "numbered")  # ids of a written table
-    near = Pairs(numbered, least).between_classes()
-    same = numbered.groupBy("embedding").agg(F.min("id").alias("first"))  # equal vectors are one class
-    classes = numbered.join(same, "embedding").select("id", "first")
-    edges = near.select("a", "b").unionByName(classes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
-    found = components.connected(numbered.select(F.col("id").alias("node")), edges)
-    named = numbered.join(found.withColumnRenamed("node", "id"), "id").select(key, "component")
-    return named.join(named.groupBy("component").agg(F.min(key).alias("first")), "component").select(key, F.col("first").alias("component"))
-
-
-def speaker_voices(spark, source) -> DataFrame:
-    """speaker_uuid, embedding: each speaker's mean over the voices of its recordings."""
-    v = local_clusters(spark, source).select("speaker_uuid", F.posexplode("m").alias("k", "v"))
-    mean = v.groupBy("speaker_uuid", "k").agg(F.avg("v").alias("v")).groupBy("speaker_uuid").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return mean.select("speaker_uuid", F.transform("m", lambda x: x["v"]).alias("embedding"))
-
-
-def personas(spark, source, least: float = 0.8):
-    """Speakers whose voices chains of similar voices join: one persona, named by its first."""
-    return _linked(speaker_voices(spark, source), "speaker_uuid", least).withColumnRenamed("component", "persona")
-
-
-def voice_components(spark, source, least: float = 0.8):
-    """How many voices of recordings there are, and how many groups chains of similar ones make of them."""
-    v = local_clusters(spark, source).select(F.concat_ws(":", "recording_id", "speaker_uuid", "label").alias("key"), F.col("m").alias("embedding"))
-    return _linked(v, "key", least).agg(F.count("*").alias("voices"), F.countDistinct("component").alias("components"))
-
-
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 
@@ -780,10 +840,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "SRC-06": token_sidecars, "SRC-07": whole_output, "SRC-09": watched_folder, "SRC-11": broken_output, "JN-18": claims, "RNK-03": routed, "RNK-05": moments, "RNK-06": conversations, "VEC-03": near_lines, "VEC-05": widened, "VEC-09": moving_average,
     "WIN-05": segments, "WIN-06": spans, "WIN-07": target_windows, "WIN-09": capped_pairs, "WIN-13": sentences, "WIN-16": stitched, "WIN-18": split_points, "WIN-19": packed_spans, "WIN-20": collapsed,
     "TXT-10": longest_runs, "TXT-11": runaways, "TXT-17": suspicions, "TXT-18": tiers, "TXT-19": exemplars,
-    "CLU-01": personas, "JN-20": similar, "ASG-05": canonical, "REC-03": operating_point, "INF-06": pooled, "CLU-02": _personas("complete"), "CLU-03": _of_segments(groups.dbscan_sweep), "CLU-04": _of_segments(lambda x: groups.linkage(x, 0.5, "average")), "CLU-04-target": _of_segments(lambda x: groups.linkage(x, 0.0, "average", 10)),
-    "CLU-05": _grouped(groups.evidence_graph), "CLU-06": _grouped(_split_profiles), "CLU-07": mixtures, "CLU-08": voice_components,
+    "CLU-01": personas, "JN-20": similar, "ASG-05": canonical, "REC-03": operating_point, "INF-06": pooled, "CLU-02": complete_personas, "CLU-03": _of_segments(groups.dbscan_sweep), "CLU-04": _of_segments(lambda x: groups.linkage(x, 0.5, "average")), "CLU-04-target": _of_segments(lambda x: groups.linkage(x, 0.0, "average", 10)),
+    "CLU-05": people_by_evidence, "CLU-06": split_profiles, "CLU-07": mixtures, "CLU-08": voice_components,
     "ASG-01": _assigned(_by_pairs(lambda s: groups.greedy(s, 0.85))), "ASG-02": _assigned(_by_pairs(lambda s: groups.optimal(s, 0.8, 0.05))), "ASG-03": _assigned(lambda new, known: groups.consensus(new, known, 0.8, 0.05)), "ASG-04": per_library(_fragments, "speaker_uuid string, target string, score double, margin double, support long"),
-    "REC-02": calibration, "REC-04": _grouped(_constraints), "REC-05": apply_and_undo, "INF-01": deduced, "INF-03": guessed,
+    "REC-02": calibration, "REC-04": reconciled, "REC-05": apply_and_undo, "INF-01": deduced, "INF-03": guessed,
     "AGG-23": p95, "EVL-01": word_errors, "EVL-02-words": candidate_errors, "EVL-03": boundaries, "EVL-04": diarisation_error, "EVL-05": pipeline_metrics, "EVL-11": per_library(_review, "a string, b string, points double, reason string"),
     "STR-01": maintained, "STR-08": high_water_mark, "STR-10": voice_changes, "STR-11": activity_stream, "STR-11-sessions": session_stream,
 }
