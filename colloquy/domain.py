@@ -24,6 +24,12 @@ from .storage import cut
 EPOCH = 1704067200
 
 
+#: What a refinement was made from: size, time and length of the file, and when it was transcribed (0 where unknown). Edits don't
+#: change it; recordings r with their files f.
+FINGERPRINT = " || ':' || ".join(f"cast(cast(floor(coalesce({x}, 0)) AS BIGINT) AS VARCHAR(20))" for x in ("f.size", "f.modified", "r.duration * 1000", "f.transcribed_at * 1000"))
+LINE_DIGEST = "md5(cast(cast(round(start_time * 1000) AS BIGINT) AS VARCHAR(20)) || ':' || cast(cast(round(end_time * 1000) AS BIGINT) AS VARCHAR(20)) || ':' || coalesce(text, ''))"
+
+
 def relations(d: Spark) -> dict[str, str]:
     """name -> SELECT over the driver's tables and the relations before it."""
     # Lines that a recogniser makes up in silence, among those of the documents.
@@ -118,6 +124,14 @@ def relations(d: Spark) -> dict[str, str]:
             SELECT -id - 1, recording_id, start_time + 1, end_time + 1, replace(replace(lower(text), ' de ', ' '), ' the ', ' '), true FROM utterances WHERE speaker = 'assistant' AND id % 5 = 0""",
         "old_turns": "SELECT id, recording_id, speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1', 'v2')",
         "new_turns": "SELECT id, recording_id, 'n' || CASE WHEN id % 16 = 0 THEN 'x' ELSE substring(speaker, 2, 1) END AS speaker, start_time, end_time FROM turns WHERE speaker IN ('v0', 'v1') AND id % 5 <> 0",
+        # The files of recordings, the lines they have now, and what a refinement in the background kept of them: some are of an older
+        # schema, of a file or of lines that have changed since, or not complete.
+        "audio_files": "SELECT id AS recording_id, id % 1000000 * 16000 + 44 AS size, created_at + 25e-2 AS modified, CASE WHEN id % 7 <> 0 THEN created_at + 36e2 END AS transcribed_at FROM recordings WHERE id % 11 <> 5",
+        "line_digests": f"SELECT recording_id, md5({d.join(LINE_DIGEST, ',', 'utterance_index, id')}) AS digest FROM utterances GROUP BY recording_id",
+        "refinements": f"""
+            SELECT r.id AS recording_id, CASE WHEN r.id % 5 = 0 THEN 1 ELSE 2 END AS schema_version, {FINGERPRINT} || CASE WHEN r.id % 5 = 1 THEN '0' ELSE '' END AS fingerprint, CASE WHEN r.id % 5 = 4 THEN md5('') ELSE l.digest END AS digest,
+                   CASE WHEN r.id % 3 <> 0 THEN r.created_at + 72e2 END AS completed_at, r.id % 2 = 0 AS has_checkpoint
+            FROM recordings r LEFT JOIN audio_files f ON f.recording_id = r.id LEFT JOIN line_digests l ON l.recording_id = r.id WHERE r.id % 13 <> 4""",
         # What people have settled of the voices of recordings: who some are, and which are or aren't one.
         "voice_anchors": "SELECT DISTINCT library_id, recording_id, speaker_uuid, 'person-' || cast(label AS VARCHAR(9)) AS person FROM vectors WHERE label IN (1, 3) AND recording_id % 4 = 0",
         "voice_links": """

@@ -7,6 +7,7 @@ have defaults, so that a plan's name alone runs it; ``plan(..., **values)`` over
 from __future__ import annotations
 
 from ..dialect import Spark
+from ..domain import FINGERPRINT
 
 WORD = r"[^ \t\n\r]+"
 
@@ -146,8 +147,12 @@ def replace_part(d: Spark, recording: int = 5) -> str:
     return f"SELECT id, recording_id, text FROM utterances WHERE recording_id <> {recording} UNION ALL SELECT id, recording_id, upper(text) FROM utterances WHERE recording_id = {recording} AND NOT is_hidden"
 
 
-def fingerprint(d: Spark) -> str:
-    return "SELECT id, file_name || ':' || cast(created_at AS VARCHAR(20)) || ':' || cast(cast(floor(duration * 1000) AS BIGINT) AS VARCHAR(20)) AS fingerprint FROM recordings"
+def fingerprint(d: Spark, version: int = 2) -> str:
+    """What each recording's refinement is made from, and what becomes of the one that is kept: ``completed`` and ``resumable`` ones are
+    of this schema version, of the same file and transcription and of the lines as they are now; else a recording is ``due``."""
+    return f"""SELECT r.id, {FINGERPRINT} AS fingerprint, CASE WHEN a.schema_version = {version} AND a.fingerprint = {FINGERPRINT} AND coalesce(a.digest, '') = coalesce(l.digest, '') AND (a.completed_at IS NOT NULL OR a.has_checkpoint)
+            THEN CASE WHEN a.completed_at IS NOT NULL THEN 'completed' ELSE 'resumable' END ELSE 'due' END AS state
+        FROM recordings r LEFT JOIN audio_files f ON f.recording_id = r.id LEFT JOIN line_digests l ON l.recording_id = r.id LEFT JOIN refinements a ON a.recording_id = r.id"""
 
 
 def backfill_keys(d: Spark) -> str:

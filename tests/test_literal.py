@@ -172,3 +172,17 @@ def test_operators_take_the_columns_they_are_given(spark):
     assert [(r.language, r.confidence, r.source) for r in plans.run(spark, {"heard_languages": heard}, "AGG-20").collect()] == [("en", 0.5, "audio")]
     edits = one([(1, 5.0, 5.001), (2, 5.0, 6.0), (3, None, 5.0), (4, 5.0, None)], "id long, stored double, seen double")
     assert {r.id: (r.accepted, r.current_version) for r in plans.run(spark, {"note_edits": edits}, "STR-13").collect()} == {1: (True, None), 2: (False, 5.0), 3: (False, None), 4: (True, None)}
+
+
+def test_refinements_that_can_be_used_again(spark):
+    """Of the same schema, file, transcription and lines: completed, or resumable from a checkpoint; else due."""
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    ids = range(1, 10)
+    given = relations(spark, recordings=[(i, "t", 0, "recording", 12.3456, None, True) for i in ids])
+    given["audio_files"] = one([(i, 1000, 50.9, None if i == 7 else 60.5) for i in ids if i != 8], "recording_id long, size long, modified double, transcribed_at double")
+    given["line_digests"] = one([(i, "d") for i in ids if i != 9], "recording_id long, digest string")
+    same = "1000:50:12345:60500"
+    kept = [(1, 2, same, "d", 9.0, False), (2, 2, same, "d", None, True), (3, 2, same, "d", None, False), (4, 1, same, "d", 9.0, True), (5, 2, "1000:51:12345:60500", "d", 9.0, True), (6, 2, same, "edited", 9.0, True), (8, 2, "0:0:12345:0", "d", 9.0, True), (9, 2, same, None, None, True)]
+    given["refinements"] = one(kept, "recording_id long, schema_version int, fingerprint string, digest string, completed_at double, has_checkpoint boolean")
+    got = {r.id: (r.fingerprint, r.state) for r in plans.run(spark, given, "SNK-09").collect()}
+    assert got == {1: (same, "completed"), 2: (same, "resumable"), 3: (same, "due"), 4: (same, "due"), 5: (same, "due"), 6: (same, "due"), 7: ("1000:50:12345:0", "due"), 8: ("0:0:12345:0", "completed"), 9: (same, "resumable")}
