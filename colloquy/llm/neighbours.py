@@ -7,9 +7,10 @@ Index: every vector goes down the tree to its most probable part. Search: a quer
 parts of each router that it meets, and what those hold is ranked by exact inner product.
 
 Equal vectors are one class, with its 21 smallest ids: a vector that a third of the rows share costs as much as any.
-A part meets only the queries that are routed to it. A part that can't be cut is dealt to blocks of bounded size, and the
-queries of a part to chunks of bounded size, so no task sees more than a block and a chunk. Work grows with the number of
-queries, the parts that a query opens and the size of a part, not with the product of both tables.
+A part meets only the queries that are routed to it. A large part is dealt to blocks of bounded size, and the
+queries of a part to chunks of bounded size, so no task sees more than a block and a chunk. Where these are large, the task itself cuts
+its block by a router of its own: a query is copied for each part and block that it meets, so further levels that are shuffled would cost
+as many copies as they have parts opened. Vectors are kept in the width in which they are given.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ._common import cut, hot_keys, salted
 
@@ -30,11 +32,16 @@ SAMPLE = 8192
 #: Distinct vectors of a part that are aimed at. A part of more than twice as many is cut again.
 LEAF = 256
 #: Parts of one router, at most (the sample is too thin for more), and levels of routers.
-FAN, LEVELS = 128, 6
+FAN, LEVELS = 64, 6
 NEIGHBOURS = 16
 #: Of the true neighbours of held-out sample vectors, the share that the parts opened at one level must hold.
 RECALL = 0.97
-BLOCK, CHUNK = 16_384, 4096
+#: Vectors of a block, queries of a chunk. Blocks of a part from which on it is cut by a further level that is shuffled.
+BLOCK, CHUNK, BLOCKS = 262_144, 262_144, 16
+#: Pairs of a block and a chunk from which on the task fits a router for its block, and the vectors that it fits it on.
+PAYS, INNER = 1 << 30, 4096
+#: Queries whose scores a task holds at a time, and scores.
+HELD, SCORES = 512, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -171,7 +178,39 @@ def valid(vector: Column, dim: int) -> Column:
 
 
 def unpack(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(-1, dim)
+    """Vectors of ``dim`` components, of 4 or 8 bytes each, as doubles."""
+    raw = b"".join(column)
+    return np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * dim * len(column) else np.float64).reshape(-1, dim).astype(np.float64)
+
+
+def candidates(x: np.ndarray, y: np.ndarray, n: int, router: Router | None) -> Iterator[np.ndarray]:
+    """For each row of ``x`` the rows of ``y``, among the parts that ``router`` opens for it (without one: all), that can be among the n with
+    the largest inner products: those and what could tie with the last of them, as the matrix product may round another way than the sum."""
+    if router is None:
+        rows, opened = [np.arange(len(y))], np.zeros((len(x), 1), dtype=int)
+    else:
+        of = router.ranked(y, 1)[:, 0]
+        rows, opened = [np.flatnonzero(of == k) for k in range(len(router.bias))], router.ranked(x, router.probes)
+    step = max(1, min(HELD, SCORES // len(y)))
+    for i in range(0, len(x), step):
+        mine, best, met = opened[i : i + step], [], []
+        for k in np.unique(mine):
+            if len(rows[k]):
+                q, at = np.nonzero(mine == k)
+                s = x[i + q] @ y[rows[k]].T
+                m = min(n, len(rows[k]))
+                best.append((q, at, np.partition(s, len(rows[k]) - m, axis=1)[:, len(rows[k]) - m :]))
+                met.append((q, rows[k], s))
+        top = np.full((len(mine), mine.shape[1], n), -np.inf)
+        for q, at, s in best:
+            top[q, at, : s.shape[1]] = s
+        top = top.reshape(len(mine), -1)
+        least = np.partition(top, top.shape[1] - n, axis=1)[:, top.shape[1] - n]
+        edge = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.inf)
+        found = [(q[r], of_part[c]) for q, of_part, s in met for r, c in [np.nonzero(s >= edge[q][:, None])]]
+        q, c = (np.concatenate([f[side] for f in found]) if found else np.empty(0, dtype=int) for side in (0, 1))
+        order = np.argsort(q, kind="stable")
+        yield from np.split(c[order], np.cumsum(np.bincount(q, minlength=len(mine)))[:-1])
 
 
 def share(key: str) -> Column:
@@ -238,9 +277,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
         top = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
         dim = top["d"] if top else 0
 
+    width = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else np.float64
+
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = [(np.asarray(a, dtype=np.float64) + 0.0).tobytes() for a in pdf["v"]]  # -0.0 is 0.0
+            x = [(np.asarray(a, dtype=np.float64) + 0.0).astype(width).tobytes() for a in pdf["v"]]  # -0.0 is 0.0
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "key": [hashlib.md5(b).digest() for b in x], "x": x})
 
     v = cut(v.where(valid(F.col("v"), dim)).mapInPandas(packed, "vec_id long, key binary, x binary"), "vectors")
@@ -251,8 +292,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
     index = v.groupBy("key").agg(F.first("x").alias("x"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")).join(members, "key")
     index = cut(index.select(F.lit(0).cast("long").alias("node"), "key", "ids", "asked", "x"), "index")
     queries = cut(index.where("asked > 0").select("node", "key", "x"), "routed")
-    for _ in range(LEVELS):
-        sizes = cut(index.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf), "sizes")
+    for level in range(LEVELS):
+        least = 2 * leaf if level == 0 else max(2 * leaf, BLOCKS * BLOCK)
+        sizes = cut(index.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > least), "sizes")
         by = None if sizes.isEmpty() else cut(routers(index, sizes, dim, sample, k, recall, leaf, fan), "routers")
         if by is None or by.isEmpty():
             break
@@ -268,35 +310,33 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = SAMPL
 
     def rank(base: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(ask):
-            return pd.DataFrame({"key": [], "best": []})
+            return pd.DataFrame({"key": [], "away": [], "vec_id": [], "own": []})
         base = base.sort_values("key")
         y, x, ids, keys, mine = unpack(base["x"], dim), unpack(ask["x"], dim), base["ids"].tolist(), base["key"].tolist(), ask["key"].tolist()
         first = np.array([i[0] for i in ids], dtype=np.int64)
-        n, out = min(k + 1, len(y)), []
-        for i in range(0, len(x), 256):
-            rough = x[i : i + 256] @ y.T
-            least = np.partition(rough, len(y) - n, axis=1)[:, len(y) - n]
-            # All that could tie with the last place, as the matrix product may round another way than the sum.
-            edge = least - 1e-9 * np.maximum(1.0, np.abs(least))
-            for j, row in enumerate(rough):
-                c = np.flatnonzero(row >= edge[j])
-                exact = (x[i + j] * y[c]).sum(axis=1)
-                order = np.lexsort((first[c], -exact))
-                flat, at = [], 0
-                # Classes by falling score; those of one score are merged by id.
-                while at < len(order) and len(flat) < k + 1:
-                    s, same = exact[order[at]], []
-                    while at < len(order) and exact[order[at]] == s:
-                        q = c[order[at]]
-                        same += [(-s, int(z), keys[q] == mine[i + j]) for z in ids[q]]
-                        at += 1
-                    flat += sorted(same)
-                out.append([{"away": a, "vec_id": z, "own": o} for a, z, o in flat[: k + 1]])
-        return pd.DataFrame({"key": mine, "best": out})
+        inner = None
+        if len(y) * len(x) >= PAYS and len(y) > 2 * leaf:
+            inner = fit(y[np.random.default_rng(7).permutation(len(y))[:INNER]], len(y), k, recall, leaf, fan)
+        out = []
+        for j, c in enumerate(candidates(x, y, k + 1, inner)):
+            exact = (x[j] * y[c]).sum(axis=1)
+            order = np.lexsort((first[c], -exact))
+            flat, at = [], 0
+            # Classes by falling score; those of one score are merged by id.
+            while at < len(order) and len(flat) < k + 1:
+                s, same = exact[order[at]], []
+                while at < len(order) and exact[order[at]] == s:
+                    q = c[order[at]]
+                    same += [(-s, int(z), keys[q] == mine[j]) for z in ids[q]]
+                    at += 1
+                flat += sorted(same)
+            out.append([np.array(side, dtype=kind) for side, kind in zip(zip(*flat[: k + 1], strict=True), (np.float64, np.int64, bool), strict=True)] if flat else [[], [], []])
+        return pd.DataFrame({"key": mine} | {name: [o[i] for o in out] for i, name in enumerate(("away", "vec_id", "own"))})
 
     parts = ["node", "block", "chunk"]
-    near = left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(rank, "key binary, best array<struct<away:double,vec_id:long,own:boolean>>")
-    best = cut(near.groupBy("key").agg(F.flatten(F.collect_list("best")).alias("all")).select("key", F.slice(F.array_sort("all"), 1, k + 1).alias("best")), "best")
+    near = left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(rank, "key binary, away array<double>, vec_id array<long>, own array<boolean>")
+    lists = F.transform(F.collect_list(F.struct("away", "vec_id", "own")), lambda r: F.arrays_zip(r["away"].alias("away"), r["vec_id"].alias("vec_id"), r["own"].alias("own")))
+    best = cut(near.groupBy("key").agg(F.flatten(lists).alias("all")).select("key", F.slice(F.array_sort("all"), 1, k + 1).alias("best")), "best")
     # Each query row of a class gets the class's list without one entry of its own. Rows that are equal are one until the end.
     ask = v.where(F.col("vec_id") % every == 0).groupBy("key", "vec_id").agg(F.count("*").alias("times"))
     heavy = hot_keys(ask.groupBy("key").agg(F.count("*").alias("n")), "key", "n")

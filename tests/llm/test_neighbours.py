@@ -95,3 +95,33 @@ def test_few_rows(spark):
     assert neighbours.search(df.limit(0)).count() == 0
     zero = spark.createDataFrame([(20, [0.0]), (None, [1.0]), (40, None)], "vec_id long, embedding array<float>")
     assert neighbours.search(zero).count() == 0
+
+
+def test_a_task_that_cuts_its_block_gives_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "PAYS", 1)
+    monkeypatch.setattr(neighbours, "HELD", 7)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, want = answers(neighbours.search(df, recall=1.0, leaf=100, fan=4).collect()), brute(rows)
+    assert {q: [v for _, v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
+def test_a_query_is_copied_for_the_parts_of_one_level_alone(spark, monkeypatch):
+    """Parts of more than twice a leaf, but less than some blocks, aren't cut by a level that is shuffled."""
+    rng = np.random.default_rng(6)
+    seen = []
+    monkeypatch.setattr(neighbours, "cut", lambda df, name, cut=neighbours.cut: (out := cut(df, name), seen.append((name, out)))[0])
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(2000)], "vec_id long, embedding array<float>")
+    neighbours.search(df, leaf=40, fan=4).count()
+    assert [name for name, _ in seen].count("routers") == 1
+    assert [df for name, df in seen if name == "routed"][-1].count() <= 4 * 100
+    assert len([df for name, df in seen if name == "index"][-1].first()["x"]) == 8 * 4  # as narrow as it is given
+
+
+def test_candidates_of_opened_parts_are_theirs():
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((50, 6)), rng.standard_normal((3000, 6))
+    router = neighbours.fit(y[:1000], 3000, 20, 0.9, 100, 16)
+    assert 1 < router.probes < len(router.bias)
+    for q, c, parts in zip(x, neighbours.candidates(x, y, 21, router), router.ranked(x, router.probes), strict=True):
+        mine = np.flatnonzero(np.isin(router.ranked(y, 1)[:, 0], parts))
+        assert set(mine[np.argsort(-(y[mine] @ q), kind="stable")[:21]]) <= set(c) <= set(mine)
