@@ -27,6 +27,8 @@ SAMPLE, CELL, MOST_CELLS = 16_384, 1000, 1024
 RECALL, NEIGHBOURS = 0.97, 20
 PLACES = 64
 ROUNDS, SEED = 12, 17
+#: Vectors, and queries, that a task of a search of many queries compares at most; queries of a matrix.
+SIDE, STRIP = 16_384, 512
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -214,12 +216,28 @@ class VectorIndex:
         hits = top.withColumn("place", F.row_number().over(best)).select("place", "id", "cosine", "more.*").drop("_")
         return Found(hits, n >= len(order), scored.count(), n)
 
-    def search_all(self, queries: DataFrame, limit: int, probes: int | None = None) -> DataFrame:
+    def search_all(self, queries: DataFrame, limit: int, probes: int | None = None, side: int = SIDE) -> DataFrame:
         """query_id, rank, id, cosine for each of ``queries`` (query_id, embedding): the nearest in the cells that are opened for it,
-        ties to the smaller id. Queries meet cells in a join on the cell."""
+        ties to the smaller id. Cells lie in groups of about ``side`` vectors, a cell that is larger in several; a query goes once to each
+        group that has a cell of its, whatever their number, and takes its ``limit`` nearest from each."""
         manifest = self.log.manifest()
-        n, centres = min(manifest["facts"]["cells"], probes or manifest["facts"]["probes"]), self._centres(manifest)
-        schema = "query_id long, q array<double>, q_norm double, cell int"
+        facts, centres = manifest["facts"], self._centres(manifest)
+        n, dim = min(facts["cells"], probes or facts["probes"]), facts["dim"]
+        valid = cut(self._valid(queries.select(F.col("query_id").alias("id"), "embedding"), dim).select("id", "v", "norm"), "asked")
+        members = self._members(manifest, [int(c) for c in manifest["tables"]["cells"]["parts"]])
+        sizes = {r["cell"]: r["count"] for r in members.groupBy("cell").count().collect()}  # MOST_CELLS at most
+        # As many groups as keep all cores busy, if they are few.
+        side = max(1, min(side, max(256, sum(sizes.values()) // (4 * self.spark.sparkContext.defaultParallelism))))
+        first, parts, filled, group = np.full(len(centres), -1), np.zeros(len(centres), dtype=np.int64), 0, 0
+        for c in sorted(sizes):
+            if filled and filled + sizes[c] > side:
+                filled, group = 0, group + 1
+            first[c], parts[c] = group, -(-sizes[c] // side)
+            if parts[c] > 1:
+                filled, group = 0, group + int(parts[c])
+            else:
+                filled += sizes[c]
+        shares = max(1, -(-valid.count() // SIDE))  # of the queries
 
         def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -227,11 +245,46 @@ class VectorIndex:
                     continue
                 x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
                 cells = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
-                at = pa.array(np.repeat(np.arange(len(b)), n))
-                yield pa.RecordBatch.from_pydict({"query_id": b.column("id").take(at), "q": b.column("v").take(at), "q_norm": b.column("norm").take(at), "cell": pa.array(cells.ravel(), pa.int32())})
-
-        asked = self._valid(queries.select(F.col("query_id").alias("id"), "embedding"), manifest["facts"]["dim"]).mapInArrow(open_, schema)
-        cells = [int(c) for c in manifest["tables"]["cells"]["parts"]]
-        met = asked.join(self._members(manifest, cells), "cell").select("query_id", "id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("v", "q") / (F.col("norm") * F.col("q_norm")))).alias("cosine"))
+                at, cells = np.repeat(np.arange(len(b)), n), cells.ravel()
+                times = parts[cells]
+                at, cells = np.repeat(at, times), np.repeat(cells, times)
+                to = first[cells] + np.arange(len(cells)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.lexsort((cells, to, at))
+                at, cells, to = at[order], cells[order], to[order]
+                new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (to[1:] != to[:-1])]) if len(at) else np.empty(0, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(cells)], pa.int32()), pa.array(cells, pa.int32()))
+                rows = pa.array(at[new])
+                yield pa.RecordBatch.from_pydict({"query_id": b.column("id").take(rows), "q": b.column("v").take(rows), "q_norm": b.column("norm").take(rows), "opened": lists, "to": pa.array(to[new], pa.int32())})
+
+        def nearest(asked: pa.Table, held: pa.Table) -> pa.Table:
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            if len(asked) and len(held):
+                numbers = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                x, y = (numbers(t.column(c)).reshape(-1, dim) for t, c in ((asked, "q"), (held, "v")))
+                x_norm, y_norm, ask, ids = (t.column(c).to_numpy() for t, c in ((asked, "q_norm"), (held, "norm"), (asked, "query_id"), (held, "id")))
+                opened = asked.column("opened").to_pylist()
+                of: dict[int, list[int]] = {}
+                for i, cells in enumerate(opened):
+                    for c in cells:
+                        of.setdefault(c, []).append(i)
+                cell = held.column("cell").to_numpy()
+                mine = [(np.flatnonzero(cell == c), np.array(rows)) for c, rows in of.items()]
+                for at in range(0, len(asked), STRIP):
+                    cosine = np.full((min(STRIP, len(asked) - at), len(held)), -np.inf)
+                    for columns, rows in mine:
+                        rows = rows[(rows >= at) & (rows < at + STRIP)]
+                        if len(rows) and len(columns):
+                            cosine[np.ix_(rows - at, columns)] = (x[rows] @ y[columns].T) / (x_norm[rows, None] * y_norm[None, columns])
+                    np.clip(cosine, -np.inf, 1.0, out=cosine)
+                    least = np.partition(cosine, len(held) - limit, axis=1)[:, len(held) - limit] if len(held) > limit else np.full(len(cosine), -np.inf)
+                    i, j = np.nonzero((cosine >= least[:, None] - 2e-9) & (cosine > -np.inf))  # with all that nine places don't tell apart
+                    found.append((ask[i + at], ids[j], np.maximum(cosine[i, j], -1.0)))
+            return pa.table(dict(zip(("query_id", "id", "cosine"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+        asked = valid.mapInArrow(open_, "query_id long, q array<double>, q_norm double, opened array<int>, to int").withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)))
+        place = F.create_map(*[F.lit(int(x)) for c in sorted(sizes) for x in (c, first[c])])[F.col("cell")] if sizes else F.lit(0)
+        part = F.create_map(*[F.lit(int(x)) for c in sorted(sizes) for x in (c, parts[c])])[F.col("cell")] if sizes else F.lit(1)
+        dealt = members.select("id", "cell", "v", "norm", (place + F.pmod(F.xxhash64("id"), part)).cast("int").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
+        met = asked.groupBy("to", "share").cogroup(dealt.groupBy("to", "share")).applyInArrow(nearest, "query_id long, id long, cosine double")
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
         return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "cosine")

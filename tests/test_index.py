@@ -187,6 +187,24 @@ def test_recall_of_the_stored_vectors(spark, tmp_path):
         assert hit >= 0.9 * 20 * len(asked)
 
 
+@pytest.mark.parametrize("side", [7, 50, 100_000])
+def test_search_of_many_queries_in_groups_of_cells(spark, tmp_path, side):
+    """Groups of many cells, and cells that lie in many groups, give what brute force gives; ties go to the smaller id."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 400)] + rng.normal(size=(400, 6)) * 0.3
+    x[50:60] = x[3]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
+    index = VectorIndex.build(spark, f"file://{tmp_path}/{side}", df, cells=9)
+    got = defaultdict(list)
+    for r in index.search_all(df.where("id % 10 = 3").withColumnRenamed("id", "query_id"), 8, probes=9, side=side).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.id)
+    assert got == {i: brute(x, np.arange(400), x[i], 8) for i in range(3, 400, 10)}
+    one = index.search_all(df.where("id % 10 = 3").withColumnRenamed("id", "query_id"), 8, probes=1, side=side)
+    assert one.count() > 0 and index.search_all(df.limit(0).withColumnRenamed("id", "query_id"), 8, side=side).count() == 0
+    # A query meets cells in a task, not in a row for each vector.
+    assert "FlatMapCoGroupsInArrow" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def F_id():
     from pyspark.sql import functions as F
 
