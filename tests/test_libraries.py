@@ -48,6 +48,15 @@ def test_vectors_that_have_no_pairs(spark):
         Pairs(frame(spark, x), 0.0)
 
 
+def test_a_row_goes_once_to_each_group_of_blocks(spark):
+    """However many blocks it visits: random directions leave nothing to rule out. In single precision nothing is lost either."""
+    x = np.random.default_rng(6).normal(size=(3000, 10))
+    pairs = Pairs(frame(spark, x), 0.75, chunk=1000)
+    groups = pairs.units[0].select("group").distinct().count()
+    assert groups <= 7 and pairs.units[1].count() <= 3000 * groups
+    assert {(r.a, r.b) for r in pairs.found().collect()} == brute(x, 0.75)
+
+
 def test_few_pairs_are_compared(spark):
     """The voices of the 0.1 tables as one library, against brute force."""
     from colloquy.domain import statement
