@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, sample
 from .versions import Versions, bucket_of, whole, with_folder
 
 #: Vectors that centres are learned from, those with the least hash; vectors of a cell that are aimed at; cells at most.
@@ -117,7 +117,7 @@ class VectorIndex:
         size = all_.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
         dim, n = (size["d"], size["count"]) if size else (0, 0)
         rows = all_.where(F.size("v") == dim)
-        few = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]  # SAMPLE vectors
+        few = [r["v"] for r in sample(rows.select("id", "v"), "id", SAMPLE, n)]
         x = units(np.array(few)) if few else np.empty((0, dim))
         n_cells = max(1, min(MOST_CELLS, -(-n // CELL) if cells is None else cells, max(1, len(x) // 16)))
         centres = learn(x, n_cells) if len(x) else np.empty((0, dim))

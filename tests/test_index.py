@@ -308,3 +308,21 @@ def test_upserts_deletes_and_replaced_groups(spark, tmp_path):
     lines.replace(frame((1, 0, "a"), (1, 1, "b"), (2, 0, "c")), ["id"])
     lines.replace(frame((1, 0, "z")), ["id"])
     assert sorted(tuple(r) for r in lines.read().select("id", "at", "v").collect()) == [(1, 0, "z"), (2, 0, "c")]
+
+
+def test_a_sample_is_what_the_driver_gets(spark):
+    """The rows with the least hashes, whatever the number of tasks; a bound on the hash comes before the sort."""
+    from pyspark.sql import functions as F
+
+    from colloquy import storage
+
+    rows = spark.range(40_000, numPartitions=16).withColumn("twice", F.col("id") * 2)
+    want = [r["id"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(700).collect()]
+    assert [r["id"] for r in storage.sample(rows, "id", 700, 40_000)] == want
+    counted = spark.sparkContext.accumulator(0)
+    where = rows.where(F.xxhash64("id") <= int(-(2**63) + (1.2 * 700 + 1000) / 40_000 * 2**64))
+    where.foreach(lambda r: counted.add(1))
+    assert 700 <= counted.value < 4 * 700
+    same = spark.range(3000).select(F.lit(7).alias("id"))  # one key
+    assert len(storage.sample(same, "id", 10, 3000)) == 10
+    assert len(storage.sample(rows.limit(5), "id", 10, 5)) == 5
