@@ -3,7 +3,8 @@
 A text is read character by character. Every boundary keeps one backpointer: the piece that ends there on the best
 path. Only boundaries from which a piece is still under way can be reached again, none further back than the longest
 piece; when the backpointer paths of all of them meet in one boundary, everything before it is final and its ids are
-committed. Memory depends on the longest piece, not on the text. All texts, of any length, go through this search.
+committed. Memory depends on the longest piece, not on the text. All texts, of any length, go through this search; words that a
+worker sees for the first time go through it side by side, a character further at each step (``Steps``).
 
 What "best" means depends on the model:
 
@@ -17,7 +18,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,9 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Stretches and pairs of pieces that a worker remembers (about 80 MB and 40 MB); then the tables start anew. Stretches of
 #: more characters aren't remembered.
 KEEP_SEGMENTS, KEEP_PAIRS, REMEMBERED = 400_000, 400_000, 32
+#: Characters of texts that are packed together, stretches that are looked up and that are searched in step, slots of the table of
+#: pairs beside those (18 MB).
+TOGETHER, LOOKED_UP, IN_STEP, SLOTS = 1 << 20, 1 << 17, 1 << 14, 1 << 21
 FAR = float("inf")
 
 
@@ -59,6 +66,7 @@ class Model:
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.unordered: set[int] = set()
         self.known: dict[str, bytes] = {}
+        self.steps: Steps | None = None
         self.shown = [b"" if t == CONTROL else (" ⁇ ".encode() if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode()) for p, _, t in pieces]
         self.text_of = [x.decode() if t != BYTE else "" for x, (_, _, t) in zip(self.shown, pieces, strict=True)]
         self.byte_ids = frozenset(self.bytes.values())
@@ -255,28 +263,56 @@ class Model:
         return self.segment.findall(normal) if self.by_word else [normal] if normal else []
 
     def packed(self, text: str) -> tuple[bytes, bool]:
-        """The ids of a text, 32 bits each, and whether decoding them gives it again.
-
-        What the search commits for a stretch depends on the stretch alone, so it is remembered, if it is short. Decoding
-        goes by stretches too: each is whole characters.
+        """The ids of a text, 32 bits each, and whether decoding them gives it again."""
+        return self.packed_all([text])[0]
+
+    def packed_all(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """The same of each of some texts. Decoding goes by stretches too: each is whole characters."""
+        split = [self.stretches(t) for t in texts]
+        flat = list(chain.from_iterable(split))
+        found, odd = [], []
+        for i in range(0, len(flat), LOOKED_UP):
+            ids, others = self._found(flat[i : i + LOOKED_UP])
+            found += ids
+            odd += [i + k for k in others]
+        out, a = [], 0
+        for text, parts in zip(texts, split, strict=True):
+            b = a + len(parts)
+            good = MARK not in text and not (self.strip and self.normalized(text) != MARK * self.dummy_prefix + text.replace(" ", MARK))
+            out.append((b"".join(found[a:b]), good and bisect_left(odd, a) == bisect_left(odd, b)))
+            a = b
+        return out
+
+    def _found(self, some: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of stretches, and the places of those that don't decode to themselves.
+
+        What the search commits for a stretch depends on the stretch alone, so it is remembered, if it is short, and those that
+        aren't known yet are searched together.
         """
-        parts = self.stretches(text)
-        found = list(map(self.known.get, parts))
-        good = MARK not in text and not (self.strip and self.normalized(text) != MARK * self.dummy_prefix + text.replace(" ", MARK))
-        if None in found:
-            for i, s in enumerate(parts):
-                if found[i] is None:
-                    found[i] = self.known.get(s)
-                    if found[i] is None:
-                        ids = [x for part in self.stream([s] if len(s) <= REMEMBERED else _blocks(s, self.longest)) for x in part]
-                        found[i] = array("i", ids).tobytes()
-                        if self._shown(ids) != s.replace(MARK, " "):
-                            good = False
-                        elif len(s) <= REMEMBERED:
-                            if len(self.known) >= KEEP_SEGMENTS:
-                                self.known.clear()
-                            self.known[s] = found[i]
-        return b"".join(found), good
+        found, odd = list(map(self.known.get, some)), []
+        lacking = list(compress(range(len(some)), map(is_, found, repeat(None))))
+        new = self._searched(list(dict.fromkeys([some[i] for i in lacking])))
+        for i in lacking:
+            found[i], same = new[some[i]]
+            if not same:
+                odd.append(i)
+        if len(self.known) + len(new) > KEEP_SEGMENTS:
+            self.known.clear()
+        self.known.update({s: ids for s, (ids, same) in new.items() if same and len(s) <= REMEMBERED})
+        return found, odd
+
+    def _searched(self, stretches: list[str]) -> dict[str, tuple[bytes, bool]]:
+        """Ids of each, and whether they decode to it. Short ones go through the search in step, if the model is of merges."""
+        out: dict[str, tuple[bytes, bool]] = {}
+        if self.kind == BPE and len(stretches) > 1:
+            self.steps = self.steps or Steps(self)
+            # Of pieces alone, which are the stretch's own characters, so they decode to it.
+            out = {s: (ids, True) for s, ids in self.steps.search([s for s in stretches if len(s) <= REMEMBERED])}
+        for s in stretches:
+            if s not in out:
+                ids = [x for part in self.stream([s] if len(s) <= REMEMBERED else _blocks(s, self.longest)) for x in part]
+                out[s] = array("i", ids).tobytes(), self._shown(ids) == s.replace(MARK, " ")
+        return out
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
@@ -294,10 +330,118 @@ class Model:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+class Steps:
+    """The search over many short stretches of a model of merges, all of them a character further at each step.
+
+    The lattice, its stable pairs and backpointers are those of ``Model.stream``, from the other end: at each boundary the
+    tree of pieces is walked back over the characters before it, until the piece is met that the path to where it starts
+    may go on with. As just one piece remains at a boundary, the first is the one.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        alone = sorted(c for c in model.ids if len(c) == 1)
+        self.kinds = np.zeros(0x110000, np.int32)  # by character: its number, 0 if no piece is this character
+        self.kinds[[ord(c) for c in alone]] = np.arange(1, len(alone) + 1)
+        number, self.width = {c: i for i, c in enumerate(alone, 1)}, len(alone) + 1
+        nodes, ends = {}, [-1]
+        for text, i in model.ids.items():
+            if not model.whole(i) or not all(map(number.__contains__, text)):
+                continue
+            at = 0
+            for c in reversed(text):
+                key = at * self.width + number[c]
+                if (at := nodes.get(key)) is None:
+                    at = nodes[key] = len(ends)
+                    ends.append(-1)
+            ends[at] = i
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.nodes = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        self.pieces = np.array(ends, np.int64)
+        self.pairs, self.ok = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+
+    def search(self, stretches: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Stretches, not empty, whose characters are all pieces, each with its ids."""
+        order = sorted(stretches, key=len, reverse=True)
+        for i in range(0, len(order), IN_STEP):
+            some = order[i : i + IN_STEP]
+            sizes = np.fromiter(map(len, some), np.int64, len(some))
+            kinds = self.kinds[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            have = np.minimum.reduceat(kinds, np.cumsum(sizes) - sizes) > 0
+            if have.any():
+                yield from self._in_step(list(compress(some, have.tolist())), sizes[have], kinds[np.repeat(have, sizes)])
+
+    def _in_step(self, some: list[str], sizes: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        n, most = len(some), int(sizes[0])  # longest first: those that go on are the first ones
+        chars = np.zeros((n, most), np.int64)
+        chars[np.arange(most) < sizes[:, None]] = kinds
+        chars = np.ascontiguousarray(chars.T)
+        # At each boundary of each stretch: the piece that ends there, where it starts, how many pieces that makes.
+        last, back, count = np.full((most + 1, n), -2, np.int64), np.zeros((most + 1, n), np.int64), np.zeros((most + 1, n), np.int64)
+        goes_on = np.searchsorted(-sizes, -np.arange(most), "left")
+        for at in range(most):
+            rows = np.arange(goes_on[at])
+            node = np.zeros(len(rows), np.int64)
+            for start in range(at, -1, -1):
+                key = node * self.width + chars[start][rows]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                node = np.where(self.keys[place] == key, self.nodes[place], 0)
+                piece, left = self.pieces[node], last[start][rows]
+                ends = np.flatnonzero(piece >= 0)
+                ends = ends[self._stable(left[ends], piece[ends])]
+                won = rows[ends]
+                last[at + 1][won], back[at + 1][won], count[at + 1][won] = piece[ends], start, count[start][won] + 1
+                node[ends] = 0
+                keep = node > 0
+                rows, node = rows[keep], node[keep]
+                if not len(rows):
+                    break
+        rows, at = np.arange(n), sizes
+        counts = count[at, rows]
+        upto = np.cumsum(counts)
+        ids, place = np.empty(upto[-1], np.int32), upto - 1
+        while len(rows):
+            ids[place[rows]] = last[at, rows]
+            place[rows] -= 1
+            at = back[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        packed, cuts = ids.tobytes(), (4 * upto).tolist()
+        return zip(some, (packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True)
+
+    def _stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of each two pieces, whether they are stable; a piece at the start of a stretch is. Pairs that were asked for are in a table
+        with a slot for each hash, so its size is fixed."""
+        key = left * len(self.model.pieces) + right
+        slot = (key * 0x9E3779B1 >> 7) & (SLOTS - 1)
+        new = np.flatnonzero((left >= 0) & (self.pairs[slot] != key))
+        out = self.ok[slot] | (left < 0)
+        if len(new):
+            asked, which = np.unique(key[new], return_inverse=True)
+            answers = np.array([self.model.stable(*divmod(k, len(self.model.pieces))) for k in asked.tolist()], bool)
+            out[new] = answers[which]
+            # Of keys that share a slot one stays, with its own answer.
+            slots, one = np.unique((asked * 0x9E3779B1 >> 7) & (SLOTS - 1), return_index=True)
+            self.pairs[slots], self.ok[slots] = asked[one], answers[one]
+        return out
+
+
 def _blocks(text: str, size: int) -> Iterator[str]:
     return (text[i : i + size] for i in range(0, len(text), size))
 
 
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """Texts that follow each other, of about as many characters, a text at least."""
+    some, n = [], 0
+    for t in texts:
+        if some and n + len(t) > TOGETHER:
+            yield some
+            some, n = [], 0
+        some.append(t)
+        n += len(t)
+    if some:
+        yield some
+
+
 _LOADED: dict[str, Model] = {}
 
 
@@ -326,7 +470,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
             for i in range(0, whole.num_rows, 250):
                 batch = whole.slice(i, 250)
                 texts = batch.column(n).to_pylist()
-                got = [m.packed(t) if t else (b"", True) for t in texts]
+                got = [x for some in _together([t or "" for t in texts]) for x in m.packed_all(some)]
                 flat = np.frombuffer(b"".join(x for x, _ in got), np.int32)
                 counts = np.array([len(x) // 4 for x, _ in got], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -1,6 +1,7 @@
 """SentencePiece: the library's own ids and texts, and the streaming search on its own."""
 
 import random
+from array import array
 
 import public_tokenizers
 import pytest
@@ -65,6 +66,23 @@ def test_what_is_remembered_changes_nothing(both, texts):
         assert fresh.packed(t) == own.packed(t)
         assert own.packed(t)[1] == (own.decode(own.encode(t)) == t)
 
+
+def test_words_of_a_batch_are_searched_in_step(both, texts, monkeypatch):
+    """New words of many texts take no search of their own, also where tables are small, and give the library's ids."""
+    _, library = both
+    r = random.Random(8)
+    words = [" ".join("".join(r.choice(["the", "ing", "ñ", "é", "q", "ion", "x", ",", "7"]) for _ in range(r.randint(1, 8))) for _ in range(60)) for _ in range(40)]
+    own = pieces.Model.load(PATH)
+    with monkeypatch.context() as m:
+        m.setattr(own, "stream", None)
+        assert own.packed_all(words) == [(array("i", library.encode(t)).tobytes(), True) for t in words]
+    for name, size in (("SLOTS", 4), ("IN_STEP", 3), ("LOOKED_UP", 5), ("KEEP_SEGMENTS", 50), ("KEEP_PAIRS", 7)):
+        monkeypatch.setattr(pieces, name, size)
+    small = pieces.Model.load(PATH)
+    assert [x for x, _ in small.packed_all([*texts, *words])] == [array("i", library.encode(t)).tobytes() for t in [*texts, *words]]
+    assert [ok for _, ok in small.packed_all(texts)] == [own.decode(own.encode(t)) == t for t in texts]
+
+
 def test_pairs_are_stable_as_merging_says(both):
     own, _ = both
     r = random.Random(3)
