@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import divergence
@@ -79,3 +81,41 @@ def test_empty_and_clashing(spark, documents):
     assert divergence.audit(spark.createDataFrame([], schema)).count() == 0
     wide = spark.createDataFrame([(*r, "x", 1, 2, 3, "y", "z") for r in documents[:30]], schema)
     assert rows_of(divergence.audit(wide)) == brute(documents[:30])
+
+
+def test_words_are_counted_by_slice():
+    odd = ["@A[B`C{D", "a\x00b\x1cc\x7fd\x85e\xa0F", "  K K k İ İ", "  ", "", "😀x 日本Z", "Zz zZ zz", "é É é", "A" * 300] * 5
+    rows = [(("en", "fr", "")[i % 3], ("", "s")[i % 2], t) for i, t in enumerate(odd)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r, strict=True)) for r in rows])
+    n, docs = Counter(), Counter()
+    for lang, source, t in rows:
+        found = TERM.findall(t.translate(UPPER))
+        n.update((lang, source, x) for x in found)
+        docs.update((lang, source, x) for x in set(found))
+    for size in (1, 4, 7, len(rows)):
+        got = [r for i in range(0, len(rows), size) for r in divergence.counted(batch.slice(i, size)).to_pylist()]
+        for want, c in ((n, "n"), (docs, "docs")):
+            sums = Counter()
+            for r in got:
+                sums[r["lang"], r["source"], r["term"]] += r[c]
+            assert sums == want
+    # One row for each term of a group in a slice, and none where there is no term.
+    assert len(got) == len(n)
+    assert divergence.counted(batch.slice(3, 2)).num_rows == 0
+
+
+def test_slices_hold_every_text(monkeypatch):
+    monkeypatch.setattr(divergence, "SLICE_BYTES", 10)
+    monkeypatch.setattr(divergence, "SLICE_ROWS", 3)
+    for sizes, want in (([], []), ([50], [1]), ([0] * 7, [3, 3, 1]), ([9, 9, 1], [2, 1]), ([50, 50, 0, 0, 0, 0], [1, 1, 3, 1])):
+        got = list(divergence.slices(np.array(sizes, np.int32)))
+        assert [n for _, n in got] == want and [i for i, _ in got] == [sum(want[:k]) for k in range(len(want))]
+
+
+def test_terms_are_shuffled_once_as_sums_of_slices(spark, documents):
+    df = spark.createDataFrame(documents, "text string, lang string, source string")
+    plan = divergence.postings(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "regexp_extract_all" not in plan
+    # Few rows are shuffled for many words: a row for each term of a group, however often it is there.
+    many = spark.createDataFrame([("a b c " * 1000, "en", "s")] * 50, "text string, lang string, source string").coalesce(1)
+    assert sorted((r.term, r.n, r.docs) for r in divergence.term_counts(many).collect()) == [(t, 50_000, 50) for t in "abc"]
