@@ -26,8 +26,9 @@ from ._common import cut
 
 #: Terms are runs of ASCII letters and of anything beyond ASCII: by byte, A-Z to a-z, the rest of ASCII to spaces.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-#: Texts whose words are counted at once: some 200 MB. In 64 bits, a text of 2 GB leaves place for 2^14 rows.
-SLICE_BYTES, SLICE_ROWS = 1 << 25, 1 << 14
+#: Texts whose words are counted at once, which takes some 25 times their bytes where all words differ; and rows sent at
+#: once. In 64 bits, a text of 2 GB leaves place for 2^14 rows.
+SLICE_BYTES, SLICE_ROWS, SENT_ROWS = 1 << 24, 1 << 14, 1 << 16
 #: A term counts if at least so many documents of its language have it; terms that are reported for each source.
 LEAST_DOCS, MOST_TERMS = 3, 200
 #: Counts from here on, times 10^9, don't fit a long: they are divided as decimals.
@@ -67,6 +68,13 @@ def words(text: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(text), pa.py_buffer(ends - ends[0]), pa.py_buffer(data.translate(FOLD))))
 
 
+def begins(keys: np.ndarray) -> np.ndarray:
+    """Whether each of these sorted keys is the first of its run."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return new
+
+
 def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
     """lang, source, text -> lang, source, term, n, docs, a row for each term of a group of these texts.
 
@@ -76,17 +84,19 @@ def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
     term = found.values.dictionary_encode()
     lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
     _, row, group = np.unique(lang.indices.to_numpy() * np.int64(batch.num_rows) + source.indices.to_numpy(), return_index=True, return_inverse=True)
-    lengths = found.value_lengths().to_numpy()
     a, b = len(term.dictionary).bit_length(), batch.num_rows.bit_length()
-    each = (np.repeat(group << (a + b) | np.arange(batch.num_rows), lengths)) | term.indices.to_numpy().astype(np.int64) << b
+    each = term.indices.to_numpy().astype(np.int64)
+    each <<= b
+    each |= np.repeat(group << (a + b) | np.arange(batch.num_rows), found.value_lengths().to_numpy())
     none = pc.index(term.dictionary, "").as_py()
     if none >= 0:
         each = each[term.indices.to_numpy() != none]
     each.sort()
-    kind = each >> b
-    at = np.flatnonzero(np.diff(kind, prepend=-1))
-    docs = np.add.reduceat(np.diff(each, prepend=-1) != 0, at, dtype=np.int64) if len(at) else at
-    kind = kind[at]
+    first = begins(each)
+    each >>= b
+    at = np.flatnonzero(begins(each))
+    docs = np.add.reduceat(first, at, dtype=np.int64) if len(at) else at
+    kind = each[at]
     of = pa.array(row[kind >> a])
     columns = [batch.column("lang").take(of), batch.column("source").take(of), term.dictionary.take(pa.array(kind & ((1 << a) - 1))), pa.array(np.diff(at, append=len(each))), pa.array(docs)]
     return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
@@ -101,7 +111,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in slices(pc.binary_length(batch.column("text")).to_numpy()):
-                yield counted(batch.slice(start, n))
+                got = counted(batch.slice(start, n))
+                yield from (got.slice(i, SENT_ROWS) for i in range(0, got.num_rows, SENT_ROWS))
 
     few = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     each = few.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
