@@ -7,6 +7,7 @@ import pytest
 
 from colloquy import functions
 from colloquy.functions import sequences
+from colloquy.plans import procedures
 
 
 def pairs():
@@ -53,3 +54,39 @@ def test_runs_of_characters(n):
         of = lambda t: {t[i : i + n] for i in range(len(t) - n + 1)}
         x, y, z = (sequences.runs_of(t, n) for t in (a, b, c))
         assert len(x) == len(of(a)) and sequences.held(x, y, z) == len(of(a) & (of(b) | of(c)))
+
+
+def test_pairs_of_all_lengths_go_side_by_side(monkeypatch):
+    r = random.Random(8)
+    a, b = ([np.array([r.randrange(20) for _ in range(r.randrange(1, 900))], dtype=np.int64) for _ in range(120)] for _ in range(2))
+    calls, many = [], sequences._many
+    monkeypatch.setattr(sequences, "_many", lambda *x: calls.append(len(x[0])) or many(*x))
+    assert sequences.edit_distances(a, b).tolist() == [functions.edit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)]
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 1])
+@pytest.mark.parametrize("symbols", [(3, 1), (300, 7), (200, 2**31 // 200)])
+def test_symbols_of_any_size(monkeypatch, cells, symbols):
+    monkeypatch.setattr(sequences, "CELLS", cells)
+    monkeypatch.setattr(sequences, "FEW", 0)
+    monkeypatch.setattr(sequences, "LANES", 9)
+    r = random.Random(9)
+    a, b = ([np.array([r.randrange(symbols[0]) * symbols[1] for _ in range(r.choice([0, 1, 64, 65, 200, 300]))], dtype=np.int64) for _ in range(40)] for _ in range(2))
+    b[3] = a[3]
+    assert sequences.edit_distances(a, b).tolist() == [functions.edit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)]
+
+
+def test_words_and_characters_of_texts():
+    texts = ["a b a", "", "b", "ÄÖ𝒳 a"]
+    words = sequences.words_of(texts)
+    assert [len(x) for x in words] == [3, 0, 1, 2] and words[0][0] == words[0][2] == words[3][1] and words[0][1] == words[2][0] != words[3][0]
+    assert [x.tolist() for x in sequences.points_of(texts)] == [[ord(c) for c in t] for t in texts]
+    assert [len(x) for x in sequences.words_of(["", ""])] == [0, 0] and sequences.words_of([]) == []
+
+
+def test_errors_of_a_line_against_the_one_before(spark):
+    said = ["The cat sat.", "the CAT, sat", "", "a cat", None, "x", "Été là"]
+    lines = spark.createDataFrame([(i, 1, i, t) for i, t in enumerate(said)] + [(99, 2, 0, "alone")], "id long, recording_id long, utterance_index int, text string")
+    got = {r.id: tuple(r)[1:] for r in procedures.word_errors(spark, {"text_lines": lines}).collect()}
+    assert got == {1: (0, 3, 0, 11), 2: (3, 3, 11, 11), 3: (2, 0, 5, 0), 4: (None, 2, None, 5), 6: (2, 1, 6, 1)}
